@@ -19,24 +19,37 @@ def with_parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     second place and is seen. ``inline`` keeps later filters from repeating the parse.
     """
     text = lines.withColumn("_text", strip(F.coalesce(F.col(column), F.lit(""))))
-    wrapped = F.concat(F.lit("["), F.col("_text"), F.lit(","), F.xxhash64("_text").cast("string"), F.lit("]"))
-    parsed = text.withColumn("_json", F.try_parse_json(wrapped))
-    return parsed.select(*lines.columns, F.inline(F.array(F.struct(_describe().alias("parsed")))))
-
-
-def _describe() -> Column:
-    text, json = F.col("_text"), F.col("_json")
-    one_value = F.coalesce(
-        (F.try_variant_get(json, "$[1]", "bigint") == F.xxhash64("_text"))
-        & F.try_variant_get(json, "$[2]", "variant").isNull(),
-        F.lit(False),
-    )
+    parsed = text.withColumn("_json", F.try_parse_json(_with_hash(F.col("_text"))))
     state = (
-        F.when(text == "", F.lit("blank"))
-        .when(~one_value, F.lit("bad_json"))
-        .when(~text.startswith("{"), F.lit("not_object"))
+        F.when(F.col("_text") == "", F.lit("blank"))
+        .when(~_one_value(F.col("_json"), F.col("_text")), F.lit("bad_json"))
+        .when(~F.col("_text").startswith("{"), F.lit("not_object"))
         .otherwise(F.lit("object"))
     )
+    checked = parsed.withColumn("_state", state).withColumn(
+        "_json", F.when(F.col("_state") == "object", F.col("_json"))
+    )
+    return checked.select(*lines.columns, F.inline(F.array(F.struct(_describe().alias("parsed")))))
+
+
+def _with_hash(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
+
+
+def _one_value(json: Column, text: Column) -> Column:
+    in_second_place = F.try_variant_get(json, "$[1]", "bigint") == F.xxhash64(text)
+    nothing_after = F.try_variant_get(json, "$[2]", "variant").isNull()
+    return F.coalesce(in_second_place & nothing_after, F.lit(False))
+
+
+def strict_object(text: Column) -> Column:
+    """The text as the first element of a VARIANT array where it is exactly one JSON object, else NULL."""
+    json = F.try_parse_json(_with_hash(text))
+    return F.when(text.startswith("{") & _one_value(json, text), json)
+
+
+def _describe() -> Column:
+    json = F.col("_json")
 
     def field(name: str, kind: str) -> Column:
         return F.try_variant_get(json, f"$[0].{name}", kind)
@@ -48,18 +61,17 @@ def _describe() -> Column:
     def string(name: str) -> Column:
         return F.when(kind_of(name) == "STRING", field(name, "string"))
 
-    score_kind = kind_of("score")
     return F.struct(
-        state.alias("state"),
-        text.alias("text"),
+        F.col("_state").alias("state"),
+        F.col("_text").alias("text"),
         kind_of("prompt").alias("prompt_kind"),
         kind_of("response").alias("response_kind"),
         string("prompt").alias("prompt"),
         string("response").alias("response"),
         truthy(field("prompt", "variant")).alias("prompt_truthy"),
         truthy(field("response", "variant")).alias("response_truthy"),
-        score_kind.isNotNull().alias("has_score"),
-        F.when(score_kind.rlike(NUMERIC_TYPES), field("score", "double")).alias("score"),
+        kind_of("score").isNotNull().alias("has_score"),
+        number_field(json, "score").alias("score"),
         kind_of("source").isNotNull().alias("has_source"),
         string("source").alias("source"),
     )
@@ -104,11 +116,15 @@ def upload_status() -> Column:
 
 def upload_score() -> Column:
     """The default applies only where the key is absent; an explicit null stays null."""
-    return F.when(~F.col("parsed.has_score"), F.lit(fixed.UPLOAD_SCORE)).otherwise(F.col("parsed.score"))
+    return F.when(is_object() & ~F.col("parsed.has_score"), F.lit(fixed.UPLOAD_SCORE)).otherwise(
+        F.col("parsed.score")
+    )
 
 
 def upload_source() -> Column:
-    return F.when(~F.col("parsed.has_source"), F.lit(fixed.UPLOAD_SOURCE)).otherwise(F.col("parsed.source"))
+    return F.when(is_object() & ~F.col("parsed.has_source"), F.lit(fixed.UPLOAD_SOURCE)).otherwise(
+        F.col("parsed.source")
+    )
 
 
 def score_issue() -> Column:
@@ -133,17 +149,6 @@ def example_id(batch: Column, seq: Column, prompt: Column, response: Column) ->
     return F.sha2(F.concat_ws(":", batch.cast("string"), seq.cast("string"), prompt, response), 256)
 
 
-def strict_object(text: Column) -> Column:
-    """The text as a one-element VARIANT array where it is exactly one JSON object, else NULL."""
-    json = F.try_parse_json(
-        F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
-    )
-    whole = (F.try_variant_get(json, "$[1]", "bigint") == F.xxhash64(text)) & F.try_variant_get(
-        json, "$[2]", "variant"
-    ).isNull()
-    return F.when(text.startswith("{") & whole, json)
-
-
 def number_field(json: Column, name: str) -> Column:
     """A numeric key of :func:`strict_object`; NULL where it is absent or of another type."""
     kind = F.schema_of_variant(F.try_variant_get(json, f"$[0].{name}", "variant"))

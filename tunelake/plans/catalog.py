@@ -209,18 +209,18 @@ results AS (
          'm' || event_id % 3 AS model FROM events
   WHERE event_type = 'view' OR (event_type = 'purchase' AND event_id % 4 = 0)),
 firsts AS (
-  SELECT i.session, i.event_id, min(r.ts) AS at, arg_min(r.outcome, r.ts) AS outcome FROM intents i JOIN results r
+  SELECT i.session, i.event_id, min(r.ts) AS hit, arg_min(r.outcome, r.ts) AS outcome FROM intents i JOIN results r
     ON r.session = i.session AND r.ts > i.ts AND (r.outcome = 'error' OR r.model = i.model) GROUP BY ALL),
 nexts AS (
-  SELECT i.session, i.event_id, min(n.ts) AS at FROM intents i JOIN intents n
+  SELECT i.session, i.event_id, min(n.ts) AS hit FROM intents i JOIN intents n
     ON n.session = i.session AND n.ts > i.ts AND n.model <> n.current_model GROUP BY ALL),
 resolved AS (
   SELECT i.*, CASE WHEN i.model = i.current_model THEN 'applied'
-    WHEN n.at IS NOT NULL AND (f.at IS NULL OR n.at < f.at) THEN 'replaced' WHEN f.at IS NULL THEN 'waiting'
-    WHEN f.outcome = 'ready' THEN 'applied' ELSE 'dropped' END AS outcome, f.at
+    WHEN n.hit IS NOT NULL AND (f.hit IS NULL OR n.hit < f.hit) THEN 'replaced' WHEN f.hit IS NULL THEN 'waiting'
+    WHEN f.outcome = 'ready' THEN 'applied' ELSE 'dropped' END AS outcome, f.hit
   FROM intents i LEFT JOIN firsts f USING (session, event_id) LEFT JOIN nexts n USING (session, event_id))
 SELECT session, event_id, ts, model, adapter, outcome,
-  CASE WHEN model = current_model THEN ts WHEN outcome IN ('applied', 'dropped') THEN at END AS resolved_at
+  CASE WHEN model = current_model THEN ts WHEN outcome IN ('applied', 'dropped') THEN hit END AS resolved_at
 FROM resolved""")
 def pending_intents(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session")

@@ -61,9 +61,7 @@ SELECT sha256(concat_ws(':', '1', seq::VARCHAR, prompt, response)) AS example_id
        CASE WHEN k IN (3, 4, 5, 6, 7, 8, 9, 10, 17, 19) THEN NULL ELSE source END AS source, status, issue
 FROM ingested""")
 def ingest_examples(spark, sf_dir):
-    rows = ingested(spark, sf_dir)
-    whole = ~F.col("status").isin("bad_json", "not_object", "blank")
-    return rows.withColumns({"score": F.when(whole, F.col("score")), "source": F.when(whole, F.col("source"))})
+    return ingested(spark, sf_dir)
 
 
 @query("serialized_lines", f"""WITH {LINES}

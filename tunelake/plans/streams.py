@@ -119,12 +119,12 @@ good AS (
   WINDOW w AS (PARTITION BY host ORDER BY ts)),
 numbered AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY host ORDER BY ts) AS successes FROM polls),
 spells AS (
-  SELECT host, successes, ts AS at FROM numbered WHERE NOT ok
+  SELECT host, successes, ts AS hit FROM numbered WHERE NOT ok
   QUALIFY row_number() OVER (PARTITION BY host, successes ORDER BY ts) = 2)
 SELECT host, ts, CASE status WHEN 'ready' THEN 'loaded' ELSE 'failed' END AS event FROM good
 WHERE prev_status IN ('starting', 'loading') AND status IN ('ready', 'error')
 UNION ALL SELECT host, ts, 'model_changed' FROM good WHERE model IS DISTINCT FROM prev_model
-UNION ALL SELECT host, at, 'offline' FROM spells
+UNION ALL SELECT host, hit, 'offline' FROM spells
 UNION ALL SELECT n.host, n.ts, 'online' FROM numbered n JOIN spells s
   ON n.host = s.host AND n.ok AND n.successes = s.successes + 1""")
 def stream_status(spark, sf_dir):

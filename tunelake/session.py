@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -25,10 +27,12 @@ def build_session(app_name: str = "tunelake", master: str | None = None, **extra
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings a caller's own session needs before any JSON line is parsed.
+    """What a caller's own session needs before the operators run.
 
-    A repeated key in a line keeps its last value instead of failing the line.
+    A repeated key in a JSON line keeps its last value instead of failing the line. The package's few
+    Python functions travel inside the tasks, so that executors need no copy of it.
     """
+    cloudpickle.register_pickle_by_value(sys.modules["tunelake"])
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
