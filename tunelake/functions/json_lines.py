@@ -8,84 +8,80 @@ from pyspark.sql import functions as F
 from tunelake import fixed_values as fixed
 from tunelake.functions.text import strip
 
-NUMERIC_TYPES = r"\A(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)\z"
+FIELDS = ("prompt", "response", "score", "source")
 
 
 def with_parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Adds the struct ``parsed`` describing each line; malformed lines are described, never raised.
 
-    ``parsed.state`` is ``blank``, ``bad_json``, ``not_object`` or ``object``. The line is parsed inside
-    an array together with its own hash, so that anything after the object moves the hash out of
-    second place and is seen. ``inline`` keeps later filters from repeating the parse.
+    ``parsed.state`` is ``blank``, ``bad_json``, ``not_object`` or ``object``. The steps are separate
+    projections so that Spark evaluates the parse and each field once, and ``inline`` keeps later
+    filters from repeating them below.
     """
     text = lines.withColumn("_text", strip(F.coalesce(F.col(column), F.lit(""))))
-    parsed = text.withColumn("_json", F.try_parse_json(_with_hash(F.col("_text"))))
     state = (
         F.when(F.col("_text") == "", F.lit("blank"))
-        .when(~_one_value(F.col("_json"), F.col("_text")), F.lit("bad_json"))
+        .when(~F.col("_one"), F.lit("bad_json"))
         .when(~F.col("_text").startswith("{"), F.lit("not_object"))
         .otherwise(F.lit("object"))
     )
-    checked = parsed.withColumn("_state", state).withColumn(
-        "_json", F.when(F.col("_state") == "object", F.col("_json"))
+    checked = with_json(text, "_text").withColumn("_state", state)
+    fields = checked.withColumns({
+        f"_{name}": F.when(F.col("_state") == "object", F.try_variant_get("_json", f"$[0].{name}", "variant"))
+        for name in FIELDS
+    })
+    kinds = fields.withColumns({f"_{name}_kind": F.schema_of_variant(f"_{name}") for name in FIELDS})
+    strings = kinds.withColumns({
+        f"_{name}_text": F.when(F.col(f"_{name}_kind") == "STRING", F.try_variant_get(f"_{name}", "$", "string"))
+        for name in ("prompt", "response", "source")
+    })
+    parsed = F.struct(
+        F.col("_state").alias("state"),
+        F.col("_text").alias("text"),
+        # The kind is VOID for an explicit null and NULL for an absent key.
+        F.col("_prompt_kind").alias("prompt_kind"),
+        F.col("_response_kind").alias("response_kind"),
+        F.col("_prompt_text").alias("prompt"),
+        F.col("_response_text").alias("response"),
+        _truthy("prompt").alias("prompt_truthy"),
+        _truthy("response").alias("response_truthy"),
+        F.col("_score_kind").isNotNull().alias("has_score"),
+        number("_score", "_score_kind").alias("score"),
+        F.col("_source_kind").isNotNull().alias("has_source"),
+        F.col("_source_text").alias("source"),
     )
-    return checked.select(*lines.columns, F.inline(F.array(F.struct(_describe().alias("parsed")))))
-
-
-def _with_hash(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit(","), F.xxhash64(text).cast("string"), F.lit("]"))
-
-
-def _one_value(json: Column, text: Column) -> Column:
-    in_second_place = F.try_variant_get(json, "$[1]", "bigint") == F.xxhash64(text)
-    nothing_after = F.try_variant_get(json, "$[2]", "variant").isNull()
-    return F.coalesce(in_second_place & nothing_after, F.lit(False))
-
-
-def strict_object(text: Column) -> Column:
-    """The text as the first element of a VARIANT array where it is exactly one JSON object, else NULL."""
-    json = F.try_parse_json(_with_hash(text))
-    return F.when(text.startswith("{") & _one_value(json, text), json)
+    return strings.select(*lines.columns, F.inline(F.array(F.struct(parsed.alias("parsed")))))
 
 
-def _describe() -> Column:
-    json = F.col("_json")
+def with_json(lines: DataFrame, column: str) -> DataFrame:
+    """Adds ``_json``, a VARIANT array whose first element is the text's JSON value, and ``_one``, whether
+    the text is exactly one JSON value.
 
-    def field(name: str, kind: str) -> Column:
-        return F.try_variant_get(json, f"$[0].{name}", kind)
+    The text is parsed together with its own hash: anything after its first value moves the hash out of
+    second place.
+    """
+    text = F.col(column)
+    hashed = lines.withColumn("_hash", F.xxhash64(text))
+    wrapped = F.concat(F.lit("["), text, F.lit(","), F.col("_hash").cast("string"), F.lit("]"))
+    parsed = hashed.withColumn("_json", F.try_parse_json(wrapped))
+    in_second_place = F.try_variant_get("_json", "$[1]", "bigint") == F.col("_hash")
+    nothing_after = F.try_variant_get("_json", "$[2]", "variant").isNull()
+    return parsed.withColumn("_one", F.coalesce(in_second_place & nothing_after, F.lit(False)))
 
-    def kind_of(name: str) -> Column:
-        """Type name of the key's value; ``VOID`` for an explicit null, NULL for an absent key."""
-        return F.schema_of_variant(field(name, "variant"))
 
-    def string(name: str) -> Column:
-        return F.when(kind_of(name) == "STRING", field(name, "string"))
+def number(value: str, kind: str) -> Column:
+    """A JSON number as a double; NULL for any other type, numeric text and booleans included."""
+    return F.when(~F.col(kind).isin("STRING", "BOOLEAN"), F.try_variant_get(value, "$", "double"))
 
-    return F.struct(
-        F.col("_state").alias("state"),
-        F.col("_text").alias("text"),
-        kind_of("prompt").alias("prompt_kind"),
-        kind_of("response").alias("response_kind"),
-        string("prompt").alias("prompt"),
-        string("response").alias("response"),
-        truthy(field("prompt", "variant")).alias("prompt_truthy"),
-        truthy(field("response", "variant")).alias("response_truthy"),
-        kind_of("score").isNotNull().alias("has_score"),
-        number_field(json, "score").alias("score"),
-        kind_of("source").isNotNull().alias("has_source"),
-        string("source").alias("source"),
-    )
 
-
-def truthy(value: Column) -> Column:
-    """Whether a JSON value counts as present: not null, false, zero or the empty string."""
-    kind = F.schema_of_variant(value)
+def _truthy(name: str) -> Column:
+    """Whether a field counts as present: not null, false, zero or the empty string."""
+    kind, value = F.col(f"_{name}_kind"), f"_{name}"
     return (
-        F.when(kind.isNull() | (kind == "VOID"), F.lit(False))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        F.when(kind == "STRING", F.col(f"_{name}_text") != "")
+        .when(kind.isNull() | (kind == "VOID"), F.lit(False))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind.rlike(NUMERIC_TYPES), F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(F.lit(True))
+        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
     )
 
 
@@ -147,9 +143,3 @@ def usable(score: Column, threshold: float = fixed.USABLE_SCORE) -> Column:
 def example_id(batch: Column, seq: Column, prompt: Column, response: Column) -> Column:
     """Stable id of an example: equal lines of different places stay apart, rewrites keep it."""
     return F.sha2(F.concat_ws(":", batch.cast("string"), seq.cast("string"), prompt, response), 256)
-
-
-def number_field(json: Column, name: str) -> Column:
-    """A numeric key of :func:`strict_object`; NULL where it is absent or of another type."""
-    kind = F.schema_of_variant(F.try_variant_get(json, f"$[0].{name}", "variant"))
-    return F.when(kind.rlike(NUMERIC_TYPES), F.try_variant_get(json, f"$[0].{name}", "double"))

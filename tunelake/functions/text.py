@@ -9,8 +9,13 @@ from tunelake import fixed_values as fixed
 
 
 def strip(text: Column) -> Column:
-    """Removes white space (Unicode included) from both ends; only the ends are looked at."""
-    return F.btrim(text, F.lit(fixed.WHITESPACE))
+    """Removes white space (Unicode included) from both ends.
+
+    Text without any at its ends, the usual case, is passed on without the character-wise trim.
+    """
+    spaces = F.lit(fixed.WHITESPACE)
+    padded = F.contains(spaces, F.left(text, F.lit(1))) | F.contains(spaces, F.right(text, F.lit(1)))
+    return F.when(padded, F.btrim(text, spaces)).otherwise(text)
 
 
 def blank_to_null(text: Column) -> Column:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
 from tunelake.functions import params
-from tunelake.operators.ordered import ordered_scan, with_totals
+from tunelake.operators.ordered import with_totals
 
 RANKED_LIMIT = 1_000
 """Largest top-k that is cut by rank before the shuffle (Spark's group limit covers ranks up to this)."""
 
-SCORE_STEPS = 64
-"""Chunks per unit of scaled score where a request's candidates are not cut by rank."""
+BANDS = 64
+"""Bands per unit of scaled score where a request's candidates are not cut by rank."""
 
 
 def decode_params(updates: DataFrame) -> DataFrame:
@@ -50,14 +50,15 @@ def decode_policy(candidates: DataFrame) -> DataFrame:
     Needs request_id, candidate (unique per request), logit, used, is_end, n_generated and the decode
     parameters. After the score adjustments come the top-k cut (0 is off) and the nucleus: the smallest
     set of best candidates whose mass reaches ``top_p``. Requests with a moderate top-k are cut by
-    rank before the shuffle and are small from there on; the others are ranked in score chunks.
+    rank before the shuffle and are small from there on; the others are weighed in score chunks.
     """
     scores = adjusted_scores(candidates)
     ranked_early = F.col("top_k").between(1, RANKED_LIMIT)
     small = _small_requests(scores.where(ranked_early))
-    large = _large_requests(scores.where(~ranked_early))
+    ranked_late = _weighed(scores.where(F.col("top_k") > RANKED_LIMIT)).where("rank <= top_k")
+    uncut = scores.where("top_k <= 0").unionByName(ranked_late.select(*scores.columns))
     columns = ["request_id", "candidate", "rank", "probability", "cumulative"]
-    return small.select(*columns).unionByName(large.select(*columns))
+    return small.select(*columns).unionByName(_large_requests(uncut).select(*columns))
 
 
 def _in_nucleus(mass_before: Column) -> Column:
@@ -81,19 +82,47 @@ def _small_requests(scores: DataFrame) -> DataFrame:
 
 
 def _large_requests(scores: DataFrame) -> DataFrame:
-    falling = scores.withColumn("_fall", -F.col("score"))
-    chunk = F.floor(F.col("_fall") * SCORE_STEPS).cast("bigint")
-    keys, order = ["request_id"], ["_fall", "candidate"]
-    ranked = ordered_scan(
-        falling, keys, order, chunk, running={"rank": F.lit(1)}, totals={"_best": ("min", F.col("_fall"))}
-    ).where("top_k <= 0 OR rank <= top_k")
-    weight = F.exp(F.col("_best") - F.col("_fall"))
-    massed = ordered_scan(
-        ranked.withColumn("_weight", weight), keys, order, chunk,
-        running={"_upto": F.col("_weight")}, totals={"_total": ("sum", F.col("_weight"))},
+    kept = _weighed(scores).where(_in_nucleus((F.col("_upto") - F.col("_weight")) / F.col("_total")))
+    return _shares(with_totals(kept, ["request_id"], ["candidate"], {"_kept": ("sum", F.col("_weight"))}))
+
+
+def _weighed(scores: DataFrame) -> DataFrame:
+    """Rank, softmax weight, mass up to each candidate and total mass, for requests of any size.
+
+    A request is cut into narrow bands of score. Inside a band weights are taken relative to the band's
+    upper edge, so they cannot overflow; over the bands' sums they are brought to the edge of the best
+    band, and what precedes a band joins it as its first row.
+    """
+    banded = scores.withColumn("_band", F.floor(-F.col("score") * BANDS).cast("bigint"))
+    edge = -F.col("_band") / BANDS
+    sums = banded.groupBy("request_id", "_band").agg(
+        F.count("*").alias("_n"), F.sum(F.exp(F.col("score") - edge)).alias("_mass")
+    )
+    whole = Window.partitionBy("request_id")
+    before = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    scaled = sums.withColumn("_best", F.min("_band").over(whole)).withColumn(
+        "_mass", F.col("_mass") * F.exp((F.col("_best") - F.col("_band")) / BANDS)
+    )
+    carries = scaled.select(
+        "request_id", "_band", F.lit(False).alias("_is_row"), "_best",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"),
+        F.coalesce(F.sum("_mass").over(before), F.lit(0.0)).alias("_mass"),
+        F.sum("_mass").over(whole).alias("_total"),
+    )
+    local = Window.partitionBy("request_id", "_band").orderBy("_is_row", F.col("score").desc(), "candidate")
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = banded.withColumn("_is_row", F.lit(True)).unionByName(carries, allowMissingColumns=True)
+    placed = rows.withColumns({
+        "_best": F.first("_best").over(upto),
+        "_total": F.first("_total").over(upto),
+        "rank": F.first("_ahead").over(upto) + F.row_number().over(local) - 1,
+    })
+    weighed = placed.withColumn(
+        "_weight", F.when(F.col("_is_row"), F.exp(F.col("score") + F.col("_best") / BANDS)).otherwise(F.col("_mass"))
+    )
+    return weighed.withColumn("_upto", F.sum("_weight").over(upto)).where("_is_row").select(
+        *scores.columns, "rank", "_weight", "_upto", "_total"
     )
-    kept = massed.where(_in_nucleus((F.col("_upto") - F.col("_weight")) / F.col("_total")))
-    return _shares(with_totals(kept, keys, ["candidate"], {"_kept": ("sum", F.col("_weight"))}))
 
 
 def _shares(kept: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
-from tunelake.functions.json_lines import number_field, strict_object
+from tunelake.functions.json_lines import number, with_json
 from tunelake.functions.text import blank_to_null, strip, valid_adapter_name
 from tunelake.operators.ordered import ordered_scan, position_chunk
 
@@ -20,29 +20,38 @@ def parse_log(logs: DataFrame) -> DataFrame:
     A marked line that cannot be read is kept with no metrics. Keywords count on every line, in order;
     an error prefix counts only where no keyword does.
     """
-    lines = logs.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")
-    body = strip(F.substring(F.col("line"), F.lit(len(fixed.LOG_MARK) + 1), F.char_length("line")))
-    with_json = lines.withColumn(
-        "_json", F.when(F.col("line").startswith(fixed.LOG_MARK), strict_object(body))
+    lines = logs.withColumn("line", strip(F.col("line")))
+    mark = F.lit(len(fixed.LOG_MARK) + 1)
+    marked = lines.withColumn(
+        "_body", F.when(F.col("line").startswith(fixed.LOG_MARK),
+                        strip(F.substring(F.col("line"), mark, F.char_length("line"))))
     )
+    readable = F.col("_one") & F.col("_body").startswith("{")
+    fields = with_json(marked, "_body").withColumns({"_readable": readable} | {
+        f"_{name}": F.when(readable, F.try_variant_get("_json", f"$[0].{name}", "variant"))
+        for name in ("loss", "epoch")
+    })
+    kinds = fields.withColumns({f"_{name}_kind": F.schema_of_variant(f"_{name}") for name in ("loss", "epoch")})
     keyword: Column = F.lit(None).cast("string")
     for text, status in reversed(fixed.LOG_STATUSES):
         keyword = F.when(F.contains(F.col("line"), F.lit(text)), F.lit(status)).otherwise(keyword)
     is_error = F.lit(False)
     for prefix in fixed.LOG_ERROR_PREFIXES:
         is_error = is_error | F.col("line").startswith(prefix)
-    loss, epoch = number_field(F.col("_json"), "loss"), number_field(F.col("_json"), "epoch")
-    fields = F.struct(
-        F.when(F.col("_json").isNotNull(), F.lit("metrics"))
-        .when(keyword.isNotNull(), F.lit("status"))
+    numbers = kinds.withColumns({name: number(f"_{name}", f"_{name}_kind") for name in ("loss", "epoch")})
+    keywords = numbers.withColumn("_keyword", keyword)
+    known = F.col("_keyword").isNotNull()
+    described = F.struct(
+        F.when(F.col("_readable"), F.lit("metrics"))
+        .when(known, F.lit("status"))
         .when(is_error, F.lit("error"))
         .otherwise(F.lit("other")).alias("kind"),
-        loss.alias("loss"),
-        epoch.alias("epoch"),
-        F.coalesce(keyword, F.when(loss.isNotNull(), F.lit("Training..."))).alias("status"),
-        F.when(keyword.isNull() & is_error, F.col("line")).alias("error"),
+        "loss", "epoch",
+        F.coalesce("_keyword", F.when(F.col("loss").isNotNull(), F.lit("Training..."))).alias("status"),
+        F.when(~known & is_error, F.col("line")).alias("error"),
     )
-    return with_json.select(*logs.columns, F.inline(F.array(fields)))
+    # The blank lines go last: a filter on this side of ``inline`` is not evaluated again below it.
+    return keywords.select(*logs.columns, F.inline(F.array(described))).where("line <> ''")
 
 
 def run_metrics(parsed: DataFrame, total_epochs: int = fixed.EPOCHS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
@@ -60,9 +60,9 @@ def load_stage_times(progress: DataFrame, chunk_seconds: int = CHUNK_SECONDS) ->
     return steps.where(F.col("progress").isin(fixed.LOAD_MILESTONES)).withColumn("micros", micros)
 
 
-def _with_next(df: DataFrame, keys: list[str], following: dict, chunk_seconds: int, **more) -> DataFrame:
+def _with_next(df: DataFrame, keys: list[str], following: dict[str, Column], chunk_seconds: int) -> DataFrame:
     return ordered_scan(
-        df, keys, ["ts", "event_id"], time_chunk("ts", chunk_seconds), previous=following, descending=True, **more
+        df, keys, ["ts", "event_id"], time_chunk("ts", chunk_seconds), previous=following, descending=True
     )
 
 
@@ -72,22 +72,11 @@ def debounce(
 ) -> DataFrame:
     """The last value of each burst of changes, applied once nothing more came for the quiet time.
 
-    Needs the key, ts, event_id and value. ``changes`` counts what the burst collapsed.
+    Needs the key, ts, event_id and value.
     """
-    quiet = quiet_millis * 1000
-    steps = _with_next(
-        changes, [key], {"next_ts": F.col("ts")}, chunk_seconds,
-        running={"ahead": F.lit(1)}, totals={"all_changes": ("sum", F.lit(1))},
-    )
+    steps = _with_next(changes, [key], {"next_ts": F.col("ts")}, chunk_seconds)
     pause = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    ends = steps.where(F.col("next_ts").isNull() | (pause >= quiet))
-    ends = ordered_scan(
-        ends, [key], ["ts", "event_id"], time_chunk("ts", chunk_seconds), previous={"before": F.col("ahead")}
-    )
-    return ends.select(
-        key, "ts", "value",
-        (F.coalesce("before", F.col("all_changes") + 1) - F.col("ahead")).alias("changes"),
-    )
+    return steps.where(F.col("next_ts").isNull() | (pause >= quiet_millis * 1000)).select(key, "ts", "value")
 
 
 def pending_intents(

@@ -186,7 +186,7 @@ marked AS (
 bursts AS (
   SELECT *, sum(starts::INTEGER) OVER (PARTITION BY session ORDER BY ts, event_id) AS burst FROM marked),
 debounced AS (
-  SELECT session, max(ts) AS ts, arg_max(value, ts) AS value, count(*) AS changes FROM bursts GROUP BY session, burst)
+  SELECT session, max(ts) AS ts, arg_max(value, ts) AS value FROM bursts GROUP BY session, burst)
 """
 
 
@@ -196,8 +196,7 @@ def changes(spark, sf_dir):
 
 @query("debounce_params", f"WITH {DEBOUNCED} SELECT * FROM debounced")
 def debounce_params(spark, sf_dir):
-    rows = status.debounce(changes(spark, sf_dir), quiet_millis=QUIET_HOURS * 3_600_000)
-    return rows.withColumn("changes", F.col("changes").cast("bigint"))
+    return status.debounce(changes(spark, sf_dir), quiet_millis=QUIET_HOURS * 3_600_000)
 
 
 @query("pending_intents", """

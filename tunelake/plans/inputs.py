@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_source(derived: DataFrame) -> DataFrame:
+    """Makes derived columns behave like stored ones: computed once, not again in every expression above."""
+    return derived.select(F.inline(F.array(F.struct(*derived.columns))))
+
+
 def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line per document: every way a line can be awkward, and good lines of all scores."""
     prompt = F.concat_ws(
@@ -26,9 +31,9 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("seq"), F.col("text").alias("r"), prompt.alias("p"),
         (F.col("doc_id") % 37).alias("k"), "doc_id",
     )
-    both = F.to_json(F.struct(F.col("p").alias("prompt"), F.col("r").alias("response")))
-    opened = F.expr("substring(to_json(named_struct('prompt', p, 'response', r)), 1, "
-                    "char_length(to_json(named_struct('prompt', p, 'response', r))) - 1)")
+    docs = docs.withColumn("both", F.to_json(F.struct(F.col("p").alias("prompt"), F.col("r").alias("response"))))
+    both = F.col("both")
+    opened = F.substring(both, F.lit(1), F.char_length(both) - 1)
     response = F.expr("substring(to_json(named_struct('response', r)), 2)")
     score = (F.col("doc_id") % 11).cast("string")
 
@@ -63,7 +68,7 @@ def example_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 28, F.concat(opened, F.lit(',"source":null,"score":'), score, F.lit("}")))
         .otherwise(F.concat(opened, F.lit(',"score":'), score, F.lit("}")))
     )
-    return docs.select(line.alias("value"), "seq")
+    return as_source(docs.select(line.alias("value"), "seq"))
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +183,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("run-"), "user_id").alias("run_id"), F.col("event_id").alias("seq"), line.alias("line")
-    )
+    ).transform(as_source)
 
 
 def run_exits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,8 @@ def debounce_stream(
     windows = changes.withWatermark("ts", delay).groupBy(
         key, F.session_window("ts", f"{quiet_millis} milliseconds").alias("burst")
     )
-    folded = windows.agg(
-        F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("last"), F.count("*").alias("changes")
-    )
-    return folded.select(key, F.col("last.ts").alias("ts"), F.col("last.value").alias("value"), "changes")
+    last = F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("last")
+    return windows.agg(last).select(key, F.col("last.ts").alias("ts"), F.col("last.value").alias("value"))
 
 
 STATUS_EVENTS = "host string, ts timestamp, event string"
