@@ -135,9 +135,14 @@ def upload_line() -> Column:
     return F.concat(body, F.coalesce(score, F.lit("")), F.coalesce(source, F.lit("")), F.lit("}"))
 
 
+def good_score(score: Column, threshold: float = fixed.USABLE_SCORE) -> Column:
+    """Filter form: a plain comparison reaches the Parquet scan. NaN, which Spark sorts last, is no score."""
+    return (score >= threshold) & ~F.isnan(score)
+
+
 def usable(score: Column, threshold: float = fixed.USABLE_SCORE) -> Column:
-    """A missing or NaN score is never usable (Spark sorts NaN above every number)."""
-    return F.coalesce((score >= threshold) & ~F.isnan(score), F.lit(False))
+    """Column form: a missing score is not usable."""
+    return F.coalesce(good_score(score, threshold), F.lit(False))
 
 
 def example_id(batch: Column, seq: Column, prompt: Column, response: Column) -> Column:

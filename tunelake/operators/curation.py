@@ -36,7 +36,7 @@ def load_training_lines(lines: DataFrame, threshold: float = fixed.USABLE_SCORE)
         jl.with_parsed(lines)
         .where(
             jl.is_object()
-            & jl.usable(F.col("parsed.score"), threshold)
+            & jl.good_score(F.col("parsed.score"), threshold)
             & (F.col("parsed.prompt") != "")
             & (F.col("parsed.response") != "")
         )
@@ -113,7 +113,7 @@ def dataset_summary(examples: DataFrame) -> DataFrame:
 def training_set(examples: DataFrame, threshold: float = fixed.USABLE_SCORE) -> DataFrame:
     """Prompt and response of the examples good enough to train on."""
     return examples.where(
-        jl.usable(F.col("score"), threshold) & (F.col("prompt") != "") & (F.col("response") != "")
+        jl.good_score(F.col("score"), threshold) & (F.col("prompt") != "") & (F.col("response") != "")
     ).select("prompt", "response")
 
 
@@ -131,8 +131,7 @@ def delete_examples(examples: DataFrame, requests: DataFrame) -> DataFrame:
 
     Write the result as a new version; never over the path it is read from.
     """
-    return examples.join(requests.select("example_id", "prompt").distinct(), ["example_id", "prompt"],
-                         "left_anti")
+    return examples.join(requests.select("example_id", "prompt"), ["example_id", "prompt"], "left_anti")
 
 
 def delete_conflicts(examples: DataFrame, requests: DataFrame) -> DataFrame:
