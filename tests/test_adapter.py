@@ -102,3 +102,11 @@ def test_rows_without_label_or_embedding(features, base):
     one = ops.fit_adapter(features, base, epochs=1, steps_per_epoch=2)
     two = ops.fit_adapter(both, base, epochs=1, steps_per_epoch=2)
     assert one.logs[0]["loss"] == pytest.approx(two.logs[0]["loss"])
+    scored = ops.score_features(both, base).select("embedding", "logits", "predicted").collect()
+    assert sum(r["logits"] is None for r in scored) == 5
+    assert all((r["embedding"] is None) == (r["logits"] is None) == (r["predicted"] is None) for r in scored)
+
+
+def test_label_outside_the_base_fails(features, base):
+    with pytest.raises(Exception, match="labels must be 0 to 4"):
+        ops.fit_adapter(features, base[:5], epochs=1, steps_per_epoch=1)

@@ -116,6 +116,9 @@ def test_versions_and_batches(spark, tmp_path, lines):
     jsonl.append_batch(ops.accepted(ops.ingest_examples(lines, 2)), root)
     stored = spark.read.parquet(root)
     assert stored.count() == 2 * examples.count()
+    typed = jsonl.read_examples(spark, root)
+    assert sorted(typed.columns) == sorted(stored.columns) and typed.count() == stored.count()
+    assert jsonl.read_examples(spark, str(tmp_path / "none")).count() == 0
     first = examples.where("seq = 0").select("example_id", "prompt")
     remaining = ops.delete_examples(stored, first)
     jsonl.write_version(remaining, str(tmp_path / "versions"), 1)

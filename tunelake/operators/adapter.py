@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
+from tunelake import schemas
 from tunelake.sources.logs import log_line
 
-ADAPTER_SCHEMA = "model string, name string, epoch int, matrix string, row int, values array<double>"
-
 
 @dataclass
 class Adapter:
@@ -113,6 +112,8 @@ def _gradients(
                 continue
             x = _matrix(batch.column("embedding"))
             labels = batch.column("label").to_numpy()
+            if labels.min() < 0 or labels.max() >= base.shape[0]:
+                raise ValueError(f"labels must be 0 to {base.shape[0] - 1}, the classes of the base")
             dropped = x * _dropout_mask(batch.column("id").to_numpy(), x.shape[1], dropout, seed)
             hidden = dropped @ a.T
             probability = _softmax(x @ base.T + scale * hidden @ b.T)
@@ -191,23 +192,23 @@ def logits(base: np.ndarray, adapter: Adapter | None = None) -> Callable[[Column
     def score(embeddings: pa.Array) -> pa.Array:
         if isinstance(embeddings, pa.ChunkedArray):
             embeddings = embeddings.combine_chunks()
-        if len(embeddings) == 0:
-            return pa.array([], pa.list_(pa.float64()))
-        x = _matrix(embeddings)
+        present = embeddings.is_valid().to_numpy(zero_copy_only=False)
+        if not present.any():
+            return pa.nulls(len(embeddings), pa.list_(pa.float64()))
+        x = _matrix(embeddings.drop_null())
         scores = x @ base.T
         if adapter is not None:
             scores = scores + adapter.scale * (x @ adapter.a.T) @ adapter.b.T
         offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * scores.shape[1])
-        return pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(scores.ravel()))
+        return lists.take(pa.array(np.cumsum(present) - 1, mask=~present))
 
     return score
 
 
 def score_features(features: DataFrame, base: np.ndarray, adapter: Adapter | None = None) -> DataFrame:
-    """Adds ``logits`` and the predicted class; rows without an embedding are left out."""
-    scored = features.where("embedding IS NOT NULL").withColumn(
-        "logits", logits(base, adapter)(F.col("embedding"))
-    )
+    """Adds ``logits`` and the predicted class, both NULL where there is no embedding."""
+    scored = features.withColumn("logits", logits(base, adapter)(F.col("embedding")))
     best = F.array_position("logits", F.array_max("logits")) - 1
     return scored.withColumn("predicted", best.cast("int"))
 
@@ -219,7 +220,7 @@ def adapter_rows(spark: SparkSession, model: str, name: str, epoch: int, adapter
         for matrix, weights in (("A", adapter.a), ("B", adapter.b))
         for i, values in enumerate(weights)
     ]
-    return spark.createDataFrame(rows, ADAPTER_SCHEMA)
+    return spark.createDataFrame(rows, schemas.ADAPTER)
 
 
 def save_fit(spark: SparkSession, fit: Fit, root: str, model: str, name: str) -> None:

@@ -33,6 +33,16 @@ def adapter_catalog(paths: DataFrame, loaded: DataFrame) -> DataFrame:
     return adapters.join(models, "folder").select("model", "adapter")
 
 
+def adapter_selection(picks: DataFrame, adapters: DataFrame) -> DataFrame:
+    """The adapter offered per pick (model, picked): the picked one if the model has it, else its first
+    by name, else none."""
+    first = adapters.groupBy("model").agg(F.min("adapter").alias("_first"))
+    held = adapters.select("model", F.col("adapter").alias("picked"), F.lit(True).alias("_held")).distinct()
+    offered = F.coalesce(F.when(F.col("_held"), F.col("picked")), F.col("_first"), F.lit(""))
+    joined = picks.join(held, ["model", "picked"], "left").join(first, "model", "left")
+    return joined.withColumn("selected", offered).drop("_held", "_first")
+
+
 def adapter_names(names: DataFrame, default: str) -> DataFrame:
     """Whether each name is valid, the name a run would train under and the one shown after loading."""
     given = F.nullif("name", F.lit(""))

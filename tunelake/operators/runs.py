@@ -91,8 +91,13 @@ def perplexity(loss: Column) -> Column:
     return F.pow(F.lit(fixed.PERPLEXITY_BASE), loss)
 
 
-def run_status(metrics: DataFrame, exits: DataFrame) -> DataFrame:
-    """Metrics with the final status of the runs that have ended. Both sides have one row per run."""
+def run_status(metrics: DataFrame, exits: DataFrame, started: DataFrame | None = None) -> DataFrame:
+    """Metrics with the final status of the runs that have ended. Every side has one row per run.
+
+    ``started`` (run_id, model, adapter) adds what each run trains.
+    """
+    if started is not None:
+        metrics = metrics.join(started.select("run_id", "model", "adapter"), "run_id", "left")
     ended, clean = F.col("exit_code").isNotNull(), F.col("exit_code") == 0
     code_error = F.format_string("Training process exited with code %d", F.col("exit_code"))
     return metrics.join(exits, "run_id", "left").withColumns({

@@ -70,7 +70,7 @@ def vocabulary_encoder(vocabulary_rows: DataFrame) -> Callable[[Column], Column]
 
 
 def callable_encoder(load_tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:
-    """Text to ids by a caller's batch tokenizer, loaded once per Python worker."""
+    """Text to ids by a caller's batch tokenizer, loaded once per task."""
     loaded: list[Callable[[list[str]], list[list[int]]]] = []
 
     @F.arrow_udf("array<int>")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tunelake import fixed_values as fixed
 from tunelake.operators.ordered import ordered_scan, time_chunk
 
-CHUNK_SECONDS = 6 * 3600
-"""Time span of one chunk: at one poll per second, 21,600 rows of a key."""
+CHUNK_SECONDS = 600
+"""Time span of one chunk. A key that sends 10,000 events a second for a month is cut into some 4,300
+chunks of six million rows; a host polled each second has 600 rows in a chunk."""
 
 
 def status_transitions(statuses: DataFrame, key: str = "host", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:

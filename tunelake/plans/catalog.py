@@ -55,6 +55,25 @@ def adapter_catalog(spark, sf_dir):
     return ops.adapter_catalog(adapter_paths(spark, sf_dir), loaded)
 
 
+@query("adapter_selection", """
+WITH adapters AS (
+  SELECT 'org' || c_nationkey || '/repo' || c_custkey % 4 AS model, lower(c_mktsegment) || '_' || c_custkey AS adapter
+  FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_custkey % 4 = n_nationkey % 4),
+picks AS (
+  SELECT c_custkey, 'org' || c_nationkey || '/repo' || c_nationkey % 4 AS model,
+         lower(c_mktsegment) || '_' || c_custkey AS picked FROM customer),
+firsts AS (SELECT model, min(adapter) AS first FROM adapters GROUP BY model)
+SELECT c_custkey, model, picked, CASE WHEN EXISTS (
+    SELECT 1 FROM adapters a WHERE a.model = picks.model AND a.adapter = picked) THEN picked
+  ELSE coalesce(first, '') END AS selected FROM picks LEFT JOIN firsts USING (model)""")
+def adapter_selection(spark, sf_dir):
+    picks = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit("org"), "c_nationkey", F.lit("/repo"), F.col("c_nationkey") % 4).alias("model"),
+        F.concat(F.lower("c_mktsegment"), F.lit("_"), "c_custkey").alias("picked"),
+    )
+    return ops.adapter_selection(picks, adapter_catalog(spark, sf_dir))
+
+
 @query("adapter_names", """
 WITH names AS (
   SELECT p_partkey AS key, CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '_') WHEN 1 THEN ''

@@ -45,12 +45,18 @@ exits AS (SELECT DISTINCT 'run-' || user_id AS run_id, (user_id % 3 * 7)::INTEGE
 SELECT run_id, exit_code, loss, step,
   CASE WHEN exit_code = 0 THEN 'Complete' WHEN exit_code > 0 THEN 'Failed' ELSE status END AS status,
   CASE WHEN exit_code = 0 THEN 100 ELSE progress END AS progress,
-  CASE WHEN exit_code > 0 AND error = '' THEN 'Training process exited with code ' || exit_code ELSE error END AS error
+  CASE WHEN exit_code > 0 AND error = '' THEN 'Training process exited with code ' || exit_code ELSE error END AS error,
+  CASE WHEN run_id LIKE '%5' THEN NULL ELSE 'org/' || run_id END AS model,
+  CASE WHEN run_id LIKE '%5' THEN NULL ELSE 'adapter' END AS adapter
 FROM metrics LEFT JOIN exits USING (run_id)""")
 def run_status(spark, sf_dir):
-    rows = ops.run_status(ops.run_metrics(parsed(spark, sf_dir)), run_exits(spark, sf_dir))
+    metrics = ops.run_metrics(parsed(spark, sf_dir))
+    started = metrics.where(~F.col("run_id").endswith("5")).select(
+        "run_id", F.concat(F.lit("org/"), "run_id").alias("model"), F.lit("adapter").alias("adapter")
+    )
+    rows = ops.run_status(metrics, run_exits(spark, sf_dir), started)
     return rounded(rows, "loss", "progress").select(
-        "run_id", "exit_code", "loss", "step", "status", "progress", "error"
+        "run_id", "exit_code", "loss", "step", "status", "progress", "error", "model", "adapter"
     )
 
 

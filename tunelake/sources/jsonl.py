@@ -5,13 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RAW_LINE = T.StructType([
-    T.StructField("value", T.StringType()),
-    T.StructField("file", T.StringType()),
-    T.StructField("seq", T.LongType()),
-])
+from tunelake import schemas
 
 IMPORT_GLOB = "*.{jsonl,json,txt}"
 
@@ -28,7 +23,7 @@ def read_lines(spark: SparkSession, path: str, glob: str = IMPORT_GLOB) -> DataF
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], RAW_LINE)
+        return spark.createDataFrame([], schemas.RAW_LINE)
     return lines.select(
         "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq")
     )
@@ -60,6 +55,16 @@ def append_batch(examples: DataFrame, root: str) -> None:
     )
 
 
+def read_examples(spark: SparkSession, root: str) -> DataFrame:
+    """The appended examples; none yet is an empty table of the same shape."""
+    try:
+        return spark.read.schema(schemas.EXAMPLE).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schemas.EXAMPLE)
+
+
 def write_version(examples: DataFrame, root: str, version: int) -> None:
     """Writes a whole dataset version beside the earlier ones; a version is never changed."""
     examples.write.mode("errorifexists").parquet(f"{root}/v={version}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
+from tunelake import schemas
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +18,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def stream_logs(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stored log rows (run_id, seq, line) as they arrive, a bounded number of files per micro-batch."""
+    return spark.readStream.schema(schemas.LOG_LINE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def log_line(fields: Column) -> Column:
     """A struct of metrics as one marked log line."""
     return F.concat(F.lit(fixed.LOG_MARK), F.to_json(fields))
