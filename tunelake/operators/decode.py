@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tunelake import fixed_values as fixed
 from tunelake.functions import params
 from tunelake.operators.ordered import with_totals
+from tunelake.session import settle
 
 RANKED_LIMIT = 1_000
 """Largest top-k that is cut by rank before the shuffle (Spark's group limit covers ranks up to this)."""
@@ -82,7 +83,9 @@ def _small_requests(scores: DataFrame) -> DataFrame:
 
 
 def _large_requests(scores: DataFrame) -> DataFrame:
+    """The nucleus is stored before its mass is summed: both the sums and the rows need it."""
     kept = _weighed(scores).where(_in_nucleus((F.col("_upto") - F.col("_weight")) / F.col("_total")))
+    kept = settle(kept.drop("score", "top_k", "top_p", "_total"))
     return _shares(with_totals(kept, ["request_id"], ["candidate"], {"_kept": ("sum", F.col("_weight"))}))
 
 

@@ -6,7 +6,7 @@ import sys
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "tunelake", master: str | None = None, **extra: str) -> SparkSession:
@@ -51,3 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tunelake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Stores an intermediate result in the shared folder, where several later steps read it.
+
+    Used where a plan would otherwise compute a costly part once per use. The stored rows outlive lost
+    executors.
+    """
+    folder = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
