@@ -18,11 +18,12 @@ def rows(spark):
 
 
 @pytest.mark.parametrize("length", [1, 5, 64, 100_000])
-@pytest.mark.parametrize("descending", [False, True])
-def test_scan_equals_window(rows, length, descending):
+@pytest.mark.parametrize("descending, share_shuffle", [(False, False), (True, False), (False, True), (True, True)])
+def test_scan_equals_window(rows, length, descending, share_shuffle):
     value = F.col("value")
     scanned = ordered_scan(
         rows, ["key"], ["pos"], position_chunk("pos", length), descending=descending,
+        share_shuffle=share_shuffle,
         running={"total": F.coalesce(value, F.lit(0)), "i": F.lit(1)}, previous={"before": value, "at": F.col("pos")},
         last_known={"known": value}, totals={"n": ("sum", F.lit(1)), "low": ("min", value), "high": ("max", value)},
     )

@@ -71,3 +71,12 @@ def test_moderate_top_k_is_cut_before_the_shuffle(spark, sf_dir):
 def test_pairs_of_messages_use_chunks(spark, sf_dir):
     text = plan(conversation_pairs(messages(spark, sf_dir)))
     assert re.search(r"hashpartitioning\(conv_id#\d+L, _chunk#\d+L", text)
+
+
+def test_pairs_read_and_shuffle_their_texts_once(spark, sf_dir):
+    frame = conversation_pairs(messages(spark, sf_dir))
+    frame.collect()
+    final = plan(frame).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange (") >= 1
+    reads = [name for name in re.findall(r"\+- (Scan parquet|ReusedExchange)", final)]
+    assert reads.count("Scan parquet") == 1

@@ -21,8 +21,8 @@ HISTORY_BLOCK = 512
 def conversation_pairs(messages: DataFrame) -> DataFrame:
     """Each assistant reply with the user message right before it."""
     before = ordered_scan(
-        messages, ["conv_id"], ["turn"], position_chunk("turn"),
-        previous={"prompt": F.col("content"), "prompt_role": F.col("role")},
+        messages.select("conv_id", "turn", "role", "content"), ["conv_id"], ["turn"], position_chunk("turn"),
+        previous={"prompt": F.col("content"), "prompt_role": F.col("role")}, share_shuffle=True,
     )
     return before.where("role = 'assistant' AND prompt_role = 'user'").select(
         "conv_id", "turn", "prompt", F.col("content").alias("response")
@@ -39,15 +39,11 @@ def history_blocks(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame
     A block covers a fixed range of turn numbers, so its array is bounded however long the
     conversation is. ``n_before`` counts the kept turns of all earlier blocks.
     """
-    blocks = _blocks(messages, block).groupBy("conv_id", "block").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("turn", "role", "content")))).alias("turns"),
+    kept = F.when(F.col("kept"), F.struct("turn", "role", "content"))
+    return _with_counts_before(_blocks(messages, block)).groupBy("conv_id", "block").agg(
+        F.max("n_before").alias("n_before"),
         F.count_if("kept").alias("n"),
-    )
-    scanned = ordered_scan(
-        blocks, ["conv_id"], ["block"], position_chunk("block", 128), running={"upto": F.col("n")}
-    )
-    return scanned.select(
-        "conv_id", "block", (F.col("upto") - F.col("n")).alias("n_before"), "n", "turns"
+        F.array_sort(F.collect_list(kept)).alias("turns"),
     )
 
 
@@ -58,22 +54,12 @@ def chat_history(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame:
     blocks before it, which :func:`history_blocks` holds once for all requests. Conversations within one
     block, the usual case, have ``n_before = 0`` and everything in ``history``.
     """
-    blocks = (
-        _blocks(messages, block)
-        .groupBy("conv_id", "block")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("turn", "role", "content", "kept", "text"))).alias("turns"),
-            F.count_if("kept").alias("n"),
-        )
-    )
-    scanned = ordered_scan(
-        blocks, ["conv_id"], ["block"], position_chunk("block", 128), running={"upto": F.col("n")}
+    said = F.when(F.col("turn").isNotNull(), F.struct("turn", "role", "content", "kept", "text"))
+    blocks = _with_counts_before(_blocks(messages, block)).groupBy("conv_id", "block").agg(
+        F.max("n_before").alias("n_before"), F.array_sort(F.collect_list(said)).alias("turns")
     )
     asked = F.filter("turns", lambda t: t["role"] == "user")
-    requests = scanned.select(
-        "conv_id", "block", (F.col("upto") - F.col("n")).alias("n_before"), "turns",
-        F.explode(asked).alias("asked"),
-    )
+    requests = blocks.select("conv_id", "n_before", "turns", F.explode(asked).alias("asked"))
     earlier = F.filter("turns", lambda t: t["kept"] & (t["turn"] < F.col("asked.turn")))
     return requests.select(
         "conv_id",
@@ -96,6 +82,19 @@ def _blocks(messages: DataFrame, block: int) -> DataFrame:
     ).withColumn("kept", chat.kept_turn(F.col("role"), F.col("content")))
 
 
+def _with_counts_before(blocks: DataFrame) -> DataFrame:
+    """Adds a row per block that holds the kept turns of all earlier blocks, to be grouped with the rest.
+
+    Only the counts are scanned in order; the texts are shuffled once, when their block is put together.
+    """
+    counts = blocks.groupBy("conv_id", "block").agg(F.count_if("kept").alias("n"))
+    scanned = ordered_scan(
+        counts, ["conv_id"], ["block"], position_chunk("block", 4_096), running={"upto": F.col("n")}
+    )
+    before = scanned.select("conv_id", "block", (F.col("upto") - F.col("n")).alias("n_before"))
+    return blocks.unionByName(before, allowMissingColumns=True)
+
+
 def regenerate_requests(messages: DataFrame) -> DataFrame:
     """Requests to answer a conversation's last prompt again.
 
@@ -105,7 +104,8 @@ def regenerate_requests(messages: DataFrame) -> DataFrame:
     spoken = F.when(F.col("role") == "assistant", answer(F.col("content"))).otherwise(F.col("content"))
     kept = chat.kept_turn(F.col("role"), spoken).cast("bigint")
     scanned = ordered_scan(
-        messages.withColumn("_kept", kept), ["conv_id"], ["turn"], position_chunk("turn"),
+        messages.select("conv_id", "turn", "role", "content", kept.alias("_kept")), ["conv_id"], ["turn"],
+        position_chunk("turn"), share_shuffle=True,
         running={"upto": F.col("_kept")},
         previous={"message": F.col("content"), "asked_role": F.col("role"), "asked_turn": F.col("turn"),
                   "asked_kept": F.col("_kept")},

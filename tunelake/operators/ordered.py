@@ -43,6 +43,7 @@ def ordered_scan(
     last_known: dict[str, Column] | None = None,
     totals: dict[str, tuple[str, Column]] | None = None,
     descending: bool = False,
+    share_shuffle: bool = False,
 ) -> DataFrame:
     """Adds order-dependent columns to ``df`` without holding a key in one task.
 
@@ -53,6 +54,10 @@ def ordered_scan(
 
     ``order`` must be unique per key and ``chunk`` must not decrease along it. With ``descending`` the
     key is read from its last row to its first, so "previous" means the following row.
+
+    The summaries normally come from a second, narrow read that is folded before its shuffle. With
+    ``share_shuffle`` rows and summaries read one shuffle of the rows instead: for wide inputs whose
+    carried values need the wide columns too.
     """
     running, previous = running or {}, previous or {}
     last_known, totals = last_known or {}, totals or {}
@@ -62,8 +67,11 @@ def ordered_scan(
     def directed(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    rows = df.withColumns(
-        {"_chunk": chunk, "_is_row": F.lit(True)}
+    chunked = df.withColumn("_chunk", chunk)
+    if share_shuffle:
+        chunked = chunked.repartition(*keys, "_chunk")
+    rows = chunked.withColumns(
+        {"_is_row": F.lit(True)}
         | {f"_run_{name}": column for name, column in running.items()}
         | {f"_known_{name}": F.when(column.isNotNull(), F.struct(column.alias("v")))
            for name, column in last_known.items()}
@@ -94,6 +102,9 @@ def ordered_scan(
                 for name, (kind, _) in totals.items()]
     carries = summaries.select(*keys, "_chunk", F.lit(False).alias("_is_row"), *carried)
 
+    if share_shuffle:
+        carries = carries.repartition(*keys, "_chunk")
+
     local = Window.partitionBy(*keys, "_chunk").orderBy("_is_row", *[directed(name) for name in order])
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = local.rowsBetween(Window.unboundedPreceding, -1)
