@@ -78,8 +78,9 @@ def test_apply_and_remove(features, base, fit):
 
 def test_save_and_load(spark, tmp_path, fit):
     root = str(tmp_path / "adapters")
-    ops.save_fit(spark, fit, root, "org--base", "mine")
-    ops.save_fit(spark, fit, root, "org--base", "other")
+    for name in ("mine", "other"):
+        for epoch, adapter in enumerate(fit.epochs, start=1):
+            ops.save_adapter(spark, root, "org--base", name, epoch, adapter)
     loaded = ops.load_adapter(spark, root, "org--base", "mine")
     assert (loaded.a == fit.adapter.a).all() and (loaded.b == fit.adapter.b).all()
     first = ops.load_adapter(spark, root, "org--base", "mine", epoch=1)

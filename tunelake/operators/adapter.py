@@ -63,13 +63,15 @@ def fit_adapter(
     features: DataFrame, base: np.ndarray, *, rank: int = fixed.ADAPTER_RANK, epochs: int = fixed.EPOCHS,
     steps_per_epoch: int = 4, learning_rate: float = fixed.LEARNING_RATE, dropout: float = fixed.ADAPTER_DROPOUT,
     seed: int = 0, on_log: Callable[[dict], None] | None = None,
+    on_epoch: Callable[[int, Adapter], None] | None = None,
 ) -> Fit:
     """Fits an adapter data-parallel: each step is one job over the step's share of the rows.
 
     Needs id, embedding and label. Tasks turn Arrow batches into gradients of the two small matrices;
     the sums are aggregated on the cluster and ``rank * (inputs + classes)`` numbers reach the driver,
     which makes the (Adam) update. Rows are clustered by step once, so that a step reads its own share
-    of the stored columns only.
+    of the stored columns only. ``on_log`` gets each step's metrics, ``on_epoch`` the adapter after each
+    epoch, to be saved before the next one starts.
     """
     n_classes, n_inputs = base.shape
     fit = Fit(new_adapter(n_inputs, n_classes, rank, seed))
@@ -95,6 +97,8 @@ def fit_adapter(
                 if on_log:
                     on_log(log)
             fit.epochs.append(Adapter(fit.adapter.a.copy(), fit.adapter.b.copy(), fit.adapter.alpha))
+            if on_epoch:
+                on_epoch(epoch + 1, fit.epochs[-1])
     finally:
         rows.unpersist()
     return fit
@@ -223,17 +227,17 @@ def adapter_rows(spark: SparkSession, model: str, name: str, epoch: int, adapter
     return spark.createDataFrame(rows, schemas.ADAPTER)
 
 
-def save_fit(spark: SparkSession, fit: Fit, root: str, model: str, name: str) -> None:
-    """Writes the adapter of every epoch, partitioned so that one adapter is read by pruning."""
-    for epoch, adapter in enumerate(fit.epochs, start=1):
-        (
-            adapter_rows(spark, model, name, epoch, adapter)
-            .coalesce(1)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("model", "name", "epoch")
-            .parquet(root)
-        )
+def save_adapter(spark: SparkSession, root: str, model: str, name: str, epoch: int, adapter: Adapter) -> None:
+    """Writes the adapter of one epoch, partitioned so that one adapter is read by pruning. Saving it
+    again replaces it."""
+    (
+        adapter_rows(spark, model, name, epoch, adapter)
+        .coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("model", "name", "epoch")
+        .parquet(root)
+    )
 
 
 def load_adapter(

@@ -111,11 +111,15 @@ def run_status(metrics: DataFrame, exits: DataFrame, started: DataFrame | None =
 def loss_points(parsed: DataFrame) -> DataFrame:
     """The losses of each run in log order, numbered from 1."""
     return ordered_scan(
-        parsed.where("loss IS NOT NULL").select("run_id", "seq", "loss"), ["run_id"], ["seq"],
-        position_chunk("seq"), running={"i": F.lit(1)},
+        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), share_shuffle=True,
+        running={"i": F.col("loss").isNotNull().cast("bigint")},
     )
 
 
+def _losses(parsed: DataFrame) -> DataFrame:
+    return parsed.where("loss IS NOT NULL").select("run_id", "seq", "loss")
+
+
 def loss_history(parsed: DataFrame, block: int = CURVE_BLOCK) -> DataFrame:
     """The losses of each run as ordered arrays of ``block`` values; a short run is one array."""
     points = loss_points(parsed).withColumn("block", F.floor((F.col("i") - 1) / block))
@@ -140,8 +144,8 @@ def loss_curve_points(parsed: DataFrame) -> DataFrame:
     """Each curve scaled to the unit square; whoever draws it adds size and padding."""
     loss = F.col("loss")
     points = ordered_scan(
-        parsed.where("loss IS NOT NULL").select("run_id", "seq", "loss"), ["run_id"], ["seq"],
-        position_chunk("seq"), running={"i": F.lit(1)},
+        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), share_shuffle=True,
+        running={"i": F.lit(1)},
         totals={"n": ("sum", F.lit(1)), "low": ("min", loss), "high": ("max", loss)},
     ).where("n >= 2")
     return points.select(

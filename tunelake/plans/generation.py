@@ -108,9 +108,11 @@ def adapter_fit(spark, sf_dir):
     """Fit, save per epoch, and fold the run's own log to its metrics."""
     rows = features(spark, sf_dir)
     base = adapters.class_centroids(rows, INPUTS, CLASSES)
-    fit = adapters.fit_adapter(rows, base, steps_per_epoch=4)
     root = f"{shared_dir(spark)}/adapters-{uuid.uuid4().hex}"
-    adapters.save_fit(spark, fit, root, "org--base", "fitted")
+    fit = adapters.fit_adapter(
+        rows, base, steps_per_epoch=4,
+        on_epoch=lambda epoch, adapter: adapters.save_adapter(spark, root, "org--base", "fitted", epoch, adapter),
+    )
     logs = adapters.fit_log_lines(spark, fit, "fitted")
     saved = spark.read.parquet(root).groupBy().agg(F.count("*").alias("matrix_rows"), F.max("epoch").alias("epochs"))
     metrics = runs.run_metrics(runs.parse_log(logs))
