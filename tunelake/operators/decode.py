@@ -10,8 +10,8 @@ from tunelake.functions import params
 from tunelake.operators.ordered import with_totals
 from tunelake.session import settle
 
-RANKED_LIMIT = 1_000
-"""Largest top-k that is cut by rank before the shuffle (Spark's group limit covers ranks up to this)."""
+RANKED_LIMIT = fixed.DECODE_PARAMS["top_k"][2]
+"""Largest top-k that is cut by rank before the shuffle: the upper bound of the parameter."""
 
 BANDS = 64
 """Bands per unit of scaled score where a request's candidates are not cut by rank."""

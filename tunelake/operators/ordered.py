@@ -128,7 +128,7 @@ def ordered_scan(
 
 def with_totals(
     df: DataFrame, keys: Sequence[str], spread: Sequence[str], totals: dict[str, tuple[str, Column]],
-    parts: int = 64,
+    parts: int = 256,
 ) -> DataFrame:
     """Attaches whole-key aggregates to every row, with each key spread over ``parts`` chunks.
 

@@ -30,8 +30,9 @@ def training_text(pairs: DataFrame) -> DataFrame:
 def vocabulary(texts: DataFrame, column: str = "full_text", size: int = MAX_VOCABULARY) -> DataFrame:
     """The ``size`` most frequent tokens with their ids (ties by token).
 
-    Counts are folded before the shuffle, and only the ``size`` best reach the ranking, so neither a
-    very common token nor a long tail lands in one task.
+    Token counts are folded before the shuffle. How many tokens have each count tells from which count
+    on tokens can be among the best, so the long tail is dropped before the ranking. There are few
+    distinct counts: ``d`` of them need at least ``d * (d + 1) / 2`` tokens of text.
     """
     counts = (
         texts.select(F.explode(sequence.tokens(F.col(column))).alias("token"))
@@ -39,7 +40,14 @@ def vocabulary(texts: DataFrame, column: str = "full_text", size: int = MAX_VOCA
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
     )
-    best = counts.orderBy(F.col("uses").desc(), "token").limit(size)
+    more_used = Window.orderBy(F.col("uses").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lowest = (
+        counts.groupBy("uses").agg(F.count("*").alias("tokens"))
+        .withColumn("_before", F.coalesce(F.sum("tokens").over(more_used), F.lit(0)))
+        .where(F.col("_before") < size)
+        .agg(F.min("uses").alias("lowest"))
+    )
+    best = counts.where(F.col("uses") >= lowest.scalar()).orderBy(F.col("uses").desc(), "token").limit(size)
     rank = F.row_number().over(Window.orderBy(F.col("uses").desc(), "token"))
     return best.select("token", "uses", (rank + (FIRST_ID - 1)).cast("int").alias("token_id"))
 
