@@ -44,19 +44,44 @@ def new_adapter(n_inputs: int, n_classes: int, rank: int = fixed.ADAPTER_RANK, s
 def class_centroids(features: DataFrame, n_inputs: int, n_classes: int) -> np.ndarray:
     """A base classifier: the mean embedding of each class, ``n_classes`` x ``n_inputs`` numbers.
 
-    Labels are 0 to ``n_classes - 1``; the collected table is bounded by the two sizes.
+    Labels are 0 to ``n_classes - 1``; classes without rows stay zero.
     """
-    means = (
-        features.where(F.col("label").between(0, n_classes - 1))
-        .select("label", F.posexplode("embedding").alias("pos", "x"))
-        .where(F.col("pos") < n_inputs)
-        .groupBy("label", "pos")
-        .agg(F.avg(F.col("x").cast("double")).alias("mean"))
-        .toPandas()
+
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        labels = batch.column("label").to_numpy()
+        sums = total.reshape(n_classes, n_inputs + 1)
+        np.add.at(sums[:, :n_inputs], labels, _matrix(batch.column("embedding")))
+        np.add.at(sums[:, n_inputs], labels, 1.0)
+
+    rows = _complete(features).where(F.col("label").between(0, n_classes - 1)).select("embedding", "label")
+    sums = _summed(rows, n_classes * (n_inputs + 1), add).reshape(n_classes, n_inputs + 1)
+    return sums[:, :n_inputs] / np.maximum(sums[:, n_inputs:], 1.0)
+
+
+def _complete(features: DataFrame) -> DataFrame:
+    return features.withColumn("label", F.col("label").cast("int")).where(
+        "embedding IS NOT NULL AND label IS NOT NULL"
     )
-    weights = np.zeros((n_classes, n_inputs))
-    weights[means["label"], means["pos"]] = means["mean"]
-    return weights
+
+
+def _summed(rows: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
+    """A vector of ``size`` sums over all rows: each task adds up its Arrow batches, the tasks' vectors are
+    summed on the cluster, and only the result is collected."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                add(total, batch)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["pos", "value"]
+        )
+
+    totals = np.zeros(size)
+    partial = rows.mapInArrow(sums, "pos int, value double")
+    for pos, value in partial.groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        totals[pos] = value
+    return totals
 
 
 def fit_adapter(
@@ -78,9 +103,8 @@ def fit_adapter(
     update = _Adam(learning_rate)
     step_of = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(steps_per_epoch)).cast("int")
     rows = (
-        features.select("id", "embedding", F.col("label").cast("int").alias("label"))
-        .where("embedding IS NOT NULL AND label IS NOT NULL")
-        .withColumn("step", step_of)
+        _complete(features)
+        .select("id", "embedding", "label", step_of.alias("step"))
         .sortWithinPartitions("step")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -109,33 +133,23 @@ def _gradients(
 ) -> tuple[float, np.ndarray, np.ndarray]:
     a, b, scale = adapter.a, adapter.b, adapter.scale
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 + a.size + b.size)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = _matrix(batch.column("embedding"))
-            labels = batch.column("label").to_numpy()
-            if labels.min() < 0 or labels.max() >= base.shape[0]:
-                raise ValueError(f"labels must be 0 to {base.shape[0] - 1}, the classes of the base")
-            dropped = x * _dropout_mask(batch.column("id").to_numpy(), x.shape[1], dropout, seed)
-            hidden = dropped @ a.T
-            probability = _softmax(x @ base.T + scale * hidden @ b.T)
-            picked = probability[np.arange(len(labels)), labels]
-            error = probability.copy()
-            error[np.arange(len(labels)), labels] -= 1.0
-            total[0] += len(labels)
-            total[1] -= np.log(np.maximum(picked, 1e-12)).sum()
-            total[2:2 + a.size] += (scale * (error @ b).T @ dropped).ravel()
-            total[2 + a.size:] += (scale * error.T @ hidden).ravel()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["pos", "value"]
-        )
-
-    summed = rows.select("id", "embedding", "label").mapInArrow(sums, "pos int, value double")
-    totals = np.zeros(2 + a.size + b.size)
-    for pos, value in summed.groupBy("pos").agg(F.sum("value").alias("value")).collect():
-        totals[pos] = value
+    def add(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        x = _matrix(batch.column("embedding"))
+        labels = batch.column("label").to_numpy()
+        if labels.min() < 0 or labels.max() >= base.shape[0]:
+            raise ValueError(f"labels must be 0 to {base.shape[0] - 1}, the classes of the base")
+        dropped = x * _dropout_mask(batch.column("id").to_numpy(), x.shape[1], dropout, seed)
+        hidden = dropped @ a.T
+        probability = _softmax(x @ base.T + scale * hidden @ b.T)
+        picked = probability[np.arange(len(labels)), labels]
+        error = probability.copy()
+        error[np.arange(len(labels)), labels] -= 1.0
+        total[0] += len(labels)
+        total[1] -= np.log(np.maximum(picked, 1e-12)).sum()
+        total[2:2 + a.size] += (scale * (error @ b).T @ dropped).ravel()
+        total[2 + a.size:] += (scale * error.T @ hidden).ravel()
+
+    totals = _summed(rows.select("id", "embedding", "label"), 2 + a.size + b.size, add)
     n_rows = max(totals[0], 1.0)
     return (
         float(totals[1] / n_rows),

@@ -157,7 +157,11 @@ def build_messages(requests: DataFrame) -> DataFrame:
 
 
 def render_prompts(requests: DataFrame) -> DataFrame:
-    """Adds the text given to the generator; ``template`` false means the bare message."""
+    """Adds the text given to the generator; ``template`` false means the bare message.
+
+    ``history`` is rendered as it comes: for the rare request with ``n_before`` above zero, put the turns
+    of its conversation's earlier blocks before it first.
+    """
     return build_messages(requests).withColumn(
         "prompt", chat.rendered_request(F.col("template"), F.col("messages"), F.col("message"))
     )

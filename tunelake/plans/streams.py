@@ -29,7 +29,8 @@ class _StreamReader:
     def parquet(self, path: str) -> DataFrame:
         folder, name = path.rsplit("/", 1)
         schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+        return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def finish(writer) -> None:

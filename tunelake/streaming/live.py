@@ -46,7 +46,8 @@ def status_stream(polls: DataFrame) -> DataFrame:
     """Events of each host as its polls arrive: ``loaded``, ``failed``, ``model_changed``, ``offline``, ``online``.
 
     Needs host, ts, ok, status and model (status and model only where ok). State is the last poll of a
-    host; polls older than it are passed over. Append mode.
+    host; polls older than it are passed over. One host's polls of one micro-batch meet in a task, so bound
+    the micro-batch (files per trigger) by what a task may hold. Append mode.
     """
     return polls.groupBy("host").applyInPandasWithState(
         _status_events, STATUS_EVENTS, STATUS_STATE, "append", GroupStateTimeout.NoTimeout
