@@ -51,10 +51,11 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("top_k, scale", [(0, 1.0), (7, 1.0), (1, 1.0), (900, 1.0), (0, 400.0)])
-def test_policy(spark, top_k, scale):
+@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
+def test_policy(spark, top_k, scale, hot_rows):
     rows = table(top_k, scale)
     got = {}
-    for r in decode.decode_policy(spark.createDataFrame(rows, FIELDS)).collect():
+    for r in decode.decode_policy(spark.createDataFrame(rows, FIELDS), hot_rows).collect():
         got.setdefault(r["request_id"], {})[r["candidate"]] = r["probability"]
     expected = brute(rows)
     assert got.keys() == expected.keys()
@@ -65,7 +66,7 @@ def test_policy(spark, top_k, scale):
 def test_large_top_k_cuts_by_rank(spark):
     rows = [r[:8] + (1_200,) + r[9:] for r in table(1_200, n_requests=1, n=1_500)]
     rows = [r[:7] + (1.0,) + r[8:] for r in rows]
-    policy = decode.decode_policy(spark.createDataFrame(rows, FIELDS)).collect()
+    policy = decode.decode_policy(spark.createDataFrame(rows, FIELDS), hot_rows=100).collect()
     assert sorted(r["rank"] for r in policy) == list(range(1, 1_201))
     assert max(r["cumulative"] for r in policy) == pytest.approx(1.0)
 

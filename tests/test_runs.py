@@ -52,7 +52,7 @@ def test_late_lines_keep_their_place(spark):
     parsed = ops.parse_log(spark.createDataFrame(rows, "run_id string, seq bigint, line string"))
     assert ops.run_metrics(parsed).first()["loss"] == 0.3
     assert ops.loss_history(parsed).first()["losses"] == [0.1, 0.2, 0.3]
-    assert [r["losses"] for r in ops.loss_history(parsed, 2).orderBy("block").collect()] == [[0.1, 0.2], [0.3]]
+    assert [r["losses"] for r in ops.loss_history(parsed, block=2).orderBy("block").collect()] == [[0.1, 0.2], [0.3]]
 
 
 def test_curves(spark):

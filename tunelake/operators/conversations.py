@@ -22,7 +22,7 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     """Each assistant reply with the user message right before it."""
     before = ordered_scan(
         messages.select("conv_id", "turn", "role", "content"), ["conv_id"], ["turn"], position_chunk("turn"),
-        previous={"prompt": F.col("content"), "prompt_role": F.col("role")}, share_shuffle=True,
+        previous={"prompt": F.col("content"), "prompt_role": F.col("role")},
     )
     return before.where("role = 'assistant' AND prompt_role = 'user'").select(
         "conv_id", "turn", "prompt", F.col("content").alias("response")
@@ -105,7 +105,7 @@ def regenerate_requests(messages: DataFrame) -> DataFrame:
     kept = chat.kept_turn(F.col("role"), spoken).cast("bigint")
     scanned = ordered_scan(
         messages.select("conv_id", "turn", "role", "content", kept.alias("_kept")), ["conv_id"], ["turn"],
-        position_chunk("turn"), share_shuffle=True,
+        position_chunk("turn"),
         running={"upto": F.col("_kept")},
         previous={"message": F.col("content"), "asked_role": F.col("role"), "asked_turn": F.col("turn"),
                   "asked_kept": F.col("_kept")},

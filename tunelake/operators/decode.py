@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
 from tunelake.functions import params
-from tunelake.operators.ordered import with_totals
+from tunelake.operators.ordered import HOT_ROWS, mark_hot, with_totals
 from tunelake.session import settle
 
 RANKED_LIMIT = fixed.DECODE_PARAMS["top_k"][2]
@@ -45,21 +45,22 @@ def adjusted_scores(candidates: DataFrame) -> DataFrame:
     )
 
 
-def decode_policy(candidates: DataFrame) -> DataFrame:
+def decode_policy(candidates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The candidates each request may draw from, with their probabilities.
 
     Needs request_id, candidate (unique per request), logit, used, is_end, n_generated and the decode
     parameters. After the score adjustments come the top-k cut (0 is off) and the nucleus: the smallest
     set of best candidates whose mass reaches ``top_p``. Requests with a moderate top-k are cut by
-    rank before the shuffle and are small from there on; the others are weighed in score chunks.
+    rank before the shuffle and are small from there on; the others are
+    weighed in score bands, where they have more than ``hot_rows`` candidates.
     """
     scores = adjusted_scores(candidates)
     ranked_early = F.col("top_k").between(1, RANKED_LIMIT)
     small = _small_requests(scores.where(ranked_early))
-    ranked_late = _weighed(scores.where(F.col("top_k") > RANKED_LIMIT)).where("rank <= top_k")
+    ranked_late = _weighed(scores.where(F.col("top_k") > RANKED_LIMIT), hot_rows).where("rank <= top_k")
     uncut = scores.where("top_k <= 0").unionByName(ranked_late.select(*scores.columns))
     columns = ["request_id", "candidate", "rank", "probability", "cumulative"]
-    return small.select(*columns).unionByName(_large_requests(uncut).select(*columns))
+    return small.select(*columns).unionByName(_large_requests(uncut, hot_rows).select(*columns))
 
 
 def _in_nucleus(mass_before: Column) -> Column:
@@ -82,23 +83,24 @@ def _small_requests(scores: DataFrame) -> DataFrame:
     return _shares(kept.withColumn("_kept", F.sum("_weight").over(whole)))
 
 
-def _large_requests(scores: DataFrame) -> DataFrame:
+def _large_requests(scores: DataFrame, hot_rows: int) -> DataFrame:
     """The nucleus is stored before its mass is summed: both the sums and the rows need it."""
-    kept = _weighed(scores).where(_in_nucleus((F.col("_upto") - F.col("_weight")) / F.col("_total")))
+    kept = _weighed(scores, hot_rows).where(_in_nucleus((F.col("_upto") - F.col("_weight")) / F.col("_total")))
     kept = settle(kept.drop("score", "top_k", "top_p", "_total"))
-    return _shares(with_totals(kept, ["request_id"], ["candidate"], {"_kept": ("sum", F.col("_weight"))}))
+    return _shares(with_totals(kept, ["request_id"], ["candidate"], {"_kept": ("sum", F.col("_weight"))}, hot_rows=hot_rows))
 
 
-def _weighed(scores: DataFrame) -> DataFrame:
+def _weighed(scores: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rank, softmax weight, mass up to each candidate and total mass, for requests of any size.
 
-    A request is cut into narrow bands of score. Inside a band weights are taken relative to the band's
-    upper edge, so they cannot overflow; over the bands' sums they are brought to the edge of the best
-    band, and what precedes a band joins it as its first row.
+    A request with very many candidates is cut into narrow bands of score. Inside a band weights are
+    taken relative to the band's upper edge, so they cannot overflow; over the bands' sums they are
+    brought to the edge of the best band, and what precedes a band joins it as its first row.
     """
-    banded = scores.withColumn("_band", F.floor(-F.col("score") * BANDS).cast("bigint"))
+    marked = mark_hot(scores, ["request_id"], hot_rows)
+    banded = marked.withColumn("_band", F.when(F.col("_hot"), F.floor(-F.col("score") * BANDS).cast("bigint")))
     edge = -F.col("_band") / BANDS
-    sums = banded.groupBy("request_id", "_band").agg(
+    sums = banded.where("_hot").groupBy("request_id", "_band").agg(
         F.count("*").alias("_n"), F.sum(F.exp(F.col("score") - edge)).alias("_mass")
     )
     whole = Window.partitionBy("request_id")
@@ -107,25 +109,27 @@ def _weighed(scores: DataFrame) -> DataFrame:
         "_mass", F.col("_mass") * F.exp((F.col("_best") - F.col("_band")) / BANDS)
     )
     carries = scaled.select(
-        "request_id", "_band", F.lit(False).alias("_is_row"), "_best",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"),
+        "request_id", "_band", F.lit(False).alias("_is_row"), (-F.col("_best") / BANDS).alias("_top"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_count"),
         F.coalesce(F.sum("_mass").over(before), F.lit(0.0)).alias("_mass"),
         F.sum("_mass").over(whole).alias("_total"),
     )
-    local = Window.partitionBy("request_id", "_band").orderBy("_is_row", F.col("score").desc(), "candidate")
+    band = Window.partitionBy("request_id", "_band")
+    local = band.orderBy("_is_row", F.col("score").desc(), "candidate")
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = banded.withColumn("_is_row", F.lit(True)).unionByName(carries, allowMissingColumns=True)
-    placed = rows.withColumns({
-        "_best": F.first("_best").over(upto),
+    rows = banded.withColumns({"_is_row": F.lit(True), "_count": F.lit(1)})
+    placed = rows.unionByName(carries, allowMissingColumns=True).withColumns({
+        # A request of one band has no carried row: its best score and its mass are those of the band.
+        "_top": F.coalesce(F.first("_top").over(upto), F.max("score").over(band)),
         "_total": F.first("_total").over(upto),
-        "rank": F.first("_ahead").over(upto) + F.row_number().over(local) - 1,
+        "rank": F.sum("_count").over(upto),
     })
-    weighed = placed.withColumn(
-        "_weight", F.when(F.col("_is_row"), F.exp(F.col("score") + F.col("_best") / BANDS)).otherwise(F.col("_mass"))
-    )
-    return weighed.withColumn("_upto", F.sum("_weight").over(upto)).where("_is_row").select(
-        *scores.columns, "rank", "_weight", "_upto", "_total"
-    )
+    weight = F.when(F.col("_is_row"), F.exp(F.col("score") - F.col("_top"))).otherwise(F.col("_mass"))
+    weighed = placed.withColumn("_weight", weight).withColumns({
+        "_upto": F.sum("_weight").over(upto),
+        "_total": F.coalesce("_total", F.sum("_weight").over(band)),
+    })
+    return weighed.where("_is_row").select(*scores.columns, "rank", "_weight", "_upto", "_total")
 
 
 def _shares(kept: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 """Ordered computations over keys of any size.
 
 A plain window partitioned by a key puts the whole key into one task, which fails once a single run,
-host or conversation holds a large share of the table. Here every key is cut into consecutive chunks of
-its order column. A partial aggregate summarises each chunk, a window over those few summaries carries
-what precedes the chunk, and the carried row joins its chunk as a first row. The rows are shuffled
-once, by key and chunk, as a plain window would do by key alone.
+host or conversation holds a large share of the table. Here the keys with very many rows are found by a
+count and cut into consecutive chunks of their order column. A partial aggregate summarises each chunk, a
+window over those few summaries carries what precedes the chunk, and the carried row joins its chunk as a
+first row. All rows are shuffled once, by key and chunk; keys of ordinary size are one chunk and need no
+summary, so that a table without hot keys costs a plain window and the count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 ROWS_PER_CHUNK = 65_536
 """Chunk length for dense positions such as turn or line numbers (unique per key)."""
 
+HOT_ROWS = 1_000_000
+"""Rows from which a key is cut into chunks; fewer are left to one task."""
+
 MICROS = 1_000_000
 
 
@@ -32,6 +38,22 @@ def time_chunk(ts: str | Column, seconds: int) -> Column:
     return F.floor(F.unix_micros(column.cast("timestamp")) / F.lit(seconds * MICROS)).cast("bigint")
 
 
+def mark_hot(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``_hot``, true for the rows of keys with more than ``hot_rows`` rows and NULL for the others.
+
+    There are at most ``rows / hot_rows`` such keys, which bounds what is broadcast. ``sized_by`` is
+    another table to count, where one with at least as many rows per key is cheaper to read.
+    """
+    counts = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = counts.where(F.col("_rows") > hot_rows).select(
+        *[F.col(key).alias(f"_hot_{key}") for key in keys], F.lit(True).alias("_hot")
+    )
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys])
+    return df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{key}" for key in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -43,9 +65,10 @@ def ordered_scan(
     last_known: dict[str, Column] | None = None,
     totals: dict[str, tuple[str, Column]] | None = None,
     descending: bool = False,
-    share_shuffle: bool = False,
+    hot_rows: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds order-dependent columns to ``df`` without holding a key in one task.
+    """Adds order-dependent columns to ``df`` without holding a hot key in one task.
 
     ``running``     inclusive running sum per key
     ``previous``    value on the preceding row of the key
@@ -53,11 +76,8 @@ def ordered_scan(
     ``totals``      ``(sum | min | max, column)`` over the whole key
 
     ``order`` must be unique per key and ``chunk`` must not decrease along it. With ``descending`` the
-    key is read from its last row to its first, so "previous" means the following row.
-
-    The summaries normally come from a second, narrow read that is folded before its shuffle. With
-    ``share_shuffle`` rows and summaries read one shuffle of the rows instead: for wide inputs whose
-    carried values need the wide columns too.
+    key is read from its last row to its first, so "previous" means the following row. ``hot_rows`` and
+    ``sized_by`` are those of :func:`mark_hot`.
     """
     running, previous = running or {}, previous or {}
     last_known, totals = last_known or {}, totals or {}
@@ -67,14 +87,12 @@ def ordered_scan(
     def directed(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    chunked = df.withColumn("_chunk", chunk)
-    if share_shuffle:
-        chunked = chunked.repartition(*keys, "_chunk")
-    rows = chunked.withColumns(
-        {"_is_row": F.lit(True)}
+    rows = mark_hot(df, keys, hot_rows, sized_by).withColumns(
+        {"_chunk": F.when(F.col("_hot"), chunk), "_is_row": F.lit(True)}
         | {f"_run_{name}": column for name, column in running.items()}
         | {f"_known_{name}": F.when(column.isNotNull(), F.struct(column.alias("v")))
            for name, column in last_known.items()}
+        | {f"_whole_{name}": column for name, (_, column) in totals.items()}
         | ({"_prev": F.struct(*[column.alias(name) for name, column in previous.items()])} if previous else {})
     )
 
@@ -85,9 +103,8 @@ def ordered_scan(
     for name in last_known:
         known = F.col(f"_known_{name}")
         folds.append(latest(known, F.when(known.isNotNull(), position)).alias(f"_known_{name}"))
-    for name, (kind, column) in totals.items():
-        folds.append(getattr(F, kind)(column).alias(f"_total_{name}"))
-    summaries = rows.groupBy(*keys, "_chunk").agg(*folds)
+    folds += [getattr(F, kind)(f"_whole_{name}").alias(f"_total_{name}") for name, (kind, _) in totals.items()]
+    summaries = rows.where("_hot").groupBy(*keys, "_chunk").agg(*folds)
 
     along = Window.partitionBy(*keys).orderBy(directed("_chunk"))
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -102,10 +119,8 @@ def ordered_scan(
                 for name, (kind, _) in totals.items()]
     carries = summaries.select(*keys, "_chunk", F.lit(False).alias("_is_row"), *carried)
 
-    if share_shuffle:
-        carries = carries.repartition(*keys, "_chunk")
-
-    local = Window.partitionBy(*keys, "_chunk").orderBy("_is_row", *[directed(name) for name in order])
+    chunk_rows = Window.partitionBy(*keys, "_chunk")
+    local = chunk_rows.orderBy("_is_row", *[directed(name) for name in order])
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = local.rowsBetween(Window.unboundedPreceding, -1)
     results = {f"_run_{name}": F.sum(f"_run_{name}").over(upto) for name in running}
@@ -113,7 +128,9 @@ def ordered_scan(
         results["_prev"] = F.lag("_prev").over(local)
     results |= {f"_known_{name}": F.last(f"_known_{name}", ignorenulls=True).over(prior)
                 for name in last_known}
-    results |= {f"_total_{name}": F.first(f"_total_{name}").over(upto) for name in totals}
+    results |= {f"_total_{name}": F.coalesce(F.first(f"_total_{name}").over(upto),
+                                             getattr(F, kind)(f"_whole_{name}").over(chunk_rows))
+                for name, (kind, _) in totals.items()}
     scanned = rows.unionByName(carries, allowMissingColumns=True).withColumns(results).where("_is_row")
 
     replaced = {*running, *previous, *last_known, *totals}
@@ -128,14 +145,14 @@ def ordered_scan(
 
 def with_totals(
     df: DataFrame, keys: Sequence[str], spread: Sequence[str], totals: dict[str, tuple[str, Column]],
-    parts: int = 256,
+    parts: int = 256, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Attaches whole-key aggregates to every row, with each key spread over ``parts`` chunks.
+    """Attaches whole-key aggregates to every row, with each hot key spread over ``parts`` chunks.
 
     ``spread`` names the columns that decide a row's part; they should be (nearly) unique per key.
     """
     part = F.pmod(F.xxhash64(*spread), F.lit(parts))
-    return ordered_scan(df, keys, list(spread), part, totals=totals)
+    return ordered_scan(df, keys, list(spread), part, totals=totals, hot_rows=hot_rows)
 
 
 def number_rows(

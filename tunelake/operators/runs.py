@@ -108,11 +108,14 @@ def run_status(metrics: DataFrame, exits: DataFrame, started: DataFrame | None =
     })
 
 
-def loss_points(parsed: DataFrame) -> DataFrame:
-    """The losses of each run in log order, numbered from 1."""
+def loss_points(parsed: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """The losses of each run in log order, numbered from 1.
+
+    ``logs``, the lines before parsing, spares a second parse where ``parsed`` is not stored: they are
+    counted instead to see which runs are very long.
+    """
     return ordered_scan(
-        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), share_shuffle=True,
-        running={"i": F.col("loss").isNotNull().cast("bigint")},
+        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), running={"i": F.lit(1)}, sized_by=logs
     )
 
 
@@ -120,9 +123,9 @@ def _losses(parsed: DataFrame) -> DataFrame:
     return parsed.where("loss IS NOT NULL").select("run_id", "seq", "loss")
 
 
-def loss_history(parsed: DataFrame, block: int = CURVE_BLOCK) -> DataFrame:
+def loss_history(parsed: DataFrame, logs: DataFrame | None = None, block: int = CURVE_BLOCK) -> DataFrame:
     """The losses of each run as ordered arrays of ``block`` values; a short run is one array."""
-    points = loss_points(parsed).withColumn("block", F.floor((F.col("i") - 1) / block))
+    points = loss_points(parsed, logs).withColumn("block", F.floor((F.col("i") - 1) / block))
     return points.groupBy("run_id", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "loss"))), lambda p: p["loss"]).alias("losses")
     )
@@ -140,12 +143,11 @@ def loss_curve_summary(parsed: DataFrame) -> DataFrame:
     return folded.where("n >= 2").withColumn("span", curve_span(F.col("min"), F.col("max")))
 
 
-def loss_curve_points(parsed: DataFrame) -> DataFrame:
+def loss_curve_points(parsed: DataFrame, logs: DataFrame | None = None) -> DataFrame:
     """Each curve scaled to the unit square; whoever draws it adds size and padding."""
     loss = F.col("loss")
     points = ordered_scan(
-        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), share_shuffle=True,
-        running={"i": F.lit(1)},
+        _losses(parsed), ["run_id"], ["seq"], position_chunk("seq"), running={"i": F.lit(1)}, sized_by=logs,
         totals={"n": ("sum", F.lit(1)), "low": ("min", loss), "high": ("max", loss)},
     ).where("n >= 2")
     return points.select(

@@ -66,7 +66,7 @@ points AS (
 SELECT run_id, (i - 1) // 16 AS block, string_agg(printf('%.4f', loss), ' ' ORDER BY i) AS losses
 FROM points GROUP BY run_id, (i - 1) // 16""")
 def loss_history(spark, sf_dir):
-    rows = ops.loss_history(parsed(spark, sf_dir), block=16)
+    rows = ops.loss_history(parsed(spark, sf_dir), log_lines(spark, sf_dir), block=16)
     text = F.array_join(F.transform("losses", lambda v: F.format_string("%.4f", v)), " ")
     return rows.select("run_id", "block", text.alias("losses"))
 
@@ -88,7 +88,7 @@ points AS (
 SELECT run_id, i, round((i - 1) / (n - 1), 6) AS x, round((loss - low) / coalesce(nullif(high - low, 0), 1), 6) AS y
 FROM points WHERE n >= 2""")
 def loss_curve_points(spark, sf_dir):
-    return rounded(ops.loss_curve_points(parsed(spark, sf_dir)), "x", "y")
+    return rounded(ops.loss_curve_points(parsed(spark, sf_dir), log_lines(spark, sf_dir)), "x", "y")
 
 
 def planned_runs(spark, sf_dir):
