@@ -42,7 +42,9 @@ def offline_spells(polls: DataFrame, key: str = "host", chunk_seconds: int = CHU
         running={"successes": ok.cast("bigint")}, previous={"prev_ok": ok},
     )
     spell = F.when(ok, F.col("successes") - 1).otherwise(F.col("successes"))
-    folded = numbered.groupBy(key, spell.alias("spell")).agg(
+    # Only failures and the success right after one belong to a spell; the rest never reach the shuffle.
+    concerned = numbered.where(~ok | ~F.col("prev_ok"))
+    folded = concerned.groupBy(key, spell.alias("spell")).agg(
         F.count_if(~ok).alias("failures"),
         F.min(F.when(~ok, F.col("ts"))).alias("first_failure"),
         F.min(F.when(~ok & ~F.coalesce("prev_ok", F.lit(True)), F.col("ts"))).alias("offline_at"),
