@@ -26,7 +26,7 @@ BATCH = [name for name in QUERIES if not name.startswith(("stream_", "adapter_fi
 SUMMARY_WINDOWS = {
     "list_examples", "vocabulary", "tokenize", "pad_truncate", "label_mask", "token_budget",
 }
-UNPARTITIONED = re.compile(r"Arguments: [^\n]*windowspecdefinition\(\w+#\d+L? (?:ASC|DESC)")
+UNPARTITIONED = re.compile(r"Arguments: [^\n]*windowspecdefinition\((?:\w+#\d+L?|\d+) (?:ASC|DESC)")
 
 
 @pytest.mark.parametrize("name", BATCH)
