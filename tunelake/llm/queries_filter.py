@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tunelake.llm import quality
+from pyspark.sql import functions as F
+
+from tunelake.llm import quality, suffix_dedup
 from tunelake.llm.registry import query, table
 
 _RATIO_SQL = {
@@ -71,3 +73,36 @@ FROM based LEFT JOIN rejected USING (doc_id)
 def quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+REPEATS_SQL = r"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+places AS (SELECT doc_id, digits, unnest(range(0, length(digits) // 2)) AS i FROM raw),
+windows AS (
+  SELECT doc_id, i, substr(digits, 2 * i + 1, 2) AS byte,
+         CASE WHEN 2 * i + 100 <= length(digits) THEN substr(digits, 2 * i + 1, 100) END AS gram
+  FROM places),
+firsts AS (SELECT gram, min(doc_id) AS first_id FROM windows WHERE gram IS NOT NULL GROUP BY gram HAVING count(*) > 1),
+marked AS (
+  SELECT doc_id, i, byte, CASE WHEN first_id < doc_id THEN i END AS hit FROM windows LEFT JOIN firsts USING (gram)),
+covered AS (
+  SELECT doc_id, i, byte, coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i) > i - 50, false) AS gone FROM marked),
+runs AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered),
+summed AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS rest
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, (length(digits) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM raw LEFT JOIN summed USING (doc_id)
+"""
+
+
+@query("op4_suffix_dedup", REPEATS_SQL)
+def suffix_repeats(spark, sf_dir):
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["stop"] - span["start"])
+    return kept.select(
+        "doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
