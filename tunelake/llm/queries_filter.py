@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunelake.llm import quality, suffix_dedup
+from tunelake.llm import near_dedup, quality, suffix_dedup
 from tunelake.llm.registry import query, table
 
 _RATIO_SQL = {
@@ -106,3 +106,9 @@ def suffix_repeats(spark, sf_dir):
     return kept.select(
         "doc_id", (F.octet_length("kept") + removed).alias("n_bytes"), removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_near_dedup")
+def near_copies(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "class_id", "n_class")

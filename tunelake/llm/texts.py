@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+MAX_ROWS = 60_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,7 +67,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     row = 0
     while row < len(column):
         stop = int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1
-        stop = min(max(stop, row + 1), len(column))
+        stop = min(max(stop, row + 1), len(column), row + MAX_ROWS)
         yield Slice(data[offsets[row]: offsets[stop]], offsets[row: stop + 1] - offsets[row], row)
         row = stop
 
