@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS_PER_PARTITION = 4
+"""Blocks, and ranges, are several per partition, so that hashing them to partitions leaves these even."""
+
 NO_ID = np.iinfo(np.int64).max
 """Stands for a NULL key, which comes after all others."""
 
@@ -24,6 +26,10 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def n_ranges(df: DataFrame) -> int:
+    return partitions(df) * BLOCKS_PER_PARTITION
+
+
 def in_blocks(df: DataFrame, key: str, text: Column, keep: list[str]) -> DataFrame:
     """``_block, _id, _text`` and the columns ``keep``, shuffled once by block; several steps read that shuffle."""
     n = partitions(df)
@@ -65,6 +71,11 @@ def unpack(value: bytes, *kinds) -> list[np.ndarray]:
     return arrays
 
 
+def filled(bounds: np.ndarray) -> list[int]:
+    """The ranges that have something between their bounds."""
+    return np.flatnonzero(np.diff(bounds)).tolist()
+
+
 def cut(order_key: np.ndarray, n: int) -> np.ndarray:
     """Bounds of the ranges 0 to n - 1 in sorted range numbers."""
     return np.searchsorted(order_key, np.arange(n + 1, dtype=order_key.dtype))

@@ -40,7 +40,7 @@ THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
 IDF_SHARE = 0.25
-DF_BITS = 27
+DF_BITS = 25
 CHUNK = 512
 _POOL = 1 << 16
 _LEVELS = 8
@@ -101,13 +101,12 @@ def _ask(table: pa.Table, n: int) -> pa.Table:
     bounds = blocks.cut(joined >> np.uint64(32), n)
     block = table["_block"][0].as_py()
     rows = []
-    for p in range(n):
+    for p in blocks.filled(bounds):
         a, b = bounds[p], bounds[p + 1]
-        if a < b:
-            slots = blocks.low(joined[a:b])
-            several = np.flatnonzero(counts[a:b] > 1)
-            rows.append((p, block, blocks.pack(np.diff(slots, prepend=np.uint32(0)), several.astype(np.uint32),
-                                               counts[a:b][several].astype(np.uint32))))
+        slots = blocks.low(joined[a:b])
+        several = np.flatnonzero(counts[a:b] > 1)
+        rows.append((p, block, blocks.pack(np.diff(slots, prepend=np.uint32(0)), several.astype(np.uint32),
+                                           counts[a:b][several].astype(np.uint32))))
     return _messages(rows)
 
 
@@ -282,14 +281,14 @@ def classes(
     Keys are integers; a NULL key comes last. Empty and NULL texts are one class; texts without words are copies only
     if equal in lower case. Repeated rows are copies. Other columns are left out; an empty table gives no rows.
     """
-    n, n_docs = blocks.partitions(docs), docs.count()
+    n, n_docs = blocks.n_ranges(docs), docs.count()
     blocked = blocks.in_blocks(docs, key, F.lower(F.col(text)), [])
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(_count, MESSAGE)
     sketched = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         lambda t, a: _sketch(t, a, n, n_docs, bands, rows), "_block int, _id long, node binary, bands array<long>")
     # Several steps read this shuffle; a Python step above it keeps Spark from cutting it differently for each.
-    dealt = sketched.repartition(n, "_id")
+    dealt = sketched.repartition(blocks.partitions(docs), "_id")
     schema = "_block int, _id long, node binary, bands array<long>"
     nodes = dealt.mapInArrow(_same, schema).groupBy("node").agg(
         F.min(F.struct("_id", "_block")).alias("place"), F.max("bands").alias("bands"))

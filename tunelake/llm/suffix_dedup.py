@@ -36,6 +36,8 @@ MIN_LENGTH = 50
 GRAM = 25
 _PLACE_BITS = 28
 _ROW_SHIFT = 40
+WINDOWS = 400_000
+"""Windows that a shard puts in order at a time; equal windows have equal anchors, so parts are of whole anchors."""
 
 
 def _anchors(part: texts.Slice, length: int, gram: int):
@@ -91,7 +93,7 @@ def _ask(table: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     block = table["_block"][0].as_py()
     rows = [(p, block, blocks.pack(blocks.low(anchors[bounds[p]: bounds[p + 1]]),
                                    whole[whole_bounds[p]: whole_bounds[p + 1]], ids[whole_bounds[p]: whole_bounds[p + 1]]))
-            for p in range(n) if bounds[p] < bounds[p + 1] or whole_bounds[p] < whole_bounds[p + 1]]
+            for p in sorted({*blocks.filled(bounds), *blocks.filled(whole_bounds)})]
     return _rows(rows)
 
 
@@ -173,14 +175,13 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
         np.stack([row[local], start[local], start[local] + run[local]], 1),
         np.stack([whole, np.zeros(len(whole), np.int64), sizes[whole].astype(np.int64) - length + 1], 1)]).astype(np.int64)
     rows = [(block % n, block, blocks.pack(marks, *[np.zeros(0, np.int64)] * 6))] if len(marks) else []
-    for p in range(n):
+    for p in blocks.filled(bounds):
         chosen = sent[bounds[p]: bounds[p + 1]]
-        if len(chosen):
-            pieces = [everywhere[k].data[a: a + r + length - 1].tobytes() for k, a, r in zip(
-                number[chosen].tolist(), place[chosen].tolist(), run[chosen].tolist(), strict=True)]
-            rows.append((p, block, blocks.pack(
-                marks[:0], row[chosen].astype(np.int32), ids[row[chosen]], start[chosen].astype(np.int64),
-                run[chosen].astype(np.int32), blocks.low(anchor[chosen]), np.frombuffer(b"".join(pieces), np.uint8))))
+        pieces = [everywhere[k].data[a: a + r + length - 1].tobytes() for k, a, r in zip(
+            number[chosen].tolist(), place[chosen].tolist(), run[chosen].tolist(), strict=True)]
+        rows.append((p, block, blocks.pack(
+            marks[:0], row[chosen].astype(np.int32), ids[row[chosen]], start[chosen].astype(np.int64),
+            run[chosen].astype(np.int32), blocks.low(anchor[chosen]), np.frombuffer(b"".join(pieces), np.uint8))))
     return _rows(rows)
 
 
@@ -200,6 +201,33 @@ def previous_factors(windows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return earlier
 
 
+def _by_anchor(contexts: np.ndarray, anchor: np.ndarray, run: np.ndarray):
+    """Parts of contexts sorted by anchor, whole anchors, of about ``WINDOWS`` windows each."""
+    at, total = 0, np.cumsum(run[contexts])
+    while at < len(contexts):
+        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + WINDOWS, "right"))
+        stop = min(max(stop, at + 1), len(contexts))
+        stop = at + int(np.searchsorted(anchor[contexts[at:]], anchor[contexts[stop - 1]], "right"))
+        yield contexts[at:stop]
+        at = stop
+
+
+def _matched(contexts, reps, begins, run, key, data, length):
+    """Ranges of windows, relative to their context, that have an earlier match among these contexts."""
+    runs = run[reps[contexts]]
+    context = np.repeat(contexts, runs)
+    offset = np.arange(len(context)) - np.repeat(np.cumsum(runs) - runs, runs)
+    window = np.lib.stride_tricks.sliding_window_view(data, length)[begins[reps[context]] + offset]
+    hit = previous_factors(window.view(f"S{length}").ravel(), key[reps[context]])
+    edge = np.zeros(len(hit) + 2, bool)
+    edge[1:-1] = hit
+    new = np.ones(len(hit) + 1, bool)
+    new[1:-1] = context[1:] != context[:-1]
+    opens = np.flatnonzero(edge[1:-1] & (~edge[:-2] | new[:-1]))
+    closes = np.flatnonzero(edge[1:-1] & (~edge[2:] | new[1:]))
+    return context[opens], offset[opens], offset[closes] + 1
+
+
 def _match(table: pa.Table, length: int) -> pa.Table:
     """Step 3, a shard: positions with an earlier match, by block."""
     where = table["_block"].to_pylist()
@@ -232,25 +260,13 @@ def _match(table: pa.Table, length: int) -> pa.Table:
         rows, where_ = [row[order[later]]], [block[order[later]]]
 
         # Contexts that differ but share their anchor may still share windows.
-        rivals = texts.repeated(anchor[reps])
-        chosen = np.flatnonzero(rivals)
-        if len(chosen):
-            context = np.repeat(chosen, run[reps[chosen]])
-            offset = np.arange(len(context)) - np.repeat(np.cumsum(run[reps[chosen]]) - run[reps[chosen]],
-                                                         run[reps[chosen]])
-            place = begins[reps[context]] + offset
-            rows_of_bytes = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-            hit = previous_factors(np.ascontiguousarray(rows_of_bytes).view(f"S{length}").ravel(), key[reps[context]])
-            edge = np.zeros(len(hit) + 2, bool)
-            edge[1:-1] = hit
-            new = np.ones(len(hit) + 1, bool)
-            new[1:-1] = context[1:] != context[:-1]
-            opens = np.flatnonzero(edge[1:-1] & (~edge[:-2] | new[:-1]))
-            closes = np.flatnonzero(edge[1:-1] & (~edge[2:] | new[1:])) + 1
-            low_off, high_off, of = offset[opens], offset[closes - 1] + 1, context[opens]
+        chosen = np.flatnonzero(texts.repeated(anchor[reps]))
+        chosen = chosen[np.argsort(anchor[reps[chosen]], kind="stable")]
+        same = np.flatnonzero(~later)
+        member_group, member = group[same], order[same]
+        for contexts in _by_anchor(chosen, anchor[reps], run[reps]):
+            of, low_off, high_off = _matched(contexts, reps, begins, run, key, data, length)
             # A document may hold a context several times: all of them get what the first was given.
-            same = np.flatnonzero(~later)
-            member_group, member = group[same], order[same]
             a, b = np.searchsorted(member_group, of), np.searchsorted(member_group, of, "right")
             times = b - a
             pick = member[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
@@ -323,7 +339,7 @@ def remove_repeats(
     named = [f"_keep{i}" for i in range(len(keep))]
     renamed = docs.select(key, F.col(text).alias("_given"), *[F.col(c).alias(a) for c, a in zip(keep, named, strict=True)])
     blocked = blocks.in_blocks(renamed, key, F.col("_given"), named)
-    n = blocks.partitions(docs)
+    n = blocks.n_ranges(docs)
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n, min_length, gram), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(_share, MESSAGE)
     sent = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
