@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunelake.llm import near_dedup, quality, suffix_dedup
+from tunelake.llm import near_dedup, quality, suffix_dedup, toxicity
 from tunelake.llm.registry import query, table
 
 _RATIO_SQL = {
@@ -112,3 +112,13 @@ def suffix_repeats(spark, sf_dir):
 def near_copies(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "class_id", "n_class")
+
+
+@query("op6_toxicity")
+def toxic_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.language_model(docs)
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"), model)
+    return toxicity.score(docs, model, scorer, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
