@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunelake.llm.texts import worker_cache
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 250_000
+ROWS = 500
+"""Texts encoded at a time."""
 MEMO_CHARS = 64
 
 WHITE = frozenset("\t\n\v\f\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -172,10 +174,19 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+def _name(ranks, purpose: str) -> str:
+    return "bpe_" + hashlib.md5(repr((sorted(ranks.value.items())[:50], len(ranks.value), purpose)).encode()).hexdigest()
+
+
 def _tokenizer(ranks, pattern: str) -> ByteBpe:
     """The worker's tokenizer of these ranks, built once per worker."""
-    name = "bpe_" + hashlib.md5(repr((sorted(ranks.value.items())[:50], len(ranks.value), pattern)).encode()).hexdigest()
-    return worker_cache(name, lambda: ByteBpe(ranks.value, pattern))
+    return worker_cache(_name(ranks, pattern), lambda: ByteBpe(ranks.value, pattern))
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _int_lists(parts: list[bytes]) -> pa.Array:
@@ -205,7 +216,7 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _tokenizer(ranks, pattern)
-        for batch in batches:
+        for batch in _small(batches):
             ids = [bpe.encode(value or "") for value in batch.column(0).to_pylist()]
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, _int_lists(ids)], names=[*kept, "ids"])
@@ -213,18 +224,18 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", keep: list[st
     return base.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
 
 
-def decode(df: DataFrame, ranks, pattern: str, ids: str = "ids") -> DataFrame:
+def decode(df: DataFrame, ranks, ids: str = "ids") -> DataFrame:
     """``df`` with ``bytes``, what the ids stand for; NULL ids have none. An input column ``bytes`` is replaced."""
     base = df.select(ids, *[name for name in df.columns if name not in (ids, "bytes")])
     kept, fields = _pass_on(base, ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(ranks, pattern)
-        for batch in batches:
+        token = worker_cache(_name(ranks, "decode"), lambda: {rank: key for key, rank in ranks.value.items()}).__getitem__
+        for batch in _small(batches):
             lists = batch.column(0)
             bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            found = pa.array([bpe.decode(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
-                             pa.binary())
+            found = pa.array([b"".join(map(token, values[a:b].tolist()))
+                              for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, "bytes"])
 
     return base.mapInArrow(run, ", ".join([*fields, "bytes binary"]))
