@@ -30,10 +30,12 @@ def n_ranges(df: DataFrame) -> int:
     return partitions(df) * BLOCKS_PER_PARTITION
 
 
-def in_blocks(df: DataFrame, key: str, text: Column, keep: list[str]) -> DataFrame:
+def in_blocks(
+    df: DataFrame, key: str, text: Column, keep: list[str], per_partition: int = BLOCKS_PER_PARTITION,
+) -> DataFrame:
     """``_block, _id, _text`` and the columns ``keep``, shuffled once by block; several steps read that shuffle."""
     n = partitions(df)
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n * BLOCKS_PER_PARTITION)).cast("int")
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n * per_partition)).cast("int")
     return df.select(
         block.alias("_block"), F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID))).alias("_id"),
         text.alias("_text"), *[F.col(name) for name in keep],

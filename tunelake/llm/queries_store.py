@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tunelake.llm import token_scan, token_store
+from tunelake.llm import search, token_scan, token_store
 from tunelake.llm.queries_format import tokenizer
 from tunelake.llm.registry import query, table
 from tunelake.session import shared_dir
@@ -33,3 +33,38 @@ def token_counts(spark, sf_dir):
     number = [F.regexp_extract("file", pattern, 1).cast("int") for pattern in (r"part-(\d+)", r"-c(\d+)")]
     return token_scan.count_tokens(spark, path).select(
         number[0].alias("task"), number[1].alias("file"), "ordinal", "start", "n_tokens", "ended")
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '(?:[0-9a-z]|[^\x00-\x7F])+')) AS word FROM documents),
+counts AS (SELECT doc_id, word, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS length FROM words GROUP BY doc_id),
+sizes AS (
+  SELECT (SELECT count(*) FROM documents) AS n_docs,
+         (SELECT count(*) FROM words) / (SELECT count(*) FROM documents) AS mean),
+idfs AS (
+  SELECT word, count(*) AS df, ln(1 + (n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf
+  FROM counts, sizes GROUP BY word, n_docs),
+queries AS (
+  SELECT query_id, word, idf FROM (
+    SELECT doc_id AS query_id, word, idf,
+           row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, word) AS place
+    FROM counts JOIN idfs USING (word) WHERE df >= 5 AND doc_id % 50 = 0)
+  WHERE place <= 16),
+scored AS (
+  SELECT query_id, doc_id,
+         round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM queries JOIN counts USING (word) JOIN lengths USING (doc_id), sizes GROUP BY query_id, doc_id),
+ranked AS (
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+  FROM scored)
+SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op7_top_k", SEARCH_SQL)
+def nearest_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, F.col("doc_id") % 50 == 0).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
