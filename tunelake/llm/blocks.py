@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS_PER_PARTITION = 4
-"""Blocks, and ranges, are several per partition, so that hashing them to partitions leaves these even."""
+"""Blocks are several per partition, so that hashing them to partitions leaves these even. Ranges are one per
+partition: a block writes one message to each, and messages should stay few."""
 
 NO_ID = np.iinfo(np.int64).max
 """Stands for a NULL key, which comes after all others."""
@@ -27,7 +28,11 @@ def partitions(df: DataFrame) -> int:
 
 
 def n_ranges(df: DataFrame) -> int:
-    return partitions(df) * BLOCKS_PER_PARTITION
+    return partitions(df)
+
+
+def block_of(number: Column, n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64(number), F.lit(n_blocks)).cast("int")
 
 
 def in_blocks(
@@ -35,10 +40,10 @@ def in_blocks(
 ) -> DataFrame:
     """``_block, _id, _text`` and the columns ``keep``, shuffled once by block; several steps read that shuffle."""
     n = partitions(df)
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(n * per_partition)).cast("int")
+    number = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID)))
     return df.select(
-        block.alias("_block"), F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID))).alias("_id"),
-        text.alias("_text"), *[F.col(name) for name in keep],
+        block_of(number, n * per_partition).alias("_block"), number.alias("_id"), text.alias("_text"),
+        *[F.col(name) for name in keep],
     ).repartition(n, "_block")
 
 

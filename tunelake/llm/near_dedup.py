@@ -40,7 +40,8 @@ THRESHOLD = 0.8
 BANDS = 10
 ROWS = 3
 IDF_SHARE = 0.25
-DF_BITS = 25
+DF_BITS = 27
+VECTOR_BITS = 28
 CHUNK = 512
 _POOL = 1 << 16
 _LEVELS = 8
@@ -49,6 +50,10 @@ SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
+def _lowered(table: pa.Table):
+    return texts.slices(pc.utf8_lower(table["_text"].combine_chunks()))
+
+
 def _shingles(part: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, 48 bits, sorted by text and value: their text, value and count."""
     starts, ends, bounds = part.words(SEPARATOR[part.data])
@@ -95,7 +100,7 @@ def _messages(rows) -> pa.Table:
 
 def _ask(table: pa.Table, n: int) -> pa.Table:
     """Step 1 of a block: by range, its shingles' slots and the number of its documents that have each."""
-    found = [_df_keys(_shingles(part)[1]) for part in texts.slices(table["_text"])]
+    found = [_df_keys(_shingles(part)[1]) for part in _lowered(table)]
     keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
     joined, counts = np.unique((blocks.ranges(keys, n) << np.uint64(32)) | _slots(keys), return_counts=True)
     bounds = blocks.cut(joined >> np.uint64(32), n)
@@ -184,7 +189,7 @@ def _samples(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, size:
 
 def _documents(table: pa.Table):
     """For each slice of a block: its texts' bounds in the shingles, values and counts."""
-    for part in texts.slices(table["_text"]):
+    for part in _lowered(table):
         owner, values, counts = _shingles(part)
         starts = np.searchsorted(owner, np.arange(part.size + 1))
         yield part.first, part.size, starts, values, counts
@@ -197,8 +202,8 @@ def _digest(values: np.ndarray, counts: np.ndarray) -> bytes:
 def _sketch(table: pa.Table, answers: pa.Table, n: int, n_docs: int, bands: int, rows: int) -> pa.Table:
     """Step 2 of a block: each document's node (digest of its vector) and band hashes."""
     if not table.num_rows:
-        return pa.table({"_block": pa.array([], pa.int32()), "_id": pa.array([], pa.int64()),
-                         "node": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({"_id": pa.array([], pa.int64()), "node": pa.array([], pa.binary()),
+                         "bands": pa.array([], pa.list_(pa.int64()))})
     known = _answered(answers)
     nodes, keys = [], []
     for _, size, starts, values, counts in _documents(table):
@@ -214,8 +219,7 @@ def _sketch(table: pa.Table, answers: pa.Table, n: int, n_docs: int, bands: int,
         nodes += [_digest(values[a:b], counts[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     keys = np.concatenate(keys).view(np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-    return pa.table({"_block": table["_block"], "_id": table["_id"], "node": pa.array(nodes, pa.binary()),
-                     "bands": lists})
+    return pa.table({"_id": table["_id"], "node": pa.array(nodes, pa.binary()), "bands": lists})
 
 
 def _vectors(table: pa.Table, given: pa.Table, n: int, n_docs: int) -> pa.Table:
@@ -234,7 +238,7 @@ def _vectors(table: pa.Table, given: pa.Table, n: int, n_docs: int) -> pa.Table:
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 node = _digest(values[a:b], counts[a:b])
                 for pivot, chunk in wanted.pop(node, ()):
-                    short = (values[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                    short = (values[a:b] & np.uint64((1 << VECTOR_BITS) - 1)).astype(np.uint32)
                     order = np.argsort(short, kind="stable")
                     out.append((pivot, chunk, node, blocks.pack(
                         np.diff(short[order], prepend=np.uint32(0)), counts[a:b][order].astype(np.uint32),
@@ -282,33 +286,32 @@ def classes(
     if equal in lower case. Repeated rows are copies. Other columns are left out; an empty table gives no rows.
     """
     n, n_docs = blocks.n_ranges(docs), docs.count()
-    blocked = blocks.in_blocks(docs, key, F.lower(F.col(text)), [])
+    blocked = blocks.in_blocks(docs, key, F.col(text), [])
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(_count, MESSAGE)
+    schema = "_id long, node binary, bands array<long>"
     sketched = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        lambda t, a: _sketch(t, a, n, n_docs, bands, rows), "_block int, _id long, node binary, bands array<long>")
+        lambda t, a: _sketch(t, a, n, n_docs, bands, rows), schema)
     # Several steps read this shuffle; a Python step above it keeps Spark from cutting it differently for each.
     dealt = sketched.repartition(blocks.partitions(docs), "_id")
-    schema = "_block int, _id long, node binary, bands array<long>"
     nodes = dealt.mapInArrow(_same, schema).groupBy("node").agg(
-        F.min(F.struct("_id", "_block")).alias("place"), F.max("bands").alias("bands"))
-    members = nodes.select("node", "place", F.explode("bands").alias("band"))
-    by_node, by_both = F.xxhash64("node"), F.xxhash64("band", "node")
-    buckets = members.groupBy("band").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("node", "place"), by_node).alias("p0"),
-        F.max_by(F.struct("node", "place"), by_node).alias("p1"),
-        F.min_by(F.struct("node", "place"), by_both).alias("p2"),
-    ).where("n > 1").select("band", "n", F.array(F.col("p0"), F.when(F.col("n") < 4, F.col("p1")).otherwise(
-        F.col("p2"))).alias("pivots"))
-    pairs = members.join(buckets, "band").select("node", "place", "n", F.explode("pivots").alias("p")).where(
-        "node <> p.node").groupBy("node", "place", "p").agg(F.max("n").alias("n")).select(
-        "node", "place", F.col("p.node").alias("pivot"), F.col("p.place").alias("pivot_place"),
-        F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"))
-    member = pairs.select(F.col("place._block").alias("_block"), F.col("place._id").alias("_id"), "node", "pivot",
-                          "chunk")
-    pivot = pairs.select(F.col("pivot_place._block").alias("_block"), F.col("pivot_place._id").alias("_id"),
-                         F.col("pivot").alias("node"), "pivot", "chunk").distinct()
-    given = answers.unionByName(member.unionByName(pivot), allowMissingColumns=True)
+        F.min("_id").alias("_id"), F.max("bands").alias("bands"))
+    members = nodes.select("node", "_id", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = members.join(shared, "band")
+    one, by_node, by_both = F.struct("node", "_id"), F.xxhash64("node"), F.xxhash64("band", "node")
+    pivots = met.groupBy("band").agg(
+        F.min_by(one, by_node).alias("p0"), F.max_by(one, by_node).alias("p1"), F.min_by(one, by_both).alias("p2"))
+    second = F.when(F.col("n") < 4, F.col("p1")).otherwise(F.col("p2"))
+    pairs = met.join(pivots, "band").select("node", "_id", "n", F.explode(F.array(F.col("p0"), second)).alias("p")).where(
+        "node <> p.node").groupBy("node", "_id", "p").agg(F.max("n").alias("n")).select(
+        "node", "_id", "p", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk"))
+    member = pairs.select("_id", "node", F.col("p.node").alias("pivot"), "chunk")
+    pivot = pairs.select(F.col("p._id").alias("_id"), F.col("p.node").alias("node"), F.col("p.node").alias("pivot"),
+                         "chunk").distinct()
+    requests = member.unionByName(pivot).withColumn("_block", blocks.block_of(
+        F.col("_id"), blocks.partitions(docs) * blocks.BLOCKS_PER_PARTITION))
+    given = answers.unionByName(requests, allowMissingColumns=True)
     vectors = blocked.groupBy("_block").cogroup(given.groupBy("_block")).applyInArrow(
         lambda t, g: _vectors(t, g, n, n_docs), "pivot binary, chunk int, node binary, payload binary")
     links = vectors.groupBy("pivot", "chunk").applyInArrow(
