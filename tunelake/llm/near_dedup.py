@@ -275,16 +275,10 @@ def _same(batches):
     yield from batches
 
 
-def classes(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
-    rows: int = ROWS,
+def _rooted(
+    docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: the key, ``class_id`` (the smallest key of its class), ``n_class`` (rows in the
-    class) and ``copy`` (0 for the one row to keep of each class).
-
-    Keys are integers; a NULL key comes last. Empty and NULL texts are one class; texts without words are copies only
-    if equal in lower case. Repeated rows are copies. Other columns are left out; an empty table gives no rows.
-    """
+    """``_id``, ``node`` and the ``root`` of its class for every row."""
     n, n_docs = blocks.n_ranges(docs), docs.count()
     blocked = blocks.in_blocks(docs, key, F.col(text), [])
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n), MESSAGE)
@@ -322,7 +316,59 @@ def classes(
 
     roots = components(stored.where("b IS NOT NULL").select("a", "b"))
     rows_ = stored.where("b IS NULL").select(F.col("a").alias("node"), "_id")
-    rooted = rows_.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "_id")
+    return rows_.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "_id")
+
+
+def _pick(table: pa.Table, kept: pa.Table, keep: list[str]) -> pa.Table:
+    """The rows of a block that stay: the first row of each kept (key, node)."""
+    nodes: dict[int, set[bytes]] = {}
+    for number, node in zip(kept["_id"].to_pylist(), kept["node"].to_pylist(), strict=True):
+        nodes.setdefault(number, set()).add(node)
+    rows = np.flatnonzero(pc.is_in(table["_id"], pa.array(sorted(nodes), pa.int64())).to_numpy(zero_copy_only=False))
+    numbers = table["_id"].to_numpy()[rows]
+    several = texts.repeated(numbers)
+    chosen = rows[~several].tolist()
+    unsure = table.take(pa.array(rows[several], pa.int64()))
+    if unsure.num_rows:
+        digests = [_digest(values[a:b], counts[a:b]) for _, _, starts, values, counts in _documents(unsure)
+                   for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        for row, number, digest in zip(rows[several].tolist(), numbers[several].tolist(), digests, strict=True):
+            if digest in nodes[number]:
+                nodes[number].discard(digest)
+                chosen.append(row)
+    return table.take(pa.array(sorted(chosen), pa.int64())).select(keep)
+
+
+def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` with one row of each class of :func:`classes` (that of the smallest key, of repeated rows
+    one), and all their columns. Texts are shuffled once, by block."""
+    rooted = _rooted(docs, key, text, **settings)
+    kept = rooted.groupBy("root").agg(F.min(F.struct("_id", "node")).alias("first")).select(
+        "first.*", blocks.block_of(F.col("first._id"), blocks.partitions(docs) * blocks.BLOCKS_PER_PARTITION)
+        .alias("_block"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[F.col(name).alias(alias) for name, alias in zip(docs.columns, names, strict=True)])
+    at = dict(zip(docs.columns, names, strict=True))
+    rest = [name for name in names if name != at[text]]
+    shown = ["_text" if name == at[text] else name for name in names]
+    blocked = blocks.in_blocks(plain, at[key], F.col(at[text]), rest)
+    schema = ", ".join(f"{name} {blocked.schema[name].dataType.simpleString()}" for name in shown)
+    picked = blocked.groupBy("_block").cogroup(kept.groupBy("_block")).applyInArrow(
+        lambda t, k: _pick(t, k, shown), schema)
+    return picked.select(*[F.col(name).alias(given) for name, given in zip(shown, docs.columns, strict=True)])
+
+
+def classes(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of ``docs``: the key, ``class_id`` (the smallest key of its class), ``n_class`` (rows in the
+    class) and ``copy`` (0 for the one row to keep of each class).
+
+    Keys are integers; a NULL key comes last. Empty and NULL texts are one class; texts without words are copies only
+    if equal in lower case. Repeated rows are copies. Other columns are left out; an empty table gives no rows.
+    """
+    rooted = _rooted(docs, key, text, threshold, bands, rows)
     summed = rooted.groupBy("root").agg(F.count("*").alias("n_class"), F.min(F.struct("_id", "node")).alias("first"))
     out = rooted.join(summed, "root")
     keeper = (F.col("_id") == F.col("first._id")) & (F.col("node") == F.col("first.node"))

@@ -177,12 +177,35 @@ def judge(
     of its own, empty and NULL texts have no words and fail the base rules, and empty tables give no rows.
     """
     features = settle(text_features(docs, [key, stratum], text))
+    return _judged(features, _chosen(features, labels, key, stratum, max_false_rejection, confidence), stratum)
+
+
+def _chosen(features: DataFrame, labels: DataFrame, key: str, stratum: str, max_false_rejection: float,
+            confidence: float) -> DataFrame:
     good = labels.where("quality IS NOT NULL").groupBy(key).agg((F.min("quality") == 1).alias("good"))
     n_strata = features.select(stratum).distinct().count()
-    chosen = cutoffs(features.join(good, key), stratum, n_strata, max_false_rejection, confidence)
+    return cutoffs(features.join(good, key), stratum, n_strata, max_false_rejection, confidence)
+
+
+def _judged(features: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:
     judged = features.join(chosen, features[stratum].eqNullSafe(chosen["_stratum"]), "left").drop("_stratum")
     above = [F.coalesce(ratio(name) > F.col(f"cut_{name}"), F.lit(False)) for name in RATIOS]
     rejected = above[0]
     for one in above[1:]:
         rejected = rejected | one
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejected)
+
+
+def select_documents(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", stratum: str = "lang",
+    max_false_rejection: float = MAX_FALSE_REJECTION, confidence: float = CONFIDENCE,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns, without a shuffle of texts."""
+    names = docs.columns
+    plain = docs.select(*[F.col(name).alias(f"_c{i}") for i, name in enumerate(names)])
+    at = {name: f"_c{i}" for i, name in enumerate(names)}
+    features = settle(text_features(docs, [key, stratum], text))
+    chosen = _chosen(features, labels, key, stratum, max_false_rejection, confidence)
+    whole = text_features(plain, plain.columns, at[text])
+    return _judged(whole, chosen, at[stratum]).where("kept").select(
+        *[F.col(at[name]).alias(name) for name in names])
