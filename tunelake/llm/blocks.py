@@ -8,6 +8,8 @@ stay few and even.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,8 @@ BLOCKS_PER_PARTITION = 4
 """Blocks are several per partition, so that hashing them to partitions leaves these even. Ranges are one per
 partition: a block writes one message to each, and messages should stay few."""
 
+ROWS = 1_000
+
 NO_ID = np.iinfo(np.int64).max
 """Stands for a NULL key, which comes after all others."""
 
@@ -38,18 +42,41 @@ def block_of(number: Column, n_blocks: int) -> Column:
 def in_blocks(
     df: DataFrame, key: str, text: Column, keep: list[str], per_partition: int = BLOCKS_PER_PARTITION,
 ) -> DataFrame:
-    """``_block, _id, _text`` and the columns ``keep``, shuffled once by block; several steps read that shuffle."""
+    """``_block, _id, _text`` (compressed, see :func:`opened`) and the columns ``keep``, shuffled once by block; several
+    steps read that shuffle."""
     n = partitions(df)
     number = F.coalesce(F.col(key).cast("long"), F.lit(int(NO_ID)))
-    return df.select(
-        block_of(number, n * per_partition).alias("_block"), number.alias("_id"), text.alias("_text"),
+    rows = df.select(
+        text.cast("binary").alias("_text"), block_of(number, n * per_partition).alias("_block"), number.alias("_id"),
         *[F.col(name) for name in keep],
-    ).repartition(n, "_block")
+    )
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(_compressed, schema).repartition(n, "_block")
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            some = batch.slice(at, ROWS)
+            packed = [None if v is None else len(v).to_bytes(8, "little") + codec.compress(v, asbytes=True)
+                      for v in some.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *some.columns[1:]],
+                                             names=some.schema.names)
+
+
+def opened(table: pa.Table) -> pa.Table:
+    """A block's table with its texts as bytes."""
+    codec = pa.Codec("zstd")
+    found = [None if v is None else codec.decompress(v[8:], int.from_bytes(v[:8], "little"), asbytes=True) if len(v) > 8
+             else b"" for v in table["_text"].to_pylist()]
+    place = table.schema.get_field_index("_text")
+    return table.set_column(place, "_text", pa.array(found, pa.large_binary()))
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """Rows of a block in an order that every step finds again: by key, then text."""
-    return table.take(pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("_text", "ascending")]))
+    """Rows of a block, opened, in an order that every step finds again: by key, then text."""
+    return opened(table.take(pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("_text", "ascending")])))
 
 
 def ranges(fingerprints: np.ndarray, n: int) -> np.ndarray:

@@ -75,9 +75,10 @@ def _anchors(part: texts.Slice, length: int, gram: int):
 
 def _digests(column: pa.ChunkedArray, length: int) -> list[bytes | None]:
     return [hashlib.blake2b(v, digest_size=16).digest() if v is not None and len(v) >= length else None
-            for v in column.cast(pa.binary()).to_pylist()]
+            for v in column.to_pylist()]
 
 
+@texts.releasing
 def _ask(table: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 1 of a block: distinct anchors and the digests of whole texts, by range."""
     table = blocks.in_order(table)
@@ -106,6 +107,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 MESSAGE = "_range int, _block int, payload binary"
 
 
+@texts.releasing
 def _share(table: pa.Table) -> pa.Table:
     """Step 1 of a range: which anchors several blocks have, and which whole texts a smaller key has."""
     which = table["_block"].to_pylist()
@@ -127,6 +129,7 @@ def _share(table: pa.Table) -> pa.Table:
     return _rows(rows)
 
 
+@texts.releasing
 def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 2 of a block: contexts of shared anchors by range. What the block can mark itself goes along."""
     if not table.num_rows:
@@ -170,7 +173,7 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
     sent = sent[np.argsort(p, kind="stable")]
     bounds = blocks.cut(blocks.ranges(anchor[sent], n), n)
     whole = np.flatnonzero(copy)
-    sizes = pc.binary_length(table["_text"].cast(pa.binary())).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(table["_text"]), 0).to_numpy()
     marks = np.concatenate([
         np.stack([row[local], start[local], start[local] + run[local]], 1),
         np.stack([whole, np.zeros(len(whole), np.int64), sizes[whole].astype(np.int64) - length + 1], 1)]).astype(np.int64)
@@ -228,6 +231,7 @@ def _matched(contexts, reps, begins, run, key, data, length):
     return context[opens], offset[opens], offset[closes] + 1
 
 
+@texts.releasing
 def _match(table: pa.Table, length: int) -> pa.Table:
     """Step 3, a shard: positions with an earlier match, by block."""
     where = table["_block"].to_pylist()
@@ -285,11 +289,11 @@ def _match(table: pa.Table, length: int) -> pa.Table:
     return _rows(rows)
 
 
+@texts.releasing
 def _cut_out(table: pa.Table, marks: pa.Table, length: int, whole_chars: bool, keep: list[str]) -> pa.Table:
     """Step 4 of a block: spans from marked positions, and what remains of each text."""
     table = blocks.in_order(table)
-    values = ["" if v is None else v for v in table["_text"].to_pylist()]
-    raw = [v.encode("utf-8") if isinstance(v, str) else v for v in values]
+    raw = [v or b"" for v in table["_text"].to_pylist()]
     spans: list[list[dict]] = [[] for _ in raw]
     if marks.num_rows and raw:
         found = np.concatenate([blocks.unpack(v, np.int64)[0].reshape(-1, 3) for v in marks["payload"].to_pylist()])
@@ -341,7 +345,7 @@ def remove_repeats(
     blocked = blocks.in_blocks(renamed, key, F.col("_given"), named)
     n = blocks.n_ranges(docs)
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n, min_length, gram), MESSAGE)
-    answers = asked.groupBy("_range").applyInArrow(_share, MESSAGE)
+    answers = asked.groupBy("_range").applyInArrow(lambda t: _share(t), MESSAGE)
     sent = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         lambda t, a: _send(t, a, n, min_length, gram), MESSAGE)
     marks = sent.groupBy("_range").applyInArrow(lambda t: _match(t, min_length), MESSAGE)
