@@ -1,10 +1,11 @@
 """Training-order materialisation: fixed-stride binary shards of token sequences in a keyed random order.
 
 Each document's ids and an end mark are cut into sequences of ``length`` ids, the last one filled up with the end
-mark. Sequences are stored once with their place (task, position), so that a rerun or a lost executor cannot move
-them. Numbers of sequences per task give every sequence an index from 0 to N - 1. A keyed Feistel permutation of the
-next larger even power of two, walked until it falls below N, turns the index into the global slot, without a sort
-and without state. Slots are cut into shards of ``per_shard``; each shard is written by one task in slot order.
+mark. A first reading stores the documents' index (a few bytes each); the numbers of sequences per task of the scan
+give every sequence an index from 0 to N - 1. A keyed Feistel permutation of the next larger even power of two,
+walked until it falls below N, turns it into the global slot, without a sort and without state. Slots are cut into
+shards of ``per_shard``; each shard is written by one task in slot order. Ids are encoded in both readings rather than
+stored: storing them would cost more disk than the shards.
 
 A shard file holds, per sequence, ``length`` 16-bit little-endian ids and two line feeds as a record mark: slot s is
 in folder ``shard=s // per_shard`` at byte ``s % per_shard * stride``, so a reader continues anywhere by arithmetic.
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunelake.llm import blocks
@@ -31,6 +32,7 @@ LENGTH = 256
 PER_SHARD = 32_768
 MARK = "\n\n"
 ROUNDS = 6
+MAX_TASKS = 1_000_000
 ROWS = 500
 
 
@@ -61,38 +63,40 @@ def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, ranks, pattern: str, end_id: int, key: str, text: str, length: int) -> DataFrame:
-    """``task, position, key, part, n_tokens, record``: the sequences of each document with their place. A NULL or
-    empty text is one sequence that begins with the end mark."""
+def _encoded(batches: Iterator[pa.RecordBatch], encoder: tiktoken.Encoding, end_id: int
+             ) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Keys and ids (with the end mark) of a few hundred documents at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.column(0).slice(at, ROWS), [
+                np.append(np.array(encoder.encode_ordinary(v or ""), np.uint16), np.uint16(end_id))
+                for v in batch.column(1).slice(at, ROWS).to_pylist()]
+
+
+def _parts(ids: list[np.ndarray], length: int) -> np.ndarray:
+    return np.array([-(-len(i) // length) for i in ids], np.int64)
+
+
+def _check(first: np.ndarray, sizes: np.ndarray) -> int:
+    return int(((first % 65_521 + 1) * sizes).sum())
+
+
+def document_index(docs: DataFrame, ranks, pattern: str, end_id: int, key: str, text: str, length: int) -> DataFrame:
+    """``task, first, key, n_tokens``: for each document the task of the scan that reads it, the number of the task's
+    sequences before it, and its ids with the end mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, position = library_encoder(ranks, pattern), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                keys = batch.column(0).slice(at, ROWS)
-                values = [v or "" for v in batch.column(1).slice(at, ROWS).to_pylist()]
-                ids = [np.append(np.array(encoder.encode_ordinary(v), np.uint16), np.uint16(end_id)) for v in values]
-                counts = np.array([-(-len(i) // length) for i in ids], np.int64)
-                parts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                used = np.minimum(np.repeat([len(i) for i in ids], counts) - parts * length, length)
-                flat = np.full(int(counts.sum()) * length, end_id, "<u2")
-                for i, first in zip(ids, (np.cumsum(counts) - counts) * length, strict=True):
-                    flat[first: first + len(i)] = i
-                total = len(parts)
-                records = pa.Array.from_buffers(
-                    pa.binary(), total, [None, pa.py_buffer(np.arange(0, 2 * length * (total + 1), 2 * length,
-                                                                      dtype=np.int32).tobytes()),
-                                         pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(total, task, np.int32)), pa.array(np.arange(position, position + total)),
-                     keys.take(pa.array(np.repeat(np.arange(len(ids)), counts))), pa.array(parts.astype(np.int32)),
-                     pa.array(used.astype(np.int32)), records],
-                    names=["task", "position", "key", "part", "n_tokens", "record"])
-                position += total
+        for keys, ids in _encoded(batches, encoder, end_id):
+            counts = _parts(ids, length)
+            first = position + np.cumsum(counts) - counts
+            position += int(counts.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(ids), task, np.int32)), pa.array(first), keys,
+                 pa.array(np.array([len(i) for i in ids], np.int64))], names=["task", "first", "key", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        run, f"task int, position long, key {kind}, part int, n_tokens int, record binary")
+    return docs.select(key, text).mapInArrow(run, f"task int, first long, key {kind}, n_tokens long")
 
 
 def materialise(
@@ -101,40 +105,76 @@ def materialise(
 ) -> tuple[DataFrame, str]:
     """Writes the shards and returns the index (``key, part, slot, shard, byte_offset, n_tokens``) and their folder.
 
-    ``path`` is a new folder of a shared store; without it one is made in the cluster's shared folder. Repeated rows
-    are sequences of their own, other columns are left out, an empty table writes no shard.
+    ``docs`` must be a stored table, which is read twice: for the index, and for the records. Every task of the second
+    reading checks that it met the same documents in the same order as in the first, and fails otherwise. ``path`` is
+    a new folder of a shared store; without it one is made in the cluster's shared folder. A NULL or empty text is one
+    sequence of the end mark, repeated rows are sequences of their own, other columns are left out, an empty table
+    writes no shard.
     """
     spark = docs.sparkSession
     if max(ranks.value.values()) >= 1 << 16 or end_id >= 1 << 16:
         raise ValueError("ids must fit 16 bits")
     path = path or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
-    sequences(docs, ranks, pattern, end_id, key, text, length).write.option("compression", "zstd").parquet(
-        f"{path}/sequences")
-    stored = spark.read.parquet(f"{path}/sequences")
-    tasks = stored.groupBy("task").agg((F.max("position") + 1).alias("n"))
-    size = int(tasks.agg(F.sum("n")).first()[0] or 0)
-    bases = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("base"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = feistel(batch.column(0).to_numpy(), size, order_key)
+    document_index(docs, ranks, pattern, end_id, key, text, length).write.option("compression", "zstd").parquet(
+        f"{path}/documents")
+    stored = spark.read.parquet(f"{path}/documents")
+    parts = F.ceil(F.col("n_tokens") / length).cast("long")
+    # One row per task of the scan: 24 bytes for each of its partitions, so a million of them are 24 MB.
+    tasks = stored.groupBy("task").agg(
+        F.sum(parts).alias("n"), F.sum((F.col("first") % 65_521 + 1) * F.col("n_tokens")).alias("checked")
+    ).orderBy("task").limit(MAX_TASKS + 1).toPandas()
+    if len(tasks) > MAX_TASKS:
+        raise ValueError("the table is read by too many tasks: raise spark.sql.files.maxPartitionBytes")
+    numbers, counts, checks = (tasks[c].to_numpy(np.int64) for c in ("task", "n", "checked"))
+    size, bases = int(counts.sum()), np.cumsum(counts) - counts
+    plan = spark.sparkContext.broadcast((numbers, counts, checks, bases))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, counts, checks, bases = plan.value
+        encoder, task, position, checked = library_encoder(ranks, pattern), TaskContext.get().partitionId(), 0, 0
+        at = int(np.searchsorted(numbers, task))
+        for _, ids in _encoded(batches, encoder, end_id):
+            if at == len(numbers) or numbers[at] != task:
+                raise RuntimeError("the documents changed between the two readings")
+            n = _parts(ids, length)
+            total = int(n.sum())
+            first = np.cumsum(n) - n
+            checked += _check(position + first, np.array([len(i) for i in ids], np.int64))
+            flat = np.full(total * length, end_id, "<u2")
+            for i, start in zip(ids, first * length, strict=True):
+                flat[start: start + len(i)] = i
+            slot = feistel(bases[at] + position + np.arange(total), size, order_key)
+            position += total
+            bounds = np.arange(0, 2 * length * (total + 1), 2 * length, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // per_shard), *batch.columns[1:]],
-                names=["slot", "shard", *batch.schema.names[1:]])
-
-    def placed(columns: list[str]) -> DataFrame:
-        kinds = [f"{c} {stored.schema[c].dataType.simpleString()}" for c in columns]
-        return stored.select("task", "position", *columns).join(bases, "task").select(
-            (F.col("base") + F.col("position")).alias("_index"), *columns,
-        ).mapInArrow(place, ", ".join(["slot long", "shard long", *kinds]))
+                [pa.array(slot), pa.array(slot // per_shard), pa.Array.from_buffers(
+                    pa.binary(), total, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(flat.tobytes())])],
+                names=["slot", "shard", "record"])
+        if position and (position != counts[at] or checked != checks[at]):
+            raise RuntimeError("the documents changed between the two readings")
 
     shards = max(1, -(-size // per_shard))
-    placed(["record"]).repartition(min(shards, max(blocks.partitions(docs), 1)), "shard").sortWithinPartitions(
-        "shard", "slot").select("shard", F.col("record").cast("string").alias("value")).write.partitionBy(
+    docs.select(key, text).mapInArrow(records, "slot long, shard long, record binary").repartition(
+        min(shards, blocks.partitions(docs)), "shard").sortWithinPartitions("shard", "slot").select(
+        "shard", F.col("record").cast("string").alias("value")).write.partitionBy(
         "shard").option("lineSep", MARK).text(f"{path}/shards")
-    index = placed(["key", "part", "n_tokens"]).select(
-        F.col("key").alias(key), "part", "slot", "shard",
-        (F.col("slot") % per_shard * stride(length)).alias("byte_offset"), "n_tokens")
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, _, _, bases = plan.value
+        for batch in batches:
+            at = np.searchsorted(numbers, batch.column(0).to_numpy())
+            index = (bases[at] if len(at) else np.zeros(0, np.int64)) + batch.column(1).to_numpy()
+            slot = feistel(index, size, order_key)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *batch.columns[2:]], names=["slot", *batch.schema.names[2:]])
+
+    kind = docs.schema[key].dataType.simpleString()
+    part = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")
+    index = stored.select("task", "first", "key", "n_tokens", part).select(
+        "task", F.col("first") + F.col("part"), "key", "part", "n_tokens",
+    ).mapInArrow(slots, f"slot long, key {kind}, part long, n_tokens long").select(
+        F.col("key").alias(key), F.col("part").cast("int").alias("part"), "slot",
+        F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * stride(length)).alias("byte_offset"),
+        F.least(F.col("n_tokens") - F.col("part") * length, F.lit(length)).cast("int").alias("n_tokens"))
     return index, f"{path}/shards"
 
 
