@@ -18,17 +18,17 @@ def talk(spark):
 
 @pytest.mark.parametrize("block", [1, 3, 512])
 def test_history_is_whole_whatever_the_block(talk, block):
-    requests = ops.chat_history(talk, block).collect()
-    blocks = {(r["conv_id"], r["block"]): r for r in ops.history_blocks(talk, block).collect()}
-    got = {}
-    for r in requests:
-        earlier = [t for (conv, b), row in sorted(blocks.items()) if conv == r["conv_id"] and b < r["turn"] // block
-                   for t in row["turns"]]
-        assert r["n_before"] == len(earlier)
-        got[r["conv_id"], r["turn"]] = [t["content"] for t in [*earlier, *r["history"]]]
+    got = {(r["conv_id"], r["turn"]): [t["content"] for t in r["history"]] for r in ops.chat_history(talk, block).collect()}
     assert got == {(1, 1): [], (1, 4): ["u1", "a1"], (1, 9): ["u1", "a1", "u2"], (2, 1): ["hello"], (3, 5): []}
 
 
+def test_a_prompt_holds_every_turn_of_a_long_conversation(spark):
+    turns = spark.range(1200).selectExpr(
+        "1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('said ', id) AS content")
+    found = {r["turn"]: len(r["history"]) for r in ops.chat_history(turns).collect()}
+    assert found[512] == 512 and found[514] == 514 and found[1198] == 1198
+
+
 def test_pairs_and_regenerate(talk):
     pairs = [(r["conv_id"], r["prompt"], r["response"]) for r in ops.conversation_pairs(talk).orderBy("conv_id", "turn").collect()]
     assert pairs == [(1, "u1", "<think>t</think>a1"), (1, "u2", "<think>only"), (1, "u3", "a3"), (3, "", "r")]
@@ -38,8 +38,8 @@ def test_pairs_and_regenerate(talk):
 
 def test_long_conversation_equals_short_chunks(spark, sf_dir):
     rows = messages(spark, sf_dir).withColumn("conv_id", F.lit(1)).withColumn("turn", F.monotonically_increasing_id())
-    small = ops.chat_history(rows, 16).agg(F.sum(F.col("n_before") + F.size("history"))).first()[0]
-    large = ops.chat_history(rows, 100_000).agg(F.sum(F.col("n_before") + F.size("history"))).first()[0]
+    small = ops.chat_history(rows, 16).agg(F.sum(F.size("history"))).first()[0]
+    large = ops.chat_history(rows, 100_000).agg(F.sum(F.size("history"))).first()[0]
     assert small == large > 0
 
 

@@ -63,6 +63,18 @@ def test_policy(spark, top_k, scale, hot_rows):
         assert got[request] == pytest.approx(expected[request])
 
 
+@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
+def test_masked_candidates_are_never_drawn(spark, hot_rows):
+    rows = [r if r[1] % 4 else r[:2] + (float("-inf"),) + r[3:] for r in table(0)]
+    got = {}
+    for r in decode.decode_policy(spark.createDataFrame(rows, FIELDS), hot_rows).collect():
+        got.setdefault(r["request_id"], {})[r["candidate"]] = r["probability"]
+    expected = brute([r for r in rows if r[1] % 4])
+    assert got.keys() == expected.keys()
+    for request in expected:
+        assert got[request] == pytest.approx(expected[request])
+
+
 def test_large_top_k_cuts_by_rank(spark):
     rows = [r[:8] + (1_200,) + r[9:] for r in table(1_200, n_requests=1, n=1_500)]
     rows = [r[:7] + (1.0,) + r[8:] for r in rows]

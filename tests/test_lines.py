@@ -96,6 +96,20 @@ def test_plain_sample(spark, tmp_path):
     assert ops.training_set(examples).count() == 60
 
 
+def test_ids_keep_parts_apart(spark):
+    rows = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), (None, "c"), ("", "c")], "p string, r string")
+    found = rows.select(jl.example_id(F.lit(1), F.lit(2), F.col("p"), F.col("r")).alias("i")).distinct().count()
+    assert found == 4
+
+
+def test_listing_shows_defaults(spark):
+    rows = spark.createDataFrame([("x", 1, 1, "p", "r", None, None)],
+                                 "example_id string, batch_id bigint, seq bigint, prompt string, response string, "
+                                 "score double, source string")
+    shown = ops.list_examples(rows).first()
+    assert (shown["score"], shown["source"], shown["usable"]) == (0.0, "", False)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"prompt":"a","response":"b","score":8}\r\n\n')
     (tmp_path / "b.txt").write_text('{"prompt":"c\x0b","response":"d","score":9}')
@@ -112,7 +126,9 @@ def test_versions_and_batches(spark, tmp_path, lines):
     examples = ops.accepted(ops.ingest_examples(lines, 1))
     root = str(tmp_path / "examples")
     jsonl.append_batch(examples, root)
-    jsonl.append_batch(examples, root)
+    with pytest.raises(ValueError):
+        jsonl.append_batch(examples, root)
+    jsonl.append_batch(examples, root, replay=True)
     jsonl.append_batch(ops.accepted(ops.ingest_examples(lines, 2)), root)
     stored = spark.read.parquet(root)
     assert stored.count() == 2 * examples.count()

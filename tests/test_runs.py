@@ -83,3 +83,18 @@ def test_log_files(spark, tmp_path):
     sources.write_logs(lines, str(tmp_path / "logs"))
     row = ops.run_metrics(ops.parse_log(sources.read_logs(spark, str(tmp_path / "logs")))).first()
     assert (row["run_id"], row["n_losses"], row["loss"]) == ("r1", 5, 2.0)
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    def write(low, high):
+        lines = spark.range(low, high).selectExpr(
+            "'r' AS run_id", "id AS seq", """concat('JSON_LOG:{"loss": ', id, '.0, "epoch": 1}') AS line""").coalesce(1)
+        sources.write_logs(lines, str(tmp_path / "logs"))
+
+    write(0, 3)
+    write(3, 60)
+    write(60, 62)
+    read = sources.read_logs(spark, str(tmp_path / "logs"))
+    assert [r["line"] for r in read.orderBy("seq").collect()] == [
+        f'JSON_LOG:{{"loss": {i}.0, "epoch": 1}}' for i in range(62)]
+    assert ops.run_metrics(ops.parse_log(read)).first()["loss"] == 61.0

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def test_vocabulary_and_ids(texts):
     assert [(r["ids"], r["n_prompt"]) for r in same] == [(r["ids"], r["n_prompt"]) for r in rows]
 
 
+@pytest.mark.parametrize("common", [0, 2, 100])
+def test_every_token_has_its_id(texts, common):
+    words = ops.vocabulary(texts)
+    known = {r["token"]: r["token_id"] for r in words.collect()} | {"<|endoftext|>": ops.END_ID}
+    assert sorted(known.values()) == [0, *range(2, len(known) + 1)]
+    rows = ops.tokenize_with_vocabulary(texts, words, ["prompt"], common).collect()
+    for r in rows:
+        pieces = re.findall(r"<\|[a-z]+\|>|[^ \t\n\r\f<]+|<", r["full_text"])
+        assert r["ids"] == [known[p] for p in pieces] and ops.UNKNOWN_ID not in r["ids"]
+
+
 def test_callable_tokenizer(texts):
     encode = ops.callable_encoder(lambda: lambda batch: [[len(t)] for t in batch])
     rows = ops.tokenize(texts, encode).collect()

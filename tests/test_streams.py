@@ -42,8 +42,13 @@ def test_lines_arrive_and_a_replay_adds_nothing(spark, tmp_path):
         finish(ingest.ingest_stream(stream_lines(spark, str(source)), *paths))
     assert spark.read.parquet(paths[0]).count() == 3 and spark.read.parquet(paths[1]).count() == 3
     again = spark.createDataFrame([(json.dumps({"prompt": "p2", "response": "r"}), 0)], "value string, seq bigint")
-    append_batch(accepted(ingest_examples(again, 2)), paths[0])
+    writer = spark.read.parquet(paths[0]).select("writer").distinct().first()[0]
+    append_batch(accepted(ingest_examples(again, 2)), paths[0], writer, replay=True)
     assert spark.read.parquet(paths[0]).count() == 3
+    append_batch(accepted(ingest_examples(again, 2)), paths[0])
+    assert spark.read.parquet(paths[0]).count() == 4
+    finish(ingest.ingest_stream(stream_lines(spark, str(source)), paths[0], paths[1], str(tmp_path / "second")))
+    assert spark.read.parquet(paths[0]).count() == 7
 
 
 def test_resent_rating_is_logged_but_captured_once(spark, tmp_path):

@@ -146,5 +146,8 @@ def usable(score: Column, threshold: float = fixed.USABLE_SCORE) -> Column:
 
 
 def example_id(batch: Column, seq: Column, prompt: Column, response: Column) -> Column:
-    """Stable id of an example: equal lines of different places stay apart, rewrites keep it."""
-    return F.sha2(F.concat_ws(":", batch.cast("string"), seq.cast("string"), prompt, response), 256)
+    """A stable id. Every part is written with its length, and a missing one differs from an empty one."""
+    parts = [part.cast("string") for part in (batch, seq, prompt, response)]
+    return F.sha2(F.concat(*[
+        F.coalesce(F.concat(F.char_length(part).cast("string"), F.lit(":"), part), F.lit("-")) for part in parts
+    ]), 256)

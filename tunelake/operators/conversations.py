@@ -15,7 +15,7 @@ from tunelake.functions.text import answer, is_error_reply, strip, thought, with
 from tunelake.operators.ordered import ordered_scan, position_chunk
 
 HISTORY_BLOCK = 512
-"""Turns per history block; a conversation shorter than this has its whole history in one array."""
+"""Turns per history block, the unit in which turns meet."""
 
 
 def conversation_pairs(messages: DataFrame) -> DataFrame:
@@ -29,6 +29,11 @@ def conversation_pairs(messages: DataFrame) -> DataFrame:
     )
 
 
+def answered_pairs(messages: DataFrame) -> DataFrame:
+    """Pairs whose response is what the speaker was shown: the reply without its first think block."""
+    return conversation_pairs(messages).withColumn("response", answer(F.col("response")))
+
+
 def split_thinking(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"thought": thought(F.col("content")), "answer": answer(F.col("content"))})
 
@@ -48,25 +53,30 @@ def history_blocks(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame
 
 
 def chat_history(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame:
-    """The request behind each user turn, with the turns kept before it.
+    """The request behind each user turn, with all turns kept before it.
 
-    ``history`` holds the earlier turns of the request's own block and ``n_before`` counts those of the
-    blocks before it, which :func:`history_blocks` holds once for all requests. Conversations within one
-    block, the usual case, have ``n_before = 0`` and everything in ``history``.
+    Turns meet in blocks. A request takes the earlier turns of its own block and the kept turns of all blocks
+    before, which are put together once per block and not once per request. ``history`` is as long as the
+    conversation makes it.
     """
     said = F.when(F.col("turn").isNotNull(), F.struct("turn", "role", "content", "kept", "text"))
     blocks = _with_counts_before(_blocks(messages, block)).groupBy("conv_id", "block").agg(
         F.max("n_before").alias("n_before"), F.array_sort(F.collect_list(said)).alias("turns")
     )
     asked = F.filter("turns", lambda t: t["role"] == "user")
-    requests = blocks.select("conv_id", "n_before", "turns", F.explode(asked).alias("asked"))
-    earlier = F.filter("turns", lambda t: t["kept"] & (t["turn"] < F.col("asked.turn")))
-    return requests.select(
+    requests = blocks.select("conv_id", "block", "turns", F.explode(asked).alias("asked"))
+    own = F.filter("turns", lambda t: t["kept"] & (t["turn"] < F.col("asked.turn")))
+    later = blocks.where("n_before > 0").select("conv_id", F.col("block").alias("_later"))
+    kept = blocks.select("conv_id", "block", F.filter("turns", lambda t: t["kept"]).alias("_kept"))
+    before = kept.join(later, "conv_id").where(F.col("block") < F.col("_later")).groupBy(
+        "conv_id", F.col("_later").alias("block")
+    ).agg(F.array_sort(F.collect_list(F.struct("block", "_kept"))).alias("_before"))
+    earlier = F.flatten(F.transform(F.coalesce("_before", F.array()), lambda b: b["_kept"]))
+    return requests.join(before, ["conv_id", "block"], "left").select(
         "conv_id",
         F.col("asked.turn").alias("turn"),
         F.col("asked.text").alias("message"),
-        "n_before",
-        F.transform(earlier, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
+        F.transform(F.concat(earlier, own), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
         .alias("history"),
     )
 
@@ -157,11 +167,7 @@ def build_messages(requests: DataFrame) -> DataFrame:
 
 
 def render_prompts(requests: DataFrame) -> DataFrame:
-    """Adds the text given to the generator; ``template`` false means the bare message.
-
-    ``history`` is rendered as it comes: for the rare request with ``n_before`` above zero, put the turns
-    of its conversation's earlier blocks before it first.
-    """
+    """Adds the text given to the generator; ``template`` false means the bare message."""
     return build_messages(requests).withColumn(
         "prompt", chat.rendered_request(F.col("template"), F.col("messages"), F.col("message"))
     )
@@ -176,7 +182,7 @@ def batch_inference(
     """Answers every request with a caller's generator, loaded once per task.
 
     The generator takes a batch of requests and returns one output per row, prompt included. A batch it
-    fails on is retried row by row, so only the failing rows get an error reply. Without a generator
+    fails on is halved until the failing rows are alone, so only these get an error reply. Without a generator
     every request gets the fixed reply that says so.
     """
     names = requests.columns
@@ -187,10 +193,7 @@ def batch_inference(
             if generate is None:
                 replies = [fixed.NO_MODEL_REPLY] * len(batch)
             else:
-                try:
-                    replies = _continuations(batch, generate(batch))
-                except Exception:
-                    replies = [_one_reply(batch.iloc[[i]], generate) for i in range(len(batch))]
+                replies = _replies(batch, generate)
             yield batch[names].assign(
                 reply_id=[str(uuid.uuid4()) for _ in replies], role="assistant", content=replies
             )
@@ -205,8 +208,11 @@ def _continuations(batch: pd.DataFrame, outputs: list[str]) -> list[str]:
     return [output[len(prompt):] for output, prompt in zip(outputs, batch["prompt"], strict=True)]
 
 
-def _one_reply(row: pd.DataFrame, generate: Callable[[pd.DataFrame], list[str]]) -> str:
+def _replies(batch: pd.DataFrame, generate: Callable[[pd.DataFrame], list[str]]) -> list[str]:
     try:
-        return _continuations(row, generate(row))[0]
+        return _continuations(batch, generate(batch)) if len(batch) else []
     except Exception as error:
-        return f"{fixed.INFERENCE_ERROR_PREFIX}: {error}"
+        if len(batch) == 1:
+            return [f"{fixed.INFERENCE_ERROR_PREFIX}: {error}"]
+        half = len(batch) // 2
+        return _replies(batch.iloc[:half], generate) + _replies(batch.iloc[half:], generate)

@@ -83,10 +83,12 @@ def ingest_counts(ingested: DataFrame) -> DataFrame:
 
 
 def listed(examples: DataFrame) -> DataFrame:
-    """Examples a listing shows: prompt and response both non-empty."""
-    return examples.where((F.col("prompt") != "") & (F.col("response") != "")).withColumn(
-        "usable", jl.usable(F.col("score"))
-    )
+    """Examples a listing shows: prompt and response both non-empty. A missing score shows as 0, a missing source as
+    the empty text."""
+    shown = examples.where((F.col("prompt") != "") & (F.col("response") != "")).withColumns({
+        "usable": jl.usable(F.col("score")), "score": F.coalesce("score", F.lit(fixed.LISTING_SCORE)),
+    })
+    return shown.withColumn("source", F.coalesce("source", F.lit(""))) if "source" in shown.columns else shown
 
 
 def list_examples(examples: DataFrame) -> DataFrame:

@@ -33,13 +33,15 @@ def adjusted_scores(candidates: DataFrame) -> DataFrame:
     """Scores after the repetition penalty, the minimum length and the temperature, in that order.
 
     A used candidate's positive score is divided by the penalty, a negative one multiplied. Below the
-    minimum length a request's end candidate is not eligible.
+    minimum length a request's end candidate is not eligible, and neither is a masked one (minus infinity), which
+    has no probability.
     """
     penalized = F.when(F.col("logit") > 0, F.col("logit") / F.col("repetition_penalty")).otherwise(
         F.col("logit") * F.col("repetition_penalty")
     )
     barred = F.col("is_end") & (F.col("n_generated") < F.col("min_new_tokens"))
-    return candidates.where(~barred).select(
+    masked = F.col("logit") == F.lit(float("-inf"))
+    return candidates.where(~barred & ~masked).select(
         "request_id", "candidate", "top_k", "top_p",
         (F.when(F.col("used"), penalized).otherwise(F.col("logit")) / F.col("temperature")).alias("score"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
 from tunelake.functions.json_lines import example_id
+from tunelake.operators.conversations import answered_pairs
 
 
 def thumb_score(direction: Column) -> Column:
@@ -46,6 +47,16 @@ def rating_capture(ratings: DataFrame, batch_id: int) -> DataFrame:
     )
 
 
+def capture_replies(messages: DataFrame, thumbs: DataFrame, batch_id: int) -> DataFrame:
+    """From what was said and rated to examples: a reply without its first think block, its prompt, the score of its
+    thumb. ``thumbs`` has conv_id, turn, direction and ts."""
+    pairs = answered_pairs(messages)
+    rated = thumbs.join(pairs, ["conv_id", "turn"]).select(
+        F.to_json(F.array("conv_id", "turn")).alias("message_id"), thumb_score(F.col("direction")).alias("score"),
+        "prompt", "response", "ts")
+    return rating_capture(rated, batch_id)
+
+
 def latest_rating(ratings: DataFrame) -> DataFrame:
     """The rating that counts for each message: the last one sent."""
     return ratings.groupBy("message_id").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
 from tunelake.functions import chat, sequence
+from tunelake.operators.ordered import number_rows
 
 END_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
-MAX_VOCABULARY = 32_000
+COMMON_TOKENS = 32_000
+"""Tokens that are looked up in place. Rarer ones, each of which is few, are looked up by a join."""
 
 
 def training_text(pairs: DataFrame) -> DataFrame:
@@ -27,38 +29,30 @@ def training_text(pairs: DataFrame) -> DataFrame:
     })
 
 
-def vocabulary(texts: DataFrame, column: str = "full_text", size: int = MAX_VOCABULARY) -> DataFrame:
-    """The ``size`` most frequent tokens with their ids (ties by token).
+def vocabulary(texts: DataFrame, column: str = "full_text", size: int | None = None) -> DataFrame:
+    """All tokens, or the ``size`` most frequent, with their ids by frequency (ties by token).
 
-    Token counts are folded before the shuffle. How many tokens have each count tells from which count
-    on tokens can be among the best, so the long tail is dropped before the ranking. There are few
-    distinct counts: ``d`` of them need at least ``d * (d + 1) / 2`` tokens of text.
+    Token counts are folded before the shuffle. Ranks are taken inside chunks of equal count and first letters, to
+    which the chunk sizes give their offsets, so no task ranks the whole vocabulary.
     """
     counts = (
         texts.select(F.explode(sequence.tokens(F.col(column))).alias("token"))
         .where(F.col("token") != fixed.END_TOKEN)
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
+        .select("token", "uses", (-F.col("uses")).alias("_less"), F.substring("token", 1, 2).alias("_first"))
     )
-    more_used = Window.orderBy(F.col("uses").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lowest = (
-        counts.groupBy("uses").agg(F.count("*").alias("tokens"))
-        .withColumn("_before", F.coalesce(F.sum("tokens").over(more_used), F.lit(0)))
-        .where(F.col("_before") < size)
-        .agg(F.min("uses").alias("lowest"))
-    )
-    best = counts.where(F.col("uses") >= lowest.scalar()).orderBy(F.col("uses").desc(), "token").limit(size)
-    rank = F.row_number().over(Window.orderBy(F.col("uses").desc(), "token"))
-    return best.select("token", "uses", (rank + (FIRST_ID - 1)).cast("int").alias("token_id"))
+    ranked = number_rows(counts, ["_less", "token"], ["_less", "_first"], "_rank")
+    best = ranked if size is None else ranked.where(F.col("_rank") <= size)
+    return best.select("token", "uses", (F.col("_rank") + (FIRST_ID - 1)).cast("int").alias("token_id"))
 
 
-def vocabulary_encoder(vocabulary_rows: DataFrame) -> Callable[[Column], Column]:
-    """Text to ids by the vocabulary, without shuffling a token.
+def vocabulary_encoder(vocabulary_rows: DataFrame, size: int = COMMON_TOKENS) -> Callable[[Column], Column]:
+    """Text to ids by the ``size`` most frequent tokens, without shuffling a token; others are unknown.
 
-    The vocabulary is cut to its size, which bounds what is sent to every task. Each Arrow batch is
-    looked up as one flat array.
+    The size bounds what is sent to every task. Each Arrow batch is looked up as one flat array.
     """
-    ranked = vocabulary_rows.orderBy("token_id").toPandas()
+    ranked = vocabulary_rows.where(F.col("token_id") < FIRST_ID + size).orderBy("token_id").toPandas()
     known = pa.array(ranked["token"], pa.string())
     ids = pa.array(np.append(ranked["token_id"].to_numpy(np.int32), [END_ID, UNKNOWN_ID]), pa.int32())
     known = pa.concat_arrays([known, pa.array([fixed.END_TOKEN], pa.string())])
@@ -107,6 +101,26 @@ def tokenize_by_words(texts: DataFrame, encode: Callable[[Column], Column]) -> D
     )
 
 
+def tokenize_with_vocabulary(
+    texts: DataFrame, vocabulary_rows: DataFrame, keys: Sequence[str], common: int = COMMON_TOKENS,
+) -> DataFrame:
+    """As :func:`tokenize_by_words`, with an id for every token of the vocabulary, however many it has.
+
+    Common tokens are looked up in place. Only the places of the others are shuffled, to the rare part of the
+    vocabulary and back to their row; none of them is frequent, so no key is hot. ``keys`` name a row.
+    """
+    rows = tokenize_by_words(texts, vocabulary_encoder(vocabulary_rows, common))
+    places = texts.select(*keys, F.posexplode(F.arrays_zip(
+        vocabulary_encoder(vocabulary_rows, common)(F.col("full_text")).alias("id"),
+        sequence.tokens(F.col("full_text")).alias("token")))).where(F.col("col.id") == UNKNOWN_ID)
+    rare = vocabulary_rows.where(F.col("token_id") >= FIRST_ID + common).select("token", "token_id")
+    found = places.select(*keys, "pos", F.col("col.token").alias("token")).join(rare, "token").groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_rare"))
+    patched = F.transform("ids", lambda i, pos: F.coalesce(F.col("_rare")[pos], i))
+    return rows.join(found, list(keys), "left").withColumn(
+        "ids", F.when(F.col("_rare").isNull(), F.col("ids")).otherwise(patched)).drop("_rare")
+
+
 def pad_truncate(tokenized: DataFrame, length: int = fixed.MAX_LENGTH, pad: int = END_ID) -> DataFrame:
     return tokenized.withColumns({
         "input_ids": sequence.input_ids(F.col("ids"), pad, length),

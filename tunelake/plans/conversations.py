@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
@@ -16,7 +17,7 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-@query("conversation_pairs", f"WITH {MESSAGES} SELECT * FROM pairs")
+@query("conversation_pairs", f"WITH {MESSAGES} SELECT conv_id, turn, prompt, response FROM pairs")
 def conversation_pairs(spark, sf_dir):
     return ops.conversation_pairs(messages(spark, sf_dir))
 
@@ -46,9 +47,9 @@ def joined_history(history):
 
 @query("chat_history", f"WITH {MESSAGES}, {HISTORY} SELECT conv_id, turn, message, n_history, history FROM requests")
 def chat_history(spark, sf_dir):
-    rows = ops.chat_history(messages(spark, sf_dir))
+    rows = ops.chat_history(messages(spark, sf_dir), block=4)
     return rows.select(
-        "conv_id", "turn", "message", (F.col("n_before") + F.size("history")).cast("bigint").alias("n_history"),
+        "conv_id", "turn", "message", F.size("history").cast("bigint").alias("n_history"),
         joined_history(F.col("history")).alias("history"),
     )
 
@@ -147,7 +148,7 @@ def persona_lookup(spark, sf_dir):
 def requests(spark, sf_dir):
     """Requests of all user turns, with thinking and adapter switches by conversation."""
     return ops.chat_history(messages(spark, sf_dir)).select(
-        "conv_id", "turn", "message", "history", "n_before",
+        "conv_id", "turn", "message", "history",
         chat.system_prompt(F.when(F.col("conv_id") % 2 == 0, F.lit(" ")).otherwise(F.lit(fixed.PERSONAS["Coder"])))
         .alias("system"),
         (F.col("conv_id") % 3 > 0).alias("enable_thinking"),
@@ -186,13 +187,19 @@ def thinking_mode(spark, sf_dir):
 
 @query("build_messages", f"""WITH {MESSAGES}, {HISTORY}, {BUILT}
 SELECT conv_id, turn, (n_history + CASE WHEN thinking THEN 4 ELSE 2 END)::BIGINT AS n_messages,
-  system || CASE WHEN thinking THEN {sql_text(fixed.THINKING_SUFFIX)} ELSE {sql_text(fixed.DIRECT_SUFFIX)} END AS first,
-  message AS last FROM built""")
+  '<|system|>' || chr(10) || system
+    || CASE WHEN thinking THEN {sql_text(fixed.THINKING_SUFFIX)} ELSE {sql_text(fixed.DIRECT_SUFFIX)} END
+    || '<|endoftext|>' || chr(10)
+    || CASE WHEN thinking THEN '<|user|>' || chr(10) || 'Hello<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)
+         || {sql_text(fixed.ONE_SHOT_ASSISTANT)} || '<|endoftext|>' || chr(10) ELSE '' END
+    || rendered || '<|user|>' || chr(10) || message || '<|endoftext|>' || chr(10) AS said
+FROM built""")
 def build_messages(spark, sf_dir):
     built = ops.build_messages(requests(spark, sf_dir))
     return built.select(
         "conv_id", "turn", F.size("messages").cast("bigint").alias("n_messages"),
-        F.col("messages")[0]["content"].alias("first"), F.element_at("messages", -1)["content"].alias("last"),
+        F.array_join(F.transform("messages", lambda t: F.concat(
+            F.lit("<|"), t["role"], F.lit("|>\n"), t["content"], F.lit("<|endoftext|>\n"))), "").alias("said"),
     )
 
 
@@ -219,6 +226,53 @@ def inference_requests(spark, sf_dir):
     )
 
 
+LONG = """
+long_messages AS (
+  SELECT conv_id % 3 AS conv_id, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id, turn) - 1 AS turn,
+         role, content FROM messages),
+long_spoken AS (
+  SELECT conv_id, turn, role, content AS raw,
+    CASE WHEN role = 'assistant'
+         THEN trim(regexp_replace(content, '(?s)<think>.*?(?:</think>|$)', ''), E' \\t\\n\\r\\f\\v')
+         ELSE content END AS content FROM long_messages),
+long_kept AS (
+  SELECT *, role IN ('user', 'assistant') AND trim(content, E' \\t\\n\\r\\f\\v') <> '' AS keep FROM long_spoken),
+long_history AS (
+  SELECT conv_id, turn, role, raw AS message,
+         string_agg('<|' || role || '|>' || chr(10) || content || '<|endoftext|>' || chr(10), '' ORDER BY turn)
+           FILTER (keep) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+           AS rendered
+  FROM long_kept)
+"""
+
+
+def long_conversations(spark, sf_dir):
+    """Few conversations of many turns: all of one remainder, one after the other."""
+    order = Window.partitionBy(F.col("conv_id") % 3).orderBy("conv_id", "turn")
+    return messages(spark, sf_dir).select(
+        (F.col("conv_id") % 3).alias("conv_id"), (F.row_number().over(order) - 1).cast("bigint").alias("turn"), "role",
+        "content")
+
+
+@query("render_long_prompt", f"""WITH {MESSAGES}, {LONG}
+SELECT conv_id, turn, md5('<|system|>' || chr(10) || {sql_text(fixed.DEFAULT_SYSTEM_PROMPT)}
+  || {sql_text(fixed.DIRECT_SUFFIX)} || '<|endoftext|>' || chr(10) || coalesce(rendered, '')
+  || '<|user|>' || chr(10) || message || '<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)) AS prompt_md5
+FROM long_history WHERE role = 'user' AND turn % 7 < 2""")
+def render_long_prompt(spark, sf_dir):
+    """Prompts of conversations that span several blocks of turns."""
+    rows = ops.chat_history(long_conversations(spark, sf_dir), block=64).where("turn % 7 < 2").withColumns({
+        "system": F.lit(fixed.DEFAULT_SYSTEM_PROMPT), "enable_thinking": F.lit(False),
+        "adapter_loaded": F.lit(False), "template": F.lit(True)})
+    return ops.render_prompts(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("answered_pairs", f"""WITH {MESSAGES}
+SELECT conv_id, turn, prompt, shown AS response FROM pairs""")
+def answered_pairs(spark, sf_dir):
+    return ops.answered_pairs(messages(spark, sf_dir))
+
+
 @query("new_tokens", f"""WITH {MESSAGES}
 SELECT conv_id, turn, response AS generated, length(response)::BIGINT AS n_generated FROM pairs""")
 def new_tokens(spark, sf_dir):

@@ -10,7 +10,7 @@ from tunelake.functions import json_lines as jl
 from tunelake.functions.text import source_label
 from tunelake.operators import curation as ops
 from tunelake.operators.feedback import rating_capture
-from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examples, ingested, ratings
+from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examples, id_sql, ingested, ratings
 from tunelake.plans.registry import query
 from tunelake.session import shared_dir
 from tunelake.sources.jsonl import read_lines, write_lines
@@ -56,7 +56,7 @@ def upload_defaults(spark, sf_dir):
 
 
 @query("ingest_examples", f"""WITH {LINES}
-SELECT sha256(concat_ws(':', '1', seq::VARCHAR, prompt, response)) AS example_id, 1::BIGINT AS batch_id, seq,
+SELECT {id_sql("1", "seq", "prompt", "response")} AS example_id, 1::BIGINT AS batch_id, seq,
        prompt, response, CASE WHEN k IN (3, 4, 5, 6, 7, 8, 9, 10, 17, 19) THEN NULL ELSE score END AS score,
        CASE WHEN k IN (3, 4, 5, 6, 7, 8, 9, 10, 17, 19) THEN NULL ELSE source END AS source, status, issue
 FROM ingested""")

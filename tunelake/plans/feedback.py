@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunelake.operators import feedback as ops
-from tunelake.plans.inputs import RATINGS, ratings, table
+from tunelake.plans.inputs import MESSAGES, RATINGS, id_sql, messages, ratings, table
 from tunelake.plans.registry import query
 
 
@@ -36,7 +36,7 @@ def rating_scores(spark, sf_dir):
 
 
 @query("rating_capture", f"""WITH {RATINGS}
-SELECT sha256(concat_ws(':', '2', message_id, prompt, response)) AS example_id, 2::BIGINT AS batch_id, message_id,
+SELECT {id_sql("2", "message_id", "prompt", "response")} AS example_id, 2::BIGINT AS batch_id, message_id,
        prompt, response, score::DOUBLE AS score, 'human_feedback' AS source
 FROM (SELECT * FROM ratings WHERE score >= 7 AND prompt <> '' AND response <> ''
       QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY ts, score) = 1)""")
@@ -44,6 +44,24 @@ def rating_capture(spark, sf_dir):
     return ops.rating_capture(ratings(spark, sf_dir), 2)
 
 
+def reply_thumbs(spark, sf_dir):
+    """Thumbs on replies; every third reply gets none, every fourth a second one."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant' AND (conv_id + turn) % 3 > 0")
+    thumb = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.lit("down")).otherwise(F.lit("up"))
+    first = turns.select("conv_id", "turn", thumb.alias("direction"), F.lit(1).alias("ts"))
+    return first.unionByName(first.where("turn % 4 = 1").withColumn("ts", F.lit(2)))
+
+
+@query("reply_capture", f"""WITH {MESSAGES},
+rated AS (
+  SELECT to_json([conv_id, turn])::VARCHAR AS message_id, prompt, shown AS response FROM pairs
+  WHERE (conv_id + turn) % 3 > 0 AND (conv_id + turn) % 5 > 0 AND prompt <> '' AND shown <> '')
+SELECT {id_sql("3", "message_id", "prompt", "response")} AS example_id, 3::BIGINT AS batch_id, message_id, prompt,
+       response, 10.0::DOUBLE AS score, 'human_feedback' AS source FROM rated""")
+def reply_capture(spark, sf_dir):
+    return ops.capture_replies(messages(spark, sf_dir), reply_thumbs(spark, sf_dir), 3)
+
+
 @query("feedback_log", f"WITH {RATINGS} SELECT message_id AS id, score, ts FROM ratings")
 def feedback_log(spark, sf_dir):
     return ops.feedback_log(ratings(spark, sf_dir))

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_sql(*parts: str) -> str:
+    """The SQL twin of ``example_id``."""
+    return "sha256(" + " || ".join(
+        f"coalesce(length({part}::VARCHAR)::VARCHAR || ':' || {part}::VARCHAR, '-')" for part in parts) + ")"
+
+
 def as_source(derived: DataFrame) -> DataFrame:
     """Makes derived columns behave like stored ones: computed once, not again in every expression above."""
     return derived.select(F.inline(F.array(F.struct(*derived.columns))))
@@ -79,7 +85,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accepted(ingested(spark, sf_dir))
 
 
-LINES = """
+LINES = f"""
 lines AS (
   SELECT doc_id AS seq, text AS r, doc_id % 37 AS k, doc_id,
          'Write a ' || lang || ' text for ' || source || ' number ' || doc_id AS p
@@ -98,11 +104,12 @@ ingested AS (
     CASE WHEN k IN (11, 12, 15) THEN 'score_not_numeric' END AS issue
   FROM lines),
 examples AS (
-  SELECT sha256(concat_ws(':', '1', seq::VARCHAR, prompt, response)) AS example_id, 1::BIGINT AS batch_id,
+  SELECT {id_sql("1", "seq", "prompt", "response")} AS example_id, 1::BIGINT AS batch_id,
          seq, prompt, response, score, source, issue
   FROM ingested WHERE status = 'accepted'),
 listed AS (
-  SELECT *, coalesce(score >= 7, false) AS usable FROM examples WHERE prompt <> '' AND response <> '')
+  SELECT * REPLACE (coalesce(score, 0) AS score, coalesce(source, '') AS source), coalesce(score >= 7, false) AS usable
+  FROM examples WHERE prompt <> '' AND response <> '')
 """
 
 
@@ -139,7 +146,8 @@ spoken AS (
 kept AS (
   SELECT *, role IN ('user', 'assistant') AND trim(content, E' \\t\\n\\r\\f\\v') <> '' AS keep FROM spoken),
 pairs AS (
-  SELECT conv_id, turn, prompt, response FROM (
+  SELECT conv_id, turn, prompt, response, trim(regexp_replace(response, '(?s)<think>.*?(?:</think>|$)', ''),
+    E' \\t\\n\\r\\f\\v') AS shown FROM (
     SELECT conv_id, turn, role, content AS response, lag(content) OVER w AS prompt, lag(role) OVER w AS prompt_role
     FROM messages WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   WHERE role = 'assistant' AND prompt_role = 'user')
@@ -252,10 +260,12 @@ polls AS (
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored candidates, one request per user, with top-k on for most requests and off for some."""
-    return table(spark, sf_dir, "events").where("value > 0").select(
+    """Scored candidates, one request per user, some of them masked (minus infinity), with top-k on for most requests
+    and off for some."""
+    masked = (F.col("value") <= 0) | (F.col("event_id") % 11 == 0)
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("request_id"), F.col("event_id").alias("candidate"),
-        F.log("value").alias("logit"),
+        F.when(masked, F.lit(float("-inf"))).otherwise(F.log("value")).alias("logit"),
         (F.col("event_type") == "view").alias("used"),
         (F.col("event_type") == "signup").alias("is_end"),
         (F.col("user_id") % 4).alias("n_generated"),
@@ -272,7 +282,7 @@ scores AS (
          CASE WHEN event_type = 'view' THEN CASE WHEN ln(value) > 0 THEN ln(value) / 1.1::DOUBLE
               ELSE ln(value) * 1.1::DOUBLE END ELSE ln(value) END / 0.7::DOUBLE AS score,
          CASE user_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 5000 ELSE 20 END AS top_k
-  FROM events WHERE value > 0 AND NOT (event_type = 'signup' AND user_id % 4 < 2)),
+  FROM events WHERE value > 0 AND event_id % 11 <> 0 AND NOT (event_type = 'signup' AND user_id % 4 < 2)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate) AS rank FROM scores),
 weighed AS (

@@ -10,17 +10,22 @@ from tunelake.operators import sequences as ops
 from tunelake.plans.inputs import LINES, MESSAGES, examples, messages, table
 from tunelake.plans.registry import query
 
-LENGTH = 64
+LENGTH = fixed.MAX_LENGTH
+SHORT = 64
+"""A length that cuts many of the rows here."""
+
+COMMON = 500
+"""Tokens that the queries look up in place, so that both ways of the lookup are taken here."""
 
 
 def sft_rows(spark, sf_dir):
-    return ops.training_text(conversations.conversation_pairs(messages(spark, sf_dir)))
+    return ops.training_text(conversations.answered_pairs(messages(spark, sf_dir)))
 
 
 SFT = f"""{MESSAGES},
 sft AS (
   SELECT conv_id, turn, '<|user|>' || chr(10) || prompt || '<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)
-    AS prefix, prefix || response || '<|endoftext|>' AS full_text FROM pairs),
+    AS prefix, prefix || shown || '<|endoftext|>' AS full_text FROM pairs),
 pieces AS (
   SELECT conv_id, turn, regexp_extract_all(full_text, '<\\|[a-z]+\\|>|[^ \\t\\n\\r\\f<]+|<') AS full_tokens,
          len(regexp_extract_all(prefix, '<\\|[a-z]+\\|>|[^ \\t\\n\\r\\f<]+|<')) AS n_prompt FROM sft),
@@ -28,8 +33,7 @@ flat AS (
   SELECT conv_id, turn, unnest(full_tokens) AS token, generate_subscripts(full_tokens, 1) AS pos FROM pieces),
 vocab AS (
   SELECT token, uses, (row_number() OVER (ORDER BY uses DESC, token) + 1)::INTEGER AS token_id
-  FROM (SELECT token, count(*) AS uses FROM flat WHERE token <> '<|endoftext|>' GROUP BY token)
-  ORDER BY uses DESC, token LIMIT 32000),
+  FROM (SELECT token, count(*) AS uses FROM flat WHERE token <> '<|endoftext|>' GROUP BY token)),
 tokenized AS (
   SELECT conv_id, turn, list(CASE WHEN flat.token = '<|endoftext|>' THEN 0 ELSE coalesce(token_id, 1) END
     ORDER BY pos) AS ids FROM flat LEFT JOIN vocab ON vocab.token = flat.token GROUP BY conv_id, turn),
@@ -52,7 +56,7 @@ def vocabulary(spark, sf_dir):
 
 def tokenized(spark, sf_dir):
     rows = sft_rows(spark, sf_dir)
-    return ops.tokenize_by_words(rows, ops.vocabulary_encoder(ops.vocabulary(rows)))
+    return ops.tokenize_with_vocabulary(rows, ops.vocabulary(rows), ["conv_id", "turn"], COMMON)
 
 
 def joined(ids):
@@ -95,6 +99,16 @@ def label_mask(spark, sf_dir):
                        "fully_masked")
 
 
+@query("label_mask_short", f"""WITH {SFT}
+SELECT conv_id, turn,
+  array_to_string(list_transform(range({SHORT}), lambda i: CASE WHEN i < n_prompt OR i >= n THEN -100 ELSE ids[i + 1] END), ' ')
+    AS labels, n::INTEGER AS n_tokens, n > {SHORT} AS truncated, n_prompt >= least(n, {SHORT}) AS fully_masked FROM rows""")
+def label_mask_short(spark, sf_dir):
+    rows = ops.label_mask(tokenized(spark, sf_dir), SHORT)
+    return rows.select("conv_id", "turn", joined(F.col("labels")).alias("labels"), "n_tokens", "truncated",
+                       "fully_masked")
+
+
 @query("token_budget", f"""WITH {SFT}
 SELECT count(*) AS n_rows, sum(n_prompt)::BIGINT AS prompt_tokens, sum(n - n_prompt)::BIGINT AS response_tokens,
   count(*) FILTER (n > {LENGTH}) AS truncated_rows, count(*) FILTER (n_prompt >= kept) AS fully_masked_rows,

@@ -3,21 +3,7 @@
 RAW_LINE = "value string, file string, seq bigint"
 EXAMPLE = (
     "example_id string, seq bigint, prompt string, response string, score double, source string, issue string, "
-    "batch_id bigint"
-)
-RATING = "message_id string, score int, prompt string, response string, ts timestamp"
-FEEDBACK_LOG = "id string, score int, ts timestamp"
-MESSAGE = "conv_id bigint, turn bigint, role string, content string"
-REQUEST = (
-    "request_id string, message string, enable_thinking boolean, history array<struct<role:string,content:string>>"
+    "writer string, batch_id bigint"
 )
 LOG_LINE = "run_id string, seq bigint, line string"
-RUN_EXIT = "run_id string, exit_code int"
-POLL = "host string, ts timestamp, event_id bigint, ok boolean, status string, model string"
-PARAMETER_CHANGE = "session string, ts timestamp, event_id bigint, value double"
-CANDIDATE = (
-    "request_id string, candidate bigint, logit double, used boolean, is_end boolean, n_generated int, "
-    "temperature double, top_p double, top_k int, repetition_penalty double, min_new_tokens int"
-)
-FEATURES = "id bigint, embedding array<float>, label int"
 ADAPTER = "model string, name string, epoch int, matrix string, row int, values array<double>"

@@ -45,12 +45,23 @@ def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     lines.select(F.col(column).alias("value")).write.mode("errorifexists").text(path)
 
 
-def append_batch(examples: DataFrame, root: str) -> None:
-    """Appends a batch partitioned by ``batch_id``; writing the same batch again replaces it."""
+def append_batch(examples: DataFrame, root: str, writer: str = "upload", replay: bool = False) -> None:
+    """Appends a batch under its writer and ``batch_id``; batches of other writers stay apart.
+
+    A writer's batch that is there already is refused, for it would be lost. Only a ``replay``, a writer that repeats
+    its own batch after a failure, replaces it.
+    """
+    spark = examples.sparkSession
+    rows = examples.withColumn("writer", F.lit(writer))
+    if not replay:
+        there = read_examples(spark, root).where(F.col("writer") == writer).select("batch_id").distinct()
+        taken = rows.select("batch_id").distinct().join(there, "batch_id").first()
+        if taken:
+            raise ValueError(f"writer {writer!r} has written batch {taken['batch_id']} before")
     (
-        examples.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("writer", "batch_id")
         .parquet(root)
     )
 

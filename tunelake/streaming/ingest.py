@@ -17,9 +17,9 @@ from tunelake.sources.jsonl import append_batch
 def ingest_stream(lines: DataFrame, accepted_path: str, quarantine_path: str, checkpoint: str) -> DataStreamWriter:
     """Validates arriving lines and appends them to the accepted or the quarantine table.
 
-    Each micro-batch is one ``batch_id``, and writing a batch replaces it, so a batch repeated after a
-    failure leaves no second copy. The batch is parsed once for both tables. Lines without their own
-    ``seq`` are numbered within the batch.
+    Each micro-batch is one ``batch_id`` of the stream, whose id (kept in its checkpoint) is the writer. A batch
+    repeated after a failure replaces itself, and a new stream, which counts from 0 again, replaces nothing. The
+    batch is parsed once for both tables. Lines without their own ``seq`` are numbered within the batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -27,8 +27,9 @@ def ingest_stream(lines: DataFrame, accepted_path: str, quarantine_path: str, ch
             batch = batch.withColumn("seq", F.monotonically_increasing_id())
         ingested = ingest_examples(batch, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            append_batch(accepted(ingested), accepted_path)
-            append_batch(quarantined(ingested), quarantine_path)
+            writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            append_batch(accepted(ingested), accepted_path, writer, replay=True)
+            append_batch(quarantined(ingested), quarantine_path, writer, replay=True)
         finally:
             ingested.unpersist()
 
