@@ -49,7 +49,7 @@ idfs AS (
 queries AS (
   SELECT query_id, word, idf FROM (
     SELECT doc_id AS query_id, word, idf,
-           row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 9) DESC, word) AS place
+           row_number() OVER (PARTITION BY doc_id ORDER BY round((1 + ln(tf)) * idf, 9) DESC, word) AS place
     FROM counts JOIN idfs USING (word) WHERE df >= 5 AND doc_id % 50 = 0)
   WHERE place <= 16),
 scored AS (
