@@ -525,7 +525,9 @@ def _pick(table: pa.Table, kept: pa.Table, keep: list[str]) -> pa.Table:
             if digest in nodes[number]:
                 nodes[number].discard(digest)
                 chosen.append(row)
-    return blocks.opened(table.take(pa.array(sorted(chosen), pa.int64()))).select(keep)
+    found = blocks.opened(table.take(pa.array(sorted(chosen), pa.int64()))).select(keep)
+    place = found.schema.get_field_index("_text")
+    return found.set_column(place, "_text", found["_text"].cast(pa.binary()))
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

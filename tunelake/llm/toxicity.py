@@ -7,8 +7,8 @@ in lower case without accents) that is counted over all documents. Tokens of pla
 pass as they are.
 
 Scorer: logistic regression on the restored text's words and word beginnings (hashed, present or not). It is fitted
-on at most ``max_training_rows`` labelled rows, those of the lowest hash of their key; features are the
-``max_features`` with the largest chi-square against the label.
+on at most ``max_training_rows`` labelled rows, those of the lowest hash of their key; features are the ``max_features``
+that go with the label most by chi-square. Weights are not negative: words are evidence for toxicity or none.
 
 The language model is bounded by its alphabet (``28 ** 4`` counts), the scorer by its features; both are sent to all
 tasks.
@@ -199,14 +199,22 @@ def _suspicious(part: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[:-1] = disguise[:-1] & letter[1:]
     token = (has(letter) & (has(mixed & ~_is_start(starts, len(data))) | has(first))) | has(triple)
     single = ((ends - starts) == 1) & (letter[starts] | disguise[starts])
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(letter | disguise, out=letters[1:])
+    # The last of some letters apart may have punctuation behind it.
+    last = single | (((ends - starts) <= 4) & letter[starts] & (letters[np.minimum(starts + 1, ends)] - letters[starts] == 1)
+                     & ~letter[np.minimum(starts + 1, len(data) - 1)])
     owner = np.repeat(np.arange(part.size), np.diff(bounds))
     joined = np.zeros(len(starts) + 1, bool)
-    joined[1:-1] = single[1:] & single[:-1] & (owner[1:] == owner[:-1]) & (starts[1:] - ends[:-1] == 1)
-    heads = np.flatnonzero(single & ~joined[:-1])
-    tails = np.flatnonzero(single & ~joined[1:])
+    joined[1:-1] = last[1:] & single[:-1] & (owner[1:] == owner[:-1]) & (starts[1:] - ends[:-1] == 1)
+    heads = np.flatnonzero(last & ~joined[:-1])
+    tails = np.flatnonzero(last & ~joined[1:])
     long = tails - heads >= 2
     heads, tails = heads[long], tails[long]
-    plain = np.flatnonzero(token & ~single)
+    covered = np.zeros(len(starts) + 1, np.int32)
+    np.add.at(covered, heads, 1)
+    np.add.at(covered, tails + 1, -1)
+    plain = np.flatnonzero(token & ~single & (np.cumsum(covered)[:-1] == 0))
     low = np.concatenate([starts[plain], starts[heads]])
     high = np.concatenate([ends[plain], ends[tails]])
     spaced = np.concatenate([np.zeros(len(plain), bool), np.ones(len(heads), bool)])
@@ -244,7 +252,7 @@ def restored(part: texts.Slice, restorer: Restorer) -> texts.Slice:
             token = raw[a:b].decode("ascii")
         except UnicodeDecodeError:
             continue
-        head, core, tail = ("", token.replace(" ", ""), "") if apart else _core(token)
+        head, core, tail = _core(token.replace(" ", ""))
         if core.isalpha() and not apart and not any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2)):
             continue
         new = (head + (core if core.isdigit() or len(core) > 64 else restorer.restore(core)) + tail).encode()
@@ -293,7 +301,7 @@ def _fit(table: pa.Table, max_features: int) -> pa.Table:
     have1 = np.bincount(values, label[owner], 1 << FEATURE_BITS)
     expected = have * n1 / max(n, 1)
     spread = np.maximum(expected * (1 - have / max(n, 1)) * (1 - n1 / max(n, 1)), 1e-9)
-    score = np.where(have >= 3, (have1 - expected) ** 2 / spread, 0)
+    score = np.where((have >= 3) & (have1 > expected), (have1 - expected) ** 2 / spread, 0)
     chosen = np.argsort(-score, kind="stable")[:max_features]
     chosen = np.sort(chosen[score[chosen] > 4])
     place = np.full(1 << FEATURE_BITS, -1)
@@ -311,6 +319,7 @@ def _fit(table: pa.Table, max_features: int) -> pa.Table:
             slope = np.append(np.bincount(columns, error[rows], len(chosen)), error.sum()) / n
             slope[:-1] += 2e-5 * point[:-1]
             new = point - step * 4 * slope
+            new[:-1] = np.maximum(new[:-1], 0)
             point = new + (turn - 1) / (turn + 2) * (new - moment) if turn > 1 else new
             moment = new
         point = moment
