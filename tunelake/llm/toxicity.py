@@ -313,11 +313,11 @@ def _fit(table: pa.Table, max_features: int) -> pa.Table:
     point = ahead.copy()
     if n:
         step = 4.0 / max(1.0, np.bincount(rows, minlength=n).max(initial=1))
-        for turn in range(1, 401):
+        for turn in range(1, 2001):
             margin = np.bincount(rows, point[columns], n) + point[-1]
             error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - label)
             slope = np.append(np.bincount(columns, error[rows], len(chosen)), error.sum()) / n
-            slope[:-1] += 2e-5 * point[:-1]
+            slope[:-1] += 1e-5 * point[:-1]
             new = point - step * 4 * slope
             new[:-1] = np.maximum(new[:-1], 0)
             point = new + (turn - 1) / (turn + 2) * (new - moment) if turn > 1 else new
