@@ -161,3 +161,11 @@ def test_search_takes_wildcards_literally(spark):
 def test_nan_score_is_not_usable(spark):
     rows = spark.createDataFrame([(float("nan"),), (7.0,), (None,)], "score double")
     assert [r[0] for r in rows.select(jl.usable(F.col("score"))).collect()] == [False, True, False]
+
+
+def test_exact_duplicates(spark):
+    rows = [("a", 1, 0, "Hi  there", "x"), ("b", 1, 1, "hi there", " X\n"), ("c", 2, 0, "hi there", "y"),
+            ("d", 2, 1, "hi", " there x"), ("e", 1, 5, None, ""), ("f", 1, 4, "", None)]
+    examples = spark.createDataFrame(rows, "example_id string, batch_id bigint, seq bigint, prompt string, response string")
+    found = {(r["first_id"], r["n_examples"]) for r in ops.exact_duplicates(examples).collect()}
+    assert found == {("a", 2), ("f", 2)}

@@ -163,3 +163,16 @@ def readiness(examples: DataFrame) -> DataFrame:
         .when(F.col("eligible") < fixed.CONSISTENT_SIZE, F.lit("quick test"))
         .otherwise(F.lit("consistent style")),
     )
+
+
+def exact_duplicates(examples: DataFrame, min_size: int = 2) -> DataFrame:
+    """Groups of examples with the same prompt and response, white space and letter case aside: the group's size and
+    its first example. One row per group; only hashes are shuffled, folded by each task first."""
+    prompt, response = (
+        F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"[ \t\n\r\f]+", " ")))
+        for name in ("prompt", "response")
+    )
+    text = F.sha2(F.concat(F.char_length(prompt).cast("string"), F.lit(":"), prompt, response), 256)
+    groups = examples.select(text.alias("text_hash"), "example_id", "batch_id", "seq").groupBy("text_hash").agg(
+        F.count("*").alias("n_examples"), F.min_by("example_id", F.struct("batch_id", "seq")).alias("first_id"))
+    return groups.where(F.col("n_examples") >= min_size)

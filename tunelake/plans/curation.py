@@ -10,7 +10,7 @@ from tunelake.functions import json_lines as jl
 from tunelake.functions.text import source_label
 from tunelake.operators import curation as ops
 from tunelake.operators.feedback import rating_capture
-from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examples, id_sql, ingested, ratings
+from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examples, id_sql, ingested, ratings, table
 from tunelake.plans.registry import query
 from tunelake.session import shared_dir
 from tunelake.sources.jsonl import read_lines, write_lines
@@ -177,3 +177,26 @@ SELECT source, eligible, CASE WHEN eligible < 10 THEN 'too few' WHEN eligible <
 FROM (SELECT source, count(*) FILTER (usable) AS eligible FROM listed GROUP BY source)""")
 def readiness(spark, sf_dir):
     return ops.readiness(examples(spark, sf_dir))
+
+
+DUPLICATES = r"""
+WITH normal AS (
+  SELECT doc_id, lower(trim(regexp_replace('Write a ' || lang || ' text', '[ \t\n\r\f]+', ' ', 'g'))) AS p,
+         lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f]+', ' ', 'g'))) AS r FROM documents)
+SELECT sha256(length(p)::VARCHAR || ':' || p || r) AS text_hash, count(*) AS n_examples,
+       arg_min(doc_id::VARCHAR, doc_id) AS first_id
+FROM normal GROUP BY p, r
+"""
+
+
+def document_examples(spark, sf_dir):
+    """Each document as the answer to a request for a text in its language."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("example_id"), F.lit(1).cast("bigint").alias("batch_id"),
+        F.col("doc_id").alias("seq"), F.concat(F.lit("Write a "), "lang", F.lit(" text")).alias("prompt"),
+        F.col("text").alias("response"))
+
+
+@query("exact_duplicates", DUPLICATES)
+def exact_duplicates(spark, sf_dir):
+    return ops.exact_duplicates(document_examples(spark, sf_dir), min_size=1)
