@@ -400,21 +400,13 @@ def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tupl
     vectors, links = _Vectors([row[7] for row in group], n_docs), []
     label = np.arange(len(group))
     first, second = first[order], second[order]
-    at = 0
-    while at < len(first):
-        # Pairs that are joined by now are passed over in one go.
-        rest = np.flatnonzero(label[first[at:]] != label[second[at:]])
-        if not len(rest):
-            break
-        for place in (at + rest).tolist():
-            i, j = int(first[place]), int(second[place])
+    for at in range(0, len(first), 4096):
+        some, others = first[at: at + 4096], second[at: at + 4096]
+        apart = np.flatnonzero(label[some] != label[others])
+        for i, j in zip(some[apart].tolist(), others[apart].tolist(), strict=True):
             if label[i] != label[j] and vectors.similarity(i, j) >= threshold - 1e-9:
                 links.append((group[i][5], group[j][5]))
                 label[label == label[j]] = label[i]
-                break
-        else:
-            break
-        at = place + 1
     return links
 
 
@@ -457,7 +449,8 @@ def _rooted(
     n, n_docs = blocks.n_ranges(docs), docs.count()
     blocked = blocks.in_blocks(docs, key, F.col(text), [])
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n), MESSAGE)
-    answers = asked.groupBy("_range").applyInArrow(lambda t: _count(t), MESSAGE)
+    answers = asked.groupBy("_range").applyInArrow(lambda t: _count(t), MESSAGE).repartition(
+        blocks.partitions(docs), "_block")
     schema = "_id long, node binary, samples binary"
     sketched = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         lambda t, a: _sketch(t, a, n, n_docs, bands, rows), schema)
@@ -475,7 +468,7 @@ def _rooted(
         "band", "part", F.col("met").desc(), "node").mapInArrow(
         lambda b: _candidates(b, bands * rows), "a binary, b binary").distinct()
     stored = settle(
-        answers.withColumn("kind", F.lit("answer"))
+        answers.mapInArrow(_same, MESSAGE).withColumn("kind", F.lit("answer"))
         .unionByName(dealt.mapInArrow(_same, schema).select("_id", "node", F.lit("row").alias("kind")), True)
         .unionByName(nodes.join(central, "node").select(
             "_id", "node", "samples", "met", "home", F.lit("met").alias("kind")), True)
