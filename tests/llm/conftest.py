@@ -1,14 +1 @@
-from __future__ import annotations
-
-import pytest
-
-
-@pytest.fixture(scope="session")
-def doc_rows(spark):
-    """Makes a documents table from (doc_id, text[, lang, source]) tuples."""
-
-    def make(rows, schema="doc_id long, text string, lang string, source string, n_chars long"):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
-        return spark.createDataFrame(full, schema)
-
-    return make
+"""The session and the data folder come from the tests above."""
