@@ -22,9 +22,9 @@ def plan(df) -> str:
 BATCH = [name for name in QUERIES if not name.startswith(("stream_", "adapter_fit", "adapter_accuracy", "scan_"))]
 
 
-# Queries whose only unpartitioned windows run over summaries: chunk counts and the cut vocabulary.
+# Queries whose only unpartitioned windows run over summaries: chunk counts.
 SUMMARY_WINDOWS = {
-    "list_examples", "vocabulary", "tokenize", "pad_truncate", "label_mask", "token_budget",
+    "list_examples", "vocabulary", "tokenize", "pad_truncate", "label_mask", "label_mask_short", "token_budget",
 }
 UNPARTITIONED = re.compile(r"Arguments: [^\n]*windowspecdefinition\((?:\w+#\d+L?|\d+) (?:ASC|DESC)")
 
