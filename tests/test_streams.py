@@ -72,18 +72,18 @@ def test_late_log_line_does_not_replace_a_newer_one(spark, tmp_path):
 
 
 def test_status_state_spans_micro_batches(spark, tmp_path):
-    schema = "host string, ts timestamp, ok boolean, status string, model string"
+    schema = "host string, ts timestamp, event_id bigint, ok boolean, status string, model string"
     batches = [
-        [("h", at(1), True, "loading", None), ("h", at(2), False, None, None), ("g", at(1), False, None, None)],
-        [("h", at(3), False, None, None), ("h", at(4), False, None, None), ("g", at(2), True, "idle", None)],
-        [("h", at(5), True, "ready", "m"), ("h", at(2), True, "error", "late"), ("g", at(3), False, None, None)],
-        [("h", at(6), True, "loading", "m"), ("h", at(7), True, "error", None)],
+        [("h", at(1), 1, True, "loading", None), ("h", at(2), 2, False, None, None), ("g", at(1), 3, False, None, None)],
+        [("h", at(3), 4, False, None, None), ("h", at(4), 5, False, None, None), ("g", at(2), 6, True, "idle", None)],
+        [("h", at(5), 7, True, "ready", "m"), ("h", at(2), 8, True, "error", "late"), ("g", at(3), 9, False, None, None), ("k", at(3), 10, False, None, None), ("k", at(3), 11, False, None, None)],
+        [("h", at(6), 12, True, "loading", "m"), ("h", at(7), 13, True, "error", None)],
     ]
     out = run(spark, live.status_stream(feed(spark, tmp_path / "in", batches, schema)), tmp_path)
     got = [(r["host"], int(r["ts"].timestamp() - at(0).timestamp()), r["event"]) for r in
            out.withColumn("ts", F.col("ts")).collect()]
     assert sorted(got) == [("h", 3, "offline"), ("h", 5, "loaded"), ("h", 5, "model_changed"), ("h", 5, "online"),
-                           ("h", 7, "failed"), ("h", 7, "model_changed")]
+                           ("h", 7, "failed"), ("h", 7, "model_changed"), ("k", 3, "offline")]
 
 
 @pytest.mark.parametrize("gap, applied", [(399, [(2, 9.0)]), (401, [(1, 5.0), (2, 9.0)])])

@@ -111,17 +111,17 @@ def stream_debounce(spark, sf_dir):
 
 @query("stream_status", """
 WITH polls AS (
-  SELECT 'host-' || user_id AS host, ts, event_type <> 'error' AS ok,
+  SELECT 'host-' || user_id AS host, ts, event_id, event_type <> 'error' AS ok,
          CASE event_type WHEN 'signup' THEN 'starting' WHEN 'click' THEN 'loading' WHEN 'view' THEN 'ready'
                          WHEN 'purchase' THEN 'error' END AS status,
          'org/model-' || ((user_id + event_id) % 3) AS model FROM events),
 good AS (
   SELECT *, lag(status) OVER w AS prev_status, lag(model) OVER w AS prev_model FROM polls WHERE ok
-  WINDOW w AS (PARTITION BY host ORDER BY ts)),
-numbered AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY host ORDER BY ts) AS successes FROM polls),
+  WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY host ORDER BY ts, event_id) AS successes FROM polls),
 spells AS (
   SELECT host, successes, ts AS hit FROM numbered WHERE NOT ok
-  QUALIFY row_number() OVER (PARTITION BY host, successes ORDER BY ts) = 2)
+  QUALIFY row_number() OVER (PARTITION BY host, successes ORDER BY ts, event_id) = 2)
 SELECT host, ts, CASE status WHEN 'ready' THEN 'loaded' ELSE 'failed' END AS event FROM good
 WHERE prev_status IN ('starting', 'loading') AND status IN ('ready', 'error')
 UNION ALL SELECT host, ts, 'model_changed' FROM good WHERE model IS DISTINCT FROM prev_model

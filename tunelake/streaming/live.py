@@ -39,14 +39,15 @@ def debounce_stream(
 
 
 STATUS_EVENTS = "host string, ts timestamp, event string"
-STATUS_STATE = "micros bigint, status string, model string, failures int"
+STATUS_STATE = "micros bigint, event_id bigint, status string, model string, failures int"
 
 
 def status_stream(polls: DataFrame) -> DataFrame:
     """Events of each host as its polls arrive: ``loaded``, ``failed``, ``model_changed``, ``offline``, ``online``.
 
-    Needs host, ts, ok, status and model (status and model only where ok). State is the last poll of a
-    host; polls older than it are passed over. One host's polls of one micro-batch meet in a task, so bound
+    Needs host, ts, event_id, ok, status and model (status and model only where ok). Polls go by (ts, event_id), as in
+    the batch form. State is the last poll of a host; polls that arrive in a later micro-batch than a newer poll
+    are passed over. One host's polls of one micro-batch meet in a task, so bound
     the micro-batch (files per trigger) by what a task may hold. Append mode.
     """
     return polls.groupBy("host").applyInPandasWithState(
@@ -55,14 +56,14 @@ def status_stream(polls: DataFrame) -> DataFrame:
 
 
 def _status_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    micros, status, model, failures = state.get if state.exists else (-1, "idle", None, 0)
+    micros, event_id, status, model, failures = state.get if state.exists else (-1, -1, "idle", None, 0)
     events = []
-    polls = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    polls = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for poll in polls.itertuples(index=False):
         at = poll.ts.value // 1000
-        if at <= micros:
+        if (at, poll.event_id) <= (micros, event_id):
             continue
-        micros = at
+        micros, event_id = at, int(poll.event_id)
         if not poll.ok:
             failures += 1
             if failures == fixed.OFFLINE_AFTER:
@@ -77,7 +78,7 @@ def _status_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
         if current != model:
             events.append((poll.ts, "model_changed"))
         status, model = poll.status, current
-    state.update((micros, status, model, failures))
+    state.update((micros, event_id, status, model, failures))
     yield pd.DataFrame(
         {"host": [key[0]] * len(events), "ts": pd.to_datetime([e[0] for e in events]),
          "event": [e[1] for e in events]}
