@@ -13,20 +13,23 @@ from pyspark.sql import functions as F
 
 from tunelake.llm import bpe, mixing, near_dedup, quality, suffix_dedup
 from tunelake.llm.queries_format import tokenizer
-from tunelake.llm.registry import table
-from tunelake.session import prepare, shared_dir
+from tunelake.llm.registry import ready, table
+from tunelake.session import shared_dir
 
 
 def quality_rules(spark, docs, sf_dir):
+    ready(spark)
     return quality.select_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark, docs, sf_dir):
+    ready(spark)
     return near_dedup.keep_first(docs)
 
 
 def repeated_passages(spark, docs, sf_dir):
     """Texts without the passages that an earlier document has, cut at whole characters."""
+    ready(spark)
     rest = [name for name in docs.columns if name not in ("doc_id", "text", "n_chars")]
     cut = suffix_dedup.remove_repeats(docs, keep=rest, whole_chars=True)
     text = F.col("kept").cast("string")
@@ -38,7 +41,7 @@ def mixture(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    ranks, pattern = tokenizer(spark)
+    ranks, pattern = tokenizer(ready(spark))
     ids = bpe.encode(docs, ranks, pattern, keep=["doc_id", "lang", "source"])
     return bpe.decode(ids, ranks).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
@@ -58,8 +61,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``. What passes between two stages is stored in the cluster's shared folder."""
-    prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")

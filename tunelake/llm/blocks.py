@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunelake.llm.texts import release
+
 BLOCKS_PER_PARTITION = 4
 """Blocks are several per partition, so that hashing them to partitions leaves these even. Ranges are one per
 partition: a block writes one message to each, and messages should stay few."""
@@ -63,6 +65,7 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                       for v in some.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *some.columns[1:]],
                                              names=some.schema.names)
+    release()
 
 
 def opened(table: pa.Table) -> pa.Table:

@@ -22,9 +22,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tunelake.llm.texts import worker_cache
+from tunelake.llm.texts import release, worker_cache
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 200_000
 ROWS = 500
 """Texts encoded at a time."""
 MEMO_CHARS = 64
@@ -170,8 +170,12 @@ class ByteBpe:
             return b"".join(map(self.piece_bytes.__getitem__, self.pieces.findall(text)))
         return b"".join(map(self.piece_bytes.__getitem__, self.pieces.findall(first))) + rest
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def forget(self) -> None:
+        """Drops what is remembered of texts; the worker waits for its next task without it."""
+        self.piece_bytes.clear()
+        self.chunk_bytes.clear()
+        self._fits.clear()
+        release()
 
 
 def _name(ranks, purpose: str) -> str:
@@ -220,6 +224,7 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", keep: list[st
             ids = [bpe.encode(value or "") for value in batch.column(0).to_pylist()]
             columns = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, _int_lists(ids)], names=[*kept, "ids"])
+        bpe.forget()
 
     return base.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
 
@@ -237,5 +242,6 @@ def decode(df: DataFrame, ranks, ids: str = "ids") -> DataFrame:
             found = pa.array([b"".join(map(token, values[a:b].tolist()))
                               for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, "bytes"])
+        release()
 
     return base.mapInArrow(run, ", ".join([*fields, "bytes binary"]))

@@ -90,6 +90,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             found = [pa.array(values.astype(np.int64)) for values in _features(part).values()]
             kept = [column.slice(part.first, part.size) for column in rest]
             yield pa.RecordBatch.from_arrays(kept + found, names=batch.schema.names[1:] + list(FEATURES))
+    texts.release()
 
 
 def text_features(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

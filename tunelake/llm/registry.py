@@ -14,9 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = 1_000
+ARROW_BYTES = "8m"
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """A prepared session that hands texts to Python in small batches: workers of two cores share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return prepare(spark)
+
+
 def query(name: str, sql: str | None = None):
     def register(run: Run) -> Run:
-        QUERIES[name] = Query(lambda spark, sf_dir: run(prepare(spark), sf_dir), sql)
+        QUERIES[name] = Query(lambda spark, sf_dir: run(ready(spark), sf_dir), sql)
         return run
 
     return register
