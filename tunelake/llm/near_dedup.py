@@ -308,10 +308,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.
 
     def close():
         if len(group) > 1 and fresh:
+            label = np.arange(len(group))
             for parent, child in _forest(group, least):
-                a, b = group[parent], group[child]
-                if a[2] != b[2]:
-                    out.append((a[2], b[2]))
+                label[label == label[child]] = label[parent]
+            out.extend(_stars([row[2] for row in group], label))
 
     def table():
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()),
@@ -389,7 +389,7 @@ class _Vectors:
 
 
 def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tuple[bytes, bytes]]:
-    """Links of a group that join all that its links can join: pairs are verified in the order of their samples'
+    """What the links of a group join, as links to the smallest node: pairs are verified in the order of their samples'
     agreement, unless earlier links join the two already."""
     drawn = np.frombuffer(b"".join(row[6] for row in group), np.uint16).reshape(len(group), -1)
     agree = np.zeros((len(group), len(group)), np.int16)
@@ -397,7 +397,7 @@ def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tupl
         agree += drawn[:, k, None] == drawn[None, :, k]
     first, second = np.nonzero(np.triu(agree >= DOUBT * drawn.shape[1], 1))
     order = np.argsort(-agree[first, second], kind="stable")
-    vectors, links = _Vectors([row[7] for row in group], n_docs), []
+    vectors = _Vectors([row[7] for row in group], n_docs)
     label = np.arange(len(group))
     first, second = first[order], second[order]
     for at in range(0, len(first), 4096):
@@ -405,9 +405,17 @@ def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tupl
         apart = np.flatnonzero(label[some] != label[others])
         for i, j in zip(some[apart].tolist(), others[apart].tolist(), strict=True):
             if label[i] != label[j] and vectors.similarity(i, j) >= threshold - 1e-9:
-                links.append((group[i][5], group[j][5]))
                 label[label == label[j]] = label[i]
-    return links
+    return _stars([row[5] for row in group], label)
+
+
+def _stars(nodes: list[bytes], label: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Every node of a class linked to its smallest one, so that later rounds over links stay few."""
+    classes: dict[int, list[bytes]] = {}
+    for node, one in zip(nodes, label.tolist(), strict=True):
+        classes.setdefault(one, []).append(node)
+    return [(low, node) for members in classes.values() if len(members) > 1 for low in [min(members)]
+            for node in members if node != low]
 
 
 def _linked(batches: Iterator[pa.RecordBatch], n_docs: int, threshold: float) -> Iterator[pa.RecordBatch]:
