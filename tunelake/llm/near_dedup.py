@@ -16,11 +16,12 @@ of thousands share shingles that the group itself makes frequent, and a steep ID
 4. The vectors of a candidate component meet, each of them sent once. Pairs are verified in the order of their samples'
    agreement unless links join them already: links are pairs whose weighted Jaccard reaches ``threshold``.
    Components and buckets of any size are walked in groups of bounded size that share the most central nodes.
-5. Classes are the connected components of the links.
+5. In a component of more than a group, pairs that met in no group and that links do not join yet meet in units: each
+   tile of nodes outside the largest class with every tile. All of them whose samples agree enough are verified.
+6. Classes are the connected components of the links.
 
-Within a group of 1,024 nodes no link of two classes is lost but by the samples: 0.4 % of the pairs at 0.8 exactly share
-no band or agree in too few samples, and less above. Over more nodes, links to the 32 most central nodes or within
-a group join the rest.
+Within a candidate component, however large, no link of two classes is lost but by the samples: 0.4 % of the pairs at
+0.8 exactly share no band or agree in too few samples, and less above.
 """
 
 from __future__ import annotations
@@ -335,14 +336,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], samples: int) -> Iterator[pa.
         yield table()
 
 
-VECTORS = ("root binary, part int, home_n long, home_band long, met long, node binary, samples binary, payload binary")
-_ASKED = ("root", "part", "home_n", "home_band", "met", "node", "samples")
+ASKED = "root binary, part int, home_n long, home_band long, met long, node binary, samples binary"
+UNIT = "root binary, low long, high long, tile long, class binary, node binary, samples binary"
 
 
 @texts.releasing
-def _vectors(table: pa.Table, given: pa.Table, n: int) -> pa.Table:
-    """Step 4 of a block: the vectors that are asked for, with what the request says about them."""
-    asked = given.filter(pc.is_null(given["_range"])).select([*_ASKED, "_id"])
+def _vectors(table: pa.Table, given: pa.Table, n: int, shown: list[str]) -> pa.Table:
+    """Steps 4 and 5 of a block: the vectors that are asked for, with what the request says about them."""
+    asked = given.filter(pc.is_null(given["_range"])).select([*shown, "_id"])
     wanted: dict[bytes, list[dict]] = {}
     for row in asked.to_pylist():
         wanted.setdefault(row["node"], []).append(row)
@@ -360,10 +361,9 @@ def _vectors(table: pa.Table, given: pa.Table, n: int) -> pa.Table:
                     order = np.argsort(short, kind="stable")
                     vector = blocks.pack(np.diff(short[order], prepend=np.uint32(0)),
                                          counts[a:b][order].astype(np.uint32), levels[a:b][order])
-                    out += [{key: row[key] for key in _ASKED} | {"payload": vector} for row in requests]
-    return pa.Table.from_pylist(out, pa.schema([
-        ("root", pa.binary()), ("part", pa.int32()), ("home_n", pa.int64()), ("home_band", pa.int64()),
-        ("met", pa.int64()), ("node", pa.binary()), ("samples", pa.binary()), ("payload", pa.binary())]))
+                    out += [{key: row[key] for key in shown} | {"payload": vector} for row in requests]
+    return pa.Table.from_pylist(out, pa.schema(
+        [asked.schema.field(key) for key in shown] + [pa.field("payload", pa.binary())]))
 
 
 class _Vectors:
@@ -391,22 +391,37 @@ class _Vectors:
 def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tuple[bytes, bytes]]:
     """What the links of a group join, as links to the smallest node: pairs are verified in the order of their samples'
     agreement, unless earlier links join the two already."""
-    drawn = np.frombuffer(b"".join(row[6] for row in group), np.uint16).reshape(len(group), -1)
-    agree = np.zeros((len(group), len(group)), np.int16)
+    vectors = _Vectors([row[7] for row in group], n_docs)
+    label = np.arange(len(group))
+    for _ in _joins(*_open_pairs([row[6] for row in group], label), label,
+                    lambda i, j: vectors.similarity(i, j) >= threshold - 1e-9):
+        pass
+    return _stars([row[5] for row in group], label)
+
+
+def _open_pairs(samples: list[bytes], label: np.ndarray, tile: np.ndarray | None = None):
+    """Pairs of different labels (and tiles, if there are several) whose samples agree enough, best agreement first."""
+    drawn = np.frombuffer(b"".join(samples), np.uint16).reshape(len(samples), -1)
+    agree = np.zeros((len(drawn), len(drawn)), np.int16)
     for k in range(drawn.shape[1]):
         agree += drawn[:, k, None] == drawn[None, :, k]
-    first, second = np.nonzero(np.triu(agree >= DOUBT * drawn.shape[1], 1))
+    may = np.triu(agree >= int(DOUBT * drawn.shape[1]), 1) & (label[:, None] != label[None, :])
+    if tile is not None and tile.min() != tile.max():
+        may &= tile[:, None] != tile[None, :]
+    first, second = np.nonzero(may)
     order = np.argsort(-agree[first, second], kind="stable")
-    vectors = _Vectors([row[7] for row in group], n_docs)
-    label = np.arange(len(group))
-    first, second = first[order], second[order]
+    return first[order], second[order]
+
+
+def _joins(first: np.ndarray, second: np.ndarray, label: np.ndarray, sure) -> Iterator[tuple[int, int]]:
+    """Pairs that are sure and join two labels; joins them in ``label``."""
     for at in range(0, len(first), 4096):
         some, others = first[at: at + 4096], second[at: at + 4096]
         apart = np.flatnonzero(label[some] != label[others])
         for i, j in zip(some[apart].tolist(), others[apart].tolist(), strict=True):
-            if label[i] != label[j] and vectors.similarity(i, j) >= threshold - 1e-9:
+            if label[i] != label[j] and sure(i, j):
                 label[label == label[j]] = label[i]
-    return _stars([row[5] for row in group], label)
+                yield i, j
 
 
 def _stars(nodes: list[bytes], label: np.ndarray) -> list[tuple[bytes, bytes]]:
@@ -450,6 +465,72 @@ def _same(batches):
     yield from batches
 
 
+def _units(rows: DataFrame, by: str) -> DataFrame:
+    """Deals the nodes of each ``by`` to units (``low``, ``high``) of about ``GROUP`` nodes, so that every two nodes of
+    different classes meet in one unit. The nodes of the largest class need not meet each other; where there is no other
+    class, there are no units."""
+    half = max(GROUP // 2, 1)
+    n = rows.groupBy(by, "class").agg(F.count("*").alias("n"))
+    n = n.groupBy(by).agg(F.sum("n").alias("whole"), F.max(F.struct("n", "class")).alias("most")).where("whole > most.n")
+    few = F.col("whole") <= GROUP
+    sizes = n.select(by, F.col("most.class").alias("main"),
+                     F.when(few, 1).otherwise(F.ceil((F.col("whole") - F.col("most.n")) / half)).alias("rests"),
+                     F.when(few, 0).otherwise(F.ceil(F.col("most.n") / half)).alias("mains"))
+    drawn = F.xxhash64("node", F.lit(5))
+    main = (F.col("class") == F.col("main")) & (F.col("mains") > 0)
+    tile = F.when(main, F.col("rests") + F.pmod(drawn, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(drawn, "rests"))
+    last = F.when(F.col("tile") < F.col("rests"), F.col("rests") + F.col("mains")).otherwise(F.col("rests")) - 1
+    return rows.join(sizes, by).withColumn("tile", tile).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumns(
+        {"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("main", "rests", "mains", "other")
+
+
+def _by_unit(units: DataFrame, by: str, partitions: int) -> DataFrame:
+    return units.repartition(partitions, by, "low", "high").sortWithinPartitions(by, "low", "high", "node")
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of one unit after the other: by, low, high, tile, class, node, samples and more."""
+    unit: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if unit and unit[0][:3] != row[:3]:
+                yield unit
+                unit = []
+            unit.append(row)
+    if unit:
+        yield unit
+
+
+def _unit_pairs(unit: list[tuple]):
+    """The open pairs of a unit, and its rows' labels by class."""
+    label = np.unique(np.array([row[4].hex() for row in unit]), return_inverse=True)[1]
+    return *_open_pairs([row[6] for row in unit], label, np.array([row[3] for row in unit])), label
+
+
+def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit that are in an open pair."""
+    for unit in _unit_rows(batches):
+        first, second, _ = _unit_pairs(unit)
+        if len(first):
+            rows = [unit[i] for i in np.union1d(first, second)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (
+                    pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()),
+                    strict=True)], names=["root", "low", "high", "tile", "class", "node", "samples", "_id"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], n_docs: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links that join classes in a unit; every open pair is verified unless links join it already."""
+    for unit in _unit_rows(batches):
+        first, second, label = _unit_pairs(unit)
+        vectors = _Vectors([row[7] for row in unit], n_docs)
+        found = [(unit[i][5], unit[j][5]) for i, j in _joins(
+            first, second, label, lambda i, j, v=vectors: v.similarity(i, j) >= threshold - 1e-9)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()),
+                                          pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
+
+
 def _rooted(
     docs: DataFrame, key: str, text: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
@@ -497,13 +578,32 @@ def _rooted(
         "home_band")).drop("home").withColumn("_block", blocks.block_of(
         F.col("_id"), blocks.partitions(docs) * blocks.BLOCKS_PER_PARTITION))
     given = stored.where("kind = 'answer'").select("_range", "_block", "payload").unionByName(requests, True)
+    said = [name.split()[0] for name in ASKED.split(", ")]
     vectors = blocked.groupBy("_block").cogroup(given.groupBy("_block")).applyInArrow(
-        lambda t, g: _vectors(t, g, n), VECTORS)
+        lambda t, g: _vectors(t, g, n, said), ASKED + ", payload binary")
     links = settle(vectors.repartition(blocks.partitions(docs), "root", "part").sortWithinPartitions(
         "root", "part", F.col("home_n").desc(), "home_band", F.col("met").desc(), "node").mapInArrow(
         lambda b: _linked(b, n_docs, threshold), "a binary, b binary"))
 
     roots = components(links)
+
+    # Step 5: pairs of large components that did not meet above.
+    large = placed.join(placed.groupBy("root").count().where(F.col("count") > GROUP), "root").select(
+        "root", "node", "_id", "samples").join(roots.withColumnRenamed("root", "class"), "node", "left").withColumn(
+        "class", F.coalesce("class", "node"))
+    shown = [name.split()[0] for name in UNIT.split(", ")]
+    doubtful = settle(_by_unit(_units(large, "root"), "root", blocks.partitions(docs)).select(*shown, "_id").mapInArrow(
+        _doubtful, UNIT + ", _id long"))
+    if not doubtful.isEmpty():
+        given = stored.where("kind = 'answer'").select("_range", "_block", "payload").unionByName(
+            doubtful.withColumn("_block", blocks.block_of(
+                F.col("_id"), blocks.partitions(docs) * blocks.BLOCKS_PER_PARTITION)), True)
+        met = blocked.groupBy("_block").cogroup(given.groupBy("_block")).applyInArrow(
+            lambda t, g: _vectors(t, g, n, shown), UNIT + ", payload binary")
+        more = _by_unit(met, "root", blocks.partitions(docs)).mapInArrow(
+            lambda b: _verified(b, n_docs, threshold), "a binary, b binary")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
     rows_ = stored.where("kind = 'row'").select("node", "_id")
     return rows_.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "_id")
 
