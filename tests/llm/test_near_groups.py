@@ -63,3 +63,25 @@ def found(spark, texts):
 def test_components_of_more_than_a_group(spark, small_groups):
     texts = chains(40)
     assert found(spark, texts) == brute_force(texts)
+
+
+def test_buckets_of_more_than_a_group(spark, small_groups):
+    """A hot group and its far relatives: buckets of 60 texts and more, cut into parts by id."""
+    draw = random.Random(11)
+    base = [draw.choice(WORDS) for _ in range(200)]
+    texts = [" ".join(edited(base, range(3 * k, 3 * k + 5), f"c{k}")) for k in range(60)]
+    texts += [" ".join(edited(base, range(13 * k, 13 * k + 26), f"d{k}")) for k in range(14)]
+    words = edited(base, range(0, 200, 24), "e")
+    texts += [" ".join(edited(words, range(7 * k, 7 * k + 9), f"f{k}")) for k in range(20)]
+    draw.shuffle(texts)
+    assert found(spark, texts) == brute_force(texts)
+
+
+def test_cut_of_large_buckets_loses_no_candidates(spark, small_groups, monkeypatch):
+    """Copies with one word changed, each elsewhere: their only buckets have 21 to 32 nodes and are cut in two by id."""
+    monkeypatch.setattr(near_dedup, "PART_NODES", 20)
+    draw = random.Random(3)
+    base = [draw.choice(WORDS) for _ in range(200)]
+    texts = [" ".join(edited(base, (6 * k,), f"c{k}")) for k in range(32)]
+    assert set(brute_force(texts).values()) == {0}
+    assert found(spark, texts) == brute_force(texts)

@@ -12,7 +12,8 @@ of thousands share shingles that the group itself makes frequent, and a steep ID
    share a sample with probability of their similarity. Variates come from a table of 65,536 draws by hash.
 3. Documents with equal shingles and counts are one node. Nodes that share a band (``ROWS`` samples) form a bucket.
    In a bucket, agreement of all samples gives a spanning forest of candidate pairs; a group's pairs are never
-   written out. The forests of all buckets join nodes to candidate components.
+   written out. The forests of all buckets join nodes to candidate components. A bucket of more than a group is cut
+   first; then its nodes of different components meet in units as in step 5, so that the cut loses nothing.
 4. The vectors of a candidate component meet, each of them sent once. Pairs are verified in the order of their samples'
    agreement unless links join them already: links are pairs whose weighted Jaccard reaches ``threshold``.
    Components and buckets of any size are walked in groups of bounded size that share the most central nodes.
@@ -242,13 +243,16 @@ def _band_keys(samples: pa.Array, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _members(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _members(
+    batches: Iterator[pa.RecordBatch], bands: int, rows: int, also: tuple[str, ...] = (),
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keys = _band_keys(batch.column("samples"), bands, rows)
             again = pa.array(np.repeat(np.arange(len(keys)), bands))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(again), pa.array(keys.ravel())], names=["node", "band"])
+                [*(batch.column(name).take(again) for name in ("node", *also)), pa.array(keys.ravel())],
+                names=["node", *also, "band"])
 
 
 PLACED = "band long, part int, node binary, _id long, met long, n long, samples binary"
@@ -256,7 +260,7 @@ PLACED = "band long, part int, node binary, _id long, met long, n long, samples
 
 def _placed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """A node's rows in the buckets that it shares. A bucket of many nodes is cut by the band that follows, in which
-    similar ones mostly agree, and beyond ``PART_NODES`` by chance."""
+    similar ones mostly agree, and beyond ``PART_NODES`` by chance; those that the cut keeps apart meet later."""
     for batch in batches:
         out = []
         if batch.num_rows:
@@ -508,6 +512,15 @@ def _unit_pairs(unit: list[tuple]):
     return *_open_pairs([row[6] for row in unit], label, np.array([row[3] for row in unit])), label
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs that join the candidate components of a unit."""
+    for unit in _unit_rows(batches):
+        first, second, label = _unit_pairs(unit)
+        found = [(unit[i][5], unit[j][5]) for i, j in _joins(first, second, label, lambda i, j: True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()),
+                                          pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
+
+
 def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each unit that are in an open pair."""
     for unit in _unit_rows(batches):
@@ -565,6 +578,16 @@ def _rooted(
 
     # Step 4: the vectors of a candidate component meet once.
     apart = components(stored.where("kind = 'pair'").select("a", "b"))
+    crowded = stored.where("kind = 'met'").where(F.col("home.n") > GROUP).select("node", "samples")
+    if not crowded.isEmpty():
+        # Nodes of buckets of more than a group that did not meet, as such buckets are cut above.
+        crowded = crowded.join(apart, "node", "left").select(
+            "node", "samples", F.coalesce("root", "node").alias("class")).mapInArrow(
+            lambda b: _members(b, bands, rows, ("samples", "class")), "node binary, samples binary, class binary, band long")
+        large = crowded.join(crowded.groupBy("band").count().where(F.col("count") > GROUP), "band")
+        more = _by_unit(_units(large, "band"), "band", blocks.partitions(docs)).select(
+            "band", "low", "high", "tile", "class", "node", "samples").mapInArrow(_agreeing, "a binary, b binary")
+        apart = components(apart.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     placed = apart.unionByName(apart.select(F.col("root").alias("node"), "root").distinct()).join(
         stored.where("kind = 'met'").select("node", "_id", "samples", "met", "home"), "node")
     whole = F.struct("node", "_id", "samples", "met", "home")
