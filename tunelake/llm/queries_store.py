@@ -68,3 +68,15 @@ def nearest_texts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search.top_k(docs, F.col("doc_id") % 50 == 0).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+WHOLE_TEXT_SQL = SEARCH_SQL.replace("WHERE df >= 5 AND doc_id % 50 = 0", "WHERE doc_id % 50 = 0").replace(
+    "  WHERE place <= 16),", "),")
+
+
+@query("op7_whole_text", WHOLE_TEXT_SQL)
+def nearest_whole_texts(spark, sf_dir):
+    """As above, with every word of a query document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, F.col("doc_id") % 50 == 0, max_terms=None, min_docs=1).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
