@@ -9,6 +9,7 @@ from tunelake import fixed_values as fixed
 from tunelake.functions import chat
 from tunelake.operators import conversations as ops
 from tunelake.operators.decode import inference_requests as with_parameters
+from tunelake.operators.ordered import ordered_scan, position_chunk
 from tunelake.plans.inputs import MESSAGES, messages, table
 from tunelake.plans.registry import query
 
@@ -267,6 +268,35 @@ def render_long_prompt(spark, sf_dir):
     return ops.render_prompts(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
 
 
+JOINED = 40
+"""Conversations that follow each other in one long conversation; the number of these grows with the table."""
+
+EVERY_LONG = LONG.replace(
+    "SELECT conv_id % 3 AS conv_id, row_number() OVER (PARTITION BY conv_id % 3 ORDER",
+    f"SELECT conv_id // {JOINED} AS conv_id, row_number() OVER (PARTITION BY conv_id // {JOINED} ORDER")
+
+
+def joined_conversations(spark, sf_dir):
+    """Conversations of many turns: some that follow each other by id, one after the other."""
+    rows = messages(spark, sf_dir).withColumn("joined", F.floor(F.col("conv_id") / JOINED).cast("bigint"))
+    chunk = F.col("conv_id") * (1 << 20) + position_chunk("turn")
+    return ordered_scan(rows, ["joined"], ["conv_id", "turn"], chunk, running={"place": F.lit(1)}).select(
+        F.col("joined").alias("conv_id"), (F.col("place") - 1).cast("bigint").alias("turn"), "role", "content")
+
+
+@query("render_every_long_prompt", f"""WITH {MESSAGES}, {EVERY_LONG}
+SELECT conv_id, turn, md5('<|system|>' || chr(10) || {sql_text(fixed.DEFAULT_SYSTEM_PROMPT)}
+  || {sql_text(fixed.DIRECT_SUFFIX)} || '<|endoftext|>' || chr(10) || coalesce(rendered, '')
+  || '<|user|>' || chr(10) || message || '<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)) AS prompt_md5
+FROM long_history WHERE role = 'user'""")
+def render_every_long_prompt(spark, sf_dir):
+    """Prompts of every user turn of conversations that span several blocks of turns."""
+    rows = ops.chat_history(joined_conversations(spark, sf_dir), block=64).withColumns({
+        "system": F.lit(fixed.DEFAULT_SYSTEM_PROMPT), "enable_thinking": F.lit(False),
+        "adapter_loaded": F.lit(False), "template": F.lit(True)})
+    return ops.render_prompts(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+
+
 @query("answered_pairs", f"""WITH {MESSAGES}
 SELECT conv_id, turn, prompt, shown AS response FROM pairs""")
 def answered_pairs(spark, sf_dir):
