@@ -44,7 +44,12 @@ SYMBOLS = 28
 """Alphabet of the language model: 0 is the border of a word, 1 to 26 are letters, 27 is any other character."""
 
 COST_LOOK_ALIKE, COST_KEPT, COST_REPEAT, COST_DIVIDER, COST_WILD = 0.7, 6.0, 0.4, 0.3, 2.0
-BEAM = 12
+COST_SPACE = 2.0
+
+PLAIN = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"',
+                       "‹": "'", "›": "'", "–": "-", "—": "-", "‐": "-", "‑": "-", "…": "...", "•": "*", "·": ".",
+                       "¡": "!", "¿": "?"})
+"""Punctuation beyond ASCII, as the ASCII marks that disguises are read with."""
 
 
 def _second_bytes() -> np.ndarray:
@@ -124,35 +129,44 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[tuple[str, bool], str] = {}
 
-    def restore(self, token: str) -> str:
-        """The best reading of a token in lower case without accents; digits that stand for nothing are kept."""
-        found = self.known.get(token)
+    def restore(self, token: str, apart: bool = False) -> str:
+        """The best reading of a token in lower case without accents; digits that stand for nothing are kept. Letters
+        that were ``apart`` may be several words."""
+        found = self.known.get((token, apart))
         if found is None:
-            found = self._search(token)
+            found = self._search(token, apart)
             if len(self.known) >= 200_000:
                 self.known.clear()
-            self.known[token] = found
+            self.known[token, apart] = found
         return found
 
-    def _search(self, token: str) -> str:
+    def _search(self, token: str, apart: bool) -> str:
+        """All states of the lattice are kept; a state links to the one before it, so that time is linear in length."""
         model = self.model
-        layer = {(0, 0, 0): (0.0, "")}
         layers: list[dict] = [{} for _ in range(len(token) + 1)]
-        layers[0] = layer
+        layers[0] = {(0, 0, 0): (0.0, None)}
+        runs = [1] * len(token)
+        for i in range(len(token) - 2, -1, -1):
+            if token[i] == token[i + 1]:
+                runs[i] = runs[i + 1] + 1
         for i, char in enumerate(token):
             if not layers[i]:
                 continue
-            best = sorted(layers[i].items(), key=lambda item: item[1][0])[:BEAM]
-            run = 1
-            while i + run < len(token) and token[i + run] == char:
-                run += 1
+            if apart and i:
+                (a, b, c), (spent, said) = min(layers[i].items(), key=lambda item: (
+                    item[1][0] - model[item[0][0]][item[0][1]][item[0][2]][0], item[0]))
+                total = spent - model[a][b][c][0] + COST_SPACE
+                if (a, b, c) != (0, 0, 0):
+                    layers[i][0, 0, 0] = min(layers[i].get((0, 0, 0), (math.inf, None)), (total, (said, " ")),
+                                             key=lambda state: state[0])
+            run = runs[i]
             options = [(letters, cost, 1) for letters, cost in self._options(char)]
             if run > 1 and char not in DIVIDERS:
                 options += [(letters * times, cost + COST_REPEAT, run) for letters, cost in self._options(char)
                             for times in ((1, 2) if run > 2 else (1,)) if letters]
-            for (a, b, c), (spent, said) in best:
+            for (a, b, c), (spent, said) in layers[i].items():
                 for letters, cost, used in options:
                     x, y, z, total = a, b, c, spent + cost
                     for letter in letters:
@@ -162,9 +176,15 @@ class Restorer:
                         x, y, z = y, z, code
                     target = layers[i + used]
                     if (x, y, z) not in target or total < target[x, y, z][0]:
-                        target[x, y, z] = (total, said + letters)
-        final = [(spent - model[a][b][c][0], said) for (a, b, c), (spent, said) in layers[-1].items()]
-        return min(final)[1]
+                        target[x, y, z] = (total, (said, letters) if letters else said)
+            layers[i] = {}
+        (_, _, _), (_, said) = min(layers[-1].items(), key=lambda item: (
+            item[1][0] - model[item[0][0]][item[0][1]][item[0][2]][0], item[0]))
+        pieces = []
+        while said:
+            said, letters = said
+            pieces.append(letters)
+        return "".join(reversed(pieces))
 
     @staticmethod
     def _options(char: str) -> list[tuple[str, float]]:
@@ -248,14 +268,13 @@ def restored(part: texts.Slice, restorer: Restorer) -> texts.Slice:
     raw = part.data.tobytes()
     pieces, at, grown, where = [], 0, [], []
     for a, b, apart in zip(low.tolist(), high.tolist(), spaced.tolist(), strict=True):
-        try:
-            token = raw[a:b].decode("ascii")
-        except UnicodeDecodeError:
+        token = raw[a:b].decode(errors="replace").translate(PLAIN)
+        if not token.isascii():
             continue
         head, core, tail = _core(token.replace(" ", ""))
         if core.isalpha() and not apart and not any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2)):
             continue
-        new = (head + (core if core.isdigit() or len(core) > 64 else restorer.restore(core)) + tail).encode()
+        new = (head + (core if core.isdigit() else restorer.restore(core, apart)) + tail).encode()
         pieces += [raw[at:a], new]
         at = b
         where.append(a)
