@@ -45,15 +45,33 @@ def test_vocabulary_and_ids(texts):
     assert [(r["ids"], r["n_prompt"]) for r in same] == [(r["ids"], r["n_prompt"]) for r in rows]
 
 
-@pytest.mark.parametrize("common", [0, 2, 100])
-def test_every_token_has_its_id(texts, common):
+def test_every_token_has_its_id(texts):
     words = ops.vocabulary(texts)
     known = {r["token"]: r["token_id"] for r in words.collect()} | {"<|endoftext|>": ops.END_ID}
     assert sorted(known.values()) == [0, *range(2, len(known) + 1)]
-    rows = ops.tokenize_with_vocabulary(texts, words, ["prompt"], common).collect()
-    for r in rows:
+    for r in ops.tokenize_once(texts, ["prompt"]).collect():
         pieces = re.findall(r"<\|[a-z]+\|>|[^ \t\n\r\f<]+|<", r["full_text"])
         assert r["ids"] == [known[p] for p in pieces] and ops.UNKNOWN_ID not in r["ids"]
+        assert r["n_prompt"] == len(re.findall(r"<\|[a-z]+\|>|[^ \t\n\r\f<]+|<", r["prefix"]))
+
+
+def test_blocks_encode_with_any_dictionary(spark, texts):
+    blocks = ops.in_token_blocks(texts, ["prompt"])
+    words, answers = ops.block_dictionary(blocks)
+    assert {tuple(r) for r in words.collect()} == {tuple(r) for r in ops.vocabulary(texts).collect()}
+    few = ops.encode_blocks(blocks, answers.where("token_id < 4")).collect()
+    assert {i for r in few for i in r["ids"]} == {ops.END_ID, ops.UNKNOWN_ID, 2, 3}
+    none = spark.createDataFrame([], answers.schema)
+    assert {i for r in ops.encode_blocks(blocks, none).collect() for i in r["ids"]} == {ops.END_ID, ops.UNKNOWN_ID}
+
+
+def test_empty_and_null_texts_and_hot_keys(spark):
+    empty = ops.training_text(spark.createDataFrame([], "prompt string, response string"))
+    assert ops.tokenize_once(empty, ["prompt"]).collect() == []
+    rows = spark.createDataFrame([("k", i, None if i % 3 == 0 else f"w{i} same", "same") for i in range(300)],
+                                 "k string, i int, full_text string, prefix string")
+    found = ops.tokenize_once(rows, ["k"]).collect()
+    assert len(found) == 300 and all((r["ids"] == []) == (r["i"] % 3 == 0) for r in found)
 
 
 def test_callable_tokenizer(texts):

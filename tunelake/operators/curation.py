@@ -131,7 +131,7 @@ def search_counts(examples: DataFrame, query: str) -> DataFrame:
 def delete_examples(examples: DataFrame, requests: DataFrame) -> DataFrame:
     """The dataset without the examples whose id and prompt both match a request.
 
-    Write the result as a new version; never over the path it is read from.
+    :func:`tunelake.sources.versions.delete` commits the result as the next version of a stored dataset.
     """
     return examples.join(requests.select("example_id", "prompt"), ["example_id", "prompt"], "left_anti")
 
@@ -141,9 +141,9 @@ def delete_conflicts(examples: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(examples.select("example_id", "prompt"), ["example_id", "prompt"], "left_anti")
 
 
-def clear_dataset(examples: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An empty dataset of the same shape, and the number of lines removed (bad ones included)."""
-    return examples.limit(0), lines.agg(F.count("*").alias("removed"))
+def lines_removed(lines: DataFrame) -> DataFrame:
+    """How many lines a clear removes, bad ones included; :func:`tunelake.sources.versions.clear` does it."""
+    return lines.agg(F.count("*").alias("removed"))
 
 
 def all_examples(*parts: DataFrame) -> DataFrame:

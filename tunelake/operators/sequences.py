@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from tunelake import fixed_values as fixed
 from tunelake.functions import chat, sequence
 from tunelake.operators.ordered import number_rows
+from tunelake.session import settle
 
 END_ID = 0
 UNKNOWN_ID = 1
 FIRST_ID = 2
 COMMON_TOKENS = 32_000
-"""Tokens that are looked up in place. Rarer ones, each of which is few, are looked up by a join."""
+"""Tokens that :func:`vocabulary_encoder` knows; :func:`tokenize_once` knows all."""
+
+BLOCKS_PER_PARTITION = 4
+"""Blocks of texts that share a dictionary: more of them are smaller in memory and ask for common tokens again."""
 
 
 def training_text(pairs: DataFrame) -> DataFrame:
@@ -40,9 +44,14 @@ def vocabulary(texts: DataFrame, column: str = "full_text", size: int | None = N
         .where(F.col("token") != fixed.END_TOKEN)
         .groupBy("token")
         .agg(F.count("*").alias("uses"))
-        .select("token", "uses", (-F.col("uses")).alias("_less"), F.substring("token", 1, 2).alias("_first"))
     )
-    ranked = number_rows(counts, ["_less", "token"], ["_less", "_first"], "_rank")
+    return ranked_vocabulary(counts, size)
+
+
+def ranked_vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
+    """Ids of counted tokens (``token, uses``), the most used first."""
+    keyed = counts.select("token", "uses", (-F.col("uses")).alias("_less"), F.substring("token", 1, 2).alias("_first"))
+    ranked = number_rows(keyed, ["_less", "token"], ["_less", "_first"], "_rank")
     best = ranked if size is None else ranked.where(F.col("_rank") <= size)
     return best.select("token", "uses", (F.col("_rank") + (FIRST_ID - 1)).cast("int").alias("token_id"))
 
@@ -101,24 +110,65 @@ def tokenize_by_words(texts: DataFrame, encode: Callable[[Column], Column]) -> D
     )
 
 
-def tokenize_with_vocabulary(
-    texts: DataFrame, vocabulary_rows: DataFrame, keys: Sequence[str], common: int = COMMON_TOKENS,
-) -> DataFrame:
-    """As :func:`tokenize_by_words`, with an id for every token of the vocabulary, however many it has.
+def in_token_blocks(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``texts`` dealt to ``_block`` by ``keys`` with their tokens, for :func:`block_dictionary` and :func:`encode_blocks`.
 
-    Common tokens are looked up in place. Only the places of the others are shuffled, to the rare part of the
-    vocabulary and back to their row; none of them is frequent, so no key is hot. ``keys`` name a row.
+    Stored in the shared folder, so that the counts and the encoding read the tokens of one cut.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64(*keys), F.lit(n * BLOCKS_PER_PARTITION)).cast("int")
+    return settle(texts.withColumns({
+        "_block": block,
+        "_tokens": sequence.tokens(F.col("full_text")),
+        "n_prompt": F.size(sequence.tokens(F.col("prefix"))),
+    }).repartition(n, "_block"))
+
+
+def block_dictionary(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vocabulary of :func:`vocabulary` (``token, uses, token_id``), and what each block needs of it (``_home``, its
+    block, ``token, token_id``).
+
+    A block asks once for each of its distinct tokens, with its own count, and gets the id back. A token that every
+    block has is a row per block, whatever its uses.
+    """
+    asked = settle(blocks.select("_block", F.explode("_tokens").alias("token")).where(
+        F.col("token") != fixed.END_TOKEN).groupBy("_block", "token").agg(F.count("*").alias("uses")))
+    counts = asked.groupBy("token").agg(F.sum("uses").alias("uses"))
+    words = settle(ranked_vocabulary(counts))
+    return words, asked.select(F.col("_block").alias("_home"), "token").join(words.select("token", "token_id"), "token")
+
+
+def encode_blocks(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The texts of ``blocks`` with ``ids`` and ``n_prompt``; a token without an answer is unknown. Each block meets its
+    own dictionary only, and its tokens are looked up as one flat array."""
+    names = [name for name in blocks.columns if name not in ("_block", "_tokens")]
+    kinds = dict(blocks.dtypes)
+
+    def encode(rows: pa.Table, known: pa.Table) -> pa.Table:
+        tokens = rows["_tokens"].combine_chunks()
+        if isinstance(tokens, pa.ChunkedArray):
+            tokens = pa.concat_arrays(tokens.chunks) if tokens.num_chunks else pa.array([], pa.list_(pa.string()))
+        words = pa.concat_arrays([pa.array([fixed.END_TOKEN]), *(c.cast(pa.string()) for c in known["token"].chunks)])
+        ids = pa.concat_arrays([pa.array([END_ID], pa.int32()), *known["token_id"].chunks, pa.array([UNKNOWN_ID], pa.int32())])
+        slots = pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), value_set=words), len(words))
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
+        found = pa.ListArray.from_arrays(offsets, ids.take(slots))
+        return rows.select(names).append_column("ids", found)
+
+    schema = ", ".join(f"`{name}` {kinds[name]}" for name in names) + ", ids array<int>"
+    return blocks.groupBy("_block").cogroup(answers.groupBy("_home")).applyInArrow(
+        lambda rows, known: encode(rows, known), schema)
+
+
+def tokenize_once(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`tokenize_by_words` with the vocabulary of the texts themselves, an id for every token of it.
+
+    Texts are read, cut and dealt once: their blocks send distinct tokens, get ids back and encode in place. No token's
+    place is shuffled and nothing is collected. ``keys`` deal the rows; they should name few rows each.
     """
-    rows = tokenize_by_words(texts, vocabulary_encoder(vocabulary_rows, common))
-    places = texts.select(*keys, F.posexplode(F.arrays_zip(
-        vocabulary_encoder(vocabulary_rows, common)(F.col("full_text")).alias("id"),
-        sequence.tokens(F.col("full_text")).alias("token")))).where(F.col("col.id") == UNKNOWN_ID)
-    rare = vocabulary_rows.where(F.col("token_id") >= FIRST_ID + common).select("token", "token_id")
-    found = places.select(*keys, "pos", F.col("col.token").alias("token")).join(rare, "token").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "token_id"))).alias("_rare"))
-    patched = F.transform("ids", lambda i, pos: F.coalesce(F.col("_rare")[pos], i))
-    return rows.join(found, list(keys), "left").withColumn(
-        "ids", F.when(F.col("_rare").isNull(), F.col("ids")).otherwise(patched)).drop("_rare")
+    blocks = in_token_blocks(texts, keys)
+    return encode_blocks(blocks, block_dictionary(blocks)[1])
 
 
 def pad_truncate(tokenized: DataFrame, length: int = fixed.MAX_LENGTH, pad: int = END_ID) -> DataFrame:

@@ -13,6 +13,7 @@ from tunelake.operators.feedback import rating_capture
 from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examples, id_sql, ingested, ratings, table
 from tunelake.plans.registry import query
 from tunelake.session import shared_dir
+from tunelake.sources import versions
 from tunelake.sources.jsonl import read_lines, write_lines
 
 SEARCH = "  The ThEr "
@@ -134,12 +135,19 @@ def delete_requests(rows):
     return rows.where("seq % 2 = 0").select("example_id", stale.alias("prompt"), "seq")
 
 
+def stored(spark, sf_dir):
+    """The accepted examples as the first version of a dataset of their own."""
+    return versions.append(versions.Snapshot(f"{shared_dir(spark)}/set-{uuid.uuid4().hex}", 0), examples(spark, sf_dir))
+
+
 @query("delete_example", f"""WITH {LINES}
 SELECT seq, example_id FROM examples
 WHERE NOT (seq % 2 = 0 AND seq % 3 <> 0 AND prompt IS NOT NULL)""")
 def delete_example(spark, sf_dir):
-    rows = examples(spark, sf_dir)
-    return ops.delete_examples(rows, delete_requests(rows)).select("seq", "example_id")
+    """Stored, deleted from and committed; what is read back is the current version."""
+    base = stored(spark, sf_dir)
+    versions.delete(base, delete_requests(base.examples(spark)))
+    return versions.snapshot(spark, base.root).examples(spark).select("seq", "example_id")
 
 
 @query("delete_conflicts", f"""WITH {LINES}
@@ -151,13 +159,40 @@ def delete_conflicts(spark, sf_dir):
 
 @query("clear_dataset", "SELECT count(*) AS removed, 0::BIGINT AS remaining FROM documents")
 def clear_dataset(spark, sf_dir):
-    remaining, removed = ops.clear_dataset(examples(spark, sf_dir), example_lines(spark, sf_dir))
-    left = remaining.agg(F.count("*").alias("remaining"))
+    """An empty version is committed; ``removed`` counts the lines, bad ones included."""
+    base = stored(spark, sf_dir)
+    versions.clear(spark, base)
+    left = versions.snapshot(spark, base.root).examples(spark).agg(F.count("*").alias("remaining"))
+    removed = ops.lines_removed(example_lines(spark, sf_dir))
     return removed.unionByName(left, allowMissingColumns=True).agg(
         F.max("removed").alias("removed"), F.max("remaining").alias("remaining")
     )
 
 
+@query("dataset_versions", f"""WITH {LINES}, {RATINGS},
+first AS (SELECT example_id, seq, prompt FROM examples),
+second AS (SELECT * FROM first WHERE NOT (seq % 2 = 0 AND seq % 3 <> 0 AND prompt IS NOT NULL)),
+rated AS (SELECT count(DISTINCT message_id) AS n FROM ratings WHERE score >= 7 AND prompt <> '' AND response <> '')
+SELECT 1::BIGINT AS version, 'append' AS note, 1 AS n_parts, count(*) AS n, count(prompt) AS n_prompts FROM first
+UNION ALL SELECT 2, 'delete', 1, count(*), count(prompt) FROM second
+UNION ALL SELECT 3, 'append', 2, count(*) + min(rated.n), count(prompt) + min(rated.n) FROM second, rated
+UNION ALL SELECT 4, 'clear', 0, 0, 0""")
+def dataset_versions(spark, sf_dir):
+    """Examples stored, some deleted, rated replies added to what is current by then, all cleared: every version read
+    back."""
+    base = stored(spark, sf_dir)
+    versions.change(spark, base.root, lambda now: versions.delete(now, delete_requests(now.examples(spark))))
+    captured = rating_capture(ratings(spark, sf_dir), 2)
+    names = base.examples(spark).columns
+    captured = captured.select(*[F.col(c) if c in captured.columns else F.lit(None).alias(c) for c in names])
+    versions.change(spark, base.root, lambda now: versions.append(now, captured))
+    versions.change(spark, base.root, lambda now: versions.clear(spark, now))
+    found = [versions.snapshot(spark, base.root, version) for version in versions.versions(spark, base.root)]
+    counted = [shot.examples(spark).agg(F.lit(shot.version).cast("long").alias("version"), F.count("*").alias("n"),
+                                        F.count("prompt").alias("n_prompts")) for shot in found]
+    return versions.history(spark, base.root).join(ops.all_examples(*counted), "version")
+
+
 @query("all_examples", f"""WITH {LINES}, {RATINGS}
 SELECT source, count(*) AS n, count(DISTINCT prompt) AS prompts FROM (
   SELECT prompt, source FROM examples UNION ALL

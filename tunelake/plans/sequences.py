@@ -14,9 +14,6 @@ LENGTH = fixed.MAX_LENGTH
 SHORT = 64
 """A length that cuts many of the rows here."""
 
-COMMON = 500
-"""Tokens that the queries look up in place, so that both ways of the lookup are taken here."""
-
 
 def sft_rows(spark, sf_dir):
     return ops.training_text(conversations.answered_pairs(messages(spark, sf_dir)))
@@ -55,8 +52,7 @@ def vocabulary(spark, sf_dir):
 
 
 def tokenized(spark, sf_dir):
-    rows = sft_rows(spark, sf_dir)
-    return ops.tokenize_with_vocabulary(rows, ops.vocabulary(rows), ["conv_id", "turn"], COMMON)
+    return ops.tokenize_once(sft_rows(spark, sf_dir), ["conv_id", "turn"])
 
 
 def joined(ids):
