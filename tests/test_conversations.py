@@ -1,8 +1,12 @@
+from functools import partial
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
 from tunelake.operators import conversations as ops
+from tunelake.operators import ordered
 from tunelake.plans.inputs import messages
 
 
@@ -16,17 +20,61 @@ def talk(spark):
     return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string")
 
 
-@pytest.mark.parametrize("block", [1, 3, 512])
-def test_history_is_whole_whatever_the_block(talk, block):
-    got = {(r["conv_id"], r["turn"]): [t["content"] for t in r["history"]] for r in ops.chat_history(talk, block).collect()}
-    assert got == {(1, 1): [], (1, 4): ["u1", "a1"], (1, 9): ["u1", "a1", "u2"], (2, 1): ["hello"], (3, 5): []}
+WHOLE = {(1, 1): [], (1, 4): ["u1", "a1"], (1, 9): ["u1", "a1", "u2"], (2, 1): ["hello"], (3, 5): []}
+
+
+def test_history_is_whole(spark, talk):
+    def by_turn(rows):
+        return {(r["conv_id"], r["turn"]): (r["message"], [t["content"] for t in r["history"]]) for r in rows.collect()}
+
+    found = by_turn(ops.chat_history(talk))
+    assert {k: v for k, (_, v) in found.items()} == WHOLE and found[3, 5][0] == ""
+    asked = spark.createDataFrame([(1, 9), (1, 9), (3, 5), (1, 2), (9, 1)], "conv_id bigint, turn bigint")
+    assert by_turn(ops.chat_history(talk, asked)) == {k: found[k] for k in ((1, 9), (3, 5))}
+
+
+def test_bounds_name_the_history(talk):
+    turns = {(r["conv_id"], r["turn"]): r for r in ops.rendered_turns(talk).collect()}
+    for r in ops.history_bounds(talk).collect():
+        before = "".join(turns[k]["piece"] for k in sorted(turns) if k[0] == r["conv_id"] and k[1] < r["turn"])
+        assert (r["history_chars"], r["n_history"]) == (len(before), len(WHOLE[r["conv_id"], r["turn"]]))
+
+
+def test_digests_are_those_of_whole_prompts(talk):
+    system, thinking = F.concat(F.lit("sys "), "conv_id"), F.col("conv_id") != 2
+    whole = ops.render_prompts(ops.chat_history(talk).withColumns({
+        "system": system, "enable_thinking": thinking, "adapter_loaded": F.lit(False), "template": F.lit(True)}))
+    expected = sorted(tuple(r) for r in whole.select("conv_id", "turn", F.md5("prompt"), F.char_length("prompt")).collect())
+    assert sorted(tuple(r) for r in ops.prompt_digests(talk, system, thinking).collect()) == expected
+
+
+def shuffled_rows(df) -> int:
+    """Rows that the shuffles of a run have written."""
+    total, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    df._jdf.queryExecution().executedPlan().execute().count()
+    while open_:
+        node = open_.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return total
 
 
-def test_a_prompt_holds_every_turn_of_a_long_conversation(spark):
-    turns = spark.range(1200).selectExpr(
+def test_a_conversation_of_a_million_turns_is_shuffled_once(spark):
+    n = 1_000_000
+    turns = spark.range(n).selectExpr(
         "1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('said ', id) AS content")
-    found = {r["turn"]: len(r["history"]) for r in ops.chat_history(turns).collect()}
-    assert found[512] == 512 and found[514] == 514 and found[1198] == 1198
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        digests = ops.prompt_digests(turns, F.lit("s"), F.lit(False))
+        assert n <= shuffled_rows(digests) <= 1.01 * n
+        bounds = ops.history_bounds(turns)
+        assert n <= shuffled_rows(bounds) <= 1.01 * n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    last = bounds.where(F.col("turn") == n - 2).first()
+    assert last["n_history"] == n - 2
 
 
 def test_pairs_and_regenerate(talk):
@@ -36,11 +84,13 @@ def test_pairs_and_regenerate(talk):
     assert again == [(1, 9, "u3", 3)]
 
 
-def test_long_conversation_equals_short_chunks(spark, sf_dir):
-    rows = messages(spark, sf_dir).withColumn("conv_id", F.lit(1)).withColumn("turn", F.monotonically_increasing_id())
-    small = ops.chat_history(rows, 16).agg(F.sum(F.size("history"))).first()[0]
-    large = ops.chat_history(rows, 100_000).agg(F.sum(F.size("history"))).first()[0]
-    assert small == large > 0
+def test_bounds_do_not_depend_on_chunks(spark, sf_dir, monkeypatch):
+    rows = messages(spark, sf_dir).withColumn("conv_id", F.lit(1)).withColumn("turn", F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy("conv_id", "turn")))
+    whole = sorted(map(tuple, ops.history_bounds(rows).collect()))
+    monkeypatch.setattr(ops, "ordered_scan", partial(ordered.ordered_scan, hot_rows=10))
+    monkeypatch.setattr(ops, "position_chunk", partial(ordered.position_chunk, length=16))
+    assert sorted(map(tuple, ops.history_bounds(rows).collect())) == whole and len(whole) > 20
 
 
 def test_batch_inference(spark):

@@ -47,12 +47,23 @@ def message_list(system: Column, thinking: Column, history: Column, message: Col
     )
 
 
+def rendered_turn(role: Column, content: Column) -> Column:
+    """A turn under its role mark."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), content, F.lit(fixed.END_TOKEN + "\n"))
+
+
+def rendered_head(system: Column, thinking: Column) -> Column:
+    """What a rendered prompt holds before its history."""
+    none = F.array().cast(f"array<{TURN}>")
+    # The message list without history ends with the message, an empty one here.
+    return F.array_join(F.transform(
+        F.slice(message_list(system, thinking, none, F.lit("")), F.lit(1), F.when(thinking, 3).otherwise(1)),
+        lambda t: rendered_turn(t["role"], t["content"])), "")
+
+
 def render(messages: Column) -> Column:
     """A message list as text: each turn under its role mark, then the mark of the reply to come."""
-    turns = F.transform(
-        messages,
-        lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["content"], F.lit(fixed.END_TOKEN + "\n")),
-    )
+    turns = F.transform(messages, lambda t: rendered_turn(t["role"], t["content"]))
     return F.concat(F.array_join(turns, ""), F.lit(fixed.ASSISTANT_MARK))
 
 

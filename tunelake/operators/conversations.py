@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tunelake import fixed_values as fixed
 from tunelake.functions import chat
@@ -52,44 +55,99 @@ def history_blocks(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame
     )
 
 
-def chat_history(messages: DataFrame, block: int = HISTORY_BLOCK) -> DataFrame:
-    """The request behind each user turn, with all turns kept before it.
+def chat_history(messages: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The request behind each user turn, with all turns kept before it in ``history``: one reading, one shuffle.
 
-    Turns meet in blocks. A request takes the earlier turns of its own block and the kept turns of all blocks
-    before, which are put together once per block and not once per request. ``history`` is as long as the
-    conversation makes it.
+    The output of a conversation of n turns is of size n^2. Where conversations are long, name the requests (``asked``:
+    ``conv_id, turn``) whose whole history is wanted, which costs what these hold; :func:`history_bounds` and
+    :func:`prompt_digests` serve all requests of any conversation without putting histories together.
     """
-    said = F.when(F.col("turn").isNotNull(), F.struct("turn", "role", "content", "kept", "text"))
-    blocks = _with_counts_before(_blocks(messages, block)).groupBy("conv_id", "block").agg(
-        F.max("n_before").alias("n_before"), F.array_sort(F.collect_list(said)).alias("turns")
-    )
-    asked = F.filter("turns", lambda t: t["role"] == "user")
-    requests = blocks.select("conv_id", "block", "turns", F.explode(asked).alias("asked"))
-    own = F.filter("turns", lambda t: t["kept"] & (t["turn"] < F.col("asked.turn")))
-    later = blocks.where("n_before > 0").select("conv_id", F.col("block").alias("_later"))
-    kept = blocks.select("conv_id", "block", F.filter("turns", lambda t: t["kept"]).alias("_kept"))
-    before = kept.join(later, "conv_id").where(F.col("block") < F.col("_later")).groupBy(
-        "conv_id", F.col("_later").alias("block")
-    ).agg(F.array_sort(F.collect_list(F.struct("block", "_kept"))).alias("_before"))
-    earlier = F.flatten(F.transform(F.coalesce("_before", F.array()), lambda b: b["_kept"]))
-    return requests.join(before, ["conv_id", "block"], "left").select(
-        "conv_id",
-        F.col("asked.turn").alias("turn"),
-        F.col("asked.text").alias("message"),
-        F.transform(F.concat(earlier, own), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-        .alias("history"),
-    )
+    rows = _spoken(messages)
+    said = F.when(F.col("kept"), F.struct("role", "content"))
+    if asked is None:
+        before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+        found = rows.withColumn("history", F.collect_list(said).over(before)).where("role = 'user'")
+        return found.select("conv_id", "turn", F.col("text").alias("message"), "history")
+    wanted = asked.select("conv_id", F.col("turn").alias("_asked")).distinct()
+    met = rows.join(wanted, "conv_id").where(
+        (F.col("kept") & (F.col("turn") < F.col("_asked"))) | ((F.col("turn") == F.col("_asked")) & (F.col("role") == "user")))
+    own = F.col("turn") == F.col("_asked")
+    return met.groupBy("conv_id", F.col("_asked").alias("turn")).agg(
+        F.max(F.when(own, F.col("text"))).alias("message"), F.bool_or(own).alias("_found"),
+        F.array_sort(F.collect_list(F.when(~own, F.struct("turn", "role", "content")))).alias("_turns")).where(
+        "_found").select("conv_id", "turn", "message", F.transform(
+            "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"))
+
+
+def rendered_turns(messages: DataFrame) -> DataFrame:
+    """Each message once, as the ``piece`` of text that it adds to the prompts after it ('' if history leaves it out), with
+    the characters and kept turns before it (``start``, ``n_before``). A history is the pieces before a bound."""
+    rows = _spoken(messages).withColumn("piece", F.when(F.col("kept"), chat.rendered_turn(
+        F.col("role"), F.col("content"))).otherwise(F.lit("")))
+    size, one = F.char_length("piece").cast("bigint"), F.col("kept").cast("bigint")
+    scanned = ordered_scan(
+        rows.select("conv_id", "turn", "role", "text", "piece", one.alias("_one"), size.alias("_size")), ["conv_id"], ["turn"],
+        position_chunk("turn"), running={"_upto": F.col("_size"), "_count": F.col("_one")})
+    return scanned.select("conv_id", "turn", "role", "text", "piece", (F.col("_upto") - F.col("_size")).alias("start"),
+                          (F.col("_count") - F.col("_one")).alias("n_before"))
 
 
-def _blocks(messages: DataFrame, block: int) -> DataFrame:
+def history_bounds(messages: DataFrame) -> DataFrame:
+    """The request behind each user turn, its history as a bound: the first ``history_chars`` characters of the
+    conversation's rendered turns, ``n_history`` of them kept. Linear in the messages, however long a conversation is."""
+    return rendered_turns(messages).where("role = 'user'").select(
+        "conv_id", "turn", F.col("text").alias("message"), F.col("n_before").alias("n_history"),
+        F.col("start").alias("history_chars"))
+
+
+def prompt_digests(messages: DataFrame, system: Column, thinking: Column) -> DataFrame:
+    """``prompt_md5`` and ``prompt_chars`` of the whole rendered prompt of every user turn: what :func:`render_prompts`
+    makes of :func:`chat_history`, without making it.
+
+    ``system`` and ``thinking`` are columns of ``messages`` that do not change within a conversation. A conversation passes
+    through one task as a stream of its pieces, each shuffled and hashed once; a digest is a copy of the running one
+    that ends with its own message. Memory does not grow with the conversation.
+    """
+    rows = _spoken(messages.withColumns({"_system": system, "_thinking": thinking}))
+    piece = F.when(F.col("kept"), chat.rendered_turn(F.col("role"), F.col("content"))).otherwise(F.lit(""))
+    tail = F.concat(chat.rendered_turn(F.lit("user"), F.col("text")), F.lit(fixed.ASSISTANT_MARK))
+    head = chat.rendered_head(F.col("_system"), F.col("_thinking"))
+    dealt = rows.select("conv_id", "turn", piece.alias("piece"), F.when(F.col("role") == "user", tail).alias("tail"),
+                        head.alias("head")).repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    kind = dealt.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, size = None, None, 0
+        for batch in batches:
+            found = []
+            for conv, turn, piece, tail, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or conv != current:
+                    current, state, size = conv, hashlib.md5(head.encode()), len(head)
+                if tail is not None:
+                    whole = state.copy()
+                    whole.update(tail.encode())
+                    found.append((conv, turn, whole.hexdigest(), size + len(tail)))
+                state.update(piece.encode())
+                size += len(piece)
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(schema.names, row, strict=True)) for row in found], schema)
+
+    schema = pa.schema([("conv_id", to_arrow_type(dealt.schema["conv_id"].dataType)), ("turn", to_arrow_type(
+        dealt.schema["turn"].dataType)), ("prompt_md5", pa.string()), ("prompt_chars", pa.int64())])
+    turn_kind = dealt.schema["turn"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"conv_id {kind}, turn {turn_kind}, prompt_md5 string, prompt_chars long")
+
+
+def _spoken(messages: DataFrame) -> DataFrame:
     """Messages with the text history keeps of them: replies lose their first think block."""
     spoken = F.when(F.col("role") == "assistant", answer(F.col("content"))).otherwise(F.col("content"))
-    return messages.select(
-        "conv_id", "turn", "role",
-        F.col("content").alias("text"),
-        spoken.alias("content"),
-        position_chunk("turn", block).alias("block"),
-    ).withColumn("kept", chat.kept_turn(F.col("role"), F.col("content")))
+    return messages.withColumns({"text": F.col("content"), "content": spoken}).withColumn(
+        "kept", chat.kept_turn(F.col("role"), F.col("content")))
+
+
+def _blocks(messages: DataFrame, block: int) -> DataFrame:
+    return _spoken(messages).select(
+        "conv_id", "turn", "role", "text", "content", position_chunk("turn", block).alias("block"), "kept")
 
 
 def _with_counts_before(blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunelake import fixed_values as fixed
@@ -48,7 +47,7 @@ def joined_history(history):
 
 @query("chat_history", f"WITH {MESSAGES}, {HISTORY} SELECT conv_id, turn, message, n_history, history FROM requests")
 def chat_history(spark, sf_dir):
-    rows = ops.chat_history(messages(spark, sf_dir), block=4)
+    rows = ops.chat_history(messages(spark, sf_dir))
     return rows.select(
         "conv_id", "turn", "message", F.size("history").cast("bigint").alias("n_history"),
         joined_history(F.col("history")).alias("history"),
@@ -247,25 +246,31 @@ long_history AS (
 """
 
 
-def long_conversations(spark, sf_dir):
-    """Few conversations of many turns: all of one remainder, one after the other."""
-    order = Window.partitionBy(F.col("conv_id") % 3).orderBy("conv_id", "turn")
-    return messages(spark, sf_dir).select(
-        (F.col("conv_id") % 3).alias("conv_id"), (F.row_number().over(order) - 1).cast("bigint").alias("turn"), "role",
-        "content")
+def joined_conversations(spark, sf_dir, joined):
+    """Conversations of many turns: those of equal ``joined``, one after the other."""
+    rows = messages(spark, sf_dir).withColumn("joined", joined.cast("bigint"))
+    chunk = F.col("conv_id") * (1 << 20) + position_chunk("turn")
+    return ordered_scan(rows, ["joined"], ["conv_id", "turn"], chunk, running={"place": F.lit(1)}).select(
+        F.col("joined").alias("conv_id"), (F.col("place") - 1).cast("bigint").alias("turn"), "role", "content")
+
 
+def long_prompts(conversations):
+    return ops.prompt_digests(conversations, F.lit(fixed.DEFAULT_SYSTEM_PROMPT), F.lit(False)).select(
+        "conv_id", "turn", "prompt_md5")
 
-@query("render_long_prompt", f"""WITH {MESSAGES}, {LONG}
+
+LONG_PROMPTS = f"""
 SELECT conv_id, turn, md5('<|system|>' || chr(10) || {sql_text(fixed.DEFAULT_SYSTEM_PROMPT)}
   || {sql_text(fixed.DIRECT_SUFFIX)} || '<|endoftext|>' || chr(10) || coalesce(rendered, '')
   || '<|user|>' || chr(10) || message || '<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)) AS prompt_md5
-FROM long_history WHERE role = 'user' AND turn % 7 < 2""")
+FROM long_history WHERE role = 'user'
+"""
+
+
+@query("render_long_prompt", f"WITH {MESSAGES}, {LONG} {LONG_PROMPTS}")
 def render_long_prompt(spark, sf_dir):
-    """Prompts of conversations that span several blocks of turns."""
-    rows = ops.chat_history(long_conversations(spark, sf_dir), block=64).where("turn % 7 < 2").withColumns({
-        "system": F.lit(fixed.DEFAULT_SYSTEM_PROMPT), "enable_thinking": F.lit(False),
-        "adapter_loaded": F.lit(False), "template": F.lit(True)})
-    return ops.render_prompts(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+    """Prompts of every user turn of three conversations that hold all messages."""
+    return long_prompts(joined_conversations(spark, sf_dir, F.col("conv_id") % 3))
 
 
 JOINED = 40
@@ -276,25 +281,36 @@ EVERY_LONG = LONG.replace(
     f"SELECT conv_id // {JOINED} AS conv_id, row_number() OVER (PARTITION BY conv_id // {JOINED} ORDER")
 
 
-def joined_conversations(spark, sf_dir):
-    """Conversations of many turns: some that follow each other by id, one after the other."""
-    rows = messages(spark, sf_dir).withColumn("joined", F.floor(F.col("conv_id") / JOINED).cast("bigint"))
-    chunk = F.col("conv_id") * (1 << 20) + position_chunk("turn")
-    return ordered_scan(rows, ["joined"], ["conv_id", "turn"], chunk, running={"place": F.lit(1)}).select(
-        F.col("joined").alias("conv_id"), (F.col("place") - 1).cast("bigint").alias("turn"), "role", "content")
+def by_forties():
+    return F.floor(F.col("conv_id") / JOINED)
 
 
-@query("render_every_long_prompt", f"""WITH {MESSAGES}, {EVERY_LONG}
-SELECT conv_id, turn, md5('<|system|>' || chr(10) || {sql_text(fixed.DEFAULT_SYSTEM_PROMPT)}
-  || {sql_text(fixed.DIRECT_SUFFIX)} || '<|endoftext|>' || chr(10) || coalesce(rendered, '')
-  || '<|user|>' || chr(10) || message || '<|endoftext|>' || chr(10) || '<|assistant|>' || chr(10)) AS prompt_md5
-FROM long_history WHERE role = 'user'""")
+@query("render_every_long_prompt", f"WITH {MESSAGES}, {EVERY_LONG} {LONG_PROMPTS}")
 def render_every_long_prompt(spark, sf_dir):
-    """Prompts of every user turn of conversations that span several blocks of turns."""
-    rows = ops.chat_history(joined_conversations(spark, sf_dir), block=64).withColumns({
-        "system": F.lit(fixed.DEFAULT_SYSTEM_PROMPT), "enable_thinking": F.lit(False),
-        "adapter_loaded": F.lit(False), "template": F.lit(True)})
-    return ops.render_prompts(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+    """Prompts of every user turn of long conversations whose number grows with the table."""
+    return long_prompts(joined_conversations(spark, sf_dir, by_forties()))
+
+
+@query("history_bounds", f"""WITH {MESSAGES}, {EVERY_LONG}
+SELECT conv_id, turn, message, n_history, length(coalesce(rendered, '')) AS history_chars
+FROM long_history JOIN (
+  SELECT conv_id, turn, count(*) FILTER (keep) OVER (PARTITION BY conv_id ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_history FROM long_kept) USING (conv_id, turn)
+WHERE role = 'user'""")
+def history_bounds(spark, sf_dir):
+    return ops.history_bounds(joined_conversations(spark, sf_dir, by_forties()))
+
+
+@query("asked_histories", f"""WITH {MESSAGES}, {EVERY_LONG}, lasts AS (
+  SELECT conv_id, max(turn) AS turn FROM long_kept WHERE role = 'user' GROUP BY conv_id)
+SELECT conv_id, turn, message, md5(coalesce(rendered, '')) AS history_md5 FROM long_history JOIN lasts USING (conv_id, turn)""")
+def asked_histories(spark, sf_dir):
+    """The whole history of each long conversation's last request."""
+    said = joined_conversations(spark, sf_dir, by_forties())
+    lasts = said.where("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    rows = ops.chat_history(said, asked=lasts)
+    whole = F.array_join(F.transform("history", lambda t: chat.rendered_turn(t["role"], t["content"])), "")
+    return rows.select("conv_id", "turn", "message", F.md5(whole).alias("history_md5"))
 
 
 @query("answered_pairs", f"""WITH {MESSAGES}
