@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tunelake.llm import bpe, quality, search, suffix_dedup, texts, token_store, toxicity
+from tunelake.llm import bpe, near_dedup, quality, search, suffix_dedup, texts, token_store, toxicity
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 OURS = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
@@ -68,8 +68,42 @@ def test_block_max_wand_is_exact():
 
 
 def test_previous_factors_find_smaller_keys():
-    windows = np.array([b"abc", b"abd", b"abc", b"abc", b"xyz"], "S3")
-    assert suffix_dedup.previous_factors(windows, np.array([2, 1, 1, 2, 5])).tolist() == [True, False, False, True, False]
+    windows = np.array([b"aaaa", b"aaaa", b"aaab", b"aaaa", b"zzzz"], "S4")
+    assert suffix_dedup.previous_factors(windows, np.array([2, 1, 1, 2, 5]), 4).tolist() == [4, 0, 0, 4, 0]
+    assert suffix_dedup.previous_factors(windows, np.array([2, 1, 1, 2, 5]), 1).tolist() == [4, 0, 0, 4, 0]
+    assert suffix_dedup.previous_factors(windows, np.array([1, 2, 3, 4, 5]), 2).tolist() == [0, 4, 3, 4, 0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("ab\0", min_size=4, max_size=4), st.integers(0, 5)), min_size=1, max_size=40), st.integers(1, 4))
+def test_previous_factors_against_all_pairs(rows, least):
+    windows, keys = np.array([w.encode() for w, _ in rows], "S4"), np.array([k for _, k in rows])
+    raw = [w.encode() for w, _ in rows]
+
+    def shared(x, y):
+        return next((i for i in range(4) if x[i] != y[i]), 4)
+
+    best = [max([shared(raw[i], raw[j]) for j in range(len(raw)) if keys[j] < keys[i]], default=0) for i in range(len(raw))]
+    assert suffix_dedup.previous_factors(windows, keys, least).tolist() == [n if n >= least else 0 for n in best]
+
+
+def thue_morse(n):
+    return bytes(97 + bin(i).count("1") % 2 for i in range(n))
+
+
+def test_hashes_tell_complementary_words_apart():
+    for n in (1024, 4096):
+        one = thue_morse(n)
+        data = np.frombuffer(one + one.translate(bytes.maketrans(b"ab", b"ba")) + one, np.uint8)
+        found = texts.span_hashes(texts.prefix_hashes(data), np.arange(3) * n, np.arange(1, 4) * n)
+        assert found[0] != found[1] and found[0] == found[2]
+
+
+def test_products_modulo_the_prime():
+    draw = random.Random(3)
+    values = [0, 1, texts.PRIME - 1, *(draw.randrange(texts.PRIME) for _ in range(500))]
+    a, b = np.array(values, np.uint64), np.array(values[::-1], np.uint64)
+    assert texts.times(a, b).tolist() == [x * y % texts.PRIME for x, y in zip(values, values[::-1], strict=True)]
 
 
 def test_words_and_hashes():
@@ -129,3 +163,14 @@ def removed(docs, length):
                 gone[i: i + length] = [True] * length
         found.append((key, hashlib.sha256(bytes(b for b, g in zip(raw, gone) if not g)).hexdigest(), sum(gone)))
     return sorted(found)
+
+
+def test_long_texts_share_no_sample_by_chance():
+    """Disjoint vectors agree in no consistent sample however long they are; similar ones in their similarity's share."""
+    draw = np.random.default_rng(1)
+    n = 100_000
+    one, two = draw.integers(0, 1 << 48, n, dtype=np.uint64), draw.integers(0, 1 << 48, n, dtype=np.uint64)
+    like = np.concatenate([one[: n * 8 // 9], two[n * 8 // 9:]])
+    found = near_dedup._samples(np.concatenate([one, two, like]), np.full(3 * n, 1.05), np.array([0, n, 2 * n]), 120)
+    assert (found[0] == found[1]).sum() == 0
+    assert (found[0] == found[2]).mean() == pytest.approx(0.8, abs=0.12)

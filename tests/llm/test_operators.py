@@ -86,6 +86,24 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch):
+    """A common line within differing surroundings, with every shared anchor hot and windows put in order in shares."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 1)
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", 64)
+    draw = random.Random(8)
+    line = "the very same line that many documents have"
+    texts_ = []
+    for _ in range(120):
+        pieces = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randrange(30))) for _ in range(3)]
+        texts_.append(line.join(pieces) + draw.choice(["", "x" * 90, line * 2, texts_[-1] if texts_ else ""]))
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for length, gram in ((20, 10), (50, 25)):
+        out = suffix_dedup.remove_repeats(docs, min_length=length, gram=gram).collect()
+        got = sorted((r["doc_id"], hashlib.sha256(bytes(r["kept"])).hexdigest(), sum(s["stop"] - s["start"] for s in r["spans"]))
+                     for r in out)
+        assert got == removed(list(enumerate(texts_)), length)
+
+
 @pytest.mark.parametrize("length, gram", [(8, 4), (12, 5)])
 def test_suffix_dedup(spark, length, gram):
     draw = random.Random(length)

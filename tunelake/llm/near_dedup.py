@@ -9,7 +9,7 @@ of thousands share shingles that the group itself makes frequent, and a steep ID
 1. Blocks send their shingles' hashes and counts to ranges, which answer with those that several documents have.
 2. Each document draws ``BANDS * ROWS`` consistent samples: a shingle of weight w gets a value that falls with w and is
    the same in every document where ``floor(ln w / r + beta)`` is; the least value is the sample. Two documents
-   share a sample with probability of their similarity. Variates come from a table of 65,536 draws by hash.
+   share a sample with probability of their similarity. Variates are drawn from each shingle's own hash.
 3. Documents with equal shingles and counts are one node. Nodes that share a band (``ROWS`` samples) form a bucket.
    In a bucket, agreement of all samples gives a spanning forest of candidate pairs; a group's pairs are never
    written out. The forests of all buckets join nodes to candidate components. A bucket of more than a group is cut
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tunelake.llm import blocks, texts
 from tunelake.llm.components import components
-from tunelake.session import settle
+from tunelake.llm.components import stored as kept_table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -54,7 +54,7 @@ PART_NODES = 20_000
 DOUBT = 0.6
 """Share of equal samples below which no pair is compared; one at 0.8 falls below it in 3 of 1,000 cases."""
 
-_POOL = 1 << 16
+_LEVELS_DRAWN = 1 << 16
 _LEVELS = 8
 
 SEPARATOR = np.ones(256, bool)
@@ -177,27 +177,30 @@ def _weights(counts: np.ndarray, levels: np.ndarray, n_docs: int) -> np.ndarray:
     return (1 + np.log(counts)) * (1 + IDF_SHARE * rarity)[levels]
 
 
-def _pool() -> list[np.ndarray]:
-    """Variates of consistent weighted sampling: 1/r, beta, ln c + r (beta - 1), r."""
+def _draws() -> list[np.ndarray]:
+    """Quantiles of the gamma variates of consistent weighted sampling, as r and 1/r, and the logarithm of c."""
     draw = np.random.default_rng(77)
-    r = draw.gamma(2.0, 1.0, _POOL)
-    beta = draw.random(_POOL)
-    c = draw.gamma(2.0, 1.0, _POOL)
-    return [x.astype(np.float32) for x in (1 / r, beta, np.log(c) + r * (beta - 1), r)]
+    r = draw.gamma(2.0, 1.0, _LEVELS_DRAWN)
+    return [x.astype(np.float32) for x in (1 / r, r, np.log(draw.gamma(2.0, 1.0, _LEVELS_DRAWN)))]
 
 
 def _samples(values: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Samples (texts x size) as the bits of the least value: that value depends on the drawn variates and
-    ``t = floor(ln w / r + beta)`` only, so it names the sample."""
-    inverse, beta, offset, r = texts.worker_cache("cws_pool", _pool)
+    """Samples (texts x size) as the bits of the least value: that value depends on the shingle's variates and
+    ``t = floor(ln w / r + beta)`` only, so it names the sample.
+
+    A shingle draws r, c and beta for each sample from 48 bits of its own hash, 16 for each, so that no two shingles
+    share their variates but by chance, however many a text has.
+    """
+    inverse, r, ln_c = texts.worker_cache("cws_draws", _draws)
     logs = np.log(weights).astype(np.float32)
     out = np.empty((size, len(starts)), np.float32)
+    low = np.uint64(_LEVELS_DRAWN - 1)
     for k in range(size):
-        if k % 4 == 0:
-            bits = texts.mix(values + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
-        place = ((bits >> np.uint64(16 * (k % 4))) & np.uint64(_POOL - 1)).astype(np.int64)
-        t = np.floor(logs * inverse[place] + beta[place])
-        out[k] = np.minimum.reduceat(offset[place] - r[place] * t, starts)
+        bits = texts.mix(values + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))
+        one, two = (bits & low).astype(np.int64), ((bits >> np.uint64(16)) & low).astype(np.int64)
+        beta = ((bits >> np.uint64(32)) & low).astype(np.float32) * np.float32(1 / _LEVELS_DRAWN)
+        t = np.floor(logs * inverse[one] + beta)
+        out[k] = np.minimum.reduceat(ln_c[two] + r[one] * (beta - 1 - t), starts)
     return (out.T + np.float32(0)).copy().view(np.uint32)
 
 
@@ -569,7 +572,7 @@ def _rooted(
     found = placed.repartition(blocks.partitions(docs), "band", "part").sortWithinPartitions(
         "band", "part", F.col("met").desc(), "node").mapInArrow(
         lambda b: _candidates(b, bands * rows), "a binary, b binary").distinct()
-    stored = settle(
+    stored = kept_table(
         answers.mapInArrow(_same, MESSAGE).withColumn("kind", F.lit("answer"))
         .unionByName(dealt.mapInArrow(_same, schema).select("_id", "node", F.lit("row").alias("kind")), True)
         .unionByName(nodes.join(central, "node").select(
@@ -604,7 +607,7 @@ def _rooted(
     said = [name.split()[0] for name in ASKED.split(", ")]
     vectors = blocked.groupBy("_block").cogroup(given.groupBy("_block")).applyInArrow(
         lambda t, g: _vectors(t, g, n, said), ASKED + ", payload binary")
-    links = settle(vectors.repartition(blocks.partitions(docs), "root", "part").sortWithinPartitions(
+    links = kept_table(vectors.repartition(blocks.partitions(docs), "root", "part").sortWithinPartitions(
         "root", "part", F.col("home_n").desc(), "home_band", F.col("met").desc(), "node").mapInArrow(
         lambda b: _linked(b, n_docs, threshold), "a binary, b binary"))
 
@@ -615,7 +618,7 @@ def _rooted(
         "root", "node", "_id", "samples").join(roots.withColumnRenamed("root", "class"), "node", "left").withColumn(
         "class", F.coalesce("class", "node"))
     shown = [name.split()[0] for name in UNIT.split(", ")]
-    doubtful = settle(_by_unit(_units(large, "root"), "root", blocks.partitions(docs)).select(*shown, "_id").mapInArrow(
+    doubtful = kept_table(_by_unit(_units(large, "root"), "root", blocks.partitions(docs)).select(*shown, "_id").mapInArrow(
         _doubtful, UNIT + ", _id long"))
     if not doubtful.isEmpty():
         given = stored.where("kind = 'answer'").select("_range", "_block", "payload").unionByName(

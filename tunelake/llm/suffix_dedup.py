@@ -1,23 +1,28 @@
 """Removal of passages that an earlier document has, by longest previous factors in suffix order.
 
 A byte is removed if some string of ``min_length`` bytes over it also starts in a document with a smaller key: a
-position whose longest previous factor (the longest match that begins in an earlier document) reaches ``min_length``
-covers that many bytes. In suffix order, the earlier document with the longest match is the nearest one above or
-below with a smaller key (previous and next smaller value); as suffixes are ordered to depth ``min_length`` and, where
-equal, by key, the first of a run of equal ones is that document for the whole run.
+position whose longest previous factor (the longest match that begins in a document with a smaller key) reaches
+``min_length`` covers that many bytes. In suffix order, that match is with the nearest suffix above or below that has a
+smaller key (previous and next smaller value), as long as the common prefix is between them
+(:func:`previous_factors`). Suffixes count to depth ``min_length``, for a longer match decides nothing more.
 
 One suffix array over a large collection is out of reach, so it is cut into shards that never miss a match: each
 window of ``min_length`` bytes belongs to the anchor inside it, its k-gram of the lowest hash (the leftmost of equal
 ones). Equal windows have equal anchors, so a shard per range of anchors sees all copies of its windows. The
-neighbouring windows of one anchor travel as one context. Steps, with blocks as in :mod:`tunelake.llm.blocks`:
+neighbouring windows of one anchor travel as one context. An anchor that many contexts have (a common line) would
+make a large shard: its windows are dealt by a second anchor as well, the lowest k-gram that is not the first one.
+Steps, with blocks as in :mod:`tunelake.llm.blocks`:
 
-1. blocks send their distinct anchors; ranges answer with those that several blocks have;
+1. blocks send their distinct anchors with counts; ranges answer with those that several blocks have, and which of
+   these are hot;
 2. blocks send the contexts of shared anchors, of equal ones in a block only those of the smallest key; documents
    equal to an earlier one as a whole are marked at once and take no further part;
-3. shards order suffixes and answer with the positions that have an earlier match;
+3. shards order suffixes and answer with the positions that have an earlier match; a range opens its messages in
+   ``PARTS`` parts, one after the other;
 4. blocks merge them into spans and cut these out.
 
-Anchors found shared by chance cost a context, not a result: contexts are compared byte by byte.
+Anchors found shared by chance cost a context, not a result: windows are compared byte by byte. Contexts count as equal
+by a 64-bit hash modulo a prime, whole documents by one of 128 bits.
 """
 
 from __future__ import annotations
@@ -36,19 +41,22 @@ MIN_LENGTH = 50
 GRAM = 25
 _PLACE_BITS = 28
 _ROW_SHIFT = 40
-WINDOWS = 400_000
-"""Windows that a shard puts in order at a time; equal windows have equal anchors, so parts are of whole anchors."""
+WINDOWS = 200_000
+"""Windows that a shard puts in order at a time."""
 
+PARTS = 8
+HOT_CONTEXTS = 2_000
+"""Contexts of an anchor, counted in all blocks, from which its windows are dealt by a second anchor too. Results don't
+depend on it: equal windows have equal second anchors."""
 
-def _anchors(part: texts.Slice, length: int, gram: int):
-    """Runs of windows with one anchor: row, start, run length, anchor hash, and the run's place in the slice."""
-    data, n = part.data, len(part.data)
+
+def _anchors(part: texts.Slice, hashes: np.ndarray, length: int, gram: int):
+    """Runs of windows with one anchor: row, start, run length, anchor hash, and the run's place in the slice.
+    ``hashes`` are those of the slice's k-grams."""
     none = np.zeros(0, np.int64)
-    if n < length:
+    if len(part.data) < length:
         return none, none, none, none.astype(np.uint64), none
-    sums, inverses = texts.prefix_hashes(data)
-    size = n - gram + 1
-    hashes = texts.mix((sums[gram:] - sums[:size]) * inverses[:size])
+    size = len(hashes)
     place = np.uint64((1 << _PLACE_BITS) - 1)
     best = (hashes & ~place) | np.arange(size, dtype=np.uint64)
     width, window = 1, length - gram + 1
@@ -73,6 +81,34 @@ def _anchors(part: texts.Slice, length: int, gram: int):
     return row + part.first, begins - part.offsets[row], runs, hashes[anchor[begins]], begins
 
 
+def _second_anchors(row, start, run, anchor, place, hashes, length: int, gram: int):
+    """Runs of one anchor cut where the second anchor changes; the anchor returned names both."""
+    total = int(run.sum())
+    context = np.repeat(np.arange(len(run)), run)
+    offset = np.arange(total) - np.repeat(np.cumsum(run) - run, run)
+    base = place[context] + offset
+    where, what = np.zeros(total, np.int64), np.zeros(total, np.uint64)
+    within = np.arange(length - gram + 1)
+    for at in range(0, total, 1 << 15):
+        some = slice(at, at + (1 << 15))
+        grams = hashes[base[some, None] + within]
+        grams[grams == anchor[context[some], None]] = np.uint64((1 << 64) - 1)
+        best = grams.argmin(1)
+        where[some] = base[some] + best
+        what[some] = grams[np.arange(len(best)), best]
+    new = np.ones(total, bool)
+    new[1:] = (context[1:] != context[:-1]) | (where[1:] != where[:-1])
+    at = np.flatnonzero(new)
+    of = context[at]
+    return (row[of], start[of] + offset[at], np.diff(np.append(at, total)), texts.mix(anchor[of] ^ texts.mix(what[at])),
+            base[at])
+
+
+def _gram_hashes(part: texts.Slice, gram: int):
+    hashes = texts.prefix_hashes(part.data)
+    return hashes, texts.gram_hashes(hashes, gram) if len(part.data) >= gram else np.zeros(0, np.uint64)
+
+
 def _digests(column: pa.ChunkedArray, length: int) -> list[bytes | None]:
     return [hashlib.blake2b(v, digest_size=16).digest() if v is not None and len(v) >= length else None
             for v in column.to_pylist()]
@@ -82,8 +118,9 @@ def _digests(column: pa.ChunkedArray, length: int) -> list[bytes | None]:
 def _ask(table: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 1 of a block: distinct anchors and the digests of whole texts, by range."""
     table = blocks.in_order(table)
-    found = [np.unique(_anchors(part, length, gram)[3]) for part in texts.slices(table["_text"])]
-    anchors = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = [_anchors(part, _gram_hashes(part, gram)[1], length, gram)[3] for part in texts.slices(table["_text"])]
+    anchors, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    counts = np.minimum(counts, 255).astype(np.uint8)
     bounds = blocks.cut(blocks.ranges(anchors, n), n)
     digests = [(d, i) for d, i in zip(_digests(table["_text"], length), table["_id"].to_pylist(), strict=True) if d]
     whole = np.frombuffer(b"".join(d for d, _ in digests), np.uint64).reshape(-1, 2)
@@ -92,7 +129,7 @@ def _ask(table: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     whole, ids = whole[order], ids[order]
     whole_bounds = blocks.cut(blocks.ranges(whole[:, 0].copy(), n), n)
     block = table["_block"][0].as_py()
-    rows = [(p, block, blocks.pack(blocks.low(anchors[bounds[p]: bounds[p + 1]]),
+    rows = [(p, block, blocks.pack(blocks.low(anchors[bounds[p]: bounds[p + 1]]), counts[bounds[p]: bounds[p + 1]],
                                    whole[whole_bounds[p]: whole_bounds[p + 1]], ids[whole_bounds[p]: whole_bounds[p + 1]]))
             for p in sorted({*blocks.filled(bounds), *blocks.filled(whole_bounds)})]
     return _rows(rows)
@@ -111,9 +148,11 @@ MESSAGE = "_range int, _block int, payload binary"
 def _share(table: pa.Table) -> pa.Table:
     """Step 1 of a range: which anchors several blocks have, and which whole texts a smaller key has."""
     which = table["_block"].to_pylist()
-    parts = [blocks.unpack(v, np.uint32, np.uint64, np.int64) for v in table["payload"].to_pylist()]
-    values, counts = np.unique(np.concatenate([p[0] for p in parts]), return_counts=True)
-    shared = values[counts > 1]
+    parts = [blocks.unpack(v, np.uint32, np.uint8, np.uint64, np.int64) for v in table["payload"].to_pylist()]
+    values, place, n_blocks = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
+    hot = np.bincount(place, np.concatenate([p[1] for p in parts]), len(values)) > HOT_CONTEXTS
+    parts = [(p[0], p[2], p[3]) for p in parts]
+    shared, hot = values[n_blocks > 1], hot[n_blocks > 1]
     first: dict[bytes, int] = {}
     digests = [[p[1][2 * i: 2 * i + 2].tobytes() for i in range(len(p[2]))] for p in parts]
     for keys, part in zip(digests, parts, strict=True):
@@ -125,7 +164,7 @@ def _share(table: pa.Table) -> pa.Table:
         own = part[0][np.isin(part[0], shared, assume_unique=True)]
         if len(own) or later:
             rows.append((table["_range"][0].as_py(), block, blocks.pack(
-                own, np.frombuffer(b"".join(later), np.uint64), np.array([first[k] for k in later], np.int64))))
+                own, hot[np.searchsorted(shared, own)].astype(np.uint8), np.frombuffer(b"".join(later), np.uint64), np.array([first[k] for k in later], np.int64))))
     return _rows(rows)
 
 
@@ -133,32 +172,41 @@ def _share(table: pa.Table) -> pa.Table:
 def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 2 of a block: contexts of shared anchors by range. What the block can mark itself goes along."""
     if not table.num_rows:
-        return _rows([])
+        return pa.table({"_range": pa.array([], pa.int32()), "_block": pa.array([], pa.int32()),
+                         "payload": pa.array([], pa.list_(pa.binary()))})
     table = blocks.in_order(table)
     block = table["_block"][0].as_py()
     ids = table["_id"].to_numpy()
-    shared, earlier = [], {}
+    shared, hot, earlier = [], [], {}
     for p, value in sorted(zip(answers["_range"].to_pylist(), answers["payload"].to_pylist(), strict=True)):
-        own, keys, firsts = blocks.unpack(value, np.uint32, np.uint64, np.int64)
+        own, common, keys, firsts = blocks.unpack(value, np.uint32, np.uint8, np.uint64, np.int64)
         shared.append(own.astype(np.uint64) | np.uint64(p << 32))
+        hot.append(shared[-1][common > 0])
         earlier |= {keys[2 * i: 2 * i + 2].tobytes(): first for i, first in enumerate(firsts.tolist())}
-    shared = np.unique(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
+    shared, hot = (np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (shared, hot))
     copy = np.array([d is not None and earlier.get(d, i) < i
                      for d, i in zip(_digests(table["_text"], length), ids.tolist(), strict=True)], bool)
 
     everywhere = list(texts.slices(table["_text"]))
-    found, inner = [], []
+    found = []
     for number, part in enumerate(everywhere):
-        row, start, run, anchor, place = _anchors(part, length, gram)
-        keep = ~copy[row]
-        row, start, run, anchor, place = (x[keep] for x in (row, start, run, anchor, place))
-        spans = texts.span_hashes(texts.prefix_hashes(part.data), place, place + run + length - 1)
-        found.append((row, start, run, anchor, place, np.full(len(row), number), spans ^ texts.mix(anchor)))
-        inner.append(np.unique(anchor))
-    row, start, run, anchor, place, number, content = (
-        np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(7))
-    anchor, content = anchor.astype(np.uint64), content.astype(np.uint64)
-    full = (blocks.ranges(anchor, n) << np.uint64(32)) | (anchor & np.uint64(0xFFFFFFFF))
+        hashes, grams = _gram_hashes(part, gram)
+        runs = _anchors(part, grams, length, gram)
+        keep = ~copy[runs[0]]
+        runs = [x[keep] for x in runs]
+        asked = (blocks.ranges(runs[3], n) << np.uint64(32)) | (runs[3] & np.uint64(0xFFFFFFFF))
+        much = np.isin(asked, hot)
+        if much.any():
+            # What the windows of a hot anchor are dealt by is shared as far as the anchor is.
+            more = _second_anchors(*(x[much] for x in runs), grams, length, gram)
+            runs = [np.concatenate([x[~much], y]) for x, y in zip(runs, more, strict=True)]
+            asked = np.concatenate([asked[~much], np.full(len(more[0]), hot[0], np.uint64)])
+        row, start, run, anchor, place = runs
+        spans = texts.span_hashes(hashes, place, place + run + length - 1)
+        found.append((row, start, run, anchor, place, np.full(len(row), number), spans ^ texts.mix(anchor), asked))
+    row, start, run, anchor, place, number, content, full = (
+        np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(8))
+    anchor, content, full = (x.astype(np.uint64) for x in (anchor, content, full))
     several = texts.repeated(anchor)
     at = np.flatnonzero(several | np.isin(full, shared))
     # Of equal contexts in the block, those of the smallest key are sent; the others have an earlier match.
@@ -169,39 +217,79 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
     own_id = ids[row[order]]
     local = order[own_id > smallest]
     sent = order[own_id == smallest]
-    p = blocks.ranges(anchor[sent], n)
-    sent = sent[np.argsort(p, kind="stable")]
+    sent = sent[np.argsort(anchor[sent] & np.uint64(0xFFFFFFFF), kind="stable")]
+    sent = sent[np.argsort(blocks.ranges(anchor[sent], n), kind="stable")]
     bounds = blocks.cut(blocks.ranges(anchor[sent], n), n)
     whole = np.flatnonzero(copy)
     sizes = pc.fill_null(pc.binary_length(table["_text"]), 0).to_numpy()
     marks = np.concatenate([
         np.stack([row[local], start[local], start[local] + run[local]], 1),
         np.stack([whole, np.zeros(len(whole), np.int64), sizes[whole].astype(np.int64) - length + 1], 1)]).astype(np.int64)
-    rows = [(block % n, block, blocks.pack(marks, *[np.zeros(0, np.int64)] * 6))] if len(marks) else []
+    rows = [(block % n, block, [blocks.pack(marks), *[None] * PARTS])] if len(marks) else []
     for p in blocks.filled(bounds):
         chosen = sent[bounds[p]: bounds[p + 1]]
-        pieces = [everywhere[k].data[a: a + r + length - 1].tobytes() for k, a, r in zip(
-            number[chosen].tolist(), place[chosen].tolist(), run[chosen].tolist(), strict=True)]
-        rows.append((p, block, blocks.pack(
-            marks[:0], row[chosen].astype(np.int32), ids[row[chosen]], start[chosen].astype(np.int64),
-            run[chosen].astype(np.int32), blocks.low(anchor[chosen]), np.frombuffer(b"".join(pieces), np.uint8))))
-    return _rows(rows)
+        cuts = np.searchsorted(_part_of(blocks.low(anchor[chosen])), np.arange(PARTS + 1))
+        messages = [None]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            some = chosen[a:b]
+            pieces = [everywhere[k].data[at: at + r + length - 1].tobytes() for k, at, r in zip(
+                number[some].tolist(), place[some].tolist(), run[some].tolist(), strict=True)]
+            messages.append(blocks.pack(
+                row[some].astype(np.int32), ids[row[some]], start[some].astype(np.int64), run[some].astype(np.int32),
+                blocks.low(anchor[some]), np.frombuffer(b"".join(pieces), np.uint8)) if len(some) else None)
+        rows.append((p, block, messages))
+    ps, bs, values = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"_range": pa.array(ps, pa.int32()), "_block": pa.array(bs, pa.int32()),
+                     "payload": pa.array(values, pa.list_(pa.binary()))})
+
 
+def _part_of(low: np.ndarray) -> np.ndarray:
+    """The part of a range that an anchor's lower half belongs to."""
+    return (low.astype(np.uint64) * np.uint64(PARTS)) >> np.uint64(32)
 
-def previous_factors(windows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which windows also start in a document with a smaller key.
 
-    ``windows`` has a fixed-width row of bytes per suffix, all that counts of it. Suffixes are put in order (equal
-    ones by key); neighbours with a full-width common prefix form a run, whose first has the smallest key.
+def _nearest_smaller(keys: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Common prefix of each suffix (in order) with the nearest one above that has a smaller key, where it reaches
+    ``least``. ``common`` is that with the suffix right above.
+
+    All suffixes look one place up and then go where the one they met looks, all at once: whatever lies between has no
+    smaller key. The prefix shrinks along, and where it is below ``least``, nothing further up can match.
+    """
+    at, reach = np.arange(len(keys)) - 1, common.copy()
+    open_ = np.flatnonzero((reach >= least) & (at >= 0))
+    open_ = open_[keys[at[open_]] >= keys[open_]]
+    while len(open_):
+        met = at[open_]
+        reach[open_] = np.minimum(reach[open_], reach[met])
+        at[open_] = at[met]
+        open_ = open_[(at[open_] >= 0) & (reach[open_] >= least)]
+        open_ = open_[keys[at[open_]] >= keys[open_]]
+    reach[at < 0] = 0
+    return np.where(reach >= least, reach, 0)
+
+
+def previous_factors(windows: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
+    """Longest previous factors: the longest prefix that each window shares with one of a smaller key, 0 where it is
+    shorter than ``least``.
+
+    ``windows`` has a fixed-width row of bytes per suffix, all that counts of it. Suffixes are put in order (equal ones by
+    key); among those of a smaller key, the nearest above and the nearest below share most.
     """
     by_key = np.argsort(keys, kind="stable")
     order = by_key[np.argsort(windows[by_key], kind="stable")]
-    reach = np.zeros(len(order), bool)
-    reach[1:] = windows[order[1:]] == windows[order[:-1]]
-    first = np.maximum.accumulate(np.where(reach, 0, np.arange(len(order))))
-    earlier = np.zeros(len(order), bool)
-    earlier[order] = keys[order] > keys[order[first]]
-    return earlier
+    width = windows.dtype.itemsize
+    rows = windows[order].view(np.uint8).reshape(-1, width)
+    common = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 1 << 16):
+        differ = rows[at: at + (1 << 16)] != rows[at - 1: at - 1 + len(rows[at: at + (1 << 16)])]
+        common[at: at + (1 << 16)] = np.where(differ.any(1), differ.argmax(1), width)
+    own = keys[order]
+    below = np.append(common[1:], 0)
+    longest = np.maximum(_nearest_smaller(own, common, least),
+                         _nearest_smaller(own[::-1], below[::-1], least)[::-1])
+    out = np.zeros(len(order), np.int64)
+    out[order] = longest
+    return out
 
 
 def _by_anchor(contexts: np.ndarray, anchor: np.ndarray, run: np.ndarray):
@@ -216,12 +304,25 @@ def _by_anchor(contexts: np.ndarray, anchor: np.ndarray, run: np.ndarray):
 
 
 def _matched(contexts, reps, begins, run, key, data, length):
-    """Ranges of windows, relative to their context, that have an earlier match among these contexts."""
+    """Ranges of windows, relative to their context, that have an earlier match among these contexts. More windows than
+    ``WINDOWS`` are put in order by shares of their hash, so that equal ones stay together."""
     runs = run[reps[contexts]]
     context = np.repeat(contexts, runs)
     offset = np.arange(len(context)) - np.repeat(np.cumsum(runs) - runs, runs)
-    window = np.lib.stride_tricks.sliding_window_view(data, length)[begins[reps[context]] + offset]
-    hit = previous_factors(window.view(f"S{length}").ravel(), key[reps[context]])
+    place = begins[reps[context]] + offset
+    view, hit = np.lib.stride_tricks.sliding_window_view(data, length), np.zeros(len(context), bool)
+    n_shares = -(-len(context) // WINDOWS)
+    share = np.zeros(len(context), np.uint64)
+    if n_shares > 1:
+        for at in range(0, len(place), WINDOWS):
+            some = view[place[at: at + WINDOWS]]
+            for j in range(0, length - 7, 7):
+                share[at: at + WINDOWS] = texts.mix(share[at: at + WINDOWS] + np.ascontiguousarray(some[:, j: j + 8]).view(np.uint64)[:, 0])
+        share %= np.uint64(n_shares)
+    for number in range(n_shares):
+        own = np.flatnonzero(share == np.uint64(number))
+        windows = np.ascontiguousarray(view[place[own]]).view(f"S{length}").ravel()
+        hit[own] = previous_factors(windows, key[reps[context[own]]], length) >= length
     edge = np.zeros(len(hit) + 2, bool)
     edge[1:-1] = hit
     new = np.ones(len(hit) + 1, bool)
@@ -231,55 +332,60 @@ def _matched(contexts, reps, begins, run, key, data, length):
     return context[opens], offset[opens], offset[closes] + 1
 
 
+def _match_part(parts: list, length: int):
+    """Block, row, first and last window of the runs of windows with an earlier match, for a part of a shard."""
+    block = np.concatenate([np.full(len(p[0]), b) for b, p in parts])
+    row, key, start, run, anchor, data = (np.concatenate([p[j] for _, p in parts]) for j in range(6))
+    parts.clear()
+    run = run.astype(np.int64)
+    ends = np.cumsum(run + length - 1)
+    begins = ends - run - length + 1
+    content = np.zeros(len(run), np.uint64)
+    at = 0
+    while at < len(run):
+        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + texts.SLICE_BYTES)))
+        hashes = texts.prefix_hashes(data[begins[at]: ends[stop - 1]])
+        content[at:stop] = texts.span_hashes(hashes, begins[at:stop] - begins[at], ends[at:stop] - begins[at])
+        at = stop
+    content ^= texts.mix(anchor.astype(np.uint64) + (run.astype(np.uint64) << np.uint64(32)))
+    order = np.lexsort((key, content))
+    head = np.ones(len(order), bool)
+    head[1:] = content[order[1:]] != content[order[:-1]]
+    group = np.cumsum(head) - 1
+    reps = order[np.flatnonzero(head)]
+    later = key[order] > key[reps][group]
+    low, high = [start[order[later]]], [start[order[later]] + run[order[later]]]
+    rows, where = [row[order[later]]], [block[order[later]]]
+
+    # Contexts that differ but share their anchor may still share windows.
+    chosen = np.flatnonzero(texts.repeated(anchor[reps]))
+    chosen = chosen[np.argsort(anchor[reps[chosen]], kind="stable")]
+    same = np.flatnonzero(~later)
+    member_group, member = group[same], order[same]
+    for contexts in _by_anchor(chosen, anchor[reps], run[reps]):
+        of, low_off, high_off = _matched(contexts, reps, begins, run, key, data, length)
+        # A document may hold a context several times: all of them get what the first was given.
+        a, b = np.searchsorted(member_group, of), np.searchsorted(member_group, of, "right")
+        times = b - a
+        pick = member[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        low.append(start[pick] + np.repeat(low_off, times))
+        high.append(start[pick] + np.repeat(high_off, times))
+        rows.append(row[pick])
+        where.append(block[pick])
+    return tuple(np.concatenate(x) for x in (where, rows, low, high))
+
+
 @texts.releasing
 def _match(table: pa.Table, length: int) -> pa.Table:
-    """Step 3, a shard: positions with an earlier match, by block."""
-    where = table["_block"].to_pylist()
-    parts = [blocks.unpack(v, np.int64, np.int32, np.int64, np.int64, np.int32, np.uint32, np.uint8)
-             for v in table["payload"].to_pylist()]
-    marks = [(b, p[0].reshape(-1, 3)) for b, p in zip(where, parts, strict=True) if len(p[0])]
-    parts = [(b, p) for b, p in zip(where, parts, strict=True) if len(p[1])]
-    if parts:
-        block = np.concatenate([np.full(len(p[1]), b) for b, p in parts])
-        row, key, start, run, anchor, data = (np.concatenate([p[j] for _, p in parts]) for j in range(1, 7))
-        del parts
-        run = run.astype(np.int64)
-        ends = np.cumsum(run + length - 1)
-        begins = ends - run - length + 1
-        content = np.zeros(len(run), np.uint64)
-        at = 0
-        while at < len(run):
-            stop = max(at + 1, int(np.searchsorted(ends, begins[at] + texts.SLICE_BYTES)))
-            hashes = texts.prefix_hashes(data[begins[at]: ends[stop - 1]])
-            content[at:stop] = texts.span_hashes(hashes, begins[at:stop] - begins[at], ends[at:stop] - begins[at])
-            at = stop
-        content ^= texts.mix(anchor.astype(np.uint64) + (run.astype(np.uint64) << np.uint64(32)))
-        order = np.lexsort((key, content))
-        head = np.ones(len(order), bool)
-        head[1:] = content[order[1:]] != content[order[:-1]]
-        group = np.cumsum(head) - 1
-        reps = order[np.flatnonzero(head)]
-        later = key[order] > key[reps][group]
-        low, high = [start[order[later]]], [start[order[later]] + run[order[later]]]
-        rows, where_ = [row[order[later]]], [block[order[later]]]
-
-        # Contexts that differ but share their anchor may still share windows.
-        chosen = np.flatnonzero(texts.repeated(anchor[reps]))
-        chosen = chosen[np.argsort(anchor[reps[chosen]], kind="stable")]
-        same = np.flatnonzero(~later)
-        member_group, member = group[same], order[same]
-        for contexts in _by_anchor(chosen, anchor[reps], run[reps]):
-            of, low_off, high_off = _matched(contexts, reps, begins, run, key, data, length)
-            # A document may hold a context several times: all of them get what the first was given.
-            a, b = np.searchsorted(member_group, of), np.searchsorted(member_group, of, "right")
-            times = b - a
-            pick = member[np.repeat(a, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-            low.append(start[pick] + np.repeat(low_off, times))
-            high.append(start[pick] + np.repeat(high_off, times))
-            rows.append(row[pick])
-            where_.append(block[pick])
-        block, row = np.concatenate(where_), np.concatenate(rows)
-        low, high = np.concatenate(low), np.concatenate(high)
+    """Step 3, a shard: positions with an earlier match, by block. Its messages are opened part by part."""
+    where, payloads = table["_block"].to_pylist(), table["payload"].to_pylist()
+    marks = [(b, blocks.unpack(p[0], np.int64)[0].reshape(-1, 3)) for b, p in zip(where, payloads, strict=True) if p[0]]
+    for part in range(1, PARTS + 1):
+        parts = [(b, blocks.unpack(p[part], np.int32, np.int64, np.int64, np.int32, np.uint32, np.uint8))
+                 for b, p in zip(where, payloads, strict=True) if p[part]]
+        if not parts:
+            continue
+        block, row, low, high = _match_part(parts, length)
         order = np.argsort(block, kind="stable")
         block = block[order]
         found = np.stack([row[order], low[order], high[order]], 1).astype(np.int64)
@@ -347,7 +453,7 @@ def remove_repeats(
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n, min_length, gram), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(lambda t: _share(t), MESSAGE)
     sent = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        lambda t, a: _send(t, a, n, min_length, gram), MESSAGE)
+        lambda t, a: _send(t, a, n, min_length, gram), "_range int, _block int, payload array<binary>")
     marks = sent.groupBy("_range").applyInArrow(lambda t: _match(t, min_length), MESSAGE)
     fields = ", ".join(f"{a} {renamed.schema[a].dataType.simpleString()}" for a in named)
     out = blocked.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(

@@ -23,6 +23,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+PRIME = (1 << 61) - 1
+_BASE = 0x1B7A5E2D93C4F86D % PRIME
 _BYTE_SEED = 20241
 
 
@@ -95,13 +97,33 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         row = stop
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo ``PRIME``."""
+    prime = np.uint64(PRIME)
+    x = (x & prime) + (x >> np.uint64(61))
+    return np.where(x >= prime, x - prime, x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it, put together from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    middle = a_high * b_low + a_low * b_high
+    return _folded(((a_high * b_high) << np.uint64(1)) + (middle >> np.uint64(30))
+                   + ((middle & np.uint64((1 << 30) - 1)) << half) + a_low * b_low)
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    found = np.ones(1, np.uint64)
+    while len(found) < size + 1:
+        found = np.concatenate([found, times(found, np.uint64(pow(base, len(found), PRIME)))])
+    return found[: size + 1]
+
+
 def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = max(1 << 16, 1 << (size - 1).bit_length())
-    base, inverse = np.uint64(_MULTIPLIER), np.uint64(pow(_MULTIPLIER, -1, 1 << 64))
-    powers, inverses = np.full(size + 1, base, np.uint64), np.full(size + 1, inverse, np.uint64)
-    powers[0] = inverses[0] = 1
-    codes = np.random.default_rng(_BYTE_SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return np.multiply.accumulate(powers), np.multiply.accumulate(inverses), codes
+    codes = np.random.default_rng(_BYTE_SEED).integers(1, PRIME, 256, dtype=np.uint64)
+    return _powers(_BASE, size), _powers(pow(_BASE, -1, PRIME), size), codes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,19 +136,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial hashes of the bytes, from which :func:`span_hashes` takes those of any span."""
-    powers, inverses, codes = worker_cache("powers_small", lambda: _power_tables(2 * SLICE_BYTES))
+    """Running polynomial hashes of the bytes modulo ``PRIME``, from which :func:`span_hashes` takes those of any span.
+
+    Modulo a power of two, texts of regular patterns (complementary Thue-Morse words) would share their hash whatever
+    the base.
+    """
+    powers, inverses, codes = worker_cache("powers_prime", lambda: _power_tables(2 * SLICE_BYTES))
     if len(data) >= len(powers):
         powers, inverses, codes = _power_tables(len(data) + 1)
+    terms = times(codes[data], powers[: len(data)])
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers[: len(data)], out=sums[1:])
+    # Sums of the upper and the lower halves cannot overflow; 2^32 of an upper one is folded by hand.
+    high = np.cumsum(terms >> np.uint64(32))
+    sums[1:] = _folded(_folded(np.cumsum(terms & np.uint64(0xFFFFFFFF))) + (high >> np.uint64(29))
+                       + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
     return sums, inverses
 
 
 def span_hashes(hashes: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; they depend on the bytes alone, not on where a span lies."""
     sums, inverses = hashes
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    span = _folded(sums[ends] + (np.uint64(PRIME) - sums[starts]))
+    return mix(times(span, inverses[starts]) + (ends - starts).astype(np.uint64))
+
+
+def gram_hashes(hashes: tuple[np.ndarray, np.ndarray], length: int) -> np.ndarray:
+    """Hash of each run of ``length`` bytes."""
+    sums, inverses = hashes
+    size = len(sums) - length
+    return mix(times(_folded(sums[length:] + (np.uint64(PRIME) - sums[:size])), inverses[:size]))
 
 
 def window_hashes(items: np.ndarray, length: int) -> np.ndarray:
