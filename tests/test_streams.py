@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tunelake.operators import status
 from tunelake.operators.curation import accepted, ingest_examples
 from tunelake.plans.streams import finish
 from tunelake.sources.jsonl import append_batch, stream_lines
@@ -86,6 +87,35 @@ def test_status_state_spans_micro_batches(spark, tmp_path):
                            ("h", 7, "failed"), ("h", 7, "model_changed"), ("k", 3, "offline")]
 
 
+@pytest.fixture
+def ordered_state(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    live.use_ordered_state(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_polls_out_of_order_give_the_batch_result(spark, tmp_path, ordered_state):
+    schema = "host string, ts timestamp, event_id bigint, ok boolean, status string, model string"
+    rows = [("h", at(1), 1, True, "loading", None), ("h", at(2), 2, False, None, None), ("h", at(3), 3, False, None, None),
+            ("h", at(4), 4, True, "ready", "m"), ("h", at(4), 5, True, "loading", "m"), ("h", at(9), 6, True, "error", None),
+            ("g", at(2), 7, False, None, None), ("g", at(3), 8, False, None, None), ("g", at(8), 9, True, "idle", None)]
+    end = [("z", at(3600), 99, True, "idle", None)]
+    batches = [[rows[3], rows[1], rows[7], rows[5]], [rows[0], rows[4], rows[2], rows[6], rows[8]], end,
+               [("h", at(5), 50, True, "error", "late"), ("z", at(3500), 51, True, "idle", "m")], [("z", at(7300), 100, True, "idle", "m")]]
+    found = run(spark, live.ordered_status_stream(feed(spark, tmp_path / "in", batches, schema)), tmp_path).collect()
+    got = sorted((r["host"], int(r["ts"].timestamp() - at(0).timestamp()), r["event"]) for r in found)
+    polls = spark.createDataFrame(rows + end, schema)
+    changes = status.status_transitions(polls.where("ok"))
+    expected = [("h", 5, "late")] + [("z", 3500, "model_changed"), ("z", 3600, "model_changed")]
+    for r in changes.where("host <> 'z'").collect():
+        expected += [(r["host"], r["ts"], e) for e in ([r["transition"]] if r["transition"] else []) + ["model_changed"] * r["model_changed"]]
+    for r in status.offline_spells(polls).collect():
+        expected += [(r["host"], r["offline_at"], "offline")] + ([(r["host"], r["recovered_at"], "online")] if r["recovered_at"] else [])
+    expected = sorted((h, t if isinstance(t, int) else int(t.timestamp() - at(0).timestamp()), e) for h, t, e in expected)
+    assert got == expected and len(got) > 8
+
+
 @pytest.mark.parametrize("gap, applied", [(399, [(2, 9.0)]), (401, [(1, 5.0), (2, 9.0)])])
 def test_debounce(spark, tmp_path, gap, applied):
     schema = "session int, ts timestamp, event_id int, value double"

@@ -109,12 +109,7 @@ def stream_debounce(spark, sf_dir):
     return plain_time(to_table(spark, live.debounce_stream(changes, quiet_millis=QUIET_HOURS * 3_600_000)))
 
 
-@query("stream_status", """
-WITH polls AS (
-  SELECT 'host-' || user_id AS host, ts, event_id, event_type <> 'error' AS ok,
-         CASE event_type WHEN 'signup' THEN 'starting' WHEN 'click' THEN 'loading' WHEN 'view' THEN 'ready'
-                         WHEN 'purchase' THEN 'error' END AS status,
-         'org/model-' || ((user_id + event_id) % 3) AS model FROM events),
+STATUS_EVENTS = """
 good AS (
   SELECT *, lag(status) OVER w AS prev_status, lag(model) OVER w AS prev_model FROM polls WHERE ok
   WINDOW w AS (PARTITION BY host ORDER BY ts, event_id)),
@@ -127,7 +122,31 @@ WHERE prev_status IN ('starting', 'loading') AND status IN ('ready', 'error')
 UNION ALL SELECT host, ts, 'model_changed' FROM good WHERE model IS DISTINCT FROM prev_model
 UNION ALL SELECT host, hit, 'offline' FROM spells
 UNION ALL SELECT n.host, n.ts, 'online' FROM numbered n JOIN spells s
-  ON n.host = s.host AND n.ok AND n.successes = s.successes + 1""")
+  ON n.host = s.host AND n.ok AND n.successes = s.successes + 1"""
+
+POLLED = """
+polls AS (
+  SELECT 'host-' || user_id AS host, ts, event_id, event_type <> 'error' AS ok,
+         CASE event_type WHEN 'signup' THEN 'starting' WHEN 'click' THEN 'loading' WHEN 'view' THEN 'ready'
+                         WHEN 'purchase' THEN 'error' END AS status,
+         'org/model-' || ((user_id + event_id) % 3) AS model FROM events
+"""
+
+
+@query("stream_status", f"WITH {POLLED}), {STATUS_EVENTS}")
 def stream_status(spark, sf_dir):
     rows = live.status_stream(timed(polls(_Streamed(spark), sf_dir)))
     return plain_time(to_table(spark, rows))
+
+
+@query("stream_status_ordered", f"""WITH {POLLED}
+  WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events) - 600000), {STATUS_EVENTS}""")
+def stream_status_ordered(spark, sf_dir):
+    """Events of all polls that the watermark has passed; the last ten minutes stay open."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    live.use_ordered_state(spark)
+    try:
+        return plain_time(to_table(spark, live.ordered_status_stream(timed(polls(_Streamed(spark), sf_dir)))))
+    finally:
+        spark.conf.set(key, before)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tunelake import fixed_values as fixed
@@ -41,6 +42,9 @@ def debounce_stream(
 STATUS_EVENTS = "host string, ts timestamp, event string"
 STATUS_STATE = "micros bigint, event_id bigint, status string, model string, failures int"
 
+POLL = "micros bigint, event_id bigint, ok boolean, status string, model string"
+LAST_POLL = "status string, model string, failures int"
+
 
 def status_stream(polls: DataFrame) -> DataFrame:
     """Events of each host as its polls arrive: ``loaded``, ``failed``, ``model_changed``, ``offline``, ``online``.
@@ -64,22 +68,100 @@ def _status_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupStat
         if (at, poll.event_id) <= (micros, event_id):
             continue
         micros, event_id = at, int(poll.event_id)
-        if not poll.ok:
-            failures += 1
-            if failures == fixed.OFFLINE_AFTER:
-                events.append((poll.ts, "offline"))
-            continue
-        if failures >= fixed.OFFLINE_AFTER:
-            events.append((poll.ts, "online"))
-        failures = 0
-        if status in fixed.LOADING_STATUSES and poll.status in ("ready", "error"):
-            events.append((poll.ts, "loaded" if poll.status == "ready" else "failed"))
         current = poll.model if isinstance(poll.model, str) else None
-        if current != model:
-            events.append((poll.ts, "model_changed"))
-        status, model = poll.status, current
+        status, model, failures, found = _next_status(status, model, failures, poll.ok, poll.status, current)
+        events += [(poll.ts, event) for event in found]
     state.update((micros, event_id, status, model, failures))
     yield pd.DataFrame(
         {"host": [key[0]] * len(events), "ts": pd.to_datetime([e[0] for e in events]),
          "event": [e[1] for e in events]}
     )
+
+
+def ordered_status_stream(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """As :func:`status_stream`, with every poll in its place: the events of the batch form, whatever the order of arrival.
+
+    Polls wait in state until the watermark (``delay`` behind the newest poll) has passed them, and are then read by
+    (ts, event_id). A poll that arrives behind the watermark can't be put in its place any more: it comes out as
+    an event ``late``, with nothing else changed. A host's state is its polls of about ``delay`` and its last poll before
+    them. Append mode; the state store must be RocksDB (:func:`use_ordered_state`).
+    """
+    # The time column itself would let Spark drop late polls unseen; as a number it passes.
+    rows = polls.withWatermark("ts", delay).select(
+        "host", F.unix_micros("ts").alias("micros"), "event_id", "ok", "status", "model")
+    return rows.groupBy("host").transformWithStateInPandas(
+        _OrderedStatus(), outputStructType=STATUS_EVENTS, outputMode="append", timeMode="EventTime")
+
+
+def use_ordered_state(spark: SparkSession) -> None:
+    """The state store that list state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _OrderedStatus(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", POLL)
+        self.last = handle.getValueState("last", LAST_POLL)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        late, first = [], None
+        for batch in rows:
+            fresh = []
+            for poll in batch.itertuples(index=False):
+                if poll.micros // 1000 <= passed:
+                    late.append((poll.micros, "late"))
+                    continue
+                model = poll.model if isinstance(poll.model, str) else None
+                status = poll.status if isinstance(poll.status, str) else None
+                fresh.append((int(poll.micros), int(poll.event_id), bool(poll.ok), status, model))
+                first = poll.micros // 1000 if first is None else min(first, poll.micros // 1000)
+            if fresh:
+                self.waiting.appendList(fresh)
+        if first is not None:
+            self.handle.registerTimer(int(first))
+        yield _status_rows(key, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, rest = [], []
+        for poll in self.waiting.get():
+            (due if poll[0] // 1000 <= passed else rest).append(tuple(poll))
+        if not due:
+            yield _status_rows(key, [])
+            return
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(poll[0] for poll in rest) // 1000)
+        else:
+            self.waiting.clear()
+        status, model, failures = self.last.get() if self.last.exists() else ("idle", None, 0)
+        events = []
+        for micros, _, ok, now, current in sorted(due, key=lambda poll: poll[:2]):
+            status, model, failures, found = _next_status(status, model, failures, ok, now, current)
+            events += [(micros, event) for event in found]
+        self.last.update((status, model, failures))
+        yield _status_rows(key, events)
+
+    def close(self) -> None:
+        pass
+
+
+def _status_rows(key: tuple, events: list[tuple[int, str]]) -> pd.DataFrame:
+    return pd.DataFrame({"host": pd.Series([key[0]] * len(events), dtype=object),
+                         "ts": pd.to_datetime(pd.Series([e[0] for e in events], dtype="int64"), unit="us"),
+                         "event": pd.Series([e[1] for e in events], dtype=object)})
+
+
+def _next_status(status, model, failures: int, ok: bool, now, current):
+    """A host's state after a poll, and the events of it."""
+    if not ok:
+        return status, model, failures + 1, ["offline"] if failures + 1 == fixed.OFFLINE_AFTER else []
+    events = ["online"] if failures >= fixed.OFFLINE_AFTER else []
+    if status in fixed.LOADING_STATUSES and now in ("ready", "error"):
+        events.append("loaded" if now == "ready" else "failed")
+    if current != model:
+        events.append("model_changed")
+    return now, current, 0, events
