@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tunelake.operators.ordered import number_rows, ordered_scan, position_chunk, time_chunk, with_totals
+from tunelake.operators import status
+from tunelake.operators.ordered import EvenChunks, mark_hot, number_rows, ordered_scan, position_chunk, with_totals
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +57,33 @@ def test_totals_spread_a_key(rows):
     assert all(r["n"] == counts[r["key"]] for r in spread.collect()) and spread.count() == rows.count()
 
 
-def test_time_chunk(spark):
-    rows = spark.sql("SELECT TIMESTAMP_NTZ'1969-12-31 23:59:59' AS ts UNION ALL SELECT TIMESTAMP_NTZ'1970-01-01 00:00:10'")
-    assert sorted(r[0] for r in rows.select(time_chunk("ts", 10)).collect()) == [-1, 1]
+def test_a_burst_is_cut_by_rows(spark):
+    """A quiet day and a second with most of the events: chunks hold about equal numbers of rows, results are the same."""
+    burst = F.expr("timestamp_micros(1704067200000000 + if(id < 2000, id * 43000000, 50000000000 + id * 40))")
+    events = spark.range(40_000).select(F.lit("k").alias("key"), burst.alias("ts"), F.col("id").alias("event_id"))
+    even = EvenChunks("ts", ("ts", "event_id"), rows=1000, one_in=16)
+    marked = mark_hot(events, ["key"], 100, even=even).withColumn("chunk", even.chunk())
+    sizes = [r["count"] for r in marked.groupBy("chunk").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 4 * 1000
+    scan = {"running": {"i": F.lit(1)}, "previous": {"before": F.col("event_id")}}
+    cut, whole = (sorted(map(tuple, ordered_scan(events, ["key"], ["ts", "event_id"], even, hot_rows=rows, **scan).collect()))
+                  for rows in (100, 1_000_000))
+    assert cut == whole
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_intents_by_hand(spark, hot_rows):
+    asked = [(1, "s", "m", "now"), (2, "s", "m", "x"), (4, "s", "n", "x"), (5, "s", "n", "x"), (9, "s", "m", "x"), (12, "s", None, "x"),
+             (1, "t", "m", "x"), (3, "t", None, None)]
+    came = [(3, "s", "ready", "other"), (6, "s", "ready", "m"), (7, "s", "ready", "n"), (8, "s", "error", "n"), (10, "s", "error", None),
+            (13, "s", "ready", None), (0, "t", "ready", "m"), (2, "u", "error", "m")]
+    ts = F.expr("timestamp_micros(1704067200000000 + event_id * 1000000)")
+    intents = spark.createDataFrame([(i, k, m, f"a{i}", m if c == "now" else c) for i, k, m, c in asked],
+                                    "event_id long, session string, model string, adapter string, current_model string")
+    results = spark.createDataFrame(came, "event_id long, session string, outcome string, model string")
+    found = status.pending_intents(intents.withColumn("ts", ts), results.withColumn("ts", ts), hot_rows=hot_rows).collect()
+    got = {(r["session"], r["event_id"]): (r["outcome"], r["adapter"], r["resolved_at"] and int(r["resolved_at"].timestamp()) - 1704067200)
+           for r in found}
+    assert got == {("s", 1): ("applied", "a1", 1), ("s", 2): ("replaced", "a2", None), ("s", 4): ("replaced", "a4", None),
+                   ("s", 5): ("applied", "a5", 7), ("s", 9): ("dropped", "a9", 10), ("s", 12): ("applied", "a12", 13),
+                   ("t", 1): ("waiting", "a1", None), ("t", 3): ("applied", "a3", 3)}

@@ -11,6 +11,7 @@ summary, so that a table without hot keys costs a plain window and the count.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -25,6 +26,41 @@ HOT_ROWS = 1_000_000
 
 MICROS = 1_000_000
 
+SAMPLE_ONE_IN = 4_096
+MAX_CHUNKS = 512
+
+
+@dataclass(frozen=True)
+class EvenChunks:
+    """Chunks of about equal numbers of rows along ``position`` (a number or time that does not decrease along the order).
+
+    The bounds of a hot key come from a sample of its positions, one row in ``one_in`` by a hash of ``spread``, taken in
+    the pass that counts the key: a burst within a second is spread as well as a quiet month. A sample decides where a
+    key is cut, never what comes out.
+    """
+
+    position: str
+    spread: tuple[str, ...]
+    rows: int = ROWS_PER_CHUNK
+    one_in: int = SAMPLE_ONE_IN
+
+    def number(self) -> Column:
+        column = F.col(self.position)
+        return F.unix_micros(column.cast("timestamp"))
+
+    def sample(self) -> Column:
+        drawn = F.pmod(F.xxhash64(*self.spread), F.lit(self.one_in)) == 0
+        return F.array_sort(F.collect_list(F.when(drawn, self.number()))).alias("_sample")
+
+    def bounds(self) -> Column:
+        """Every so many-th position of the sample; for a key of very many rows the chunks grow instead of their number."""
+        wanted = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_rows") / self.rows))
+        step = F.greatest(F.lit(1), F.ceil(F.size("_sample") / wanted)).cast("int")
+        return F.array_distinct(F.filter("_sample", lambda x, i: (i % step == 0) & (i > 0)))
+
+    def chunk(self) -> Column:
+        return F.size(F.filter("_bounds", lambda bound: bound <= self.number())).cast("bigint")
+
 
 def position_chunk(position: str | Column, length: int = ROWS_PER_CHUNK) -> Column:
     """Chunk number of an integer position."""
@@ -32,23 +68,20 @@ def position_chunk(position: str | Column, length: int = ROWS_PER_CHUNK) -> Colu
     return F.floor(column / F.lit(length)).cast("bigint")
 
 
-def time_chunk(ts: str | Column, seconds: int) -> Column:
-    """Chunk number of a timestamp; choose a span that holds a bounded number of rows per key."""
-    column = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.unix_micros(column.cast("timestamp")) / F.lit(seconds * MICROS)).cast("bigint")
-
-
 def mark_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int, sized_by: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], hot_rows: int, sized_by: DataFrame | None = None, even: EvenChunks | None = None,
 ) -> DataFrame:
     """Adds ``_hot``, true for the rows of keys with more than ``hot_rows`` rows and NULL for the others.
 
     There are at most ``rows / hot_rows`` such keys, which bounds what is broadcast. ``sized_by`` is
-    another table to count, where one with at least as many rows per key is cheaper to read.
+    another table to count, where one with at least as many rows per key is cheaper to read. With ``even``, also the
+    ``_bounds`` of their chunks.
     """
-    counts = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    more = [even.sample()] if even else []
+    counts = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("_rows"), *more)
     hot = counts.where(F.col("_rows") > hot_rows).select(
-        *[F.col(key).alias(f"_hot_{key}") for key in keys], F.lit(True).alias("_hot")
+        *[F.col(key).alias(f"_hot_{key}") for key in keys], F.lit(True).alias("_hot"),
+        *([even.bounds().alias("_bounds")] if even else []),
     )
     same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys])
     return df.join(F.broadcast(hot), same, "left").drop(*[f"_hot_{key}" for key in keys])
@@ -58,7 +91,7 @@ def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | EvenChunks,
     *,
     running: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
@@ -75,7 +108,7 @@ def ordered_scan(
     ``last_known``  latest non-null value on any earlier row of the key
     ``totals``      ``(sum | min | max, column)`` over the whole key
 
-    ``order`` must be unique per key and ``chunk`` must not decrease along it. With ``descending`` the
+    ``order`` must be unique per key and ``chunk`` must not decrease along it; :class:`EvenChunks` are cut by rows. With ``descending`` the
     key is read from its last row to its first, so "previous" means the following row. ``hot_rows`` and
     ``sized_by`` are those of :func:`mark_hot`.
     """
@@ -87,8 +120,14 @@ def ordered_scan(
     def directed(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()
 
-    rows = mark_hot(df, keys, hot_rows, sized_by).withColumns(
-        {"_chunk": F.when(F.col("_hot"), chunk), "_is_row": F.lit(True)}
+    even = chunk if isinstance(chunk, EvenChunks) else None
+    marked = mark_hot(df, keys, hot_rows, sized_by, even)
+    if even:
+        marked = marked.withColumn("_chunk", F.when(F.col("_hot"), even.chunk())).drop("_bounds")
+    else:
+        marked = marked.withColumn("_chunk", F.when(F.col("_hot"), chunk))
+    rows = marked.withColumns(
+        {"_is_row": F.lit(True)}
         | {f"_run_{name}": column for name, column in running.items()}
         | {f"_known_{name}": F.when(column.isNotNull(), F.struct(column.alias("v")))
            for name, column in last_known.items()}
