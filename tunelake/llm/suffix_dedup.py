@@ -17,8 +17,8 @@ Steps, with blocks as in :mod:`tunelake.llm.blocks`:
    these are hot;
 2. blocks send the contexts of shared anchors, of equal ones in a block only those of the smallest key; documents
    equal to an earlier one as a whole are marked at once and take no further part;
-3. shards order suffixes and answer with the positions that have an earlier match; a range opens its messages in
-   ``PARTS`` parts, one after the other;
+3. shards order suffixes and answer with the positions that have an earlier match; a large shard takes its anchors
+   in parts, one after the other;
 4. blocks merge them into spans and cut these out.
 
 Anchors found shared by chance cost a context, not a result: windows are compared byte by byte. Contexts count as equal
@@ -44,7 +44,9 @@ _ROW_SHIFT = 40
 WINDOWS = 200_000
 """Windows that a shard puts in order at a time."""
 
-PARTS = 8
+PART_BYTES = 4 << 20
+"""Compressed messages that a shard opens at a time, in the mean."""
+
 HOT_CONTEXTS = 2_000
 """Contexts of an anchor, counted in all blocks, from which its windows are dealt by a second anchor too. Results don't
 depend on it: equal windows have equal second anchors."""
@@ -172,8 +174,7 @@ def _share(table: pa.Table) -> pa.Table:
 def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 2 of a block: contexts of shared anchors by range. What the block can mark itself goes along."""
     if not table.num_rows:
-        return pa.table({"_range": pa.array([], pa.int32()), "_block": pa.array([], pa.int32()),
-                         "payload": pa.array([], pa.list_(pa.binary()))})
+        return _rows([])
     table = blocks.in_order(table)
     block = table["_block"][0].as_py()
     ids = table["_id"].to_numpy()
@@ -217,7 +218,6 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
     own_id = ids[row[order]]
     local = order[own_id > smallest]
     sent = order[own_id == smallest]
-    sent = sent[np.argsort(anchor[sent] & np.uint64(0xFFFFFFFF), kind="stable")]
     sent = sent[np.argsort(blocks.ranges(anchor[sent], n), kind="stable")]
     bounds = blocks.cut(blocks.ranges(anchor[sent], n), n)
     whole = np.flatnonzero(copy)
@@ -225,27 +225,15 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
     marks = np.concatenate([
         np.stack([row[local], start[local], start[local] + run[local]], 1),
         np.stack([whole, np.zeros(len(whole), np.int64), sizes[whole].astype(np.int64) - length + 1], 1)]).astype(np.int64)
-    rows = [(block % n, block, [blocks.pack(marks), *[None] * PARTS])] if len(marks) else []
+    rows = [(block % n, block, blocks.pack(marks, *[np.zeros(0, np.int64)] * 6))] if len(marks) else []
     for p in blocks.filled(bounds):
         chosen = sent[bounds[p]: bounds[p + 1]]
-        cuts = np.searchsorted(_part_of(blocks.low(anchor[chosen])), np.arange(PARTS + 1))
-        messages = [None]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            some = chosen[a:b]
-            pieces = [everywhere[k].data[at: at + r + length - 1].tobytes() for k, at, r in zip(
-                number[some].tolist(), place[some].tolist(), run[some].tolist(), strict=True)]
-            messages.append(blocks.pack(
-                row[some].astype(np.int32), ids[row[some]], start[some].astype(np.int64), run[some].astype(np.int32),
-                blocks.low(anchor[some]), np.frombuffer(b"".join(pieces), np.uint8)) if len(some) else None)
-        rows.append((p, block, messages))
-    ps, bs, values = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"_range": pa.array(ps, pa.int32()), "_block": pa.array(bs, pa.int32()),
-                     "payload": pa.array(values, pa.list_(pa.binary()))})
-
-
-def _part_of(low: np.ndarray) -> np.ndarray:
-    """The part of a range that an anchor's lower half belongs to."""
-    return (low.astype(np.uint64) * np.uint64(PARTS)) >> np.uint64(32)
+        pieces = [everywhere[k].data[at: at + r + length - 1].tobytes() for k, at, r in zip(
+            number[chosen].tolist(), place[chosen].tolist(), run[chosen].tolist(), strict=True)]
+        rows.append((p, block, blocks.pack(
+            marks[:0], row[chosen].astype(np.int32), ids[row[chosen]], start[chosen].astype(np.int64),
+            run[chosen].astype(np.int32), blocks.low(anchor[chosen]), np.frombuffer(b"".join(pieces), np.uint8))))
+    return _rows(rows)
 
 
 def _nearest_smaller(keys: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
@@ -375,23 +363,36 @@ def _match_part(parts: list, length: int):
     return tuple(np.concatenate(x) for x in (where, rows, low, high))
 
 
+def _opened(payload: bytes, number: int, n_parts: int, length: int) -> tuple | None:
+    """The contexts of a message whose anchors are of a part."""
+    row, key, start, run, anchor, data = blocks.unpack(
+        payload, np.int64, np.int32, np.int64, np.int64, np.int32, np.uint32, np.uint8)[1:]
+    own = (anchor.astype(np.uint64) * np.uint64(n_parts)) >> np.uint64(32) == np.uint64(number)
+    if not own.any():
+        return None
+    return (*(x[own] for x in (row, key, start, run, anchor)), data[np.repeat(own, run + length - 1)])
+
+
 @texts.releasing
 def _match(table: pa.Table, length: int) -> pa.Table:
-    """Step 3, a shard: positions with an earlier match, by block. Its messages are opened part by part."""
+    """Step 3, a shard: positions with an earlier match, one row for each block that has any."""
     where, payloads = table["_block"].to_pylist(), table["payload"].to_pylist()
-    marks = [(b, blocks.unpack(p[0], np.int64)[0].reshape(-1, 3)) for b, p in zip(where, payloads, strict=True) if p[0]]
-    for part in range(1, PARTS + 1):
-        parts = [(b, blocks.unpack(p[part], np.int32, np.int64, np.int64, np.int32, np.uint32, np.uint8))
-                 for b, p in zip(where, payloads, strict=True) if p[part]]
-        if not parts:
-            continue
-        block, row, low, high = _match_part(parts, length)
-        order = np.argsort(block, kind="stable")
-        block = block[order]
-        found = np.stack([row[order], low[order], high[order]], 1).astype(np.int64)
-        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
-        marks += [(int(block[c]), f) for c, f in zip(cuts, np.split(found, cuts[1:]), strict=True)] if len(cuts) else []
-    rows = [(table["_range"][0].as_py(), b, blocks.pack(m)) for b, m in marks]
+    found = []
+    for b, payload in zip(where, payloads, strict=True):
+        marks = blocks.unpack(payload, np.int64)[0].reshape(-1, 3)
+        found.append((np.full(len(marks), b), *marks.T))
+    n_parts = 1 + sum(map(len, payloads)) // PART_BYTES
+    for number in range(n_parts):
+        parts = [(b, part) for b, payload in zip(where, payloads, strict=True)
+                 if (part := _opened(payload, number, n_parts, length))]
+        if parts:
+            found.append(_match_part(parts, length))
+    block, row, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(block, kind="stable")
+    block, marks = block[order], np.stack([row[order], low[order], high[order]], 1).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+    rows = [(table["_range"][0].as_py(), int(block[c]), blocks.pack(m))
+            for c, m in zip(cuts, np.split(marks, cuts[1:]), strict=True)] if len(cuts) else []
     return _rows(rows)
 
 
@@ -453,7 +454,7 @@ def remove_repeats(
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n, min_length, gram), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(lambda t: _share(t), MESSAGE)
     sent = blocked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        lambda t, a: _send(t, a, n, min_length, gram), "_range int, _block int, payload array<binary>")
+        lambda t, a: _send(t, a, n, min_length, gram), MESSAGE)
     marks = sent.groupBy("_range").applyInArrow(lambda t: _match(t, min_length), MESSAGE)
     fields = ", ".join(f"{a} {renamed.schema[a].dataType.simpleString()}" for a in named)
     out = blocked.groupBy("_block").cogroup(marks.groupBy("_block")).applyInArrow(
