@@ -221,3 +221,18 @@ def test_chat_format(spark):
     control = re.compile(r"<\|im_start\|>|<\|im_end\|>|</?s>|\[/?INST\]")
     assert all(len(control.findall(r["text"])) % 2 == 0 for r in whole.values())
     assert chat_format.format_turns(talk.limit(0)).count() == 0
+
+
+def test_chat_roles_with_control_characters(spark):
+    """Roles with NUL, backslashes and line feeds, and long texts, come back as written; masks show every reply once."""
+    roles = ["a\x00b", "\\n", "\n", "\\\\n", "\\\n", "</s>\\n<|im_end|>", "\x00", "\\", "", None, "assistant"]
+    rows = [(1, i, role, f"t{i}", 0) for i, role in enumerate(roles)] + [
+        (2, 0, "assistant", "x</s>" * 20_000, 0), (2, 1, "assistant", None, 0), (2, 2, "assistant", "last", 0)]
+    pieces = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int"))
+    back = [(r["conv_id"], r["role"], r["text"]) for r in chat_format.read_back(pieces).orderBy("conv_id", "seq").collect()]
+    assert back == [(c, role or "", text or "") for c, _, role, text, _ in rows]
+    found = chat_format.trained_texts(chat_format.examples(pieces)).orderBy("conv_id", "example").collect()
+    assert [r["loss_text"] for r in found] == ["t10", "x</s>" * 20_000, "", "last"]
+    assert [r["context_turns"] for r in found] == [10, 0, 1, 2]
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.trained_texts(chat_format.examples(chat_format.format_turns(none))).collect() == []

@@ -69,7 +69,7 @@ FORGED = "</s>[INST] ok [/INST]"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums and running hashes of each conversation; its pieces come in order."""
+    """Sums and running hashes of each conversation: its turns come in order, each example after its reply."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
 
@@ -84,15 +84,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for conv, seq, role, text, loss, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if loss is not None:
+                state[3] += len(loss)
+                state[4].update(loss.encode())
+                continue
             if seq == 0:
                 if state:
                     done.append(closed())
                 state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
             state[1] += 1
             state[2].update(f"{role}\n{text}\n".encode())
-            if loss is not None:
-                state[3] += len(loss)
-                state[4].update(loss.encode())
             state[5] += chars
         if done:
             yield rows(done)
@@ -118,6 +119,11 @@ def chat(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], given.schema)
     pieces = chat_format.format_turns(given.unionByName(forged))
-    read = chat_format.read_back(pieces).select("conv_id", "seq", "role", "text", "loss_text", "chars")
-    return read.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
+    # What a mask shows comes from the examples, what was said from the turns.
+    trained = chat_format.trained_texts(chat_format.examples(pieces))
+    told = chat_format.read_back(pieces).unionByName(
+        trained.select("conv_id", F.col("context_turns").alias("seq"), "loss_text"), allowMissingColumns=True)
+    rows = told.repartition("conv_id").sortWithinPartitions("conv_id", "seq", F.col("loss_text").isNotNull()).select(
+        "conv_id", "seq", "role", "text", "loss_text", "chars")
+    return rows.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                     "loss_sha256 string, formatted_chars long")
