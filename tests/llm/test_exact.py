@@ -174,3 +174,18 @@ def test_long_texts_share_no_sample_by_chance():
     found = near_dedup._samples(np.concatenate([one, two, like]), np.full(3 * n, 1.05), np.array([0, n, 2 * n]), 120)
     assert (found[0] == found[1]).sum() == 0
     assert (found[0] == found[2]).mean() == pytest.approx(0.8, abs=0.12)
+
+
+def test_similarities_by_products_are_those_of_pairs():
+    draw = np.random.default_rng(6)
+    payloads = []
+    for _ in range(40):
+        keys = np.unique(draw.integers(0, 300, 80)).astype(np.int64)
+        payloads.append(near_dedup.blocks.pack(
+            np.diff(keys, prepend=0).astype(np.uint32), draw.choice([1, 1, 1, 2, 3, 9], len(keys)).astype(np.uint32),
+            (keys % 20).astype(np.uint8)))
+    vectors = near_dedup._Vectors(payloads, 5000)
+    found = vectors.all_similarities()
+    for i in range(40):
+        for j in range(40):
+            assert i == j or found[i, j] == pytest.approx(vectors.similarity(i, j), abs=1e-12)

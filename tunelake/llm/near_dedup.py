@@ -51,6 +51,13 @@ VECTOR_BITS = 28
 GROUP = 1024
 CENTRAL = 32
 PART_NODES = 20_000
+PAIRWISE = 8
+"""Open pairs for each node of a group from which all its pairs are compared at once, by matrix products."""
+
+MATRIX_BYTES = 8 << 20
+"""Packed vectors that are opened at a time for it; groups of longer texts go pair by pair."""
+
+FEATURES = 2048
 DOUBT = 0.6
 """Share of equal samples below which no pair is compared; one at 0.8 falls below it in 3 of 1,000 cases."""
 
@@ -395,13 +402,55 @@ class _Vectors:
         return shared / (ta + tb - shared)
 
 
+    def all_similarities(self) -> np.ndarray:
+        """Weighted Jaccard of all pairs of the group by matrix products.
+
+        A shingle of count c is c features: its weight grows by a step with each count, and the smaller of two weights
+        is the sum of the steps that both have. Features that one node has alone add to totals only.
+        """
+        names, steps, nodes, n = [], [], [], len(self.payloads)
+        for i, payload in enumerate(self.payloads):
+            gaps, counts, levels = blocks.unpack(payload, np.uint32, np.uint32, np.uint8)
+            counts = counts.astype(np.int64)
+            at = np.repeat(np.arange(len(counts)), counts)
+            step = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts) + 1
+            names.append(np.cumsum(gaps, dtype=np.int64)[at] + (step << VECTOR_BITS))
+            grown = np.where(step > 1, np.log(step / np.maximum(step - 1, 1)), 1.0)
+            steps.append(grown * _weights(np.ones(len(counts)), levels, self.n_docs)[at])
+            nodes.append(np.full(len(at), i))
+        names, steps, nodes = np.concatenate(names), np.concatenate(steps), np.concatenate(nodes)
+        total = np.bincount(nodes, steps, n)
+        order = np.argsort(names, kind="stable")
+        head = np.append(True, names[order][1:] != names[order][:-1])
+        several = np.diff(np.append(np.flatnonzero(head), len(order))) > 1
+        column = np.cumsum(head) - 1
+        kept = several[column]
+        order, column = order[kept], (np.cumsum(several) - 1)[column[kept]]
+        shared = np.zeros((n, n))
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, FEATURES):
+            a, b = np.searchsorted(column, (low, low + FEATURES))
+            dense = np.zeros((n, FEATURES))
+            dense[nodes[order[a:b]], column[a:b] - low] = np.sqrt(steps[order[a:b]])
+            shared += dense @ dense.T
+        return shared / (total[:, None] + total[None, :] - shared)
+
+
+def _verified_joins(payloads: list[bytes], n_docs: int, threshold: float, first, second, label) -> Iterator[tuple[int, int]]:
+    """Open pairs that reach the threshold and join two labels. Many pairs are compared all at once."""
+    vectors = _Vectors(payloads, n_docs)
+    if len(first) > PAIRWISE * len(payloads) and sum(map(len, payloads)) <= MATRIX_BYTES:
+        sure = vectors.all_similarities()[first, second] >= threshold - 1e-9
+        yield from _joins(first[sure], second[sure], label, lambda i, j: True)
+    else:
+        yield from _joins(first, second, label, lambda i, j: vectors.similarity(i, j) >= threshold - 1e-9)
+
+
 def _group_links(group: list[tuple], n_docs: int, threshold: float) -> list[tuple[bytes, bytes]]:
     """What the links of a group join, as links to the smallest node: pairs are verified in the order of their samples'
     agreement, unless earlier links join the two already."""
-    vectors = _Vectors([row[7] for row in group], n_docs)
     label = np.arange(len(group))
-    for _ in _joins(*_open_pairs([row[6] for row in group], label), label,
-                    lambda i, j: vectors.similarity(i, j) >= threshold - 1e-9):
+    first, second = _open_pairs([row[6] for row in group], label)
+    for _ in _verified_joins([row[7] for row in group], n_docs, threshold, first, second, label):
         pass
     return _stars([row[5] for row in group], label)
 
@@ -540,9 +589,8 @@ def _verified(batches: Iterator[pa.RecordBatch], n_docs: int, threshold: float)
     """Links that join classes in a unit; every open pair is verified unless links join it already."""
     for unit in _unit_rows(batches):
         first, second, label = _unit_pairs(unit)
-        vectors = _Vectors([row[7] for row in unit], n_docs)
-        found = [(unit[i][5], unit[j][5]) for i, j in _joins(
-            first, second, label, lambda i, j, v=vectors: v.similarity(i, j) >= threshold - 1e-9)]
+        found = [(unit[i][5], unit[j][5]) for i, j in _verified_joins(
+            [row[7] for row in unit], n_docs, threshold, first, second, label)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()),
                                           pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
