@@ -4,7 +4,11 @@ Channel: a writer has words in mind and writes letters as look-alikes (``1d10t``
 or several times (``idiooot``). A suspicious token is a lattice of what each character may stand for; Viterbi search
 finds the reading with the best sum of channel costs and of a character language model (4-grams with back-off, words
 in lower case without accents) that is counted over all documents. Tokens of plain letters have one reading and
-pass as they are.
+pass as they are. Letters of other forms (full width, with marks, with characters of no width between) are read as the
+letters they are; Greek and Cyrillic look-alikes are read as Latin ones in a word that has Latin letters as well.
+
+Time is linear in the length of a token: at most some milliseconds a character, where wildcards keep all
+``28 ** 3`` states of the lattice alive. Empty and NULL texts have no tokens.
 
 Scorer: logistic regression on the restored text's words and word beginnings (hashed, present or not). It is fitted
 on at most ``max_training_rows`` labelled rows, those of the lowest hash of their key; features are the ``max_features``
@@ -17,6 +21,7 @@ tasks.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,11 +45,25 @@ LOOK_ALIKES = {
 WILD = "*"
 DIVIDERS = "._-*'~,"
 
+# Letters of other scripts, and the Latin letters they look like.
+OTHER_SCRIPTS = {
+    "а": "a", "в": "b", "г": "r", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c",
+    "т": "t", "у": "y", "х": "x", "ь": "b", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ӏ": "l", "ԁ": "d", "ԛ": "q",
+    "ԝ": "w",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p",
+    "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+}
+_SCRIPTS = str.maketrans(OTHER_SCRIPTS)
+
 SYMBOLS = 28
 """Alphabet of the language model: 0 is the border of a word, 1 to 26 are letters, 27 is any other character."""
 
 COST_LOOK_ALIKE, COST_KEPT, COST_REPEAT, COST_DIVIDER, COST_WILD = 0.7, 6.0, 0.4, 0.3, 2.0
 COST_SPACE = 2.0
+KNOWN_LENGTH = 64
+"""Longest token whose reading is remembered, so that what is remembered is bounded in bytes too."""
+KEPT_BYTES = 32 << 20
+"""Links of a wide lattice that are kept before the part all its readings share is settled."""
 
 PLAIN = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "«": '"', "»": '"',
                        "‹": "'", "›": "'", "–": "-", "—": "-", "‐": "-", "‑": "-", "…": "...", "•": "*", "·": ".",
@@ -129,6 +148,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.wide = _WideLattice(model)
         self.known: dict[tuple[str, bool], str] = {}
 
     def restore(self, token: str, apart: bool = False) -> str:
@@ -136,7 +156,9 @@ class Restorer:
         that were ``apart`` may be several words."""
         found = self.known.get((token, apart))
         if found is None:
-            found = self._search(token, apart)
+            found = self.wide.search(token, apart) if token.count(WILD) > 1 else self._search(token, apart)
+            if len(token) > KNOWN_LENGTH:
+                return found
             if len(self.known) >= 200_000:
                 self.known.clear()
             self.known[token, apart] = found
@@ -147,10 +169,7 @@ class Restorer:
         model = self.model
         layers: list[dict] = [{} for _ in range(len(token) + 1)]
         layers[0] = {(0, 0, 0): (0.0, None)}
-        runs = [1] * len(token)
-        for i in range(len(token) - 2, -1, -1):
-            if token[i] == token[i + 1]:
-                runs[i] = runs[i + 1] + 1
+        runs = _runs(token)
         for i, char in enumerate(token):
             if not layers[i]:
                 continue
@@ -162,10 +181,7 @@ class Restorer:
                     layers[i][0, 0, 0] = min(layers[i].get((0, 0, 0), (math.inf, None)), (total, (said, " ")),
                                              key=lambda state: state[0])
             run = runs[i]
-            options = [(letters, cost, 1) for letters, cost in self._options(char)]
-            if run > 1 and char not in DIVIDERS:
-                options += [(letters * times, cost + COST_REPEAT, run) for letters, cost in self._options(char)
-                            for times in ((1, 2) if run > 2 else (1,)) if letters]
+            options = _steps(char, run)
             for (a, b, c), (spent, said) in layers[i].items():
                 for letters, cost, used in options:
                     x, y, z, total = a, b, c, spent + cost
@@ -186,16 +202,176 @@ class Restorer:
             pieces.append(letters)
         return "".join(reversed(pieces))
 
+
+def _runs(token: str) -> list[int]:
+    """For each character, how often it follows itself from there on."""
+    runs = [1] * len(token)
+    for i in range(len(token) - 2, -1, -1):
+        if token[i] == token[i + 1]:
+            runs[i] = runs[i + 1] + 1
+    return runs
+
+
+def _options(char: str) -> list[tuple[str, float]]:
+    """What a character may stand for, and the costs."""
+    if "a" <= char <= "z":
+        return [(char, 0.0)]
+    options = [(letter, COST_LOOK_ALIKE) for letter in LOOK_ALIKES.get(char, "")]
+    if char in DIVIDERS:
+        options.append(("", COST_DIVIDER))
+    if char == WILD:
+        options += [(chr(97 + k), COST_WILD) for k in range(26)]
+    return [*options, (char, COST_KEPT)]
+
+
+def _steps(char: str, run: int) -> list[tuple[str, float, int]]:
+    """Letters, cost and number of characters of each step from the first of ``run`` equal characters."""
+    steps = [(letters, cost, 1) for letters, cost in _options(char)]
+    if run > 1 and char not in DIVIDERS:
+        steps += [(letters * times, cost + COST_REPEAT, run) for letters, cost in _options(char)
+                  for times in ((1, 2) if run > 2 else (1,)) if letters]
+    return steps
+
+
+class _WideLattice:
+    """The same search for tokens with several wildcards, a layer of states at a time in arrays.
+
+    A row of wildcards is cut to ``longest``: a letter read from a wildcard costs at least 1.7 more than reading
+    nothing, and only the last three letters count for what follows. Reading more than ``longest - 1`` letters thus
+    costs more than the last three of them alone, whatever stands before; the wildcards left over are read as nothing.
+    """
+
+    def __init__(self, model: np.ndarray):
+        self.cost = -model.reshape(SYMBOLS ** 3, SYMBOLS).astype(float)
+        self.longest = 4 + int(3 * self.cost.max() / (COST_WILD - COST_DIVIDER))
+        self.row = re.compile(re.escape(WILD) + "{%d,}" % (self.longest + 1))
+
+    def search(self, token: str, apart: bool) -> str:
+        return self._best(self.row.sub(WILD * self.longest, token), apart)
+
+    def _best(self, token: str, apart: bool) -> str:
+        # A layer: its states in order, their costs, and for each the layer, state and letters it comes from.
+        runs, said, kept, bound = _runs(token), "", 0, KEPT_BYTES
+        states, spent = np.zeros(1, np.int64), np.zeros(1)
+        layers, ahead = {0: (states, None, None, None, None)}, []
+        for i, char in enumerate(token):
+            if i and runs[i - 1] == 1 and kept > bound:
+                said, layers = self._settle(layers, i, said)
+                kept = sum(_size(layer) for layer in layers.values())
+                bound = max(KEPT_BYTES, 2 * kept)
+            spaced = False
+            if apart and i:
+                ends = spent + self.cost[states, 0]
+                best = int(np.argmin(ends))
+                total = ends[best] + COST_SPACE
+                zero = states[0] == 0
+                if states[best] != 0 and not (zero and spent[0] <= total):
+                    spaced, source = True, int(states[best])
+                    if zero:
+                        spent = spent.copy()
+                        spent[0] = total
+                    else:
+                        states, spent = np.append(0, states), np.append(total, spent)
+            here, moved = [], []
+            steps = _steps(char, runs[i])
+            if char == WILD and len(states) > SYMBOLS ** 2:
+                here = self._any_letter(states, spent, i)
+                steps = [step for step in steps if step[1] != COST_WILD]
+            for letters, cost, used in steps:
+                new, total = states, spent + cost
+                for letter in letters:
+                    code = ord(letter) - 96 if "a" <= letter <= "z" else 27
+                    if code != 27:
+                        total = total + self.cost[new, code]
+                    new = new % SYMBOLS ** 2 * SYMBOLS + code
+                (here if used == 1 else moved).append((new, total, i, states, letters))
+            if spaced:
+                # The state behind a space is one of this layer; its link leads to the state before the space.
+                layers[i] = (*layers[i], source)
+            ahead += moved
+            if runs[i] == 1:
+                here, ahead = here + ahead, []
+            layers[i + 1], spent = _merge(here)
+            states = layers[i + 1][0]
+            kept += _size(layers[i + 1])
+        last = int(states[np.argmin(spent + self.cost[states, 0])])
+        return said + _read(layers, len(token), last)
+
+    def _any_letter(self, states: np.ndarray, spent: np.ndarray, i: int) -> list:
+        """The steps of a wildcard's letters: of the states that differ in their first letter only the best goes on."""
+        full = np.full(SYMBOLS ** 3, np.inf)
+        full[states] = spent + COST_WILD
+        table = (full[:, None] + self.cost).reshape(SYMBOLS, SYMBOLS ** 2, SYMBOLS)
+        first = table.argmin(0)
+        total = np.take_along_axis(table, first[None], 0)[0]
+        found = []
+        for code in range(1, 27):
+            ends = np.flatnonzero(total[:, code] < np.inf)
+            found.append((ends * SYMBOLS + code, total[ends, code], i, first[ends, code] * SYMBOLS ** 2 + ends,
+                          chr(96 + code)))
+        return found
+
     @staticmethod
-    def _options(char: str) -> list[tuple[str, float]]:
-        if "a" <= char <= "z":
-            return [(char, 0.0)]
-        options = [(letter, COST_LOOK_ALIKE) for letter in LOOK_ALIKES.get(char, "")]
-        if char in DIVIDERS:
-            options.append(("", COST_DIVIDER))
-        if char == WILD:
-            options += [(chr(97 + k), COST_WILD) for k in range(26)]
-        return [*options, (char, COST_KEPT)]
+    def _settle(layers: dict, at: int, said: str) -> tuple[str, dict]:
+        """If all states of layer ``at`` come from one state of an earlier layer, what is read up to there and the
+        layers from there on."""
+        first = min(layers)
+        where, states = np.full(len(layers[at][0]), at), layers[at][0].copy()
+        for layer in range(at, first, -1):
+            if (where == layer).all() and (states == states[0]).all():
+                found = int(states[0])
+                said += _read(layers, layer, found)
+                rest = {k: v for k, v in layers.items() if k > layer}
+                rest[layer] = (np.array([found]), None, None, None, None)
+                return said, rest
+            here = np.flatnonzero(where == layer)
+            if not len(here):
+                continue
+            now = states[here]
+            if len(layers[layer]) > 5:
+                now = np.where(now == 0, layers[layer][5], now)
+            place = np.searchsorted(layers[layer][0], now)
+            where[here], states[here] = layers[layer][1][place], layers[layer][2][place]
+        return said, layers
+
+
+def _merge(steps: list) -> tuple[tuple, np.ndarray]:
+    """The cheapest step into each state, as a layer, and its costs."""
+    into = np.concatenate([step[0] for step in steps])
+    total = np.concatenate([step[1] for step in steps])
+    best = np.full(SYMBOLS ** 3, np.inf)
+    np.minimum.at(best, into, total)
+    states = np.flatnonzero(best < np.inf)
+    at = np.flatnonzero(total == best[into])[::-1]
+    chosen = np.zeros(SYMBOLS ** 3, np.int64)
+    chosen[into[at]] = at
+    chosen = chosen[states]
+    sizes = [len(step[0]) for step in steps]
+    number = np.searchsorted(np.cumsum(sizes), chosen, side="right")
+    source = np.concatenate([step[3] for step in steps])[chosen]
+    layer = np.array([step[2] for step in steps], np.int32)[number]
+    words = [step[4] for step in steps]
+    return (states.astype(np.int16), layer, source.astype(np.int16), number.astype(np.int16), words), best[states]
+
+
+def _size(layer: tuple) -> int:
+    return 0 if layer[1] is None else 10 * len(layer[0]) + 500
+
+
+def _read(layers: dict, at: int, state: int) -> str:
+    """The letters on the way to a state, back to the first layer that is kept."""
+    pieces = []
+    while True:
+        states, before, source, number, words, *space = layers[at]
+        if space and state == 0:
+            pieces.append(" ")
+            state = space[0]
+        if before is None:
+            break
+        place = int(np.searchsorted(states, state))
+        pieces.append(words[number[place]])
+        at, state = int(before[place]), int(source[place])
+    return "".join(reversed(pieces))
 
 
 def _suspicious(part: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +393,9 @@ def _suspicious(part: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mixed[1:-1] = disguise[1:-1] & (letter[2:] | disguise[2:])
     first = np.zeros(len(data), bool)
     first[:-1] = disguise[:-1] & letter[1:]
-    token = (has(letter) & (has(mixed & ~_is_start(starts, len(data))) | has(first))) | has(triple)
+    foreign, styled = _other_forms(data)
+    token = (has(letter) & (has(mixed & ~_is_start(starts, len(data))) | has(first) | has(foreign))) | has(
+        triple) | has(styled)
     single = ((ends - starts) == 1) & (letter[starts] | disguise[starts])
     letters = np.zeros(len(data) + 1, np.int32)
     np.cumsum(letter | disguise, out=letters[1:])
@@ -242,12 +420,39 @@ def _suspicious(part: texts.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low[order], high[order], spaced[order]
 
 
+def _other_forms(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where bytes begin Greek, Cyrillic, a mark on a letter or a character without width, and where letters of full
+    width, in circles or of mathematical styles."""
+    foreign, styled = (data >= 0xCC) & (data <= 0xD4), np.zeros(len(data), bool)
+    if not (data >= 0xE2).any() and not (data == 0xC2).any():
+        return foreign, styled
+    second, third = np.append(data[1:], 0), np.append(data[2:], [0, 0])[: len(data)]
+    foreign |= (data == 0xC2) & (second == 0xAD)
+    foreign |= (data == 0xE2) & (second == 0x80) & (third >= 0x8B) & (third <= 0x8F)
+    foreign |= (data == 0xE2) & (second == 0x81) & (third == 0xA0)
+    foreign |= (data == 0xEF) & (second == 0xBB) & (third == 0xBF)
+    styled |= (data == 0xEF) & (((second == 0xBC) & (third >= 0xA1) & (third <= 0xBA))
+                                | ((second == 0xBD) & (third >= 0x81) & (third <= 0x9A)))
+    styled |= (data == 0xE2) & ((second == 0x92) | (second == 0x93)) | (data == 0xF0) & (second == 0x9D)
+    return foreign, styled
+
+
+def _latin(token: str) -> str:
+    """A token with letters of other forms as plain ones."""
+    if token.isascii():
+        return token
+    plain = "".join(c for c in unicodedata.normalize("NFKD", token.translate(PLAIN)).lower()
+                    if unicodedata.category(c) not in ("Mn", "Cf"))
+    return plain.translate(_SCRIPTS) if any("a" <= c <= "z" for c in plain) else token
+
+
 def _is_start(starts: np.ndarray, size: int) -> np.ndarray:
     flags = np.zeros(size, bool)
     flags[starts] = True
     return flags
 
 
+_TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
 _EDGE = ".,;:?\"'()[]{}&%#*|<>~^=/\\_-!"
 
 
@@ -268,13 +473,15 @@ def restored(part: texts.Slice, restorer: Restorer) -> texts.Slice:
     raw = part.data.tobytes()
     pieces, at, grown, where = [], 0, [], []
     for a, b, apart in zip(low.tolist(), high.tolist(), spaced.tolist(), strict=True):
-        token = raw[a:b].decode(errors="replace").translate(PLAIN)
-        if not token.isascii():
-            continue
+        found = raw[a:b].decode(errors="replace")
+        token = _latin(found)
         head, core, tail = _core(token.replace(" ", ""))
-        if core.isalpha() and not apart and not any(core[i] == core[i + 1] == core[i + 2] for i in range(len(core) - 2)):
-            continue
-        new = (head + (core if core.isdigit() else restorer.restore(core, apart)) + tail).encode()
+        if core.isalpha() and not apart and not _TRIPLE.search(core):
+            if token == found:
+                continue
+            new = token.encode()
+        else:
+            new = (head + (core if core.isdigit() else restorer.restore(core, apart)) + tail).encode()
         pieces += [raw[at:a], new]
         at = b
         where.append(a)
