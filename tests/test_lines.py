@@ -122,6 +122,33 @@ def test_files(spark, tmp_path):
     assert ops.load_training_lines(missing).count() == 0
 
 
+def test_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """The same ids under splits of any size, in the order of files and lines; hot, empty and blank files too."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    sizes = {"a.jsonl": 3, "b.jsonl": 4000, "c.txt": 0, "d.json": 1, "e.jsonl": 700}
+    expected = []
+    for name, n in sizes.items():
+        rows = [json.dumps({"prompt": f"{name} {i % 7}", "response": "r" * (i % 90)}) if i % 5 else "" for i in range(n)]
+        (folder / name).write_text("".join(row + "\n" for row in rows))
+        expected += rows
+    found = []
+    for size in ("1k", "10k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "512")
+        try:
+            lines = jsonl.read_numbered_lines(spark, str(folder))
+            assert [r["value"] for r in lines.orderBy("seq").collect()] == expected
+            assert [r["seq"] for r in lines.select("seq").orderBy("seq").collect()] == list(range(len(expected)))
+            found.append({(r["seq"], r["example_id"]) for r in ops.ingest_examples(lines, 4).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] == found[2] and len(found[0]) == len(expected)
+    missing = jsonl.read_numbered_lines(spark, str(tmp_path / "none"))
+    assert missing.columns == ["value", "file", "seq"] and missing.count() == 0
+
+
 def test_versions_and_batches(spark, tmp_path, lines):
     examples = ops.accepted(ops.ingest_examples(lines, 1))
     root = str(tmp_path / "examples")

@@ -14,7 +14,7 @@ from tunelake.plans.inputs import BATCH_ID, LINES, RATINGS, example_lines, examp
 from tunelake.plans.registry import query
 from tunelake.session import shared_dir
 from tunelake.sources import versions
-from tunelake.sources.jsonl import read_lines, write_lines
+from tunelake.sources.jsonl import read_lines, read_numbered_lines, write_lines
 
 SEARCH = "  The ThEr "
 
@@ -29,6 +29,18 @@ def scan_examples(spark, sf_dir):
     return ops.load_training_lines(read_lines(spark, path))
 
 
+@query("scan_numbered", f"""WITH {LINES},
+numbered AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS place FROM ingested)
+SELECT {id_sql("1", "place", "prompt", "response")} AS example_id, place AS seq, prompt, response, status
+FROM numbered""")
+def scan_numbered(spark, sf_dir):
+    """Written as JSON Lines files in order, and read back with numbers and ids that no split decides."""
+    path = f"{shared_dir(spark)}/scan-{uuid.uuid4().hex}"
+    write_lines(example_lines(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq"), path)
+    return ops.ingest_examples(read_numbered_lines(spark, path), BATCH_ID).select(
+        "example_id", "seq", "prompt", "response", "status")
+
+
 @query("parse_lines", f"""WITH {LINES}
 SELECT seq, CASE status WHEN 'accepted' THEN 'object' WHEN 'not_string' THEN 'object'
                         WHEN 'missing_key' THEN 'object' ELSE status END AS state, prompt, response
