@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tunelake.operators import status
 from tunelake.operators.curation import accepted, ingest_examples
+from tunelake.plans import streams
 from tunelake.plans.streams import finish
 from tunelake.sources.jsonl import append_batch, stream_lines
 from tunelake.streaming import ingest, live
@@ -123,3 +124,30 @@ def test_debounce(spark, tmp_path, gap, applied):
     out = run(spark, live.debounce_stream(feed(spark, tmp_path / "in", batches, schema)), tmp_path)
     got = [(i, r["value"]) for i, r in zip((1, 2) if gap > 400 else (2,), out.where("session = 1").orderBy("ts").collect())]
     assert got == applied
+
+
+def awkward_documents(spark, folder, ids):
+    rows = [(i, f"text {i}", "en", "web") for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(folder)
+
+
+def test_a_table_of_several_files_is_ingested(spark, tmp_path):
+    awkward_documents(spark, f"{tmp_path}/documents.parquet", range(37))
+    found = streams.stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted(r.seq for r in found) == [i for i in range(37) if i != 19]
+    assert {r.seq for r in found if r.status != "accepted"} == {*range(3, 11), 17, 18, 20}
+
+
+@pytest.mark.parametrize("ids, n", [([0, 36], 2), ([3, 8], 2), ([19], 0)])
+def test_ingest_without_good_or_bad_lines(spark, tmp_path, ids, n):
+    awkward_documents(spark, f"{tmp_path}/documents.parquet", ids)
+    assert sorted(r.seq for r in streams.stream_ingest(spark, str(tmp_path)).collect()) == ids[:n]
+
+
+@pytest.mark.parametrize("parts", [[], ["day"]])
+def test_a_stream_reads_what_a_plain_read_does(spark, tmp_path, parts):
+    rows = spark.range(20).selectExpr("id", "id % 3 AS day").repartition(4)
+    rows.write.partitionBy(*parts).parquet(f"{tmp_path}/events.parquet")
+    (tmp_path / "other").mkdir()
+    found = streams.to_table(spark, streams._Streamed(spark).read.parquet(f"{tmp_path}/events.parquet"))
+    assert sorted(map(tuple, found.select("id", "day").collect())) == [(i, i % 3) for i in range(20)]

@@ -12,6 +12,7 @@ from tunelake.plans.inputs import LINES, LOGS, RATINGS, example_lines, log_lines
 from tunelake.plans.registry import query
 from tunelake.plans.runs import rounded
 from tunelake.session import shared_dir
+from tunelake.sources.jsonl import read_examples, read_quarantined
 from tunelake.streaming import ingest, live
 
 
@@ -27,10 +28,12 @@ class _StreamReader:
         self.spark = spark
 
     def parquet(self, path: str) -> DataFrame:
+        """The table's file, or all files of its folder. A stream reads the latter or a pattern, and a pattern of one
+        name fits both; below the parent, folders such as ``day=1`` give columns as they do in a plain read."""
         folder, name = path.rsplit("/", 1)
         schema = self.spark.read.parquet(path).schema
         reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
-        return reader.option("pathGlobFilter", name).parquet(folder)
+        return reader.option("basePath", folder).parquet(f"{folder}/{{{name}}}")
 
 
 def finish(writer) -> None:
@@ -64,8 +67,8 @@ def stream_ingest(spark, sf_dir):
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     lines = example_lines(_Streamed(spark), sf_dir)
     finish(ingest.ingest_stream(lines, f"{root}/accepted", f"{root}/quarantine", f"{root}/state"))
-    good = spark.read.parquet(f"{root}/accepted").withColumn("status", F.lit("accepted"))
-    bad = spark.read.parquet(f"{root}/quarantine").select("seq", "status")
+    good = read_examples(spark, f"{root}/accepted").withColumn("status", F.lit("accepted"))
+    bad = read_quarantined(spark, f"{root}/quarantine").select("seq", "status")
     return good.select("seq", "status", "prompt", "response", "score", "source").unionByName(
         bad, allowMissingColumns=True
     )

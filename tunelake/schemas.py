@@ -5,5 +5,6 @@ EXAMPLE = (
     "example_id string, seq bigint, prompt string, response string, score double, source string, issue string, "
     "writer string, batch_id bigint"
 )
+QUARANTINED = f"{EXAMPLE}, status string"
 LOG_LINE = "run_id string, seq bigint, line string"
 ADAPTER = "model string, name string, epoch int, matrix string, row int, values array<double>"

@@ -108,12 +108,21 @@ def append_batch(examples: DataFrame, root: str, writer: str = "upload", replay:
 
 def read_examples(spark: SparkSession, root: str) -> DataFrame:
     """The appended examples; none yet is an empty table of the same shape."""
+    return _read_batches(spark, root, schemas.EXAMPLE)
+
+
+def read_quarantined(spark: SparkSession, root: str) -> DataFrame:
+    """As :func:`read_examples`, for appended lines that were set aside."""
+    return _read_batches(spark, root, schemas.QUARANTINED)
+
+
+def _read_batches(spark: SparkSession, root: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schemas.EXAMPLE).parquet(root)
+        return spark.read.schema(schema).parquet(root)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.EXAMPLE)
+        return spark.createDataFrame([], schema)
 
 
 def write_version(examples: DataFrame, root: str, version: int) -> None:
