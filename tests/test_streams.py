@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,41 @@ def test_a_stream_reads_what_a_plain_read_does(spark, tmp_path, parts):
     (tmp_path / "other").mkdir()
     found = streams.to_table(spark, streams._Streamed(spark).read.parquet(f"{tmp_path}/events.parquet"))
     assert sorted(map(tuple, found.select("id", "day").collect())) == [(i, i % 3) for i in range(20)]
+
+
+POLLED = "host string, ts timestamp, event_id bigint, ok boolean, status string, model string"
+
+
+def test_ordered_state_grows_with_polls_not_hosts(spark, tmp_path, ordered_state):
+    """Hosts share state rows; a poll without a time or an answer stops nothing."""
+    rows = [(f"h{i}", at(i % 50), i, i % 3 > 0, "loading", "m") for i in range(3000)]
+    rows += [(None, at(1), 1, None, None, None), (None, at(2), None, False, None, None), ("h1", None, 7, True, "ready", "m")]
+    stream = feed(spark, tmp_path / "in", [rows, [("z", at(9000), 1, True, "idle", None)]], POLLED)
+    query = (live.ordered_status_stream(stream).writeStream.format("memory").queryName("grown").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    found = [(r.host, r.event) for r in spark.table("grown").collect()]
+    assert sorted(found, key=str) == sorted([(None, "offline")] + [(f"h{i}", "model_changed") for i in range(3000) if i % 3], key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4 * live.STATUS_BUCKETS
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ordered_events_follow_the_single_steps(seed):
+    """Polls of several hosts, taken in parts, against one poll after another."""
+    rng = random.Random(seed)
+    polls = [(rng.choice(["a", "b", "c", None]), rng.randrange(40), i, rng.random() < 0.5,
+              rng.choice(["starting", "loading", "ready", "error", None]), rng.choice(["m", "n", None])) for i in range(200)]
+    names = ["host", "micros", "event_id", "ok", "status", "model"]
+    state, before = {}, pd.DataFrame(columns=live.LAST_POLLS)
+    for low, high in ((0, 10), (10, 11), (11, 40)):
+        part = [p for p in polls if low <= p[1] < high]
+        expected = []
+        for host, micros, _, ok, now, current in sorted(part, key=lambda p: p[1:3]):
+            *state[host], found = live._next_status(*state.get(host, ("idle", None, 0)), ok, now, current)
+            expected += [(host, micros, event) for event in found]
+        events, after = live._ordered_events(pd.DataFrame(part, columns=names), before)
+        got = zip([None if pd.isna(h) else h for h in events["host"]], [t.value // 1000 for t in events["ts"]],
+                  events["event"], strict=True)
+        assert sorted(map(str, got)) == sorted(map(str, expected))
+        assert {r["host"]: [r["status"], r["model"], r["failures"]] for r in after.to_pylist()} == state
+        before = live._from_bytes(live._to_bytes(after)).to_pandas()
