@@ -236,3 +236,23 @@ def test_chat_roles_with_control_characters(spark):
     assert [r["context_turns"] for r in found] == [10, 0, 1, 2]
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.trained_texts(chat_format.examples(chat_format.format_turns(none))).collect() == []
+
+
+@pytest.mark.parametrize("replies", [1, 3, 64])
+def test_examples_are_written_out(spark, replies, monkeypatch):
+    """Every example's text is its whole prefix, however many tasks write a conversation; masks are read from it."""
+    rows = [(1, i, "assistant" if i % 3 else "user", f"t{i} </s> é") for i in range(20)] + [
+        (None, 0, "user", "a"), (None, 1, "assistant", None), (None, 2, "user", "z"), (3, 0, "user", "no reply"),
+        (4, 0, "assistant", "first"), (4, 0, "assistant", "first")]
+    monkeypatch.setattr(chat_format, "BATCH_CHARS", 200)
+    pieces = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    told = pieces.orderBy("conv_id", "seq").collect()
+    expected = []
+    for p in (p for p in told if p.trainable):
+        before = [q.piece for q in told if q.conv_id == p.conv_id and q.seq <= p.seq]
+        expected.append((p.conv_id, p.example, p.seq, "".join(before), len("".join(before[:-1]))))
+    found = chat_format.examples(pieces, replies)
+    got = [(r.conv_id, r.example, r.context_turns, r.text, r.context_chars) for r in found.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and len(got) == 16
+    masks = chat_format.trained_texts(found.select("conv_id", "example", "context_turns", "text", "loss_start", "loss_end"))
+    assert sorted(r.loss_text for r in masks.collect()) == sorted(r[3] or "" for r in rows if r[2] == "assistant")

@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn is an example of its own: all preceding turns are its context and only its reply is
-trainable. Written out whole, the examples of a conversation of n turns would hold n^2 turns; but an example's text
-is a prefix of the conversation's, so the output holds every formatted turn once, as a piece, and an example as the
-bounds of its prefix and its trainable span in it. :func:`example_texts` writes examples out whole.
+trainable. :func:`format_turns` gives every formatted turn once, as a piece of its conversation's text, and
+:func:`examples` expands these: an example's text is the whole prefix up to its reply. The examples of a conversation of
+n turns hold about n^2 / 4 turns. They are written by tasks that have a share of a conversation's replies each, and what
+is shuffled is pieces, not examples.
 
 Texts cannot forge the template: every control string inside a text or role gets one backslash after its first
 character (and one more if backslashes are there already), which :func:`unescape` takes away again.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN_START = "<|im_start|>"
@@ -25,6 +26,13 @@ TRAINED_ROLE = "assistant"
 
 PIECES = ("conv_id {kind}, seq long, example long, trainable boolean, piece string, start long, loss_start long, "
           "loss_end long")
+EXAMPLES = ("conv_id {kind}, example long, context_turns long, context_chars long, text string, loss_start long, "
+            "loss_end long")
+
+REPLIES = 64
+"""Examples of a conversation that a task writes out at a time."""
+
+BATCH_CHARS = 4 << 20
 
 
 def escape(text: Column) -> Column:
@@ -94,35 +102,61 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(_place, PIECES.format(kind=conversations.schema["conv_id"].dataType.simpleString()))
 
 
-def examples(pieces: DataFrame) -> DataFrame:
-    """One row per reply: the example's text is the conversation's first ``example_chars`` code points, of which those
-    from ``loss_start`` to ``loss_end`` are trainable; ``context_turns`` turns come before the reply, whose formatted text
-    is ``reply``. No reply, no example; an empty table gives no rows."""
-    return pieces.where("trainable").select(
-        "conv_id", "example", F.col("seq").alias("context_turns"), F.col("start").alias("context_chars"),
-        F.col("piece").alias("reply"), "loss_start", "loss_end",
-        (F.col("start") + F.char_length("piece")).alias("example_chars"))
+def _expand(batches: Iterator[pa.RecordBatch], replies: int) -> Iterator[pa.RecordBatch]:
+    """The examples of each part of a conversation, written out; rows come sorted by conversation, part and turn."""
+    current, text, rows, size = None, [], [], 0
+    for batch in batches:
+        kind = batch.schema.field("conv_id").type
+        for conv, part, seq, example, train, piece, start, low, high in zip(
+                *(c.to_pylist() for c in batch.columns), strict=True):
+            if current != (conv, part):
+                current, text = (conv, part), []
+            text.append(piece)
+            if train and example // replies == part:
+                text = ["".join(text)]
+                rows.append((conv, example, seq, start, text[0], low, high))
+                size += len(text[0])
+            if size >= BATCH_CHARS:
+                yield _written(rows, kind)
+                rows, size = [], 0
+    if rows:
+        yield _written(rows, kind)
+
+
+def _written(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    names = ["conv_id", "example", "context_turns", "context_chars", "text", "loss_start", "loss_end"]
+    kinds = (kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def examples(pieces: DataFrame, replies: int = REPLIES) -> DataFrame:
+    """One row per reply, by prefix-target expansion: ``text`` is the example written out whole, the formatted
+    ``context_turns`` turns (``context_chars`` code points) before the reply and the reply; its code points from
+    ``loss_start`` to ``loss_end`` are trainable. No reply, no example; an empty table gives no rows.
+
+    A task writes ``replies`` examples of a conversation at a time and is sent the pieces up to the last of these, so
+    that a long conversation is spread; it holds the text of one example and a batch of ``BATCH_CHARS``.
+    """
+    last = F.max(F.when(F.col("trainable"), F.col("example"))).over(Window.partitionBy("conv_id"))
+    parts = pieces.withColumn("_last", last).where("example <= _last").withColumn(
+        "_part", F.explode(F.expr(f"sequence(example div {replies}, _last div {replies})")))
+    rows = parts.repartition("conv_id", "_part").sortWithinPartitions("conv_id", "_part", "seq").select(
+        "conv_id", "_part", "seq", "example", "trainable", "piece", "start", "loss_start", "loss_end")
+    return rows.mapInArrow(
+        lambda batches: _expand(batches, replies), EXAMPLES.format(kind=pieces.schema["conv_id"].dataType.simpleString()))
 
 
 def trained_texts(found: DataFrame) -> DataFrame:
-    """``conv_id, example, context_turns`` and ``loss_text`` of :func:`examples`: what the loss mask of each example shows,
-    unescaped."""
-    span = F.expr("substring(reply, int(loss_start - context_chars + 1), int(loss_end - loss_start))")
+    """``conv_id, example, context_turns`` and ``loss_text`` of :func:`examples`: what the loss mask of each example shows
+    of its text, unescaped."""
+    span = F.expr("substring(text, int(loss_start + 1), int(loss_end - loss_start))")
     return found.select("conv_id", "example", "context_turns", unescape(span).alias("loss_text"))
 
 
 def example_texts(pieces: DataFrame) -> DataFrame:
-    """Examples written out whole: ``conv_id, example, text, loss_start, loss_end``. The output grows with the square
-    of a conversation's turns; meant for conversations of ordinary length."""
-    target = pieces.where("trainable").select(
-        F.col("conv_id").alias("_conv"), F.col("example").alias("_example"), F.col("seq").alias("_seq"),
-        F.col("loss_start").alias("_from"), F.col("loss_end").alias("_to"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("seq") <= F.col("_seq"))
-    return pieces.join(target, same).groupBy("_conv", "_example", "_from", "_to").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "")
-        .alias("text"),
-    ).select(F.col("_conv").alias("conv_id"), F.col("_example").alias("example"), "text",
-             F.col("_from").alias("loss_start"), F.col("_to").alias("loss_end"))
+    """``conv_id, example, text, loss_start, loss_end`` of :func:`examples`."""
+    return examples(pieces).select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def chat(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], given.schema)
     pieces = chat_format.format_turns(given.unionByName(forged))
-    # What a mask shows comes from the examples, what was said from the turns.
+    # What a mask shows comes from the texts of the examples, what was said from the turns.
     trained = chat_format.trained_texts(chat_format.examples(pieces))
     told = chat_format.read_back(pieces).unionByName(
         trained.select("conv_id", F.col("context_turns").alias("seq"), "loss_text"), allowMissingColumns=True)
