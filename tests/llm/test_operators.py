@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_exact import LIBRARY, removed
-from tunelake.llm import bpe, chat_format, mixing, near_dedup, quality, search, suffix_dedup, token_scan, token_store, toxicity
+from tunelake.llm import blocks, bpe, chat_format, mixing, near_dedup, quality, search, suffix_dedup, token_scan, token_store, toxicity
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -256,3 +258,15 @@ def test_examples_are_written_out(spark, replies, monkeypatch):
     assert sorted(got, key=str) == sorted(expected, key=str) and len(got) == 16
     masks = chat_format.trained_texts(found.select("conv_id", "example", "context_turns", "text", "loss_start", "loss_end"))
     assert sorted(r.loss_text for r in masks.collect()) == sorted(r[3] or "" for r in rows if r[2] == "assistant")
+
+
+def test_anchors_are_dealt_evenly():
+    """The ranges that anchors are dealt to get about as much each, though anchors are minima of hashes."""
+    n, rng = 100, random.Random(5)
+    words = [bytes(rng.choices(b"abcdefghijklmnop ", k=20_000)) for _ in range(20)]
+    given = pa.record_batch({"_text": pa.array(words, pa.binary()), "_block": pa.array([0] * 20, pa.int32()),
+                             "_id": pa.array(range(20), pa.int64())})
+    table = pa.Table.from_batches(blocks._compressed(iter([given])))
+    asked = suffix_dedup._ask(table, n, suffix_dedup.MIN_LENGTH, suffix_dedup.GRAM)
+    sizes = [len(blocks.unpack(v, np.uint32)[0]) for v in asked["payload"].to_pylist()]
+    assert len(sizes) == n and max(sizes) < 2 * sum(sizes) / n

@@ -106,6 +106,12 @@ def _second_anchors(row, start, run, anchor, place, hashes, length: int, gram: i
             base[at])
 
 
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are the lowest of many hashes: dealt as they are, the first of n ranges would get up to ``length - gram + 1``
+    times the mean."""
+    return texts.mix(anchors)
+
+
 def _gram_hashes(part: texts.Slice, gram: int):
     hashes = texts.prefix_hashes(part.data)
     return hashes, texts.gram_hashes(hashes, gram) if len(part.data) >= gram else np.zeros(0, np.uint64)
@@ -120,7 +126,7 @@ def _digests(column: pa.ChunkedArray, length: int) -> list[bytes | None]:
 def _ask(table: pa.Table, n: int, length: int, gram: int) -> pa.Table:
     """Step 1 of a block: distinct anchors and the digests of whole texts, by range."""
     table = blocks.in_order(table)
-    found = [_anchors(part, _gram_hashes(part, gram)[1], length, gram)[3] for part in texts.slices(table["_text"])]
+    found = [_spread(_anchors(part, _gram_hashes(part, gram)[1], length, gram)[3]) for part in texts.slices(table["_text"])]
     anchors, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     counts = np.minimum(counts, 255).astype(np.uint8)
     bounds = blocks.cut(blocks.ranges(anchors, n), n)
@@ -195,11 +201,13 @@ def _send(table: pa.Table, answers: pa.Table, n: int, length: int, gram: int) ->
         runs = _anchors(part, grams, length, gram)
         keep = ~copy[runs[0]]
         runs = [x[keep] for x in runs]
-        asked = (blocks.ranges(runs[3], n) << np.uint64(32)) | (runs[3] & np.uint64(0xFFFFFFFF))
+        even = _spread(runs[3])
+        asked = (blocks.ranges(even, n) << np.uint64(32)) | (even & np.uint64(0xFFFFFFFF))
         much = np.isin(asked, hot)
-        if much.any():
+        more = _second_anchors(*(x[much] for x in runs), grams, length, gram) if much.any() else None
+        runs[3] = even
+        if more:
             # What the windows of a hot anchor are dealt by is shared as far as the anchor is.
-            more = _second_anchors(*(x[much] for x in runs), grams, length, gram)
             runs = [np.concatenate([x[~much], y]) for x, y in zip(runs, more, strict=True)]
             asked = np.concatenate([asked[~much], np.full(len(more[0]), hot[0], np.uint64)])
         row, start, run, anchor, place = runs
