@@ -47,6 +47,9 @@ WINDOWS = 200_000
 PART_BYTES = 4 << 20
 """Compressed messages that a shard opens at a time, in the mean."""
 
+PER_PARTITION = 2
+"""Blocks per partition: nearly every block has a message for every range, and these should stay few."""
+
 HOT_CONTEXTS = 2_000
 """Contexts of an anchor, counted in all blocks, from which its windows are dealt by a second anchor too. Results don't
 depend on it: equal windows have equal second anchors."""
@@ -457,7 +460,7 @@ def remove_repeats(
     keep = [name for name in keep or [] if name not in (key, "spans", "kept")]
     named = [f"_keep{i}" for i in range(len(keep))]
     renamed = docs.select(key, F.col(text).alias("_given"), *[F.col(c).alias(a) for c, a in zip(keep, named, strict=True)])
-    blocked = blocks.in_blocks(renamed, key, F.col("_given"), named)
+    blocked = blocks.in_blocks(renamed, key, F.col("_given"), named, PER_PARTITION)
     n = blocks.n_ranges(docs)
     asked = blocked.groupBy("_block").applyInArrow(lambda t: _ask(t, n, min_length, gram), MESSAGE)
     answers = asked.groupBy("_range").applyInArrow(lambda t: _share(t), MESSAGE)
