@@ -42,8 +42,7 @@ def mixture(spark, docs, sf_dir):
 
 def token_ids(spark, docs, sf_dir):
     ranks, pattern = tokenizer(ready(spark))
-    ids = bpe.encode(docs, ranks, pattern, keep=["doc_id", "lang", "source"])
-    return bpe.decode(ids, ranks).select(
+    return bpe.round_trip(docs, ranks, pattern, keep=["doc_id", "lang", "source"]).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("bytes", 256).alias("decoded_sha256"))
 

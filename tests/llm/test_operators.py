@@ -42,6 +42,16 @@ def test_bpe(spark, awkward, ranks):
     assert bpe.encode(awkward.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_round_trip_equals_both_operators(spark, awkward, ranks):
+    apart = bpe.decode(bpe.encode(awkward, ranks, public_tokenizers.PATTERN), ranks).select("doc_id", "score", "ids", "bytes")
+    both = bpe.round_trip(awkward, ranks, public_tokenizers.PATTERN)
+    assert both.schema == apart.schema
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    kept = bpe.round_trip(awkward, ranks, public_tokenizers.PATTERN, keep=["bytes", "score", "ids"])
+    assert kept.columns == ["score", "ids", "bytes"] and kept.count() == 8
+    assert bpe.round_trip(awkward.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
 def test_near_copies(spark):
     base = {g: prose(g, 120).split() for g in range(6)}
     rows, key, group = [], 0, {}

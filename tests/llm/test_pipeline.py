@@ -51,6 +51,12 @@ def test_run_gives_ids(spark, folder):
     assert all(r.n_tokens == len(r.ids) for r in out.collect())
 
 
+def test_token_ids_hold_one_python_worker_per_task(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = dict(corpus_pipeline.STAGES)["token ids"](spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_empty_table(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -205,6 +205,34 @@ def _pass_on(df: DataFrame, dropped: tuple[str, ...]) -> tuple[list[str], list[s
     return kept, [f"`{name}` {df.schema[name].dataType.simpleString()}" for name in kept]
 
 
+def _to_encode(df: DataFrame, text: str, keep: list[str] | None, added: tuple[str, ...] = ("ids",)):
+    """The text and the columns to pass on, with their names and fields."""
+    base = df.select(text, *[name for name in (df.columns if keep is None else keep) if name not in (text, *added)])
+    return base, *_pass_on(base, (text,))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], ranks, pattern: str, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches whose first column is the text, with its ids instead, as last column."""
+    bpe = _tokenizer(ranks, pattern)
+    for batch in _small(batches):
+        ids = [bpe.encode(value or "") for value in batch.column(0).to_pylist()]
+        columns = [batch.column(i) for i in range(1, batch.num_columns)]
+        yield pa.RecordBatch.from_arrays([*columns, _int_lists(ids)], names=[*kept, "ids"])
+    bpe.forget()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ranks, kept: list[str], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the bytes of the ids in column ``place`` as last column."""
+    token = worker_cache(_name(ranks, "decode"), lambda: {rank: key for key, rank in ranks.value.items()}).__getitem__
+    for batch in _small(batches):
+        lists = batch.column(place)
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        found = pa.array([b"".join(map(token, values[a:b].tolist()))
+                          for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, "bytes"])
+    release()
+
+
 def broadcast_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_ranks(path))
 
@@ -215,33 +243,24 @@ def encode(df: DataFrame, ranks, pattern: str, text: str = "text", keep: list[st
     ``ranks`` is a broadcast of :func:`read_ranks`. A NULL or empty text has no ids. An input column ``ids`` is
     replaced. Rows are worked on one by one, so repeated rows are encoded alike and an empty table gives no rows.
     """
-    base = df.select(text, *[name for name in (df.columns if keep is None else keep) if name not in (text, "ids")])
-    kept, fields = _pass_on(base, (text,))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _tokenizer(ranks, pattern)
-        for batch in _small(batches):
-            ids = [bpe.encode(value or "") for value in batch.column(0).to_pylist()]
-            columns = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, _int_lists(ids)], names=[*kept, "ids"])
-        bpe.forget()
-
-    return base.mapInArrow(run, ", ".join([*fields, "ids array<int>"]))
+    base, kept, fields = _to_encode(df, text, keep)
+    return base.mapInArrow(lambda batches: _encoded(batches, ranks, pattern, kept), ", ".join([*fields, "ids array<int>"]))
 
 
 def decode(df: DataFrame, ranks, ids: str = "ids") -> DataFrame:
     """``df`` with ``bytes``, what the ids stand for; NULL ids have none. An input column ``bytes`` is replaced."""
     base = df.select(ids, *[name for name in df.columns if name not in (ids, "bytes")])
     kept, fields = _pass_on(base, ())
+    return base.mapInArrow(lambda batches: _decoded(batches, ranks, kept, 0), ", ".join([*fields, "bytes binary"]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = worker_cache(_name(ranks, "decode"), lambda: {rank: key for key, rank in ranks.value.items()}).__getitem__
-        for batch in _small(batches):
-            lists = batch.column(0)
-            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            found = pa.array([b"".join(map(token, values[a:b].tolist()))
-                              for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*kept, "bytes"])
-        release()
 
-    return base.mapInArrow(run, ", ".join([*fields, "bytes binary"]))
+def round_trip(df: DataFrame, ranks, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep``, ``ids`` and ``bytes``: what :func:`decode` makes of the ids of :func:`encode`, in one pass.
+
+    Two Python operators in a row hold two workers per task, each with its own tables, and an executor keeps the workers
+    for the steps that follow; here both run in one. An input column ``bytes`` is replaced as well.
+    """
+    base, kept, fields = _to_encode(df, text, keep, ("ids", "bytes"))
+    return base.mapInArrow(
+        lambda batches: _decoded(_encoded(batches, ranks, pattern, kept), ranks, [*kept, "ids"], len(kept)),
+        ", ".join([*fields, "ids array<int>", "bytes binary"]))

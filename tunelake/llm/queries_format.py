@@ -23,8 +23,7 @@ def tokenizer(spark) -> tuple:
 @query("op1_byte_bpe")
 def byte_bpe(spark, sf_dir):
     ranks, pattern = tokenizer(spark)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, keep=["doc_id"])
-    return bpe.decode(ids, ranks).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern, keep=["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
