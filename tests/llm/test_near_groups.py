@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tunelake.llm import near_dedup
+from tunelake.llm import components, near_dedup
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -85,3 +85,11 @@ def test_cut_of_large_buckets_loses_no_candidates(spark, small_groups, monkeypat
     texts = [" ".join(edited(base, (6 * k,), f"c{k}")) for k in range(32)]
     assert set(brute_force(texts).values()) == {0}
     assert found(spark, texts) == brute_force(texts)
+
+
+def test_stored_tables_have_few_files(spark):
+    many = spark.range(0, 4000, 1, 400)
+    kept = components.stored(many)
+    assert len(kept.inputFiles()) <= components.WAVES * spark.sparkContext.defaultParallelism < 400
+    assert sorted(r.id for r in kept.collect()) == list(range(4000))
+    assert components.stored(many.limit(0)).count() == 0

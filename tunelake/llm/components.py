@@ -7,22 +7,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunelake.llm.blocks import partitions
 from tunelake.session import shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+WAVES = 4
+PARTITIONS_PER_FILE = 8
+"""A stored table has ``WAVES`` files for each core or, where that is more, one for so many of the session's shuffle
+partitions; a task writes each."""
+
 
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, where several later steps read it and lost executors don't matter.
 
     The shuffle files of the job that wrote it are dropped right away, so that steps don't add up on executors' disks.
+    Several partitions are a file: a store may pay for each one (a local one starts processes to set its permissions).
     """
     spark = df.sparkSession
+    files = max(WAVES * spark.sparkContext.defaultParallelism, -(-partitions(df) // PARTITIONS_PER_FILE))
     folder = folder or new_folder(spark)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(folder)
+        df.coalesce(files).write.parquet(folder)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
