@@ -53,8 +53,8 @@ def test_short_pieces_of_a_batch_are_encoded_side_by_side(monkeypatch):
     own = bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     monkeypatch.setattr(own, "encode_piece", lambda piece: single.append(piece) or OURS.encode_piece(piece))
     assert split(*own.encode_all(texts_)) == [LIBRARY.encode_ordinary(text) for text in texts_]
-    assert all(len(piece) > bpe.MEMO_CHARS for piece in single)
-    long = "ab" * 100
+    assert all(len(piece) > bpe.SHORT_BYTES for piece in single)
+    long = "ab" * 200
     assert split(*own.encode_all([long, "", f"a {long}"])) == [LIBRARY.encode_ordinary(t) for t in (long, "", f"a {long}")]
     assert {long.encode(), f" {long}".encode()} <= set(single)
 

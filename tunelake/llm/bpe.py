@@ -32,7 +32,9 @@ ROWS = 500
 """Texts encoded at a time."""
 MEMO_CHARS = 64
 SIDE_BY_SIDE = 20_000
-"""Pieces encoded at a time, each of at most ``MEMO_CHARS`` bytes."""
+"""Pieces encoded at a time."""
+SHORT_BYTES = 256
+"""A longer piece is encoded alone."""
 DECODED = 1 << 18
 """Ids decoded at a time."""
 SLOT_BITS = 20
@@ -242,6 +244,10 @@ class ByteBpe:
             self._pair_fits[slot[first]] = pair[first] << 1 | found
         return fit
 
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(self.encode_piece(piece), np.int32) for piece in pieces]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
     def _side_by_side(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, one piece after another, and how many each has: the steps of :meth:`encode_piece`, each taken
         by all pieces that have not reached their end. ``ids`` has room for a piece's ids from its first byte on."""
@@ -285,16 +291,14 @@ class ByteBpe:
         """Ids of pieces, one piece after another, and how many each has."""
         numbers, new = self.piece_ids.number(pieces, len(pieces))
         base, new = len(self.piece_ids.numbers) - len(new), list(map(str.encode, new))
-        apart = np.fromiter(map(len, new), np.int64, len(new)) > MEMO_CHARS
+        apart = np.fromiter(map(len, new), np.int64, len(new)) > SHORT_BYTES
         if self.whole_only:
             apart |= np.fromiter(map(self.whole_only.__contains__, new), bool, len(new))
-        for i in np.flatnonzero(apart).tolist():
-            ids = self.encode_piece(new[i])
-            self.piece_ids.add(np.array([base + i]), np.array(ids, np.int32), np.array([len(ids)]))
-        short = np.flatnonzero(~apart)
+        short, apart = np.flatnonzero(~apart), np.flatnonzero(apart)
+        found = [self._one_by_one([new[i] for i in apart.tolist()])]
         for at in range(0, len(short), SIDE_BY_SIDE):
-            several = short[at: at + SIDE_BY_SIDE]
-            self.piece_ids.add(base + several, *self._side_by_side([new[i] for i in several.tolist()]))
+            found.append(self._side_by_side([new[i] for i in short[at: at + SIDE_BY_SIDE].tolist()]))
+        self.piece_ids.add(base + np.concatenate([apart, short]), *map(np.concatenate, zip(*found, strict=True)))
         return self.piece_ids.get(numbers)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
