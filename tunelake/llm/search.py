@@ -1,4 +1,4 @@
-"""Exact top-k search by BM25 over an inverted index per shard, with block-max WAND.
+"""Exact top-k search by BM25 over an inverted index per shard, many queries at a time.
 
 Queries are documents of a stated set. A document is too long to be a query as it stands, so its query is made of its
 ``max_terms`` words with the largest (1 + ln tf) * idf, of those that at least ``min_docs`` documents have (rarer
@@ -8,20 +8,20 @@ the query is the whole text. Words are lower-case runs of letters, digits and no
 1. Shards (blocks of documents) send each distinct word's document count to ranges of words, which sum them: global
    statistics, the same in every shard.
 2. Shards make the queries of their documents; ranges route every query word to the shards that have it.
-3. A shard indexes the words that were asked for: postings in document order, with the largest impact of each list and
-   of each block of it. Block-max WAND skips documents whose bound cannot enter the query's k best so far.
-4. The k best of each shard are merged into the k best of all. Nothing is lost: a document outside its shard's k best is
-   outside the k best of all.
-
-Scores are rounded to 6 digits and equal ones go by the smaller key, in shards as in the merge; a bound prunes only
-if it is below by more than the rounding.
+3. A shard indexes the words that were asked for: postings in document order with their impacts. Whole batches of
+   queries add up the impacts of all their postings in one array, where the largest scores of blocks of documents tell
+   which blocks can hold the k best. (Bounds on lists and blocks of postings skip little in a shard, whose k-th best
+   document is a weak one, and walking lists query by query took 26 times as long as adding them up.)
+4. The k best of each shard go to ranges of queries, which merge them into the k best of all. Nothing is lost: a
+   document outside its shard's k best is outside the k best of all.
+
+Scores are rounded to 6 digits and equal ones go by the smaller key, in shards as in the merge; a block is passed over
+only if it is below by more than the rounding.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +37,17 @@ K1 = 1.2
 B = 0.75
 MAX_TERMS = 16
 MIN_DOCS = 5
-POSTING_BLOCK = 32
-ROUNDING = 1e-6
+UNITS = 1e6
+"""Scores are rounded to whole ones of these, and held as such."""
+
+SCORE_BLOCK = 64
+CELLS = 1 << 17
+"""Scores (documents times queries) of a batch of queries; documents alone may be more."""
+
+POSTINGS = 1 << 17
+"""Postings that are read at a time; one word's may be more."""
+
+MERGED = 1 << 18
 SHARDS_PER_PARTITION = 1
 
 
@@ -144,152 +153,185 @@ def _make_queries(table: pa.Table, answers: pa.Table, n: int, n_docs: int, max_t
 
 @texts.releasing
 def _route(asked: pa.Table, queries: pa.Table) -> pa.Table:
-    """Sends each query word to the shards that have it."""
+    """Sends each query word to the shards that have it: words, idfs, numbers of queries, and the queries' keys."""
     if not asked.num_rows or not queries.num_rows:
         return _messages([])
     p = asked["_range"][0].as_py()
     parts = [blocks.unpack(v, np.int64, np.uint64, np.float64) for v in queries["payload"].to_pylist()]
     keys, words, weights = (np.concatenate([x[j] for x in parts]) for j in range(3))
-    order = np.argsort(words, kind="stable")
+    order = np.lexsort((keys, words))
     keys, words, weights = keys[order], words[order], weights[order]
-    distinct = np.unique(words)
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (keys[1:] != keys[:-1])
+    keys, words, weights = keys[new], words[new], weights[new]
+    distinct, first, sizes = np.unique(words, return_index=True, return_counts=True)
     rows = []
     for block, own, _, _ in _asked(asked):
-        here = distinct[np.isin(distinct, own, assume_unique=True)]
+        here = np.flatnonzero(np.isin(distinct, own, assume_unique=True))
         if len(here):
-            use = np.isin(words, here)
-            rows.append((p, block, blocks.pack(keys[use], words[use], weights[use])))
+            rows.append((p, block, blocks.pack(
+                np.diff(distinct[here], prepend=np.uint64(0)), weights[first[here]], sizes[here].astype(np.uint32),
+                np.diff(keys[_spans(first[here], sizes[here])], prepend=np.int64(0)))))
     return _messages(rows)
 
 
+def _routed(table: pa.Table):
+    """Words in order, their idfs, numbers of queries, and the queries' keys, as all ranges sent them to a shard."""
+    parts = [[], [], [], []]
+    for i in np.argsort(table["_range"].to_numpy(), kind="stable").tolist():
+        words, weights, sizes, keys = blocks.unpack(table["payload"][i].as_py(), np.uint64, np.float64, np.uint32, np.int64)
+        for part, x in zip(parts, (np.cumsum(words, dtype=np.uint64), weights, sizes.astype(np.int64), np.cumsum(keys)),
+                           strict=True):
+            part.append(x)
+    return [np.concatenate(part) for part in parts]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i]`` to ``starts[i] + sizes[i] - 1`` of every i."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Postings:
-    """One word's documents of a shard in order, their impacts, and the largest of all and of each block."""
+    """One word's documents of a shard in order, and their impacts."""
 
-    __slots__ = ("block_last", "block_max", "impacts", "most", "rows")
+    __slots__ = ("impacts", "rows")
 
     def __init__(self, rows: np.ndarray, impacts: np.ndarray):
-        self.rows, self.impacts = rows.tolist(), impacts.tolist()
-        cuts = np.arange(0, len(rows), POSTING_BLOCK)
-        self.block_max = np.maximum.reduceat(impacts, cuts).tolist()
-        self.block_last = rows[np.minimum(cuts + POSTING_BLOCK, len(rows)) - 1].tolist()
-        self.most = max(self.block_max)
+        self.rows, self.impacts = rows, impacts
+
+
+def best_rows(
+    rows: np.ndarray, impacts: np.ndarray, bounds: np.ndarray, lists: np.ndarray, cuts: np.ndarray, k: int,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and score (in millionths) of the k best rows of each query, by query, score and row.
+
+    List i has the postings ``bounds[i]`` to ``bounds[i + 1] - 1``, query q the lists ``lists[cuts[q]: cuts[q + 1]]``.
+    A batch of queries is scored at once, and every posting of its lists counts.
+    """
+    n_blocks = -(-(int(rows.max(initial=0)) + 1) // SCORE_BLOCK)
+    n_cells = n_blocks * SCORE_BLOCK
+    starts, sizes = bounds[lists], bounds[lists + 1] - bounds[lists]
+    read = np.append(0, np.cumsum(sizes))
+    read_by = read[cuts]
+    found = [(np.zeros(0, np.int64),) * 3]
+    a = 0
+    while a < len(cuts) - 1:
+        b = int(np.searchsorted(read_by, read_by[a] + POSTINGS, "right")) - 1
+        b = min(max(b, a + 1), a + max(1, CELLS // n_cells), len(cuts) - 1)
+        first = np.repeat(np.arange(b - a) * n_cells, np.diff(cuts[a: b + 1]))
+        scores, at = np.zeros((b - a) * n_cells), int(cuts[a])
+        while at < cuts[b]:
+            # A query of very many postings is read in parts.
+            to = min(max(int(np.searchsorted(read, read[at] + POSTINGS, "right")) - 1, at + 1), int(cuts[b]))
+            place = _spans(starts[at:to], sizes[at:to])
+            cells = rows[place] + np.repeat(first[at - cuts[a]: to - cuts[a]], sizes[at:to])
+            scores += np.bincount(cells, impacts[place], len(scores))
+            at = to
+        query, row, score = _best_cells(scores.reshape(b - a, SCORE_BLOCK, n_blocks), k)
+        found.append((query + a, row, score))
+        a = b
+    query, row, score = (np.concatenate([x[j] for x in found]) for j in range(3))
+    return query, row, score
+
+
+def _best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`best_rows`, of scores by query, place in a block, and block.
+
+    Rows go round the blocks. The k-th largest of the blocks' maxima is a bar that k rows reach; only blocks that
+    reach it are looked at.
+    """
+    n_queries, _, n_blocks = scores.shape
+    most = scores.max(axis=1)
+    bar = np.full(n_queries, np.finfo(float).tiny)
+    if n_blocks >= k:
+        np.maximum(bar, np.partition(most, n_blocks - k, axis=1)[:, n_blocks - k] - 2 / UNITS, out=bar)
+    query, block = np.nonzero(most >= bar[:, None])
+    inside = scores[query, :, block]
+    at, place = np.nonzero(inside >= bar[query][:, None])
+    return _k_best(query[at], place * n_blocks + block[at], _units(inside[at, place]), k)
+
+
+def _units(scores: np.ndarray) -> np.ndarray:
+    return np.rint(scores * UNITS).astype(np.int64)
+
+
+def _k_best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int):
+    """The k best of each query by score and then row, sorted so."""
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], row[keep], score[keep]
 
 
 def block_max_wand(lists: list[Postings], k: int) -> list[tuple[float, int]]:
-    """The k best documents as (score, row), by score (rounded) and then row."""
-    best: list[tuple[float, int]] = []
-    bar = -math.inf
-    at = [0] * len(lists)
-    live = list(range(len(lists)))
-    while True:
-        live = [i for i in live if at[i] < len(lists[i].rows)]
-        live.sort(key=lambda i: lists[i].rows[at[i]])
-        bound, pivot = 0.0, -1
-        for place, i in enumerate(live):
-            bound += lists[i].most
-            if bound + ROUNDING > bar:
-                pivot = place
-                break
-        if pivot < 0:
-            break
-        row = lists[live[pivot]].rows[at[live[pivot]]]
-        while pivot + 1 < len(live) and lists[live[pivot + 1]].rows[at[live[pivot + 1]]] == row:
-            pivot += 1
-        ahead = live[: pivot + 1]
-        bound, until = 0.0, lists[live[pivot + 1]].rows[at[live[pivot + 1]]] if pivot + 1 < len(live) else math.inf
-        for i in ahead:
-            part = bisect_left(lists[i].block_last, row)
-            if part < len(lists[i].block_last):
-                bound += lists[i].block_max[part]
-                until = min(until, lists[i].block_last[part] + 1)
-        if bound + ROUNDING <= bar:
-            # No document before ``until`` can enter: every list's block there is the same.
-            for i in ahead:
-                at[i] = bisect_left(lists[i].rows, max(until, row + 1), at[i])
-        elif lists[live[0]].rows[at[live[0]]] == row:
-            score = round(sum(lists[i].impacts[at[i]] for i in sorted(ahead)), 6)
-            for i in ahead:
-                at[i] += 1
-            if len(best) < k:
-                heapq.heappush(best, (score, -row))
-            elif (score, -row) > best[0]:
-                heapq.heapreplace(best, (score, -row))
-            if len(best) == k:
-                bar = best[0][0]
-        else:
-            for i in ahead:
-                if lists[i].rows[at[i]] < row:
-                    at[i] = bisect_left(lists[i].rows, row, at[i])
-    return sorted(((s, -r) for s, r in best), key=lambda x: (-x[0], x[1]))
+    """The k best documents of one query as (score, row), by score (rounded) and then row."""
+    bounds = np.cumsum([0] + [len(x.rows) for x in lists])
+    if not bounds[-1]:
+        return []
+    _, rows, scores = best_rows(
+        np.concatenate([x.rows for x in lists]), np.concatenate([x.impacts for x in lists]), bounds,
+        np.arange(len(lists)), np.array([0, len(lists)]), k)
+    return list(zip((scores / UNITS).tolist(), rows.tolist(), strict=True))
 
 
 @texts.releasing
-def _search(table: pa.Table, routed: pa.Table, n_docs: int, mean_length: float, k: int) -> pa.Table:
-    """One row per query that reaches a shard: its k best documents there."""
-    out: list[tuple[int, bytes]] = []
-    if table.num_rows and routed.num_rows:
-        table = blocks.in_order(table)
-        ids = table["_id"].to_pylist()
-        parts = [blocks.unpack(v, np.int64, np.uint64, np.float64) for v in routed["payload"].to_pylist()]
-        keys, words, weights = (np.concatenate([x[j] for x in parts]) for j in range(3))
-        wanted, first = np.unique(words, return_index=True)
-        rarity = weights[first]
-        rows, terms, counts, lengths = [], [], [], []
-        for part in _lowered(table):
-            hashes, owner, _, _, sizes = _words(part)
-            at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            hit = wanted[at] == hashes
-            o, t, c, _ = _counted(at[hit], owner[hit])
-            rows.append(part.first + o)
-            terms.append(t)
-            counts.append(c)
-            lengths.append(sizes)
-        rows, terms, counts, lengths = (np.concatenate(x) for x in (rows, terms, counts, lengths))
-        impacts = rarity[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[rows] / mean_length))
-        order = np.argsort(terms, kind="stable")
-        rows, impacts = rows[order], impacts[order]
-        bounds = np.searchsorted(terms[order], np.arange(len(wanted) + 1))
-        index = [Postings(rows[a:b], impacts[a:b]) if a < b else None for a, b in zip(bounds[:-1], bounds[1:],
-                                                                                    strict=True)]
-        order = np.lexsort((words, keys))
-        keys, places = keys[order], np.searchsorted(wanted, words[order])
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
-            lists = [index[i] for i in dict.fromkeys(places[a:b].tolist()) if index[i]]
-            key = int(keys[a])
-            best = block_max_wand(lists, k)
-            if best:
-                out.append((key, np.array([ids[row] for _, row in best], np.int64).tobytes()
-                            + np.array([score for score, _ in best]).tobytes()))
-    queries, found = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"query_id": pa.array(queries, pa.int64()), "best": pa.array(found, pa.binary())})
-
-
-def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of all shards; rows come sorted by query and are read as a stream."""
-    query, best, out = None, [], []
-
-    def close():
-        out.extend((query, rank, doc, -score) for rank, (score, doc) in enumerate(best, 1))
-
-    def table():
-        columns = zip(*out, strict=True) if out else ((),) * 4
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
-        found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                           names=["query_id", "rank", "_id", "score"])
-        out.clear()
-        return found
+def _search(table: pa.Table, routed: pa.Table, n: int, n_docs: int, mean_length: float, k: int) -> pa.Table:
+    """By range of queries, the k best documents of a shard for each query that reaches it: keys, documents, scores."""
+    if not table.num_rows or not routed.num_rows:
+        return _messages([])
+    block = table["_block"][0].as_py()
+    table = blocks.in_order(table)
+    ids = table["_id"].to_numpy()
+    wanted, rarity, asked_by, keys = _routed(routed)
+    rows, terms, counts, lengths = [], [], [], []
+    for part in _lowered(table):
+        hashes, owner, _, _, sizes = _words(part)
+        at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+        hit = wanted[at] == hashes
+        o, t, c, _ = _counted(at[hit], owner[hit])
+        rows.append(part.first + o)
+        terms.append(t)
+        counts.append(c)
+        lengths.append(sizes)
+    rows, terms, counts, lengths = (np.concatenate(x) for x in (rows, terms, counts, lengths))
+    impacts = rarity[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[rows] / mean_length))
+    order = np.argsort(terms, kind="stable")
+    bounds = np.searchsorted(terms[order], np.arange(len(wanted) + 1))
+    places = np.repeat(np.arange(len(wanted)), asked_by)
+    by_key = np.argsort(keys, kind="stable")
+    keys = keys[by_key]
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    query, row, score = best_rows(rows[order], impacts[order], bounds, places[by_key], cuts, k)
+    keys, docs = keys[cuts[query]], ids[row]
+    to = blocks.ranges(texts.mix(keys.view(np.uint64)), n)
+    order = np.argsort(to, kind="stable")
+    keys, docs, score = keys[order], docs[order], score[order]
+    bounds = blocks.cut(to[order], n)
+    return _messages([(p, block, blocks.pack(np.diff(keys[a:b], prepend=np.int64(0)), docs[a:b], score[a:b]))
+                      for p in blocks.filled(bounds) for a, b in [bounds[p: p + 2]]])
 
-    for batch in batches:
-        for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if key != query:
-                close()
-                query, best = key, []
-            docs, scores = np.frombuffer(value, np.int64, len(value) // 16), np.frombuffer(value[len(value) // 2:])
-            best = heapq.nsmallest(k, [*best, *zip((-scores).tolist(), docs.tolist(), strict=True)])
-        yield table()
-    close()
-    yield table()
+
+@texts.releasing
+def _merge(table: pa.Table, k: int) -> pa.Table:
+    """The k best of all shards for the queries of a range."""
+    parts, size, limit = [(np.zeros(0, np.int64),) * 3], 0, MERGED
+
+    def merged():
+        return _k_best(*(np.concatenate([x[j] for x in parts]) for j in range(3)), k)
+
+    for value in table["payload"]:
+        keys, docs, scores = blocks.unpack(value.as_py(), np.int64, np.int64, np.int64)
+        parts.append((np.cumsum(keys), docs, scores))
+        size += len(keys)
+        if size > limit:
+            parts = [merged()]
+            size = len(parts[0][0])
+            limit = 2 * size + MERGED
+    keys, docs, scores = merged()
+    return pa.table({
+        "query_id": keys, "rank": pa.array(np.arange(len(keys)) - np.searchsorted(keys, keys) + 1, pa.int32()),
+        "_id": docs, "score": scores / UNITS})
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +365,8 @@ def top_k(
         lambda t, a: _make_queries(t, a, n, n_docs, max_terms), MESSAGE)
     routed = asked.groupBy("_range").cogroup(made.groupBy("_range")).applyInArrow(lambda a, q: _route(a, q), MESSAGE)
     found = blocked.groupBy("_block").cogroup(routed.groupBy("_block")).applyInArrow(
-        lambda t, q: _search(t, q, n_docs, mean, k), "query_id long, best binary")
-    merged = found.repartition(blocks.partitions(docs), "query_id").sortWithinPartitions("query_id").mapInArrow(
-        lambda b: _merge(b, k), "query_id long, rank int, _id long, score double")
+        lambda t, q: _search(t, q, n, n_docs, mean, k), MESSAGE)
+    merged = found.groupBy("_range").applyInArrow(
+        lambda t: _merge(t, k), "query_id long, rank int, _id long, score double")
     return merged.select("query_id", "rank", F.when(F.col("_id") != F.lit(int(blocks.NO_ID)), F.col("_id")).alias(key),
                          "score")
