@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tunelake.llm import blocks, search
+from tunelake.llm import blocks, search, texts
 
 
 def made(draw, n_rows, n_words):
@@ -42,10 +42,10 @@ def test_best_rows(monkeypatch, n_rows, limit):
 
 
 def test_a_shard_answers_ranges_of_queries_not_each_query():
-    texts = [f"alpha beta w{i}" for i in range(30)]
-    table = pa.table({"_text": pa.array([t.encode() for t in texts], pa.binary()), "_block": pa.array([5] * 30, pa.int32()),
+    given = [f"alpha beta w{i}" for i in range(30)]
+    table = pa.table({"_text": pa.array([t.encode() for t in given], pa.binary()), "_block": pa.array([5] * 30, pa.int32()),
                       "_id": pa.array(range(30), pa.int64()), "_query": [True] * 30})
-    table = pa.Table.from_batches(search.blocks._compressed(iter(table.to_batches())))
+    table = pa.Table.from_batches(blocks._compressed(iter(table.to_batches())))
     n, many = 4, 500
     asked = search._ask(table, n)
     words = [np.cumsum(blocks.unpack(v, np.uint64, np.uint32, bool)[0], dtype=np.uint64) for v in asked["payload"].to_pylist()]
@@ -85,3 +85,24 @@ def test_top_k_of_every_document(spark):
     for r in search.top_k(docs, F.lit(True), max_terms=None, min_docs=1).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
     assert found == expected
+
+
+def test_hashes_across_pieces():
+    data = np.random.default_rng(3).integers(0, 256, 3 * texts.HASH_BYTES + 5).astype(np.uint8)
+    data[: texts.HASH_BYTES + 9] = 255
+    powers, _, codes = texts._power_tables(len(data))
+    total, expected = 0, [0]
+    for byte, power in zip(data.tolist(), powers.tolist()):
+        total = (total + int(codes[byte]) * power) % texts.PRIME
+        expected.append(total)
+    assert texts.prefix_hashes(data)[0].tolist() == expected
+    assert texts.prefix_hashes(data[:0])[0].tolist() == [0]
+
+
+def test_counted_keeps_owners_apart():
+    hashes = np.array([5, 9, 5, 5, 2, 9, 1 << 60, 5], np.uint64)
+    owner = np.array([0, 0, 0, 1, 1, 59_999, 59_999, 59_999])
+    owners, words, counts, place = search._counted(hashes, owner)
+    assert list(zip(owners.tolist(), words.tolist(), counts.tolist(), strict=True)) == [
+        (0, 5, 2), (0, 9, 1), (1, 2, 1), (1, 5, 1), (59_999, 5, 1), (59_999, 9, 1), (59_999, 1 << 60, 1)]
+    assert hashes[place].tolist() == words.tolist()

@@ -59,8 +59,9 @@ def _words(part: texts.Slice):
 
 
 def _counted(hashes: np.ndarray, owner: np.ndarray):
-    """Distinct (owner, word) with their counts and the place of the first one."""
-    order = np.lexsort((hashes, owner))
+    """Distinct (owner, word) with their counts and the place of one of them. Owners are rows of a slice."""
+    order = np.argsort(hashes)
+    order = order[np.argsort(owner[order].astype(np.uint16), kind="stable")]
     h, o = hashes[order], owner[order]
     first = np.ones(len(order), bool)
     first[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
@@ -287,12 +288,12 @@ def _search(table: pa.Table, routed: pa.Table, n: int, n_docs: int, mean_length:
     rows, terms, counts, lengths = [], [], [], []
     for part in _lowered(table):
         hashes, owner, _, _, sizes = _words(part)
-        at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-        hit = wanted[at] == hashes
-        o, t, c, _ = _counted(at[hit], owner[hit])
-        rows.append(part.first + o)
-        terms.append(t)
-        counts.append(c)
+        owners, words, numbers, _ = _counted(hashes, owner)
+        at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
+        hit = wanted[at] == words
+        rows.append(part.first + owners[hit])
+        terms.append(at[hit])
+        counts.append(numbers[hit])
         lengths.append(sizes)
     rows, terms, counts, lengths = (np.concatenate(x) for x in (rows, terms, counts, lengths))
     impacts = rarity[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[rows] / mean_length))

@@ -22,8 +22,12 @@ MAX_ROWS = 60_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+HASH_BYTES = 1 << 14
+"""Bytes that are hashed at a time, in arrays that stay in a core's cache."""
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 PRIME = (1 << 61) - 1
+_HALF, _LOW = np.uint64(31), np.uint64((1 << 31) - 1)
 _BASE = 0x1B7A5E2D93C4F86D % PRIME
 _BYTE_SEED = 20241
 
@@ -106,11 +110,10 @@ def _folded(x: np.ndarray) -> np.ndarray:
 
 def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     """Products modulo ``PRIME`` of values below it, put together from halves of 31 bits."""
-    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
-    a_high, a_low, b_high, b_low = a >> half, a & low, b >> half, b & low
+    a_high, a_low, b_high, b_low = a >> _HALF, a & _LOW, b >> _HALF, b & _LOW
     middle = a_high * b_low + a_low * b_high
     return _folded(((a_high * b_high) << np.uint64(1)) + (middle >> np.uint64(30))
-                   + ((middle & np.uint64((1 << 30) - 1)) << half) + a_low * b_low)
+                   + ((middle & np.uint64((1 << 30) - 1)) << _HALF) + a_low * b_low)
 
 
 def _powers(base: int, size: int) -> np.ndarray:
@@ -144,12 +147,39 @@ def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     powers, inverses, codes = worker_cache("powers_prime", lambda: _power_tables(2 * SLICE_BYTES))
     if len(data) >= len(powers):
         powers, inverses, codes = _power_tables(len(data) + 1)
-    terms = times(codes[data], powers[: len(data)])
     sums = np.zeros(len(data) + 1, np.uint64)
-    # Sums of the upper and the lower halves cannot overflow; 2^32 of an upper one is folded by hand.
-    high = np.cumsum(terms >> np.uint64(32))
-    sums[1:] = _folded(_folded(np.cumsum(terms & np.uint64(0xFFFFFFFF))) + (high >> np.uint64(29))
-                       + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)))
+    codes_high, codes_low = codes >> _HALF, codes & _LOW
+    work = np.empty((6, min(len(data), HASH_BYTES)), np.uint64)
+    for at in range(0, len(data), HASH_BYTES):
+        some = data[at: at + HASH_BYTES]
+        b, (a_high, a_low, b_high, b_low, middle, part) = powers[at: at + len(some)], work[:, : len(some)]
+        # As in times(), without new arrays and not folded: terms stay below 2^64.
+        np.take(codes_high, some, out=a_high, mode="clip")
+        np.take(codes_low, some, out=a_low, mode="clip")
+        np.right_shift(b, _HALF, out=b_high)
+        np.bitwise_and(b, _LOW, out=b_low)
+        np.multiply(a_high, b_low, out=middle)
+        np.multiply(a_low, b_high, out=part)
+        middle += part
+        terms = a_high
+        terms *= b_high
+        terms <<= np.uint64(1)
+        a_low *= b_low
+        terms += a_low
+        terms += np.right_shift(middle, np.uint64(30), out=part)
+        middle &= np.uint64((1 << 30) - 1)
+        middle <<= _HALF
+        terms += middle
+        # Sums of the upper and the lower halves cannot overflow; 2^32 of an upper one is folded by hand.
+        high = np.cumsum(np.right_shift(terms, np.uint64(32), out=middle), out=middle)
+        terms &= np.uint64(0xFFFFFFFF)
+        total = np.cumsum(terms, out=terms)
+        total += sums[at]
+        total += np.right_shift(high, np.uint64(29), out=part)
+        high &= np.uint64((1 << 29) - 1)
+        high <<= np.uint64(32)
+        total += high
+        sums[at + 1: at + 1 + len(some)] = _folded(total)
     return sums, inverses
 
 
