@@ -23,9 +23,11 @@ def made(draw, n_rows, n_words):
 
 @pytest.mark.parametrize("n_rows", [3, 60, 900])
 @pytest.mark.parametrize("limit", [1, 300, 1 << 17])
-def test_best_rows(monkeypatch, n_rows, limit):
+@pytest.mark.parametrize("dense", [0, 2_000, 1 << 22])
+def test_best_rows(monkeypatch, n_rows, limit, dense):
     monkeypatch.setattr(search, "CELLS", limit)
     monkeypatch.setattr(search, "POSTINGS", limit)
+    monkeypatch.setattr(search, "DENSE_CELLS", dense)
     lists, impacts, queries = made(random.Random(n_rows), n_rows, 7)
     for k in (1, 3, 10):
         found = search.best_rows(
